@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import line_dedup, media, mixing, packing, secrets, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_captures(_table(spark, sf_dir, "pages"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digests(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.spelled_twice(pages))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(documents, counts=True).drop("source")
@@ -22,10 +43,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_media": op2_media,
+    "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
+    "op6_secrets": op6_secrets,
+    "op8_url_filter": op8_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
