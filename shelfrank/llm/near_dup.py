@@ -4,10 +4,11 @@ Each document's set of word shingles becomes a SetSketch: per register the expon
 an exponential hash (so sketches merge by the larger register). Bands of registers give candidate pairs, a joint
 likelihood of both registers and set sizes drops hopeless ones, and the full sets decide the rest.
 
-Inside a bucket, documents are compared with a few pivots at a time, never all with all: linked documents merge into
-components, buckets with one component are finished, and used pivots leave the bucket. This goes on until no bucket
-holds two components, so no pair of different components that shares a bucket stays unchecked, while each round emits
-a number of pairs linear in the documents. Equal texts are one node from the start.
+Inside a bucket, documents are first compared with one pivot, the smallest; linked documents merge into components.
+Buckets that still hold several components are gathered to clusters, and documents of different components of a cluster
+are compared exactly in blocks of bounded size, which emit only the links that merge. So every pair of components that
+shares a bucket is decided, no group is emitted as pairs, and the largest component of a cluster is never compared with
+itself. Equal texts are one node from the start.
 
 Words are runs of non-blank characters with A-Z lowered; fewer words than a shingle form one shingle; a text without
 words (or null) has an empty set and is linked with nothing. Rows of one id and equal words are one node; a row
@@ -33,11 +34,11 @@ REGISTERS = BANDS * PER_BAND
 #: SetSketch parameters: base, rate and largest register value (16 bits).
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates stay unless similarities at or above the threshold are this much less likely than the best one (in logs).
-LOG_LIKELIHOOD_GAP = 15.0
+LOG_LIKELIHOOD_GAP = 12.0
 #: Ids up to this number are broadcast to fetch texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
-#: Pivots in a bucket and round, and pairs per node and round at most.
-MAX_PIVOTS, PAIRS_PER_NODE = 64, 4
+#: Members that are compared with one copy of their pivot, and documents in a block, about.
+PIVOT_GROUP, BLOCK = 512, 512
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -150,45 +151,111 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return both.where(fits("s_a", "s_b", "n_a", "n_b")).select("a", "b")
 
 
-def _texts(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``node, text`` of the ``wanted(node, rep, key)`` nodes; a text of the same id and other words is left out."""
-    ids = wanted.select("node", "rep", "key")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def _with_texts(documents: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
+    """``asked(rep, key, ...)`` with the ``text`` of each row's document. Broadcast only after counting."""
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.join(asked, F.col("_id") == F.col("rep")).drop("_id", "rep")
 
-    @F.pandas_udf("boolean")
-    def same(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(b" ".join(words_of(t))) == k for t, k in zip(texts, keys, strict=True)], dtype=bool)
 
-    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(ids, F.col("_id") == F.col("rep"))
-    return rows.where(same("text", "key")).select("node", "text")
+def _verified(documents: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose full sets are similar enough; ``a`` is the pivot of many ``b``.
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are similar enough."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
+    A pivot's text goes once to each of its groups of about ``PIVOT_GROUP`` members, a member's text once per pair.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_GROUP).cast("int").alias("groups"))
+    members = pairs.join(groups, "a").select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"))
+    pivots = groups.select(F.col("a").alias("node"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    asked = materialize(members.unionByName(pivots).join(nodes.select("node", "rep", "key"), "node"), "nd-asked")
+    rows = _with_texts(documents, id_col, text_col, asked)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: pa.Scalar) -> np.ndarray:
-            if node not in last:
-                if len(last) >= 32:
-                    last.pop(next(iter(last)))
-                last[node] = shingle_set(words_of(text.as_py()), size)
-            return last[node]
-
+        at, own = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                p, q = of(x, batch.column(2)[i]), of(y, batch.column(3)[i])
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * common >= percent * (len(p) + len(q) - common):
-                    keep.append(i)
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long").distinct()
+            pivot, group, node = (batch.column(k).to_pylist() for k in range(3))
+            found: tuple[list[int], list[int]] = ([], [])
+            for i, (p, g, n) in enumerate(zip(pivot, group, node, strict=True)):
+                words = words_of(batch.column(4)[i].as_py())
+                if xxhash.xxh3_128_digest(b" ".join(words)) != batch.column(3)[i].as_py():
+                    continue  # another text of the same id
+                shingles = shingle_set(words, size)
+                if p == n:
+                    at, own = (p, g), shingles
+                elif at == (p, g) and similar(own, shingles, percent):
+                    found[0].append(p), found[1].append(n)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    dealt = rows.select("pivot", "group", "node", "key", "text").repartition("pivot", "group").sortWithinPartitions("pivot", "group", F.col("node") != F.col("pivot"))
+    return dealt.mapInArrow(check, "a long, b long").distinct()
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def block_links(nodes: list[int], labels: list[int], sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels, exactly, among the documents of a block; one link for each merge."""
+    n, size = len(nodes), np.array([len(s) for s in sets])
+    least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+    group = {x: x for x in set(labels)}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    known, out = np.array(labels), []
+    for i in range(n - 1):
+        later = np.flatnonzero((known[i + 1 :] != known[i]) & (np.minimum(size[i], size[i + 1 :]) * 100 >= np.maximum(size[i], size[i + 1 :]) * percent)) + i + 1
+        if len(later):
+            later = later[(sketch[later] == sketch[i]).mean(axis=1) >= least]
+        for j in later:
+            a, b = root(labels[i]), root(labels[j])
+            if a != b and similar(sets[i], sets[j], percent):
+                group[max(a, b)] = min(a, b)
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _block_edges(documents: DataFrame, id_col: str, text_col: str, open_nodes: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between labels inside each cluster of ``open_nodes(cluster, node, label)``, block by block.
+
+    Documents of a cluster's largest label need no comparison among themselves; they and the rest are dealt to blocks
+    of about ``BLOCK`` documents, and every pair of blocks that can hold a link is one small group.
+    """
+    sizes = open_nodes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    plan = largest.select("cluster", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("many"))
+    rows = open_nodes.join(plan, "cluster").withColumn("in_top", F.col("label") == F.col("top"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("in_top"), F.col("many")).otherwise(F.col("rest"))).cast("int")
+    rows = rows.withColumn("own", own)
+    rest, many = F.sequence(F.lit(0), F.col("rest") - 1), F.sequence(F.lit(0), F.col("many") - 1)
+    with_rest = F.transform(rest, lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
+    with_top = F.transform(many, lambda j: F.struct(F.col("own").alias("x"), (-1 - j).alias("y")))
+    from_top = F.transform(rest, lambda i: F.struct(i.alias("x"), (-1 - F.col("own")).alias("y")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("in_top"), from_top).otherwise(F.concat(with_rest, with_top))))
+    asked = rows.select("cluster", "at.x", "at.y", "node", "label").join(nodes.select("node", "rep", "key", "sketch"), "node")
+    asked = materialize(asked, "nd-blocks")
+
+    def link(batch: pa.Table) -> pa.Table:
+        part = batch.to_pydict()
+        keep, sets = {}, []
+        for i, (node, text, key) in enumerate(zip(part["node"], part["text"], part["key"], strict=True)):
+            words = words_of(text)
+            if node not in keep and xxhash.xxh3_128_digest(b" ".join(words)) == key:
+                keep[node] = i
+                sets.append(shingle_set(words, size))
+        at = list(keep.values())
+        sketch = np.array([np.frombuffer(part["sketch"][i], np.uint16) for i in at]).reshape(len(at), REGISTERS)
+        found = block_links([part["node"][i] for i in at], [part["label"][i] for i in at], sketch, sets, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    texts = _with_texts(documents, id_col, text_col, asked).select("cluster", "x", "y", "node", "label", "key", "sketch", "text")
+    return texts.groupBy("cluster", "x", "y").applyInArrow(link, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,7 +273,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        hung = large.join(least, "u")
+        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").distinct(), "nd-stars")
         then = mark(after)
         if then == said:
@@ -246,32 +314,19 @@ def _all_links(documents: DataFrame, nodes: DataFrame, n_nodes: int, id_col: str
     # only nodes that share a bucket are ever compared: their sketches are looked up each round
     compared = materialize(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "nd-compared")
     pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    members = members.where("node <> low").select("bucket", "node")
-    checked = texts = edges = None
-    while True:
-        pairs = materialize(pairs, "nd-pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        likely = materialize(_likely_pairs(pairs, compared, percent), "nd-likely")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        if texts is not None:
-            wanted = wanted.join(texts.select("node"), "node", "left_anti")
-        more = materialize(_texts(documents, id_col, text_col, compared.join(wanted, "node", "left_semi")), "nd-texts")
-        texts = more if texts is None else texts.unionByName(more)
-        found = materialize(_verified(likely, texts, size, percent), "nd-edges")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = materialize(components(edges), "nd-labels")
-        here = _with_labels(members, labels)
-        mixed_ = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        here = materialize(here.join(mixed_, "bucket"), "nd-open")
-        left = here.count()
-        if not left:
-            return edges
-        pivots = max(4, min(MAX_PIVOTS, PAIRS_PER_NODE * n_nodes // left))
-        chosen = here.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("turn")).agg(F.min(F.struct("node", "label")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        chosen = materialize(chosen, "nd-pivots")
-        met = here.join(chosen, "bucket").where("label <> pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = met.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        members = here.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+    members = members.select("bucket", "node")
+    likely = materialize(_likely_pairs(pairs, compared, percent), "nd-likely")
+    edges = materialize(_verified(documents, id_col, text_col, compared, likely, size, percent), "nd-edges")
+    labels = materialize(components(edges), "nd-labels")
+    here = _with_labels(members, labels)
+    several = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("low")).where("x < y").select("bucket", "low")
+    here = materialize(here.join(several, "bucket").select("node", "label", "low"), "nd-open")
+    clusters = components(here.select(F.col("node").alias("a"), F.col("low").alias("b"))).select("node", F.col("label").alias("cluster"))
+    open_nodes = materialize(here.select("node", "label").distinct().join(clusters, "node"), "nd-clusters")
+    if not open_nodes.count():
+        return edges
+    more = materialize(_block_edges(documents, id_col, text_col, open_nodes, compared, size, percent), "nd-more")
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
 
 
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
