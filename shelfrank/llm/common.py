@@ -32,6 +32,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``doc``: inner columns can then have any names. ``select("doc.*")`` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of ``text`` as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

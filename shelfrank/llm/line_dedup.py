@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize
 
 #: Boilerplate lines up to this number (a few bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 100_000
@@ -49,11 +49,13 @@ def drop_boilerplate(
     known = cut.select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
     if (cut.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_LINES:
         known = F.broadcast(known)
+    # every page is one struct here, so its columns may have any names
+    own, text, host = F.col("doc"), F.col("doc")[text_col], F.col("doc")[host_col]
     lines = F.split(text, "\n", -1)
-    joined = pages.join(known, host.eqNullSafe(F.col("_host")), "left")
+    joined = boxed(pages).join(known, host.eqNullSafe(F.col("_host")), "left")
     left = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_keys"), _key(F.trim(x))))
     joined = joined.withColumn("_left", F.when(F.col("_keys").isNotNull(), left).otherwise(lines))
-    names = [F.array_join("_left", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
+    names = [F.array_join("_left", "\n").alias(c) if c == text_col else own[c].alias(c) for c in pages.columns]
     if counts:
         n = F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(0)).cast("long")
         names += [n.alias("n_lines"), (n - F.coalesce(F.when(text.isNotNull(), F.size("_left")), F.lit(0))).cast("long").alias("n_dropped")]

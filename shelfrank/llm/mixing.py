@@ -12,10 +12,10 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, ordinal
+from .common import boxed, materialize, n_words, ordinal
 
 #: Leading hex digits of the seeded order that split a source into buckets for the running sum.
 BUCKET_DIGITS = 3
@@ -106,12 +106,12 @@ def mix_plan(
     return sized, materialize(done, "mix-plan")
 
 
-def with_plan(rows: DataFrame, sources: DataFrame, source_col: str = "source") -> DataFrame:
+def with_plan(rows: DataFrame, sources: DataFrame, source: Column) -> DataFrame:
     """Join the plan of its source to every row; broadcast only after counting the sources."""
     plan = sources.select(F.col("source").alias("_source"), "source_size", "target", "whole", "last", "last_size", "last_words")
     if sources.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    return rows.join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    return rows.join(plan, source.eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def mixed_sizes(documents: DataFrame, **options) -> DataFrame:
@@ -120,7 +120,7 @@ def mixed_sizes(documents: DataFrame, **options) -> DataFrame:
     part = F.when(F.col("place") < F.col("last"), F.col("size")).when(
         F.col("place") == F.col("last"), F.floor(F.col("last_words") * F.col("size") / F.greatest(F.col("last_size"), F.lit(1))).cast("long")
     ).otherwise(F.lit(0))
-    rows = with_plan(sized, sources).withColumn("taken", (F.col("whole") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long"))
+    rows = with_plan(sized, sources, F.col("source")).withColumn("taken", (F.col("whole") * F.col("size") + F.coalesce(part, F.lit(0))).cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -130,12 +130,12 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     The document at which a fractional repetition ends is taken where at least half of it is still wanted.
     """
     _, sources = mix_plan(documents, id_col=id_col, source_col=source_col, seed=seed, **options)
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    doc = F.col("doc")
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc[id_col].cast("string"), F.lit("null"))))
     plan = sources.withColumn("last", F.struct("last", (F.col("last_words") * 2 >= F.col("last_size")).alias("half")))
     extra = F.when(place < F.col("last.last"), 1).when((place == F.col("last.last")) & F.col("last.half"), 1).otherwise(0)
-    rows = with_plan(documents, plan, source_col).withColumn("_times", (F.col("whole") + extra).cast("int"))
-    names = [F.col(f"`{c}`") for c in documents.columns]
-    return rows.where(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    rows = with_plan(boxed(documents), plan, doc[source_col]).withColumn("_times", (F.col("whole") + extra).cast("int"))
+    return rows.where(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("doc.*")
 
 
 ORACLE_SQL = r"""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize
 
 #: Registers come in bands; pairs that agree on one whole band are candidates.
 BANDS, PER_BAND = 28, 5
@@ -336,10 +336,9 @@ def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_c
     ids = judged.select(F.col("doc_id").alias("_gone"), "kept", "rows").where("not kept or rows > 1")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = documents.join(ids, F.col(f"`{id_col}`") == F.col("_gone"), "left")
-    names = [F.col(f"`{c}`") for c in documents.columns]
-    stay = rows.where(F.col("_gone").isNull()).select(*names)
-    again = rows.where(F.col("kept") & (F.col("rows") > 1)).select(*names).dropDuplicates([id_col])
+    rows = boxed(documents).join(ids, F.col("doc")[id_col] == F.col("_gone"), "left")
+    stay = rows.where(F.col("_gone").isNull()).select("doc.*")
+    again = rows.where(F.col("kept") & (F.col("rows") > 1)).select("doc.*").dropDuplicates([id_col])
     return stay.unionByName(again)
 
 

@@ -33,7 +33,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIZE = len(ALPHABET) + 1  # the last is the beginning of a token
 #: The classifier's bound: documents whose strings train the models.
 SAMPLE_DOCUMENTS = 4000
-SMOOTHING = 0.5
+SMOOTHING, BACK_OFF = 0.5, 5.0
 #: Least log-likelihood ratio per character, and in sum.
 PER_CHARACTER, IN_SUM = 1.0, 30.0
 
@@ -83,8 +83,10 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
     table = np.zeros((2, SIZE, SIZE))
     for r in rows:  # at most 2 SIZE^2
         table[r["kind"], r["a"], r["b"]] = r["n"]
-    table += SMOOTHING
-    chance = np.log(table / table.sum(axis=2, keepdims=True))
+    # what a character is seldom followed by comes from how common the next character is at all
+    common = table.sum(axis=1, keepdims=True) + SMOOTHING
+    common /= common.sum(axis=2, keepdims=True)
+    chance = np.log((table + BACK_OFF * common) / (table.sum(axis=2, keepdims=True) + BACK_OFF))
     return chance[0] - chance[1]
 
 
