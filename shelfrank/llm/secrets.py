@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the models judge.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 WORD = re.compile(r"[A-Za-z0-9+/_-]{6,}")
+#: Ordinary samples: shorter than what is judged, so that no unlabelled secret trains the ordinary model.
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,19}(?![A-Za-z0-9+/_-])")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIZE = len(ALPHABET) + 1  # the last is the beginning of a token
 #: The classifier's bound: documents whose strings train the models.
@@ -73,7 +75,7 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
                     for m in WORD.finditer(t[start:end].rpartition("=")[2]):
                         np.add.at(both[0], steps(m[0]), 1)
                 taken = [(s, e) for s, _, e in spans]
-                for m in WORD.finditer(t):
+                for m in ORDINARY.finditer(t):
                     if not any(s < m.end() and m.start() < e for s, e in taken):
                         np.add.at(both[1], steps(m[0]), 1)
         kind, a, b = np.nonzero(both)
