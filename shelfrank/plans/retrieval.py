@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import colors
 from ..functions.text import words
 from ..functions.vectors import dot, half_precision, normalize
-from ..operators import dense, evaluate, fusion, lexical, rerank
-from ..operators.catalog import facet_filter
+from ..operators import blend, dense, evaluate, fusion, lexical, rerank
 from ..operators.ranking import best_first, top_k
 
 WEIGHTS = [round(0.1 * k, 1) for k in range(11)]
@@ -151,39 +150,82 @@ def weighted_rrf_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blended(spark: SparkSession, d: str) -> DataFrame:
+    return blend.search(target_queries(spark, d).select("query_id", "photo_query", "title_query"), items(spark, d), 20)
+
+
+def blended_small(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed form over all pairs; the kernel's check."""
     return fusion.blended_search(side_scores(spark, d), 20).select("query_id", "item_id", "score", "rank")
 
 
 def blended_filtered(spark: SparkSession, d: str) -> DataFrame:
-    keep = facet_filter(F.lit("white"), None)
-    return fusion.blended_search(side_scores(spark, d), 20, keep).select("query_id", "item_id", "score", "rank", "color")
+    """Half of the queries ask for a colour, a third for a category of either level."""
+    q = target_queries(spark, d).withColumn("color", F.when(F.col("query_id") % 20 == 0, "white"))
+    category = F.when(F.col("query_id") % 3 == 0, "L1").when(F.col("query_id") % 3 == 1, "L2 > 2")
+    found = blend.search(q.withColumn("category", category).select("query_id", "photo_query", "title_query", "color", "category"), items(spark, d), 20)
+    return found.join(items(spark, d).select("item_id", "color"), "item_id").select("query_id", "item_id", "score", "rank", "color")
 
 
 def search_modes(spark: SparkSession, d: str) -> DataFrame:
     mode = F.element_at(F.array(F.lit("blend"), F.lit("photo"), F.lit("title")), (F.col("query_id") % 3 + 1).cast("int"))
-    rows = side_scores(spark, d).withColumn("mode", mode).withColumn("limit", (F.col("query_id") % 7 + 1).cast("int"))
-    return fusion.by_mode(rows).select("query_id", "item_id", "mode", "score", "rank")
+    q = target_queries(spark, d).select("query_id", "photo_query", "title_query", mode.alias("mode"), (F.col("query_id") % 7 + 1).cast("int").alias("limit"))
+    return blend.search(q, items(spark, d)).join(q.select("query_id", "mode"), "query_id").select("query_id", "item_id", "mode", "score", "rank")
 
 
 def blend_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of the target for every weight: standard scores once, then one row per weight."""
-    q = target_queries(spark, d).select("query_id", "target_id")
-    z = side_scores(spark, d).select("query_id", "item_id", fusion.z_score(F.col("photo")).alias("p"), fusion.z_score(F.col("title")).alias("t"))
-    spread = z.withColumn("w", F.explode(F.array(*[F.lit(w) for w in WEIGHTS]))).select("query_id", "w", "item_id", F.round(F.col("w") * F.col("p") + (1 - F.col("w")) * F.col("t"), 6).alias("score"))
-    own = spread.join(q, "query_id").where("item_id = target_id").select("query_id", "w", F.col("score").alias("own"))
-    ranks = spread.join(own, ["query_id", "w"]).where("score >= own").groupBy("query_id", "w").agg(F.count("*").alias("rank"))
-    return ranks.groupBy("w").agg(*evaluate.rank_metrics(F.col("rank")))
+    """Metrics of the target for every weight."""
+    return blend.weight_ranks(target_queries(spark, d), items(spark, d), WEIGHTS).groupBy("w").agg(*evaluate.rank_metrics(F.col("rank")))
+
+
+def _boosted(spark: SparkSession, d: str) -> DataFrame:
+    """``query_id, boost, rank``; every query asks for the colour of its target, or for the next one of the palette."""
+    palette = F.array(*[F.lit(c) for c in colors.PALETTE])
+    following = F.element_at(palette, (F.array_position(palette, F.col("color")) % len(colors.PALETTE) + 1).cast("int"))
+    asked = F.array(F.when(F.col("query_id") % 4 != 0, F.col("color")).otherwise(following)).alias("asked")
+    q = target_queries(spark, d).join(items(spark, d).select(F.col("item_id").alias("target_id"), "color"), "target_id").where("color <> ''")
+    return blend.boost_ranks(q.select("query_id", "target_id", "photo_query", "title_query", asked), items(spark, d), [*BOOSTS, float("inf")])
 
 
 def color_boost(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of the target for every boost of items of the asked colour; a filter drops all others."""
-    q = target_queries(spark, d).select("query_id", "target_id")
-    i = items(spark, d).select(F.col("item_id").alias("target_id"), F.col("color").alias("asked"))
-    z = fusion.blend(side_scores(spark, d)).join(q, "query_id").join(i, "target_id").where("asked <> ''")
-    spread = z.withColumn("boost", F.explode(F.array(*[F.lit(b) for b in BOOSTS]))).withColumn("score", F.round(F.col("score") + F.col("boost") * (F.col("color") == F.col("asked")).cast("double"), 6))
-    own = spread.where("item_id = target_id").select("query_id", "boost", F.col("score").alias("own"))
-    ranks = spread.join(own, ["query_id", "boost"]).where("score >= own").groupBy("query_id", "boost").agg(F.count("*").alias("rank"))
-    return ranks.groupBy("boost").agg(*evaluate.rank_metrics(F.col("rank")))
+    """Metrics of the target for every boost of items of the asked colour; ``filter`` drops all others."""
+    name = F.when(F.col("boost") == float("inf"), "filter").otherwise(F.format_number("boost", 2))
+    return _boosted(spark, d).groupBy(name.alias("boost")).agg(*evaluate.rank_metrics(F.col("rank")))
+
+
+def boost_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The best boost on the tuning half, and its result on the other."""
+    q = target_queries(spark, d).select("query_id", "source", F.col("target_id").alias("id"))
+    ranks = _boosted(spark, d).where(F.col("boost") < float("inf")).join(q, "query_id").join(evaluate.split_half(q.select("id")), "id")
+    each = ranks.groupBy("boost", "part", "source").agg(*evaluate.rank_metrics(F.col("rank"))).withColumn("method", F.lit("color_boost"))
+    return evaluate.sweep(each, "boost")
+
+
+def type_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """One right answer per query, by search type: photo alone, title alone, and both fused."""
+    ranks = target_rank(spark, d).select("query_id", "rank", F.col("side").alias("type")).unionByName(rrf_target(spark, d).withColumn("type", F.lit("fused")))
+    return ranks.groupBy("type").agg(*evaluate.rank_metrics(F.col("rank")))
+
+
+def metric_report(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal ranks, one row per side and one column per source of the query."""
+    q = target_queries(spark, d).select("query_id", "source")
+    each = target_rank(spark, d).join(q, "query_id").withColumn("rr", F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0))
+    return each.groupBy("side").pivot("source", ["brand", "image", "text"]).agg(F.round(F.avg("rr"), 6))
+
+
+def top_of_every_type(spark: SparkSession, d: str) -> DataFrame:
+    """Side by side: the first eight of each search type."""
+    _, photo, title = _sides(spark, d)
+    fused = rrf_photo_title(spark, d).withColumnRenamed("doc_id", "item_id")
+    parts = [x.where("rank <= 8").select(F.lit(n).alias("type"), "query_id", "item_id", "rank") for n, x in (("photo", photo), ("title", title), ("fused", fused))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def stage_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = bm25(spark, d)
+    short = rerank.rerank(found, text_queries(spark, d), titles(spark, d).select("doc_id", "title"))
+    both = found.select("query_id", F.lit("bm25").alias("stage")).unionByName(short.select("query_id", F.lit("rerank").alias("stage")))
+    return both.groupBy("query_id", "stage").agg(F.count("*").alias("n"))
 
 
 def side_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -295,12 +337,18 @@ rk AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(qt, tt))::DOUB
 rr2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rk)"""
 HALF = """SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('0:' || id), id) <= (count(*) OVER ()) // 2 THEN 'tune' ELSE 'test' END AS part FROM"""
 
+BOOSTED = f"""ask AS (SELECT query_id, CASE WHEN query_id % 4 <> 0 THEN color ELSE ([{PALETTE}])[list_position([{PALETTE}], color) % 16 + 1] END AS asked, color AS own FROM tq JOIN items ON item_id = query_id AND color <> ''),
+bs AS (SELECT b.query_id, boost, b.item_id, round(b.score + boost * CASE WHEN b.color = asked THEN 1 ELSE 0 END, 6) AS score FROM bl b JOIN ask USING (query_id), (SELECT unnest([0.0::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE]) AS boost)),
+fs AS (SELECT b.query_id, b.item_id, b.score FROM bl b JOIN ask ON ask.query_id = b.query_id AND b.color = asked),
+br AS (SELECT a.query_id, printf('%.2f', a.boost) AS boost, count(*) AS rank FROM bs a JOIN bs o ON o.query_id = a.query_id AND o.boost = a.boost AND o.item_id = o.query_id AND a.score >= o.score GROUP BY a.query_id, a.boost
+UNION ALL SELECT ask.query_id, 'filter', r.rank FROM ask LEFT JOIN (SELECT a.query_id, count(*) AS rank FROM fs a JOIN fs o ON o.query_id = a.query_id AND o.item_id = o.query_id AND a.score >= o.score GROUP BY a.query_id) r USING (query_id))"""
+
 QUERIES = {
     "r1_bm25_terms": bm25_terms, "r2_bm25_search": bm25, "e3_bm25_metrics": bm25_metrics, "r3_dense_search": dense_photo, "r3_dense_small": dense_small, "r12_similar_items": similar_items,
-    "r14_target_rank": target_rank, "e6_sliced_metrics": sliced_metrics, "r4_rrf": rrf_photo_title, "r15_rrf_target_rank": rrf_target, "r16_weighted_rrf": weighted_rrf_target, "r8_blended_search": blended,
+    "r14_target_rank": target_rank, "e6_sliced_metrics": sliced_metrics, "r4_rrf": rrf_photo_title, "r15_rrf_target_rank": rrf_target, "r16_weighted_rrf": weighted_rrf_target, "r8_blended_search": blended, "r8_blended_small": blended_small,
     "r9_blended_filtered": blended_filtered, "r10_search_modes": search_modes, "r17_blend_sweep": blend_sweep, "r18_color_boost": color_boost, "r19_side_tags": side_tags, "r5_rerank": reranked,
     "r20_stage_trace": stage_trace, "r21_result_dedup": result_dedup, "a13_merchant_facet": merchant_facet, "e12_drift": drift, "f16_half_precision": half_drift, "e8_tune_split": tune_split,
-    "e14_sample": sampled_products, "e9_weight_choice": weight_choice,
+    "e14_sample": sampled_products, "e9_weight_choice": weight_choice, "e10_boost_choice": boost_choice, "e5_type_metrics": type_metrics, "e7_metric_report": metric_report, "r22_stage_counts": stage_counts, "r23_side_by_side": top_of_every_type,
 }
 
 ORACLE_SQL = {
@@ -322,14 +370,26 @@ GROUP BY GROUPING SETS ((generator, source), (generator, source, style))""",
     "r15_rrf_target_rank": f"WITH {ITEMS} SELECT tq.query_id, r.rank FROM tq LEFT JOIN (SELECT * FROM rr WHERE rank <= 50) r ON r.query_id = tq.query_id AND r.doc_id = tq.query_id",
     "r16_weighted_rrf": f"WITH {ITEMS} SELECT query_id, w, rank FROM wt",
     "r8_blended_search": f"WITH {ITEMS} SELECT query_id, item_id, score, rank FROM blended",
-    "r9_blended_filtered": f"WITH {ITEMS} SELECT * FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, color FROM bl WHERE color = 'white') WHERE rank <= 20",
+    "r8_blended_small": f"WITH {ITEMS} SELECT query_id, item_id, score, rank FROM blended",
+    "r9_blended_filtered": f"""WITH {ITEMS} SELECT * FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, color FROM bl
+WHERE (query_id % 20 <> 0 OR color = 'white') AND CASE query_id % 3 WHEN 0 THEN category_l1 = 'L1' WHEN 1 THEN category = 'L2 > 2' ELSE true END) WHERE rank <= 20""",
     "r10_search_modes": f"""WITH {ITEMS}, m AS (SELECT query_id, item_id, (['blend', 'photo', 'title'])[query_id % 3 + 1] AS mode, CASE query_id % 3 WHEN 0 THEN score WHEN 1 THEN photo ELSE title END AS score FROM bl)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM m) WHERE rank <= query_id % 7 + 1""",
     "r17_blend_sweep": f"""WITH {ITEMS}, s AS (SELECT query_id, w, item_id, round(w * zp + (1 - w) * zt, 6) AS score FROM z, (SELECT DISTINCT w FROM wr)),
 r AS (SELECT a.query_id, a.w, count(*) AS rank FROM s a JOIN s o ON o.query_id = a.query_id AND o.w = a.w AND o.item_id = o.query_id AND a.score >= o.score GROUP BY ALL) SELECT w, {METRICS} FROM r GROUP BY w""",
-    "r18_color_boost": f"""WITH {ITEMS}, s AS (SELECT b.query_id, boost, b.item_id, round(b.score + boost * CASE WHEN b.color = i.color THEN 1 ELSE 0 END, 6) AS score FROM bl b JOIN items i ON i.item_id = b.query_id AND i.color <> '',
-(SELECT unnest([0.0::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE]) AS boost)),
-r AS (SELECT a.query_id, a.boost, count(*) AS rank FROM s a JOIN s o ON o.query_id = a.query_id AND o.boost = a.boost AND o.item_id = o.query_id AND a.score >= o.score GROUP BY ALL) SELECT boost, {METRICS} FROM r GROUP BY boost""",
+    "r18_color_boost": f"WITH {ITEMS}, {BOOSTED} SELECT boost, {METRICS} FROM br GROUP BY boost",
+    "e10_boost_choice": f"""WITH {ITEMS}, {BOOSTED}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
+m AS (SELECT boost, part, source, {METRICS} FROM br JOIN tq USING (query_id) JOIN h ON h.id = br.query_id WHERE boost <> 'filter' GROUP BY boost, part, source),
+a AS (SELECT boost::DOUBLE AS boost, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY boost, part),
+b AS (SELECT boost, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, boost LIMIT 1)
+SELECT 'color_boost' AS method, b.boost, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.boost = b.boost AND a.part = 'test'""",
+    "e5_type_metrics": f"""WITH {ITEMS}, {TARGET}, every AS (SELECT query_id, rank, side AS type FROM tr UNION ALL
+SELECT tq.query_id, r.rank, 'fused' FROM tq LEFT JOIN (SELECT * FROM rr WHERE rank <= 50) r ON r.query_id = tq.query_id AND r.doc_id = tq.query_id) SELECT type, {METRICS} FROM every GROUP BY type""",
+    "e7_metric_report": f"""WITH {ITEMS}, {TARGET}, x AS (SELECT side, source, CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END AS r FROM tr JOIN tq USING (query_id))
+SELECT side, round(avg(r) FILTER (source = 'brand'), 6) AS brand, round(avg(r) FILTER (source = 'image'), 6) AS image, round(avg(r) FILTER (source = 'text'), 6) AS text FROM x GROUP BY side""",
+    "r22_stage_counts": f"WITH {BM25}, {OVERLAP} SELECT query_id, 'bm25' AS stage, count(*) AS n FROM bm25 GROUP BY query_id UNION ALL SELECT query_id, 'rerank', count(*) FROM rr2 WHERE rank <= 10 GROUP BY query_id",
+    "r23_side_by_side": f"""WITH {ITEMS} SELECT 'photo' AS type, query_id, item_id, rank FROM photo WHERE rank <= 8 UNION ALL SELECT 'title', query_id, item_id, rank FROM title WHERE rank <= 8
+UNION ALL SELECT 'fused', query_id, doc_id, rank FROM rr WHERE rank <= 8""",
     "r19_side_tags": f"""WITH {ITEMS} SELECT b.query_id, b.item_id, b.rank, CASE WHEN t.item_id IS NOT NULL AND p.item_id IS NOT NULL THEN 'title+photo' WHEN t.item_id IS NOT NULL THEN 'title' WHEN p.item_id IS NOT NULL THEN 'photo' ELSE '' END AS sides
 FROM blended b LEFT JOIN photo p ON p.query_id = b.query_id AND p.item_id = b.item_id LEFT JOIN title t ON t.query_id = b.query_id AND t.item_id = b.item_id""",
     "r5_rerank": f"WITH {BM25}, {OVERLAP} SELECT query_id, doc_id, score, rank FROM rr2 WHERE rank <= 10",

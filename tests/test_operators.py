@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import colors
 from shelfrank.functions import text as T
-from shelfrank.operators import catalog, dense, enrich, evaluate, fusion, lexical
+from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, lexical
 from shelfrank.sources import tables
 
 
@@ -78,6 +78,35 @@ def test_kernel_equals_small_path(spark, data):
     assert sorted(map(tuple, slow.collect())) == sorted(map(tuple, fast.collect()))
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_blend_kernel_equals_windowed_form(spark, data, monkeypatch, block):
+    """Whatever the blocks of queries and the partitions of items."""
+    from shelfrank.plans import retrieval
+
+    monkeypatch.setattr(blend, "QUERY_BLOCK", block)
+    q, i = retrieval.target_queries(spark, data).where("query_id < 200"), retrieval.items(spark, data).repartition(5)
+    fast = blend.search(q.select("query_id", "photo_query", "title_query"), i, 20)
+    slow = retrieval.blended_small(spark, data).where("query_id < 200")
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+
+
+def test_blend_edges(spark):
+    rows = [(1, [1.0, 0.0], [1.0, 0.0], "red"), (2, [1.0, 0.0], [0.0, 1.0], "blue"), (3, [1.0, 0.0], [0.0, 1.0], None)]
+    i = spark.createDataFrame(rows, "item_id long, photo_vector array<double>, title_vector array<double>, color string")
+    i = i.withColumns({"category": F.lit("A > B"), "category_l1": F.lit("A")})
+    q = spark.createDataFrame([(1, 1, [1.0, 0.0], [1.0, 0.0], ["blue"]), (2, 2, [1.0, 0.0], [1.0, 0.0], ["blue", "red"])], "query_id long, target_id long, photo_query array<double>, title_query array<double>, asked array<string>")
+    plain = q.select("query_id", "photo_query", "title_query")
+    found = {(r.query_id, r.item_id): r.score for r in blend.search(plain, i).collect()}
+    assert found[1, 1] == pytest.approx(0.3 * 2 / 3**0.5, abs=1e-6) and len(found) == 6  # a constant side counts 0
+    only = blend.search(plain.withColumn("color", F.lit("blue")).withColumn("category", F.lit("A")), i).collect()
+    assert {(r.query_id, r.item_id, r.score) for r in only} == {(k, 2, found[k, 2]) for k in (1, 2)}
+    assert blend.search(plain.where("false"), i).count() == 0 and blend.weight_ranks(q.where("false"), i, [0.5]).count() == 0
+    ranks = {(r.query_id, r.boost): r["rank"] for r in blend.boost_ranks(q, i, [0.0, float("inf")]).collect()}
+    assert ranks == {(1, 0.0): 1, (2, 0.0): 3, (1, float("inf")): None, (2, float("inf")): 2}
+    weights = {(r.query_id, r.w): r["rank"] for r in blend.weight_ranks(q, i, [0.0, 1.0]).collect()}
+    assert weights == {(1, 0.0): 1, (1, 1.0): 3, (2, 0.0): 3, (2, 1.0): 3}
+
+
 def test_duplicate_vector_is_first_and_self_absent(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id long, item_vector array<double>")
     queries = rows.where("item_id = 1").select(F.col("item_id").alias("query_id"), F.col("item_vector").alias("vector"))
