@@ -33,6 +33,12 @@ def clean_title(title: Column) -> Column:
     return strip(t)
 
 
+def clean_query(query: Column, limit: int = 200) -> Column:
+    """A typed query without white space at its ends, cut to ``limit`` characters; null where nothing is left."""
+    t = F.substring(strip(query), 1, limit)
+    return F.when(t != "", t)
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

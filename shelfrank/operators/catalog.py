@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import first_of
+from .ranking import first_of, small
 
 
 def us_corpus(products: DataFrame, locale: str = "us", order: str = "seq") -> DataFrame:
@@ -68,8 +68,17 @@ def card(items: DataFrame) -> DataFrame:
 
 
 def lookup(items: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(found items, unknown ids)``."""
-    return items.join(wanted.select("product_id").distinct(), "product_id", "left_semi"), wanted.join(items, "product_id", "left_anti")
+    """``(found items, unknown ids)``, each once."""
+    ids = wanted.select("product_id").distinct()
+    return items.join(ids, "product_id", "left_semi"), ids.join(items, "product_id", "left_anti")
+
+
+def rejected_filters(requests: DataFrame, items: DataFrame, palette: tuple[str, ...]) -> DataFrame:
+    """``query_id, reason`` of ``requests(query_id, color, category)`` that name an unknown colour or category."""
+    known = items.select(F.explode(F.array("category", "category_l1")).alias("category")).where("category <> ''").distinct()
+    color = requests.where(F.col("color").isNotNull() & ~F.col("color").isin(*palette)).select("query_id", F.lit("color").alias("reason"))
+    category = requests.where("category is not null").join(small(known), "category", "left_anti").select("query_id", F.lit("category").alias("reason"))
+    return color.unionByName(category)
 
 
 def facet_filter(color: Column | None, category: Column | None) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -60,7 +62,15 @@ def positive_pairs(df: DataFrame, is_positive: Column) -> DataFrame:
     return df.where(is_positive).agg(F.count("*").alias("pairs"), F.count_distinct("query_id").alias("queries"), F.count_distinct("product_id").alias("products"))
 
 
-def judged_titles(examples: DataFrame, products: DataFrame, query_id: int, order: str = "ESCI") -> DataFrame:
-    """One query's judged rows with titles, in label order."""
-    rows = examples.where(F.col("query_id") == query_id).join(products, ["product_locale", "product_id"], "left")
-    return rows.select("product_id", "esci_label", F.substring(F.coalesce("product_title", F.lit("")), 1, 95).alias("title"), F.instr(F.lit(order), F.col("esci_label")).cast("long").alias("place"))
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, rows, columns`` of each table."""
+    each = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("long").alias("columns")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def judged_titles(examples: DataFrame, products: DataFrame, order: str = "ESCI") -> DataFrame:
+    """Judged rows with titles; ``place`` numbers each query's rows in label order, then by product."""
+    rows = examples.join(products, ["product_locale", "product_id"], "left")
+    rows = rows.select("query_id", "product_id", "esci_label", F.substring(F.coalesce("product_title", F.lit("")), 1, 95).alias("title"), F.instr(F.lit(order), F.col("esci_label")).alias("_label"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_label", "product_id"))
+    return rows.withColumn("place", place.cast("long")).drop("_label")

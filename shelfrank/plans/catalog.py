@@ -154,6 +154,65 @@ def embedded_titles(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", "model_id", "modality", F.size("embedding").cast("long").alias("d"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
+def us_corpus(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.when(k % 13 != 0, k % 97).cast("string").alias("product_id"), F.when(k % 11 != 0, F.col("p_name")).alias("product_title"), F.when(k % 2 == 0, "us").otherwise("es").alias("product_locale"), k.alias("seq"))
+    return catalog.us_corpus(rows)
+
+
+def clean_queries(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.clean_query(F.col("text")).alias("query")).where("query is not null")
+    return rows.withColumn("searchable", F.size(T.tokenize(F.col("query"))) > 0)
+
+
+def rejected_filters(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    color, category = F.when(k % 3 == 0, "white").when(k % 3 == 1, "teal"), F.when(k % 4 == 0, "L1").when(k % 4 == 1, "L2 > 2").when(k % 4 == 2, "L9")
+    requests = table(spark, d, "events").select(k.alias("query_id"), color.alias("color"), category.alias("category"))
+    return catalog.rejected_filters(requests, items(spark, d), colors.PALETTE)
+
+
+def valid_labels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.when(k % 3 == 0, "red").when(k % 3 == 1, "teal").alias("color"), F.when(k % 2 == 0, "L1 > 1").otherwise("L9 > 9").alias("category"))
+    return enrich.valid_labels(rows, colors.PALETTE, items(spark, d).where("category <> ''").select(F.col("category").alias("path")))
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d).withColumns({"image_url": F.concat(F.lit("http://img/"), "product_id"), "color": F.coalesce(colors.normalize_color(F.col("title")), F.lit("")), "category": F.lit(""), "description": F.col("ai_description"), "score": F.col("seq") / 7})
+    return catalog.card(c)
+
+
+def lookups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"))
+    found, unknown = catalog.lookup(rows, table(spark, d, "events").select((F.col("user_id") * 7).alias("product_id")))
+    return found.select("product_id", F.lit(True).alias("known")).unionByName(unknown.select("product_id", F.lit(False).alias("known")))
+
+
+def judged_titles(spark: SparkSession, d: str) -> DataFrame:
+    rows = _examples(spark, d).withColumn("esci_label", F.substring(F.lit("ESCI"), (F.col("event_id") % 4 + 1).cast("int"), F.lit(1)))
+    return profile.judged_titles(rows.select("query_id", "product_id", "product_locale", "esci_label").distinct(), _products(spark, d))
+
+
+def attributes(spark: SparkSession, d: str) -> DataFrame:
+    k, palette = F.col("event_id"), F.array(*[F.lit(c) for c in colors.PALETTE])
+    n = table(spark, d, "part").count()
+    made = table(spark, d, "events").select(
+        (k * 3 % n).cast("string").alias("product_id"), F.when(k % 4 == 0, "open").otherwise("closed").alias("method"), F.element_at(palette, (k % 16 + 1).cast("int")).alias("color"),
+        F.lit("").alias("color_name"), F.concat(F.lit("L"), (k % 5).cast("string"), F.lit(" > "), (k % 7).cast("string")).alias("category"), k.alias("seq"),
+    )
+    return catalog.with_attributes(catalog.gallery(_corpus(spark, d)).select("product_id"), made).select("product_id", "color", "category", "category_l1")
+
+
+def table_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return profile.table_sizes({n: table(spark, d, n) for n in ("events", "part", "documents", "conversations", "embeddings")})
+
+
+def usage(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return enrich.usage(e.select(F.col("user_id").alias("tokens_in"), (F.col("event_id") % 50).alias("tokens_out"), F.when(F.col("event_type") == "error", "x").alias("error")))
+
+
 EXAMPLES = """ex AS (SELECT user_id AS query_id, CAST(event_id % (SELECT count(*) FROM part) + 1 AS VARCHAR) AS product_id, CAST(user_id % 3 AS VARCHAR) AS product_locale, event_type AS esci_label,
 event_id % 2 AS small_version, 1 AS large_version, CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, event_id FROM events)"""
 CLEAN = "trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
@@ -176,6 +235,8 @@ QUERIES = {
     "a2_locale_counts": locale_counts, "a4_distinct_queries": query_counts, "a5_depth": query_depth, "a6_query_lengths": query_lengths, "a7_length_histogram": length_histogram, "a8_missing_rates": missing_rates,
     "a9_completeness": completeness, "a10_split_leakage": split_leakage, "a11_positive_pairs": positive_pairs, "a12_facets": facets, "f7_colors": part_colors, "f20_json_replies": json_replies, "j8_work_list": work_list,
     "e11_label_agreement": label_agreement, "e13_method_agreement": method_agreement, "a15_query_sizes": query_sizes, "a17_manifest": manifest, "f1_document_text": document_text, "x1_embedded_titles": embedded_titles,
+    "p1_us_corpus": us_corpus, "p10_clean_queries": clean_queries, "p11_rejected_filters": rejected_filters, "p13_valid_labels": valid_labels, "p15_cards": cards, "p16_lookup": lookups,
+    "j3_judged_titles": judged_titles, "j4_attributes": attributes, "a1_table_sizes": table_sizes, "a16_usage": usage,
 }
 
 ORACLE_SQL = {
@@ -213,4 +274,25 @@ SELECT count(*) AS n, round(avg((a = b)::INT), 6) AS agreement FROM p""",
     "f1_document_text": f"""SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words, len({retrieval.TOKENS.format(x='text')}) AS tokens,
 regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
 CASE WHEN lower({CLEAN.format(x='text')}) IN ('', 'na') THEN '(none)' ELSE substr({CLEAN.format(x='text')}, 1, 600) END AS description FROM documents""",
+    "p1_us_corpus": """WITH r AS (SELECT CAST(CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 97 END AS VARCHAR) AS product_id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS product_title,
+CASE WHEN p_partkey % 2 = 0 THEN 'us' ELSE 'es' END AS product_locale, p_partkey AS seq FROM part)
+SELECT product_id, product_title, product_locale, seq FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seq) AS k FROM r WHERE product_locale = 'us' AND product_id IS NOT NULL AND product_title IS NOT NULL) WHERE k = 1""",
+    "p10_clean_queries": f"""WITH c AS (SELECT conv_id, turn, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200) AS query FROM conversations)
+SELECT conv_id, turn, query, len({retrieval.TOKENS.format(x='query')}) > 0 AS searchable FROM c WHERE query <> ''""",
+    "p11_rejected_filters": f"""WITH {I}, r AS (SELECT event_id AS query_id, CASE event_id % 3 WHEN 0 THEN 'white' WHEN 1 THEN 'teal' END AS color, CASE event_id % 4 WHEN 0 THEN 'L1' WHEN 1 THEN 'L2 > 2' WHEN 2 THEN 'L9' END AS category FROM events)
+SELECT query_id, 'color' AS reason FROM r WHERE color = 'teal' UNION ALL
+SELECT query_id, 'category' FROM r WHERE category IS NOT NULL AND category NOT IN (SELECT category FROM items UNION SELECT category_l1 FROM items)""",
+    "p13_valid_labels": f"""WITH {I} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'red' END AS color, CASE WHEN event_id % 2 = 0 AND 'L1 > 1' IN (SELECT category FROM items) THEN 'L1 > 1'
+WHEN event_id % 2 = 1 AND 'L9 > 9' IN (SELECT category FROM items) THEN 'L9 > 9' END AS category FROM events""",
+    "p15_cards": f"""WITH {CORPUS}, {COLOR} SELECT product_id, title, merchant, price, coalesce(nullif(local_image, ''), 'http://img/' || product_id) AS image, color, CAST(NULL AS VARCHAR) AS category,
+ai_description AS description, round(seq / 7, 4) AS score FROM corpus JOIN col ON p_name = title""",
+    "p16_lookup": "SELECT user_id * 7 AS product_id, user_id * 7 IN (SELECT p_partkey FROM part) AS known FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
+    "j3_judged_titles": f"""WITH {EXAMPLES}, e AS (SELECT DISTINCT query_id, product_id, substr('ESCI', event_id % 4 + 1, 1) AS esci_label FROM ex)
+SELECT query_id, product_id, esci_label, coalesce(p_name, '') AS title, row_number() OVER (PARTITION BY query_id ORDER BY instr('ESCI', esci_label), product_id) AS place FROM e LEFT JOIN part ON product_id = CAST(p_partkey AS VARCHAR)""",
+    "j4_attributes": f"""WITH {CORPUS}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY local_image ORDER BY seq) AS k FROM corpus WHERE local_image <> '') WHERE k = 1),
+h AS (SELECT product_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY seq) AS m FROM g) WHERE m = 1),
+m AS (SELECT CAST(event_id * 3 % (SELECT count(*) FROM part) AS VARCHAR) AS product_id, max(event_id) AS k FROM events WHERE event_id % 4 <> 0 GROUP BY 1)
+SELECT product_id, coalesce(([{retrieval.PALETTE}])[k % 16 + 1], '') AS color, coalesce('L' || (k % 5) || ' > ' || (k % 7), '') AS category, coalesce('L' || (k % 5), '') AS category_l1 FROM h LEFT JOIN m USING (product_id)""",
+    "a1_table_sizes": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS \"rows\", (SELECT count(*) FROM (DESCRIBE {t})) AS columns" for t in ("events", "part", "documents", "conversations", "embeddings")),
+    "a16_usage": "SELECT CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(event_id % 50) AS BIGINT) AS tokens_out, round(avg(user_id), 6) AS mean_in, count(*) FILTER (event_type = 'error') AS failures FROM events",
 }
