@@ -23,10 +23,12 @@ class Index(NamedTuple):
 
 def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Counts include documents without tokens. Postings are grouped by document: frequent terms make no hot key."""
-    base = corpus.select(F.col(doc_id).alias("doc_id"), tokenize(F.col(text)).alias("tokens"))
-    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    tokens = tokenize(F.col("text")).alias("tokens")
+    stats = texts.select(tokens).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    base = texts.repartition("doc_id").select("doc_id", tokens)  # whole texts are shuffled once, not a row for each token
     each = base.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = each.repartition("doc_id").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    postings = each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return Index(postings, terms.select("term", "df", idf.alias("idf")), stats)
@@ -43,8 +45,8 @@ def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B)
 
 def search(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, score, rank``: only documents that share a term, at most ``k`` per query."""
-    asked = query_terms(queries)
-    asked = small(asked.join(index.terms.select("term", "idf"), "term"))
+    said = small(query_terms(queries))
+    asked = small(said.join(index.terms.select("term", "idf"), "term"), said)  # no more rows than were counted
     hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     scored = hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))

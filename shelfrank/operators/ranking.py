@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, no_more_than: DataFrame | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows; a cheaper table that has at least as many can be counted for it."""
+    counted = df if no_more_than is None else no_more_than
+    return F.broadcast(df) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def top_k(df: DataFrame, k: int | Column, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
