@@ -10,72 +10,63 @@ Statistics are those of all items, so a filter never changes a score. ``fusion.b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import QUERY_BLOCK
+from .dense import DIGITS, _doubles, _union
 from .fusion import BLEND
+from .kernel import Best, Block, facets, item_blocks, kept, matrix, query_blocks
 from .ranking import best_first, top_k
 
 SIDES = ("photo", "title")
-DIGITS = 6
-Block = dict[str, np.ndarray]
+ASKING, OWN = ("photo_query", "title_query"), ("photo_vector", "title_vector")
+TARGETS = ("photo_target", "title_target")
 
 
-def _blocks(queries: DataFrame) -> Iterator[Block]:
-    """The query table in blocks of at most QUERY_BLOCK rows; columns that end in ``_query`` become matrices."""
-    as_block = lambda rows: {c: np.array([r[c] for r in rows], float) if c.endswith("_query") else pd.Series([r[c] for r in rows], dtype=object).to_numpy() for c in queries.columns}
-    rows = []
-    for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            yield as_block(rows)
-            rows = []
-    if rows:
-        yield as_block(rows)
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), float)
-
-
-def _moments(block: Block, items: DataFrame) -> Block:
-    """``block`` plus mean and sample deviation of each query's scores on each side, over all ``items``."""
-    ids, asked = block["query_id"].astype(np.int64), [block[f"{s}_query"] for s in SIDES]
+def _moments_of(block: Block, items: DataFrame) -> DataFrame:
+    """``query_id, n, photo_mean, photo_dev, title_mean, title_dev`` of the queries of one block over all ``items``."""
+    ids, asked = block["query_id"].astype(np.int64), [block[c] for c in ASKING]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, mean, spread = 0, np.zeros((2, len(ids))), np.zeros((2, len(ids)))
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in item_blocks(batches):
             m = len(batch)
-            for k, side in enumerate(SIDES):
-                scores = np.round(asked[k] @ _matrix(batch[f"{side}_vector"]).T, DIGITS)
-                own = scores.mean(axis=1)
-                off = own - mean[k]
-                spread[k] += ((scores - own[:, None]) ** 2).sum(axis=1) + off**2 * (n * m / (n + m))
+            for k, own in enumerate(OWN):
+                scores = np.round(asked[k] @ matrix(batch[own]).T, DIGITS)
+                here = scores.mean(axis=1)
+                off = here - mean[k]
+                spread[k] += ((scores - here[:, None]) ** 2).sum(axis=1) + off**2 * (n * m / (n + m))
                 mean[k] += off * (m / (n + m))
             n += m
         if n:
             yield pd.DataFrame({"query_id": ids, "n": n, "photo": mean[0], "title": mean[1], "photo_m2": spread[0], "title_m2": spread[1]})
 
-    parts = items.select("photo_vector", "title_vector").mapInPandas(run, "query_id long, n long, photo double, title double, photo_m2 double, title_m2 double")
-    sums = [f(s) for s in SIDES for f in (
-        lambda s: F.sum(F.col("n") * F.col(s)).alias(f"{s}_sum"), lambda s: F.sum(F.col(f"{s}_m2") + F.col("n") * F.col(s) * F.col(s)).alias(f"{s}_sq"),
-    )]
-    merged = parts.groupBy("query_id").agg(F.sum("n").alias("all"), *sums)
-    got = merged.toPandas().set_index("query_id").reindex(ids)  # one row per query of the block
+    parts = _doubles(items.select(*OWN), *OWN).mapInPandas(run, "query_id long, n long, photo double, title double, photo_m2 double, title_m2 double")
+    n, out = F.sum("n"), [F.sum("n").alias("n")]
+    for side in SIDES:
+        mean = F.sum(F.col("n") * F.col(side)) / n
+        squares = F.greatest(F.sum(F.col(f"{side}_m2") + F.col("n") * F.col(side) * F.col(side)) - n * mean * mean, F.lit(0.0))
+        out += [mean.alias(f"{side}_mean"), F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(0.0).alias(f"{side}_dev")]
+    return parts.groupBy("query_id").agg(*out)
+
+
+def moments(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, n, photo_mean, photo_dev, title_mean, title_dev``: what standard scores need, over the whole item table."""
+    ddl = "query_id long, n long, photo_mean double, photo_dev double, title_mean double, title_dev double"
+    return _union([_moments_of(b, items) for b in query_blocks(_doubles(queries.select("query_id", *ASKING), *ASKING), ASKING)], queries, ddl)
+
+
+def _with_moments(block: Block, items: DataFrame) -> Block:
+    """``block`` plus mean and sample deviation of each query's scores on each side; one row per query of the block is fetched."""
+    got = _moments_of(block, items).toPandas().set_index("query_id").reindex(block["query_id"].astype(np.int64))
     out = dict(block)
     for side in SIDES:
-        n = got["all"].to_numpy(float)
-        mean = got[f"{side}_sum"].to_numpy(float) / n
-        m2 = np.maximum(got[f"{side}_sq"].to_numpy(float) - n * mean**2, 0)
-        deviation = np.sqrt(m2 / np.maximum(n - 1, 1))
-        out[f"{side}_mean"], out[f"{side}_dev"] = mean, np.where(deviation > 1e-9, deviation, np.inf)  # equal scores: 0
+        deviation = got[f"{side}_dev"].to_numpy(float)
+        out[f"{side}_mean"] = got[f"{side}_mean"].to_numpy(float)
+        out[f"{side}_dev"] = np.where(deviation > 1e-9, deviation, np.inf)  # equal scores: 0
     return out
 
 
@@ -85,22 +76,28 @@ def _standard(block: Block, side: str, scores: np.ndarray) -> np.ndarray:
 
 def _raw(block: Block, batch: pd.DataFrame) -> dict[str, np.ndarray]:
     """Scores of all queries of the block with the batch's items, by side."""
-    return {s: np.round(block[f"{s}_query"] @ _matrix(batch[f"{s}_vector"]).T, DIGITS) for s in SIDES}
+    return {s: np.round(block[f"{s}_query"] @ matrix(batch[f"{s}_vector"]).T, DIGITS) for s in SIDES}
+
+
+def _blended(block: Block, raw: dict[str, np.ndarray], w: float) -> np.ndarray:
+    return np.round(w * _standard(block, "photo", raw["photo"]) + (1 - w) * _standard(block, "title", raw["title"]), DIGITS)
 
 
-def _targets(queries: DataFrame, items: DataFrame, *more: str) -> DataFrame:
-    """Queries with the vectors of their target, under names that ``_blocks`` takes for matrices."""
-    own = items.select(F.col("item_id").alias("target_id"), *[F.col(f"{s}_vector").alias(f"{s}_target_query") for s in SIDES], *more)
-    return queries.join(own, "target_id")
+def _target_blocks(queries: DataFrame, items: DataFrame, columns: list[str], *more: str) -> Iterator[Block]:
+    """Blocks of queries with the vectors of their target and all moments."""
+    own = items.select(F.col("item_id").alias("target_id"), *[F.col(v).alias(t) for v, t in zip(OWN, TARGETS, strict=True)], *more)
+    asked = _doubles(queries.select("query_id", "target_id", *ASKING, *columns).join(own, "target_id"), *ASKING, *TARGETS)
+    for block in query_blocks(asked, (*ASKING, *TARGETS)):
+        yield _with_moments(block, items)
 
 
 def _own(block: Block) -> dict[str, np.ndarray]:
     """Standard scores of each query's target, as columns."""
-    return {s: _standard(block, s, np.round((block[f"{s}_query"] * block[f"{s}_target_query"]).sum(axis=1), DIGITS)[:, None]) for s in SIDES}
+    return {s: _standard(block, s, np.round((block[f"{s}_query"] * block[f"{s}_target"]).sum(axis=1), DIGITS)[:, None]) for s in SIDES}
 
 
-def _union(parts: list[DataFrame], queries: DataFrame, ddl: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], ddl)
+def _others(block: Block, batch: pd.DataFrame) -> np.ndarray:
+    return batch["item_id"].to_numpy()[None, :] != block["target_id"].astype(np.int64)[:, None]
 
 
 def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND) -> DataFrame:
@@ -109,32 +106,27 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
     Queries may have ``mode`` (blend, photo or title), ``limit`` (1 to 100, else ``k``) and the filters ``color`` and
     ``category``; filters ask for ``color``, ``category`` and ``category_l1`` of items, a null filter keeps all.
     """
-    asked = set(queries.columns)
-    facets = [c for c in ("color", "category", "category_l1") if c.split("_")[0] in asked]
-    rows = items.select("item_id", "photo_vector", "title_vector", *facets)
+    extra = [c for c in ("mode", "limit", "color", "category") if c in queries.columns]
+    rows = _doubles(items.select("item_id", *OWN, *facets(queries)), *OWN)
     ddl, parts = "query_id long, item_id long, score double, most int", []
-    for plain in _blocks(queries):
-        block = _moments(plain, items)
-        n = len(block["query_id"])
-        most = np.array([min(max(int(x), 1), 100) if x is not None else k for x in block["limit"]]) if "limit" in asked else np.full(n, k)
+    for plain in query_blocks(_doubles(queries.select("query_id", *ASKING, *extra), *ASKING), ASKING):
+        block = _with_moments(plain, items)
+        most = np.array([min(max(int(x), 1), 100) if x is not None else k for x in block["limit"]]) if "limit" in extra else np.full(len(block["query_id"]), k)
 
         def run(batches: Iterator[pd.DataFrame], block: Block = block, most: np.ndarray = most) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
+            best = Best(most)
+            for batch in item_blocks(batches):
                 raw, ids = _raw(block, batch), batch["item_id"].to_numpy()
-                scores = np.round(w * _standard(block, "photo", raw["photo"]) + (1 - w) * _standard(block, "title", raw["title"]), DIGITS)
-                for i, q in enumerate(block["query_id"]):
-                    mode = block["mode"][i] if "mode" in block else "blend"
-                    own = scores[i] if mode == "blend" else raw[mode][i]
-                    keep = np.ones(len(ids), bool)
-                    if "color" in block and block["color"][i] is not None:
-                        keep &= (batch["color"] == block["color"][i]).to_numpy()
-                    if "category" in block and (want := block["category"][i]) is not None:
-                        keep &= (batch["category" if " > " in want else "category_l1"] == want).to_numpy()
-                    at = np.flatnonzero(keep)
-                    at = at[np.lexsort((ids[at], -own[at]))[: most[i]]]
-                    yield pd.DataFrame({"query_id": q, "item_id": ids[at], "score": own[at], "most": most[i]})
+                scores = _blended(block, raw, w)
+                if "mode" in block:
+                    for side in SIDES:
+                        alone = block["mode"] == side
+                        scores[alone] = raw[side][alone]
+                near = scores >= best.least[:, None]
+                for i in np.flatnonzero(near.any(axis=1)):
+                    at = np.flatnonzero(near[i] & kept(block, i, batch))
+                    best.offer(i, ids[at], scores[i][at])
+            yield best.rows(block["query_id"], most=most)
 
         parts.append(rows.mapInPandas(run, ddl))
     return top_k(_union(parts, queries, ddl), F.col("most"), ["query_id"], best_first(item="item_id")).drop("most")
@@ -143,21 +135,16 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
 def weight_ranks(queries: DataFrame, items: DataFrame, weights: list[float]) -> DataFrame:
     """``query_id, w, rank`` of each query's ``target_id`` for every weight; items that score as much count against it."""
     ddl, parts = "query_id long, w double, n long", []
-    rows = items.select("item_id", "photo_vector", "title_vector")
-    for plain in _blocks(_targets(queries.select("query_id", "target_id", "photo_query", "title_query"), items)):
-        block = _moments(plain, items)
+    rows = _doubles(items.select("item_id", *OWN), *OWN)
+    for block in _target_blocks(queries, items, []):
 
         def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
             own, n = _own(block), np.zeros((len(weights), len(block["query_id"])), np.int64)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                raw = _raw(block, batch)
-                p, t = (_standard(block, s, raw[s]) for s in SIDES)
-                other = batch["item_id"].to_numpy()[None, :] != block["target_id"].astype(np.int64)[:, None]
+            least = [np.round(x * own["photo"] + (1 - x) * own["title"], DIGITS) for x in weights]
+            for batch in item_blocks(batches):
+                raw, other = _raw(block, batch), _others(block, batch)
                 for j, x in enumerate(weights):
-                    least = np.round(x * own["photo"] + (1 - x) * own["title"], DIGITS)
-                    n[j] += ((np.round(x * p + (1 - x) * t, DIGITS) >= least) & other).sum(axis=1)
+                    n[j] += ((_blended(block, raw, x) >= least[j]) & other).sum(axis=1)
             for j, x in enumerate(weights):
                 yield pd.DataFrame({"query_id": block["query_id"].astype(np.int64), "w": x, "n": n[j]})
 
@@ -171,29 +158,24 @@ def boost_ranks(queries: DataFrame, items: DataFrame, boosts: list[float], w: fl
     An infinite boost is a hard filter: other items go, and a target of another colour has a null rank.
     """
     ddl, parts = "query_id long, boost double, n long", []
-    rows = items.select("item_id", "photo_vector", "title_vector", "color")
-    for plain in _blocks(_targets(queries.select("query_id", "target_id", "photo_query", "title_query", "asked"), items, F.col("color").alias("target_color"))):
-        block = _moments(plain, items)
+    rows = _doubles(items.select("item_id", *OWN, "color"), *OWN)
+    for block in _target_blocks(queries, items, ["asked"], F.col("color").alias("target_color")):
 
         def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
             own, ids = _own(block), block["query_id"].astype(np.int64)
-            base = w * own["photo"] + (1 - w) * own["title"]
+            base = np.round(w * own["photo"] + (1 - w) * own["title"], DIGITS)
             wanted = [set(a or ()) for a in block["asked"]]
             hit = np.array([c in a for c, a in zip(block["target_color"], wanted, strict=True)])[:, None]
             n = np.zeros((len(boosts), len(ids)), np.int64)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                raw = _raw(block, batch)
-                scores = np.round(w * _standard(block, "photo", raw["photo"]) + (1 - w) * _standard(block, "title", raw["title"]), DIGITS)
+            for batch in item_blocks(batches):
+                scores, other = _blended(block, _raw(block, batch), w), _others(block, batch)
                 code, names = pd.factorize(batch["color"])
                 match = np.array([[*(c in a for c in names), False] for a in wanted])[:, code]  # a null colour has code -1
-                other = batch["item_id"].to_numpy()[None, :] != block["target_id"].astype(np.int64)[:, None]
                 for j, b in enumerate(boosts):
                     if np.isinf(b):
-                        n[j] += (match & other & (scores >= np.round(base, DIGITS))).sum(axis=1)
+                        n[j] += (match & other & (scores >= base)).sum(axis=1)
                     else:
-                        n[j] += ((np.round(scores + b * match, DIGITS) >= np.round(np.round(base, DIGITS) + b * hit, DIGITS)) & other).sum(axis=1)
+                        n[j] += ((np.round(scores + b * match, DIGITS) >= np.round(base + b * hit, DIGITS)) & other).sum(axis=1)
             for j, b in enumerate(boosts):
                 gone = np.isinf(b) & ~hit[:, 0]
                 yield pd.DataFrame({"query_id": ids, "boost": b, "n": pd.array(np.where(gone, -1, n[j]), dtype="int64")})

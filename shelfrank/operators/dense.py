@@ -1,12 +1,13 @@
-"""Exact vector search for tables of queries: one numpy kernel per item batch, reducers on top.
+"""Exact vector search for tables of queries: one numpy kernel per item block, reducers on top.
 
 Queries come to the tasks as a broadcast matrix, block by block, so memory stays bounded; scores are doubles rounded to
-nine digits, so equal vectors tie and ties go to the smaller id.
+six digits, so equal vectors tie and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,56 +15,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from .ranking import best_first, top_k
+from .kernel import Best, Block, facets, item_blocks, kept, matrix, query_blocks
+from .ranking import best_first, top_k, union_by
 
-#: Queries in one broadcast matrix.
-QUERY_BLOCK = 4096
+DIGITS = 6
+#: Queries up to this number may be compared by a join instead of the kernel.
+SMALL_QUERIES = 10_000
 
 
-def query_blocks(queries: DataFrame, query_id: str = "query_id", vector: str = "vector") -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query table as ``(ids, matrix)`` blocks of at most QUERY_BLOCK rows, streamed through the driver."""
-    ids, rows = [], []
-    for r in queries.select(query_id, F.col(vector).cast("array<double>")).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def _doubles(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("array<double>") for c in columns})
+
+
+def _union(parts: list[DataFrame], queries: DataFrame, ddl: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], ddl)
 
 
 def small_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """All ``query_id, item_id, score``; for small tables and as the check of the kernel."""
-    return items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot(F.col("item_vector"), F.col("vector")), 6).alias("score"))
+    """All ``query_id, item_id, score`` of few queries; the check of the kernel. Raises where queries are many."""
+    if queries.limit(SMALL_QUERIES + 1).count() > SMALL_QUERIES:
+        raise ValueError(f"more than {SMALL_QUERIES} queries: use search")
+    return items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot(F.col("item_vector"), F.col("vector")), DIGITS).alias("score"))
 
 
-def search(queries: DataFrame, items: DataFrame, k: int = 50, *, exclude_self: bool = False, digits: int = 6) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, k: int = 50, *, exclude_self: bool = False, digits: int = DIGITS) -> DataFrame:
     """``query_id, item_id, score, rank``: the ``k`` nearest items of each query.
 
-    ``queries(query_id, vector)``, ``items(item_id, item_vector)``. Each task keeps ``k`` rows a query and batch.
+    ``queries(query_id, vector)``, ``items(item_id, item_vector)``. Queries may have the filters ``color`` and
+    ``category``; these ask for ``color``, ``category`` and ``category_l1`` of items, a null filter keeps all. Each task
+    emits ``k`` rows a query.
     """
-    found = None
-    for ids, matrix in query_blocks(queries):
-
-        def score(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
+    asked = facets(queries)
+    rows = _doubles(items.select("item_id", "item_vector", *asked), "item_vector")
+    filters = [c for c in ("color", "category") if c in queries.columns]
+    ddl, parts = "query_id long, item_id long, score double", []
+    for block in query_blocks(_doubles(queries.select("query_id", "vector", *filters), "vector"), ("vector",)):
+
+        def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
+            ids = block["query_id"].astype(np.int64)
+            best = Best(np.full(len(ids), k))
+            for batch in item_blocks(batches):
                 own = batch["item_id"].to_numpy()
-                scores = np.round(matrix @ np.array(batch["item_vector"].tolist(), float).T, digits)
+                scores = np.round(block["vector"] @ matrix(batch["item_vector"]).T, digits)
                 if exclude_self:
                     scores[ids[:, None] == own[None, :]] = -np.inf
-                for q in range(len(ids)):
-                    order = np.lexsort((own, -scores[q]))[:k]
-                    order = order[scores[q][order] > -np.inf]
-                    yield pd.DataFrame({"query_id": np.repeat(ids[q], len(order)), "item_id": own[order], "score": scores[q][order]})
+                near = (scores >= best.least[:, None]) & (scores > -np.inf)
+                for i in np.flatnonzero(near.any(axis=1)):
+                    at = np.flatnonzero(near[i] & kept(block, i, batch)) if filters else np.flatnonzero(near[i])
+                    best.offer(i, own[at], scores[i][at])
+            yield best.rows(ids)
 
-        part = items.select("item_id", F.col("item_vector").cast("array<double>").alias("item_vector")).mapInPandas(score, "query_id long, item_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, item_id long, score double")
-    return top_k(found, k, ["query_id"], best_first(item="item_id"))
+        parts.append(rows.mapInPandas(run, ddl))
+    return top_k(_union(parts, queries, ddl), k, ["query_id"], best_first(item="item_id"))
+
+
+def search_types(queries: DataFrame, items: DataFrame, types: dict[str, tuple[str, str, str]], k: int = 48) -> DataFrame:
+    """``type, query_id, item_id, score, rank`` for every search type: (model, modality of the query, modality of the target).
+
+    ``queries(model_id, modality, query_id, vector)``, ``items(model_id, modality, item_id, item_vector)``; vectors of
+    different models never meet.
+    """
+    found = []
+    for name, (model, asking, target) in types.items():
+        q = queries.where((F.col("model_id") == model) & (F.col("modality") == asking)).drop("model_id", "modality")
+        i = items.where((F.col("model_id") == model) & (F.col("modality") == target)).drop("model_id", "modality")
+        found.append(search(q, i, k).withColumn("type", F.lit(name)))
+    return union_by(["query_id"], *found)
 
 
 def target_ranks(scores: DataFrame, targets: DataFrame) -> DataFrame:
@@ -76,37 +93,20 @@ def target_ranks(scores: DataFrame, targets: DataFrame) -> DataFrame:
 def target_ranks_at_scale(queries: DataFrame, items: DataFrame, targets: DataFrame) -> DataFrame:
     """As ``target_ranks``, without a row for each query and item: tasks emit counts only."""
     known = targets.join(items, F.col("target_id") == F.col("item_id")).select("query_id", "target_id", F.col("item_vector").alias("target_vector"))
-    asked = queries.join(known, "query_id")
-    total = None
-    for block in _target_blocks(asked):
-        part = items.select("item_id", F.col("item_vector").cast("array<double>").alias("item_vector")).mapInPandas(_counter(*block), "query_id long, n long")
-        total = part if total is None else total.unionByName(part)
-    return total.groupBy("query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))
-
-
-def _target_blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    rows = []
-    for r in asked.select("query_id", "target_id", F.col("vector").cast("array<double>"), F.col("target_vector").cast("array<double>")).toLocalIterator():
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            yield _as_arrays(rows)
-            rows = []
-    if rows:
-        yield _as_arrays(rows)
-
-
-def _as_arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float), np.array([r[3] for r in rows], float)
+    asked = _doubles(queries.join(known, "query_id").select("query_id", "target_id", "vector", "target_vector"), "vector", "target_vector")
+    rows = _doubles(items.select("item_id", "item_vector"), "item_vector")
+    ddl = "query_id long, n long"
+    parts = [rows.mapInPandas(_counter(block), ddl) for block in query_blocks(asked, ("vector", "target_vector"))]
+    return _union(parts, queries, ddl).groupBy("query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))
 
 
-def _counter(ids: np.ndarray, targets: np.ndarray, matrix: np.ndarray, target_vectors: np.ndarray):  # noqa: ANN202
+def _counter(block: Block):  # noqa: ANN202
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.round((matrix * target_vectors).sum(axis=1), 6)
-        n = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if len(batch):
-                scores = np.round(matrix @ np.array(batch["item_vector"].tolist(), float).T, 6)
-                n += ((scores >= own[:, None]) & (batch["item_id"].to_numpy()[None, :] != targets[:, None])).sum(axis=1)
-        yield pd.DataFrame({"query_id": ids, "n": n})
+        own = np.round((block["vector"] * block["target_vector"]).sum(axis=1), DIGITS)
+        targets, n = block["target_id"].astype(np.int64), np.zeros(len(own), np.int64)
+        for batch in item_blocks(batches):
+            scores = np.round(block["vector"] @ matrix(batch["item_vector"]).T, DIGITS)
+            n += ((scores >= own[:, None]) & (batch["item_id"].to_numpy()[None, :] != targets[:, None])).sum(axis=1)
+        yield pd.DataFrame({"query_id": block["query_id"].astype(np.int64), "n": n})
 
     return count

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_part
 
+BLANKS = re.compile(r"\s+", re.ASCII)
+
 
 def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     """Deterministic text vectors: signed token hashes, of length 1."""
     out = np.zeros((len(texts), size), np.float32)
     for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = zlib.crc32(word.encode())
-            out[i, h % size] += 1 if h >> 31 else -1
+        for word in BLANKS.split(text.lower()):
+            if word:
+                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                out[i, h % size] += 1 if h >> 31 else -1
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import best_first, top_k
+from .ranking import best_first, top_k, union_by
 
 RRF_K, BLEND = 60, 0.7
 
@@ -18,7 +16,7 @@ def rrf(*lists: DataFrame, k: int = RRF_K, top: int = 50) -> DataFrame:
     Ties go to the item that the earlier list brought in, then to its rank there.
     """
     each = [x.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.lit(n).alias("list_no")) for n, x in enumerate(lists)]
-    every = reduce(DataFrame.unionByName, each)
+    every = union_by(["query_id"], *each)
     fused = every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
     return top_k(fused, top, ["query_id"], [F.col("score").desc(), F.col("first").asc()]).select("query_id", "doc_id", "score", "rank")
 

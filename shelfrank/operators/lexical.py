@@ -11,6 +11,8 @@ from ..functions.text import tokenize
 from .ranking import best_first, small, top_k
 
 K1, B = 1.2, 0.75
+#: Words that a text must share with a passage in a row to be compared with it.
+ANCHOR = 4
 
 
 class Index(NamedTuple):
@@ -25,8 +27,8 @@ def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Counts include documents without tokens. Postings are grouped by document: frequent terms make no hot key."""
     texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tokens = tokenize(F.col("text")).alias("tokens")
-    stats = texts.select(tokens).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     base = texts.repartition("doc_id").select("doc_id", tokens)  # whole texts are shuffled once, not a row for each token
+    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     each = base.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
@@ -51,3 +53,24 @@ def search(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: flo
     part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     scored = hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
+
+
+def holding(corpus: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``query_id, doc_id`` of every document that contains a passage literally. ``passages(query_id, passage)``.
+
+    The ANCHOR words after a passage's first are whole words of each text that contains it, so equal hashes of such runs
+    give the candidates; only candidates are compared as text. Passages with fewer inner words than that are compared
+    with every document.
+    """
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    parts = F.split("passage", r"\s+")
+    run = lambda words, at: F.xxhash64(*[F.get(words, at + k) for k in range(ANCHOR)])
+    marks = passages.select("query_id", "passage", F.when(F.size(parts) >= ANCHOR + 2, run(parts, F.lit(1))).alias("anchor"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - ANCHOR), lambda at: run(F.col("words"), at))
+    each = texts.select("doc_id", F.split("text", r"\s+").alias("words")).where(F.size("words") >= ANCHOR).select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+    pairs = each.join(small(marks.where("anchor is not null").select("query_id", "anchor"), passages), "anchor").select("doc_id", "query_id").distinct()
+    found = texts.join(pairs, "doc_id").join(small(marks.select("query_id", "passage")), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = marks.where("anchor is null and passage is not null").select("query_id", "passage")
+    if short.isEmpty():
+        return found
+    return found.unionByName(texts.join(small(short), F.contains("text", "passage")).select("query_id", "doc_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,5 +28,14 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, 1, keys, order, "_first").drop("_first")
 
 
+def union_by(keys: list[str], *tables: DataFrame) -> DataFrame:
+    """The rows of all ``tables``, shuffled once by ``keys``.
+
+    Tables that are each partitioned by a key keep that claim in a plain union, although adaptive execution may have
+    merged their partitions differently; a grouping by the key would then skip the shuffle and split its groups.
+    """
+    return reduce(DataFrame.unionByName, tables).repartition(*keys)
+
+
 def best_first(score: str = "score", item: str = "doc_id") -> list[Column]:
     return [F.col(score).desc(), F.col(item).asc()]

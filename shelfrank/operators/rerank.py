@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from . import fusion
-from .ranking import best_first, top_k
+from .ranking import best_first, top_k, union_by
 
 
 def overlap(query: Column, title: Column) -> Column:
@@ -29,8 +29,5 @@ def hybrid(dense: DataFrame, lexical: DataFrame, queries: DataFrame, titles: Dat
     """Every stage's list: ``query_id, stage, doc_id, rank, score``."""
     fused = fusion.rrf(dense, lexical)
     last = rerank(fused, queries, titles, k)
-    out = None
-    for name, df in (("dense", dense), ("bm25", lexical), ("rrf", fused), ("rerank", last)):
-        part = df.select("query_id", F.lit(name).alias("stage"), "doc_id", "rank", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    lists = (("dense", dense), ("bm25", lexical), ("rrf", fused), ("rerank", last))
+    return union_by(["query_id"], *[df.select("query_id", F.lit(name).alias("stage"), "doc_id", "rank", "score") for name, df in lists])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions.text import words
 from ..functions.vectors import dot, half_precision, normalize
-from ..operators import blend, dense, evaluate, fusion, lexical, rerank
-from ..operators.ranking import best_first, top_k
+from ..operators import blend, dense, enrich, evaluate, fusion, lexical, rerank
+from ..operators.ranking import best_first, top_k, union_by
 
 WEIGHTS = [round(0.1 * k, 1) for k in range(11)]
 BOOSTS = [0.0, 0.25, 1.0]
@@ -31,8 +33,9 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, d: str) -> DataFrame:
-    docs, marks = table(spark, d, "documents"), table(spark, d, "benchmark")
-    strict = docs.join(F.broadcast(marks.withColumnRenamed("text", "passage")), F.contains(F.col("text"), F.col("passage"))).select(F.col("item_id").alias("query_id"), "doc_id", "source")
+    docs = table(spark, d, "documents")
+    held = lexical.holding(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
+    strict = held.join(docs.select("doc_id", "source"), "doc_id")
     good = docs.join(table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "source")
     more = strict.select("query_id", "source").distinct().join(good, "source").select("query_id", "doc_id")
     a = strict.select(F.lit("strict").alias("relevance"), "query_id", "doc_id")
@@ -72,10 +75,16 @@ def target_queries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _many(queries: DataFrame) -> bool:
+    return queries.limit(dense.SMALL_QUERIES + 1).count() > dense.SMALL_QUERIES
+
+
 def side_scores(spark: SparkSession, d: str) -> DataFrame:
     """``query_id, item_id, photo, title`` of all items: the small path of blended search."""
     q, i = target_queries(spark, d), items(spark, d)
-    pairs = i.crossJoin(F.broadcast(q.select("query_id", "photo_query", "title_query")))  # every tenth item is a query here
+    if _many(q):
+        raise ValueError("too many queries for the small path: use blend.search")
+    pairs = i.crossJoin(F.broadcast(q.select("query_id", "photo_query", "title_query")))  # counted above
     photo, title = F.round(dot(F.col("photo_vector"), F.col("photo_query")), 6), F.round(dot(F.col("title_vector"), F.col("title_query")), 6)
     return pairs.select("query_id", "item_id", photo.alias("photo"), title.alias("title"), "color", "category", "category_l1")
 
@@ -104,7 +113,10 @@ def dense_photo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_small(spark: SparkSession, d: str) -> DataFrame:
+    """The joined form, the kernel's check; with many queries the kernel itself."""
     q, i = target_queries(spark, d), items(spark, d)
+    if _many(q):
+        return _side(q, i, "title", 50)
     scored = dense.small_scores(q.select("query_id", F.col("title_query").alias("vector")), i.select("item_id", F.col("title_vector").alias("item_vector")))
     return top_k(scored, 50, ["query_id"], best_first(item="item_id"))
 
@@ -116,11 +128,11 @@ def similar_items(spark: SparkSession, d: str) -> DataFrame:
 
 def target_rank(spark: SparkSession, d: str) -> DataFrame:
     q, i = target_queries(spark, d), items(spark, d)
-    out = None
+    sides = []
     for side in ("photo", "title"):
         part = dense.target_ranks_at_scale(q.select("query_id", F.col(f"{side}_query").alias("vector")), i.select("item_id", F.col(f"{side}_vector").alias("item_vector")), q.select("query_id", "target_id"))
-        out = part.withColumn("side", F.lit(side)) if out is None else out.unionByName(part.withColumn("side", F.lit(side)))
-    return out
+        sides.append(part.withColumn("side", F.lit(side)))
+    return union_by(["query_id"], *sides)
 
 
 def sliced_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +166,9 @@ def blended(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blended_small(spark: SparkSession, d: str) -> DataFrame:
-    """The windowed form over all pairs; the kernel's check."""
+    """The windowed form over all pairs, the kernel's check; with many queries the kernel itself."""
+    if _many(target_queries(spark, d)):
+        return blended(spark, d)
     return fusion.blended_search(side_scores(spark, d), 20).select("query_id", "item_id", "score", "rank")
 
 
@@ -218,13 +232,13 @@ def top_of_every_type(spark: SparkSession, d: str) -> DataFrame:
     _, photo, title = _sides(spark, d)
     fused = rrf_photo_title(spark, d).withColumnRenamed("doc_id", "item_id")
     parts = [x.where("rank <= 8").select(F.lit(n).alias("type"), "query_id", "item_id", "rank") for n, x in (("photo", photo), ("title", title), ("fused", fused))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return union_by(["query_id"], *parts)
 
 
 def stage_counts(spark: SparkSession, d: str) -> DataFrame:
     found = bm25(spark, d)
     short = rerank.rerank(found, text_queries(spark, d), titles(spark, d).select("doc_id", "title"))
-    both = found.select("query_id", F.lit("bm25").alias("stage")).unionByName(short.select("query_id", F.lit("rerank").alias("stage")))
+    both = union_by(["query_id"], found.select("query_id", F.lit("bm25").alias("stage")), short.select("query_id", F.lit("rerank").alias("stage")))
     return both.groupBy("query_id", "stage").agg(F.count("*").alias("n"))
 
 
@@ -234,6 +248,48 @@ def side_tags(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("query_id", "item_id", "rank", F.array_join("sides", "+").alias("sides"))
 
 
+def hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of titles and BM25 over texts, fused and reranked; every stage's list."""
+    q, t = text_queries(spark, d), titles(spark, d).select("doc_id", "title")
+    asked = enrich.embed(q, "query_id", "query", "hashed-64").select("query_id", F.col("embedding").alias("vector"))
+    stored = enrich.embed(t, "doc_id", "title", "hashed-64").select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("item_vector"))
+    near = dense.search(asked, stored, 50).withColumnRenamed("item_id", "doc_id")
+    return rerank.hybrid(near, bm25(spark, d), q, t)
+
+
+def hybrid_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """All stages at both levels of relevance, in one table."""
+    return evaluate.judged_metrics(hybrid(spark, d), judgements(spark, d))
+
+
+def side_moments(spark: SparkSession, d: str) -> DataFrame:
+    found = blend.moments(target_queries(spark, d), items(spark, d))
+    return found.select("query_id", "n", *[F.round(c, 5).alias(c) for c in ("photo_mean", "photo_dev", "title_mean", "title_dev")])
+
+
+SEARCH_TYPES = {"t2i": ("joint", "text", "photo"), "t2t": ("joint", "text", "title"), "i2i": ("joint", "image", "photo"), "i2t": ("joint", "image", "title"), "t2t-sep": ("half", "text", "title"), "i2i-sep": ("half", "image", "photo")}
+
+
+def search_types(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of query against every kind of target; the second model keeps half of each vector."""
+    q, i = target_queries(spark, d), items(spark, d)
+    half = lambda c: F.slice(c, 1, (F.size(c) / 2).cast("int"))
+    asked, stored = [], []
+    for modality, column in (("image", "photo_query"), ("text", "title_query")):
+        asked += [q.select(F.lit(m).alias("model_id"), F.lit(modality).alias("modality"), "query_id", v.alias("vector")) for m, v in (("joint", F.col(column)), ("half", half(column)))]
+    for modality in ("photo", "title"):
+        c = f"{modality}_vector"
+        stored += [i.select(F.lit(m).alias("model_id"), F.lit(modality).alias("modality"), "item_id", v.alias("item_vector")) for m, v in (("joint", F.col(c)), ("half", half(c)))]
+    return dense.search_types(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, stored), SEARCH_TYPES, 10)
+
+
+def photo_search(spark: SparkSession, d: str) -> DataFrame:
+    """Supplied photo vectors, half of them with a colour and a third each with a category of either level."""
+    color, category = F.when(F.col("query_id") % 20 == 0, "white"), F.when(F.col("query_id") % 3 == 0, "L1").when(F.col("query_id") % 3 == 1, "L2 > 2")
+    q = target_queries(spark, d).select("query_id", F.col("photo_query").alias("vector"), color.alias("color"), category.alias("category"))
+    return dense.search(q, items(spark, d).withColumnRenamed("photo_vector", "item_vector"), 20)
+
+
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     return rerank.rerank(bm25(spark, d), text_queries(spark, d), titles(spark, d).select("doc_id", "title"))
 
@@ -337,6 +393,19 @@ rk AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(qt, tt))::DOUB
 rr2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rk)"""
 HALF = """SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('0:' || id), id) <= (count(*) OVER ()) // 2 THEN 'tune' ELSE 'test' END AS part FROM"""
 
+HASHED = """list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter({x}, lambda h: h % 64 = d), lambda h: CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)), 0)::DOUBLE)"""
+CODES = "list_transform(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT)"
+UNIT = "list_transform({x}, lambda e: (e::FLOAT / greatest(sqrt(list_dot_product({x}, {x}))::FLOAT, 1e-12::FLOAT))::FLOAT::DOUBLE)"
+HYBRID = f"""qe AS (SELECT query_id, {UNIT.format(x='v')} AS v FROM (SELECT query_id, {HASHED.format(x='h')} AS v FROM (SELECT query_id, {CODES.format(x='query')} AS h FROM q))),
+te AS (SELECT doc_id, {UNIT.format(x='v')} AS v FROM (SELECT doc_id, {HASHED.format(x='h')} AS v FROM (SELECT doc_id, {CODES.format(x='title')} AS h FROM titles))),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_dot_product(qe.v, te.v), 6) AS score FROM qe, te)) WHERE rank <= 50),
+hf AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score, min(l) AS l, arg_min(rank, l) AS r FROM (SELECT query_id, doc_id, rank, 0 AS l FROM dn UNION ALL SELECT query_id, doc_id, rank, 1 FROM bm25) GROUP BY ALL),
+hr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r) AS rank FROM hf) WHERE rank <= 50),
+hp AS (SELECT h.query_id, h.doc_id, list_distinct({TOKENS.format(x='q.query')}) AS qt, list_distinct({TOKENS.format(x='t.title')}) AS tt FROM hr h JOIN q USING (query_id) LEFT JOIN titles t ON t.doc_id = h.doc_id),
+hs AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(qt, tt))::DOUBLE / nullif(len(qt), 0), 0), 6) AS score FROM hp),
+stages AS (SELECT query_id, 'dense' AS stage, doc_id, rank, score FROM dn UNION ALL SELECT query_id, 'bm25', doc_id, rank, score FROM bm25 UNION ALL SELECT query_id, 'rrf', doc_id, rank, score FROM hr
+UNION ALL SELECT query_id, 'rerank', doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hs) WHERE rank <= 10)"""
+
 BOOSTED = f"""ask AS (SELECT query_id, CASE WHEN query_id % 4 <> 0 THEN color ELSE ([{PALETTE}])[list_position([{PALETTE}], color) % 16 + 1] END AS asked, color AS own FROM tq JOIN items ON item_id = query_id AND color <> ''),
 bs AS (SELECT b.query_id, boost, b.item_id, round(b.score + boost * CASE WHEN b.color = asked THEN 1 ELSE 0 END, 6) AS score FROM bl b JOIN ask USING (query_id), (SELECT unnest([0.0::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE]) AS boost)),
 fs AS (SELECT b.query_id, b.item_id, b.score FROM bl b JOIN ask ON ask.query_id = b.query_id AND b.color = asked),
@@ -344,7 +413,8 @@ br AS (SELECT a.query_id, printf('%.2f', a.boost) AS boost, count(*) AS rank FRO
 UNION ALL SELECT ask.query_id, 'filter', r.rank FROM ask LEFT JOIN (SELECT a.query_id, count(*) AS rank FROM fs a JOIN fs o ON o.query_id = a.query_id AND o.item_id = o.query_id AND a.score >= o.score GROUP BY a.query_id) r USING (query_id))"""
 
 QUERIES = {
-    "r1_bm25_terms": bm25_terms, "r2_bm25_search": bm25, "e3_bm25_metrics": bm25_metrics, "r3_dense_search": dense_photo, "r3_dense_small": dense_small, "r12_similar_items": similar_items,
+    "r1_bm25_terms": bm25_terms, "r2_bm25_search": bm25, "e3_bm25_metrics": bm25_metrics, "r6_hybrid_search": hybrid, "e3_hybrid_metrics": hybrid_metrics, "r7_side_moments": side_moments,
+    "r11_search_types": search_types, "r13_photo_search": photo_search, "r3_dense_search": dense_photo, "r3_dense_small": dense_small, "r12_similar_items": similar_items,
     "r14_target_rank": target_rank, "e6_sliced_metrics": sliced_metrics, "r4_rrf": rrf_photo_title, "r15_rrf_target_rank": rrf_target, "r16_weighted_rrf": weighted_rrf_target, "r8_blended_search": blended, "r8_blended_small": blended_small,
     "r9_blended_filtered": blended_filtered, "r10_search_modes": search_modes, "r17_blend_sweep": blend_sweep, "r18_color_boost": color_boost, "r19_side_tags": side_tags, "r5_rerank": reranked,
     "r20_stage_trace": stage_trace, "r21_result_dedup": result_dedup, "a13_merchant_facet": merchant_facet, "e12_drift": drift, "f16_half_precision": half_drift, "e8_tune_split": tune_split,
@@ -358,6 +428,21 @@ ORACLE_SQL = {
 f AS (SELECT j.relevance, j.query_id, min(b.rank) AS rank FROM judged j LEFT JOIN bm25 b ON b.query_id = j.query_id AND b.doc_id = j.doc_id GROUP BY ALL)
 SELECT 'bm25' AS stage, relevance, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_5,
 round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_10, round(avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr FROM f GROUP BY relevance""",
+    "r6_hybrid_search": f"WITH {BM25}, {HYBRID} SELECT query_id, stage, doc_id, rank, score FROM stages",
+    "e3_hybrid_metrics": f"""WITH {BM25}, {HYBRID}, {JUDGED}, each AS (SELECT stage, relevance, query_id FROM (SELECT DISTINCT relevance, query_id FROM judged), (SELECT DISTINCT stage FROM stages)),
+h AS (SELECT stage, relevance, s.query_id, min(rank) AS first FROM stages s JOIN judged j ON j.query_id = s.query_id AND j.doc_id = s.doc_id GROUP BY ALL),
+f AS (SELECT e.*, h.first AS rank FROM each e LEFT JOIN h ON h.stage = e.stage AND h.relevance = e.relevance AND h.query_id = e.query_id)
+SELECT stage, relevance, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_5,
+round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_10, round(avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr FROM f GROUP BY stage, relevance""",
+    "r7_side_moments": f"""WITH {ITEMS} SELECT query_id, count(*) AS n, round(avg(photo), 5) AS photo_mean, round(stddev_samp(photo), 5) AS photo_dev, round(avg(title), 5) AS title_mean, round(stddev_samp(title), 5) AS title_dev
+FROM sc GROUP BY query_id""",
+    "r11_search_types": f"""WITH {ITEMS}, h AS (SELECT len(pq) // 2 AS n FROM tq LIMIT 1),
+a AS (SELECT 't2i' AS type, query_id, item_id, list_dot_product(tq, pv) AS s FROM tq, items UNION ALL SELECT 't2t', query_id, item_id, list_dot_product(tq, tv) FROM tq, items
+UNION ALL SELECT 'i2i', query_id, item_id, list_dot_product(pq, pv) FROM tq, items UNION ALL SELECT 'i2t', query_id, item_id, list_dot_product(pq, tv) FROM tq, items
+UNION ALL SELECT 't2t-sep', query_id, item_id, list_dot_product(tq[:h.n], tv[:h.n]) FROM tq, items, h UNION ALL SELECT 'i2i-sep', query_id, item_id, list_dot_product(pq[:h.n], pv[:h.n]) FROM tq, items, h)
+SELECT * FROM (SELECT type, query_id, item_id, round(s, 6) AS score, row_number() OVER (PARTITION BY type, query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM a) WHERE rank <= 10""",
+    "r13_photo_search": f"""WITH {ITEMS} SELECT * FROM (SELECT query_id, item_id, photo AS score, row_number() OVER (PARTITION BY query_id ORDER BY photo DESC, item_id) AS rank FROM sc
+WHERE (query_id % 20 <> 0 OR color = 'white') AND CASE query_id % 3 WHEN 0 THEN category_l1 = 'L1' WHEN 1 THEN category = 'L2 > 2' ELSE true END) WHERE rank <= 20""",
     "r3_dense_search": f"WITH {ITEMS} SELECT query_id, item_id, score, rank FROM photo WHERE rank <= 50",
     "r3_dense_small": f"WITH {ITEMS} SELECT query_id, item_id, score, rank FROM title WHERE rank <= 50",
     "r12_similar_items": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),

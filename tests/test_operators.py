@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import colors
 from shelfrank.functions import text as T
-from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, lexical
+from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, kernel, lexical
 from shelfrank.sources import tables
 
 
@@ -83,7 +83,8 @@ def test_blend_kernel_equals_windowed_form(spark, data, monkeypatch, block):
     """Whatever the blocks of queries and the partitions of items."""
     from shelfrank.plans import retrieval
 
-    monkeypatch.setattr(blend, "QUERY_BLOCK", block)
+    monkeypatch.setattr(kernel, "QUERY_BLOCK", block)
+    monkeypatch.setattr(kernel, "ITEM_BLOCK", block)
     q, i = retrieval.target_queries(spark, data).where("query_id < 200"), retrieval.items(spark, data).repartition(5)
     fast = blend.search(q.select("query_id", "photo_query", "title_query"), i, 20)
     slow = retrieval.blended_small(spark, data).where("query_id < 200")
