@@ -62,7 +62,7 @@ def holding(corpus: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text
     give the candidates; only candidates are compared as text. Passages with fewer inner words than that are compared
     with every document.
     """
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")  # as the join below wants them
     parts = F.split("passage", r"\s+")
     run = lambda words, at: F.xxhash64(*[F.get(words, at + k) for k in range(ANCHOR)])
     marks = passages.select("query_id", "passage", F.when(F.size(parts) >= ANCHOR + 2, run(parts, F.lit(1))).alias("anchor"))
