@@ -48,6 +48,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def clear_of(spans: list[tuple[int, int, int]], matches: Iterator[re.Match]) -> Iterator[re.Match]:
+    """The matches that overlap none of ``spans``; both in order of their starts, in one pass."""
+    k = reach = 0
+    for m in matches:
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= m.start():
+            yield m
+
+
 _PLACE = np.full(128, -1, np.int64)
 _PLACE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 
@@ -74,10 +85,8 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
                 for start, _, end in spans:
                     for m in WORD.finditer(t[start:end].rpartition("=")[2]):
                         np.add.at(both[0], steps(m[0]), 1)
-                taken = [(s, e) for s, _, e in spans]
-                for m in ORDINARY.finditer(t):
-                    if not any(s < m.end() and m.start() < e for s, e in taken):
-                        np.add.at(both[1], steps(m[0]), 1)
+                for m in clear_of(spans, ORDINARY.finditer(t)):
+                    np.add.at(both[1], steps(m[0]), 1)
         kind, a, b = np.nonzero(both)
         yield pd.DataFrame({"kind": kind, "a": a, "b": b, "n": both[kind, a, b]})
 
@@ -94,9 +103,7 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
 
 def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
-    for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
+    for m in clear_of(taken, TOKEN.finditer(text)):
         score = float(ratio[steps(m[0])].sum())
         if score >= IN_SUM and score >= PER_CHARACTER * (m.end() - m.start()):
             found.append((m.start(), len(PATTERNS), m.end()))

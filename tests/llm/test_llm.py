@@ -166,6 +166,15 @@ def test_hex_runs_are_the_whole_runs():
         assert [(s, e) for s, k, e in secrets.base_spans(t) if k == 2] == plain(t)
 
 
+def test_clear_matches_are_those_without_overlap():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice("ab  ") for _ in range(60))
+        spans = sorted((s, rng.randrange(3), s + rng.randrange(1, 12)) for s in (rng.randrange(55) for _ in range(rng.randrange(6))))
+        want = [m.span() for m in re.finditer("[ab]+", text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+        assert [m.span() for m in secrets.clear_of(spans, re.finditer("[ab]+", text))] == want
+
+
 # ------------------------------------------------------------------ neighbours
 
 
