@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.colors import query_colors
 from .ranking import first_of, small
 
 
@@ -58,6 +59,18 @@ def with_attributes(gallery_rows: DataFrame, attributes: DataFrame, order: str =
     return out.withColumn("category_l1", T.category_level1(F.col("category")))
 
 
+def queries_of(queries: DataFrame, gallery_rows: DataFrame, generator: str | None = None, with_color: bool = False) -> DataFrame:
+    """Queries whose product is in the gallery; of one writer, and only those that name a colour, where asked."""
+    rows = queries.join(gallery_rows.select("product_id"), "product_id", "left_semi")
+    if generator is not None:
+        rows = rows.where(F.col("generator") == generator)
+    return rows.where(F.size(query_colors(F.col("query"))) > 0) if with_color else rows
+
+
+def of_merchant(results: DataFrame, merchant: str) -> DataFrame:
+    return results.where(F.col("merchant") == merchant)
+
+
 def card(items: DataFrame) -> DataFrame:
     """What a result shows: local image before remote, empty attributes as null, short description, rounded score."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from .ranking import first_of
 
 
+def test_set(examples: DataFrame, strict: tuple[str, ...] = ("E",), lenient: tuple[str, ...] = ("E", "S"), order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """``queries(query_id, query)``, the first row of each id, and ``truth(relevance, query, product_id)``, keyed by the query's text.
+
+    ``examples(query_id, query, product_id, esci_label, seq)``; two ids of one text share their right answers.
+    """
+    queries = first_of(examples.where("query_id is not null and query is not null"), ["query_id"], [F.col(order)]).select("query_id", "query")
+    label = F.col("esci_label")
+    levels = F.array_compact(F.array(F.when(label.isin(*strict), "strict"), F.when(label.isin(*lenient), "lenient")))
+    truth = examples.where("query is not null").select(F.explode(levels).alias("relevance"), "query", "product_id").distinct()
+    return queries, truth
+
+
+def truth_by_id(queries: DataFrame, truth: DataFrame) -> DataFrame:
+    """``relevance, query_id, doc_id``: the right answers of each query's text, as ``judged_metrics`` takes them."""
+    return queries.join(truth, "query").select("relevance", "query_id", F.col("product_id").alias("doc_id"))
+
+
 def judged_metrics(stages: DataFrame, judgements: DataFrame, ks: tuple[int, ...] = (1, 5, 10), mrr_k: int = 10) -> DataFrame:
     """Hits@k and MRR per ``stage`` and ``relevance``; a judged query without results counts 0.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions import text as T
-from ..operators import catalog, enrich, profile
+from ..operators import catalog, enrich, evaluate, profile
 from ..operators.ranking import first_of
 from . import retrieval
 from .retrieval import items, table
@@ -208,6 +208,46 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return profile.table_sizes({n: table(spark, d, n) for n in ("events", "part", "documents", "conversations", "embeddings")})
 
 
+def task_rows(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.task_slice(_examples(spark, d), "small_version", "1", "test").select("query_id", "product_id", "esci_label", "event_id")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements whose queries are texts; some texts belong to several ids."""
+    label = F.substring(F.lit("ESCI"), (F.col("event_id") % 4 + 1).cast("int"), F.lit(1))
+    return _examples(spark, d).select("query_id", F.concat(F.lit("q"), (F.col("query_id") % 50).cast("string")).alias("query"), "product_id", label.alias("esci_label"), F.col("event_id").alias("seq"))
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    """How many right answers each query has at both levels; queries of one text share them."""
+    return evaluate.truth_by_id(*evaluate.test_set(_judged(spark, d))).groupBy("relevance", "query_id").agg(F.count("*").alias("answers"))
+
+
+def gallery_queries(spark: SparkSession, d: str) -> DataFrame:
+    """One writer's queries of gallery products that name a colour."""
+    k = F.col("p_partkey")
+    said = table(spark, d, "part").select(k.cast("string").alias("product_id"), F.concat(F.lit("a "), F.col("p_name")).alias("query"), F.when(k % 3 == 0, "A").otherwise("B").alias("generator"))
+    return catalog.queries_of(said, gallery(spark, d), "A", with_color=True)
+
+
+def merchant_results(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.bm25(spark, d).join(retrieval.titles(spark, d).select("doc_id", "merchant"), "doc_id")
+    return catalog.of_merchant(found, "src1").select("query_id", "doc_id", "rank")
+
+
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Last part, slug and display cut of every url; its path read as a taxonomy line."""
+    x = F.col("url")
+    line = F.concat(F.col("page_id").cast("string"), F.lit(" - "), F.regexp_replace(F.regexp_replace(x, "^.*?://[^/]*/", ""), "/+", " > "))
+    path = T.taxonomy_level2(line)
+    return table(spark, d, "pages").select("page_id", T.base_name(x).alias("base"), T.slug(x).alias("slug"), F.substring(F.coalesce(x, F.lit("")), 1, 95).alias("shown"), path.alias("path"), T.category_level1(path).alias("level1"))
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select("p_partkey", T.render("Title: {title}. Brand: {brand}.", {"title": F.col("p_name"), "brand": F.col("p_brand")}).alias("prompt"))
+
+
 def usage(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return enrich.usage(e.select(F.col("user_id").alias("tokens_in"), (F.col("event_id") % 50).alias("tokens_out"), F.when(F.col("event_type") == "error", "x").alias("error")))
@@ -237,6 +277,7 @@ QUERIES = {
     "e11_label_agreement": label_agreement, "e13_method_agreement": method_agreement, "a15_query_sizes": query_sizes, "a17_manifest": manifest, "f1_document_text": document_text, "x1_embedded_titles": embedded_titles,
     "p1_us_corpus": us_corpus, "p10_clean_queries": clean_queries, "p11_rejected_filters": rejected_filters, "p13_valid_labels": valid_labels, "p15_cards": cards, "p16_lookup": lookups,
     "j3_judged_titles": judged_titles, "j4_attributes": attributes, "a1_table_sizes": table_sizes, "a16_usage": usage,
+    "p2_task_slice": task_rows, "e1_test_set": truth, "p5_gallery_queries": gallery_queries, "p14_merchant_results": merchant_results, "f5_url_parts": url_parts, "f21_prompts": prompts,
 }
 
 ORACLE_SQL = {
@@ -295,4 +336,16 @@ m AS (SELECT CAST(event_id * 3 % (SELECT count(*) FROM part) AS VARCHAR) AS prod
 SELECT product_id, coalesce(([{retrieval.PALETTE}])[k % 16 + 1], '') AS color, coalesce('L' || (k % 5) || ' > ' || (k % 7), '') AS category, coalesce('L' || (k % 5), '') AS category_l1 FROM h LEFT JOIN m USING (product_id)""",
     "a1_table_sizes": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS \"rows\", (SELECT count(*) FROM (DESCRIBE {t})) AS columns" for t in ("events", "part", "documents", "conversations", "embeddings")),
     "a16_usage": "SELECT CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(event_id % 50) AS BIGINT) AS tokens_out, round(avg(user_id), 6) AS mean_in, count(*) FILTER (event_type = 'error') AS failures FROM events",
+    "p2_task_slice": f"WITH {EXAMPLES} SELECT query_id, product_id, esci_label, event_id FROM ex WHERE small_version = 1 AND product_locale = '1' AND split = 'test'",
+    "e1_test_set": f"""WITH {EXAMPLES}, e AS (SELECT query_id, 'q' || (query_id % 50) AS query, product_id, substr('ESCI', event_id % 4 + 1, 1) AS l FROM ex WHERE query_id IS NOT NULL),
+t AS (SELECT DISTINCT 'strict' AS relevance, query, product_id FROM e WHERE l = 'E' UNION ALL SELECT DISTINCT 'lenient', query, product_id FROM e WHERE l IN ('E', 'S'))
+SELECT relevance, query_id, count(*) AS answers FROM (SELECT DISTINCT query_id, query FROM e) JOIN t USING (query) GROUP BY ALL""",
+    "p5_gallery_queries": f"""WITH {CORPUS}, {COLOR}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY local_image ORDER BY seq) AS k FROM corpus WHERE local_image <> '') WHERE k = 1),
+g AS (SELECT product_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY seq) AS m FROM a) WHERE m = 1)
+SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'a ' || p_name AS query, 'A' AS generator FROM part JOIN col USING (p_name) WHERE p_partkey % 3 = 0 AND asked <> '' AND CAST(p_partkey AS VARCHAR) IN (SELECT product_id FROM g)""",
+    "p14_merchant_results": f"WITH {retrieval.BM25} SELECT query_id, doc_id, rank FROM bm25 JOIN titles USING (doc_id) WHERE merchant = 'src1'",
+    "f5_url_parts": r"""WITH l AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^.*?://[^/]*/', ''), '/+', ' > ', 'g') AS p FROM pages),
+k AS (SELECT *, CASE WHEN len(string_split(p, ' > ')) = 2 THEN p END AS path FROM l)
+SELECT page_id, string_split(url, '/')[-1] AS base, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(coalesce(url, ''), 1, 95) AS shown, path, coalesce(string_split(path, ' > ')[1], '') AS level1 FROM k""",
+    "f21_prompts": "SELECT p_partkey, 'Title: ' || coalesce(p_name, '') || '. Brand: ' || coalesce(p_brand, '') || '.' AS prompt FROM part",
 }

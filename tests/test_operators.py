@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import colors
 from shelfrank.functions import text as T
-from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, kernel, lexical
+from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, kernel, lexical, ranking
 from shelfrank.sources import tables
 
 
@@ -123,6 +123,35 @@ def test_metrics_edges(spark):
     assert (row.n, row.hits_1, row.hits_5, row.mrr) == (2, 0.0, 0.5, 0.25)
 
 
+def test_queries_of_one_text_share_answers(spark):
+    rows = [(1, "lamp", "a", "E", 0), (2, "lamp", "b", "S", 1), (2, None, "c", "E", 2), (3, "mug", "d", "C", 3), (1, "late", "e", "I", 4)]
+    queries, truth = evaluate.test_set(spark.createDataFrame(rows, "query_id long, query string, product_id string, esci_label string, seq long"))
+    assert sorted(map(tuple, queries.collect())) == [(1, "lamp"), (2, "lamp"), (3, "mug")]
+    want = [("lenient", 1, "a"), ("lenient", 1, "b"), ("lenient", 2, "a"), ("lenient", 2, "b"), ("strict", 1, "a"), ("strict", 2, "a")]
+    assert sorted(map(tuple, evaluate.truth_by_id(queries, truth).collect())) == want
+
+
+def test_passages_are_found_like_substrings(spark):
+    texts = ["x one two three four five six y", "one two  three four five six", "zone two three four five sixty", "short", None, "one two three four five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three four five six"), (2, "short"), (3, None), (4, "ne two")], "query_id long, passage string")
+    got = sorted(map(tuple, lexical.holding(docs, asked).select("query_id", "doc_id").collect()))
+    assert got == sorted((q, i) for q, p in ((1, "one two three four five six"), (2, "short"), (4, "ne two")) for i, t in enumerate(texts) if t and p in t)
+
+
+def test_union_keeps_groups_whole(spark):
+    """Lists partitioned by the same key, merged unlike each other by adaptive execution."""
+    lists = [spark.range(n).select((F.col("id") % 97).alias("query_id"), F.col("id").alias("doc_id")).groupBy("query_id").agg(F.max("doc_id").alias("m")) for n in (200, 300_000)]
+    assert ranking.union_by(["query_id"], *lists).groupBy("query_id").count().count() == 97
+
+
+def test_filters_of_exact_search(spark):
+    i = spark.createDataFrame([(1, [1.0, 0.0], "red", "A > B", "A"), (2, [0.9, 0.0], "blue", "A > C", "A"), (3, [0.5, 0.0], None, "D > E", "D")], "item_id long, item_vector array<double>, color string, category string, category_l1 string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], None, "A"), (2, [1.0, 0.0], "blue", None), (3, [1.0, 0.0], None, "D > E"), (4, [1.0, 0.0], None, None)], "query_id long, vector array<double>, color string, category string")
+    got = sorted((r.query_id, r["rank"], r.item_id) for r in dense.search(q, i, 2).collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (3, 1, 3), (4, 1, 1), (4, 2, 2)]
+
+
 def test_gallery_is_sequential(spark):
     rows = spark.createDataFrame([(1, "A", "x"), (2, "B", "x"), (3, "b", "y"), (4, "B", "z"), (5, "C", "")], "seq long, title string, local_image string")
     assert [r.seq for r in catalog.gallery(rows).orderBy("seq").collect()] == [1, 3]
