@@ -71,9 +71,9 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     if n < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
     each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    total = np.zeros(n - size + 1, np.uint64)
-    for k in range(size):
-        total += mixed(each[k : n - size + 1 + k] * _WORD[k])
+    total = each[: n - size + 1] * _WORD[0]  # word hashes are random already: one multiplier for each place will do
+    for k in range(1, size):
+        total += each[k : n - size + 1 + k] * _WORD[k]
     return np.unique(mixed(total))
 
 
