@@ -32,6 +32,8 @@ LEAST_DOCUMENTS = 5
 #: Least G-test statistic of a feature against the labels.
 LEAST_CERTAINTY = 15.0
 GRADES = 3
+#: Tokens up to this length are looked up in the task's cache of 300,000; longer ones are taken apart each time.
+LONGEST_KEPT = 64
 PENALTY, STEPS, RATE = 1e-5, 500, 0.1
 
 
@@ -166,12 +168,14 @@ def severity(text: Column, model: Model) -> Column:
                 if not text:
                     continue
                 found: dict[int, int] = {}
-                for word, n in Counter(WORD.findall(text.lower())).items():
-                    ks = known.get(word)
+                for token, n in Counter(text.lower().split()).items():  # words never span blanks
+                    ks = known.get(token)
                     if ks is None:
-                        if len(known) >= 300_000:
-                            known.clear()
-                        ks = known[word] = [k for f in features(word) if (k := model.names.get(f)) is not None] or none
+                        ks = [k for word in WORD.findall(token) for f in features(word) if (k := model.names.get(f)) is not None] or none
+                        if len(token) <= LONGEST_KEPT:
+                            if len(known) >= 300_000:
+                                known.clear()
+                            known[token] = ks
                     for k in ks:
                         found[k] = found.get(k, 0) + n
                 if found:

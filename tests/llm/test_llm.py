@@ -103,6 +103,17 @@ def test_toxicity_held_out(spark):
     assert share[1] > 0.85 and share[0] < 0.01
 
 
+def test_scores_do_not_depend_on_how_tokens_are_cut(spark):
+    model = toxicity.Model({"bad": 0, "^badl": 1, "worse": 2}, np.array([1.0, 0.5, 2.0]), np.array([1.5, 3.0]))
+    texts = ["bad", "Bad-bad,BADLY worse\u00a0bad", "fine_words 9bad9", "bad." * 50, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.grade(docs, model).collect():
+        counts = toxicity.counts_of(texts[r.doc_id], model.names)
+        score = sum((1 + np.log(n)) * model.weights[k] for k, n in counts.items())
+        want = model.chances(np.array([score]))[0].sum() if texts[r.doc_id] else 0
+        assert r.expected_severity == pytest.approx(want)
+
+
 # ------------------------------------------------------------------ packing
 
 
