@@ -264,7 +264,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: neighbours above a node are hung on its smallest neighbour, then those below; the number of
     rounds grows with the logarithm of the longest path. Hubs cost one aggregated row per task.
     """
-    spark = edges.sparkSession
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "nd-stars")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     said = mark(now)
@@ -280,9 +279,9 @@ def components(edges: DataFrame) -> DataFrame:
         if then == said:
             break
         now, said = after, then
-    labels = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")) if said[0] else spark.createDataFrame([], "node long, label long")
-    roots = labels.select(F.col("label").alias("node"), "label").distinct()
-    return labels.unionByName(roots)
+    # a node points to its root, and a root to itself; no union here, as Spark may take one for partitioned by node
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label"))))
+    return now.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.min("label").alias("label"))
 
 
 def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
