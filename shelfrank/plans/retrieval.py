@@ -38,9 +38,8 @@ def judgements(spark: SparkSession, d: str) -> DataFrame:
     strict = held.join(docs.select("doc_id", "source"), "doc_id")
     good = docs.join(table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "source")
     more = strict.select("query_id", "source").distinct().join(good, "source").select("query_id", "doc_id")
-    a = strict.select(F.lit("strict").alias("relevance"), "query_id", "doc_id")
-    b = strict.select("query_id", "doc_id").unionByName(more).select(F.lit("lenient").alias("relevance"), "query_id", "doc_id")
-    return a.unionByName(b).distinct()
+    pairs = [strict.select(F.lit(x).alias("relevance"), "query_id", "doc_id") for x in ("strict", "lenient")]
+    return union_by(["query_id", "doc_id"], *pairs, more.select(F.lit("lenient").alias("relevance"), "query_id", "doc_id")).distinct()
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
