@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,17 @@ from ..functions.text import json_part
 BLANKS = re.compile(r"\s+", re.ASCII)
 
 
+@lru_cache(1 << 16)
+def _code(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     """Deterministic text vectors: signed token hashes, of length 1."""
     out = np.zeros((len(texts), size), np.float32)
     for i, text in enumerate(texts):
-        for word in BLANKS.split(text.lower()):
-            if word:
-                h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-                out[i, h % size] += 1 if h >> 31 else -1
+        codes = np.array([_code(word) for word in BLANKS.split(text.lower()) if word], np.int64)
+        out[i] = np.bincount(codes % size, weights=np.where(codes >> 31, 1, -1), minlength=size)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

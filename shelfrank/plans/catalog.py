@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,8 +151,8 @@ def document_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedded_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of titles from the default encoder, summed up by their length."""
-    e = enrich.embed(retrieval.titles(spark, d), "doc_id", "title", "hashed-64")
+    """Vectors of whole texts from the default encoder, summed up by their length."""
+    e = enrich.embed(retrieval.titles(spark, d, whole=True), "doc_id", "title", "hashed-64")
     return e.select("doc_id", "model_id", "modality", F.size("embedding").cast("long").alias("d"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
@@ -230,8 +232,8 @@ def gallery_queries(spark: SparkSession, d: str) -> DataFrame:
     return catalog.queries_of(said, gallery(spark, d), "A", with_color=True)
 
 
-def merchant_results(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.bm25(spark, d).join(retrieval.titles(spark, d).select("doc_id", "merchant"), "doc_id")
+def merchant_results(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    found = retrieval.bm25(spark, d, whole=whole).join(retrieval.titles(spark, d).select("doc_id", "merchant"), "doc_id")
     return catalog.of_merchant(found, "src1").select("query_id", "doc_id", "rank")
 
 
@@ -349,3 +351,6 @@ k AS (SELECT *, CASE WHEN len(string_split(p, ' > ')) = 2 THEN p END AS path FRO
 SELECT page_id, string_split(url, '/')[-1] AS base, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(coalesce(url, ''), 1, 95) AS shown, path, coalesce(string_split(path, ' > ')[1], '') AS level1 FROM k""",
     "f21_prompts": "SELECT p_partkey, 'Title: ' || coalesce(p_name, '') || '. Brand: ' || coalesce(p_brand, '') || '.' AS prompt FROM part",
 }
+
+QUERIES["p14_merchant_results_whole"] = partial(merchant_results, whole=True)
+ORACLE_SQL["p14_merchant_results_whole"] = ORACLE_SQL["p14_merchant_results"].replace(retrieval.BM25, retrieval.BM25_WHOLE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +24,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- roles of the tables
 
 
-def text_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words(F.col("text")), 1, 8), " ").alias("query"))
+def text_queries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The benchmark's texts: ``whole``, or their first eight words."""
+    query = F.col("text") if whole else F.array_join(F.slice(words(F.col("text")), 1, 8), " ")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
 
 
-def titles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("title"), F.col("source").alias("merchant"))
+def titles(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """What is scored, embedded and compared of a document: its ``whole`` text, or the first 120 characters."""
+    return table(spark, d, "documents").select("doc_id", (F.col("text") if whole else F.substring("text", 1, 120)).alias("title"), F.col("source").alias("merchant"))
 
 
 def judgements(spark: SparkSession, d: str) -> DataFrame:
@@ -95,16 +98,16 @@ def _side(q: DataFrame, i: DataFrame, side: str, k: int) -> DataFrame:
 # ---------------------------------------------------------------- queries
 
 
-def bm25(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    return lexical.search(lexical.build_index(table(spark, d, "documents")), text_queries(spark, d), k)
+def bm25(spark: SparkSession, d: str, k: int = 50, whole: bool = False) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, d, "documents")), text_queries(spark, d, whole), k)
 
 
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexical.build_index(table(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.judged_metrics(bm25(spark, d).withColumn("stage", F.lit("bm25")), judgements(spark, d))
+def bm25_metrics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return evaluate.judged_metrics(bm25(spark, d, whole=whole).withColumn("stage", F.lit("bm25")), judgements(spark, d))
 
 
 def dense_photo(spark: SparkSession, d: str) -> DataFrame:
@@ -234,9 +237,9 @@ def top_of_every_type(spark: SparkSession, d: str) -> DataFrame:
     return union_by(["query_id"], *parts)
 
 
-def stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = bm25(spark, d)
-    short = rerank.rerank(found, text_queries(spark, d), titles(spark, d).select("doc_id", "title"))
+def stage_counts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    found = bm25(spark, d, whole=whole)
+    short = rerank.rerank(found, text_queries(spark, d, whole), titles(spark, d, whole).select("doc_id", "title"))
     both = union_by(["query_id"], found.select("query_id", F.lit("bm25").alias("stage")), short.select("query_id", F.lit("rerank").alias("stage")))
     return both.groupBy("query_id", "stage").agg(F.count("*").alias("n"))
 
@@ -247,18 +250,18 @@ def side_tags(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("query_id", "item_id", "rank", F.array_join("sides", "+").alias("sides"))
 
 
-def hybrid(spark: SparkSession, d: str) -> DataFrame:
+def hybrid(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Vectors of titles and BM25 over texts, fused and reranked; every stage's list."""
-    q, t = text_queries(spark, d), titles(spark, d).select("doc_id", "title")
+    q, t = text_queries(spark, d, whole), titles(spark, d, whole).select("doc_id", "title")
     asked = enrich.embed(q, "query_id", "query", "hashed-64").select("query_id", F.col("embedding").alias("vector"))
     stored = enrich.embed(t, "doc_id", "title", "hashed-64").select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("item_vector"))
     near = dense.search(asked, stored, 50).withColumnRenamed("item_id", "doc_id")
-    return rerank.hybrid(near, bm25(spark, d), q, t)
+    return rerank.hybrid(near, bm25(spark, d, whole=whole), q, t)
 
 
-def hybrid_metrics(spark: SparkSession, d: str) -> DataFrame:
+def hybrid_metrics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """All stages at both levels of relevance, in one table."""
-    return evaluate.judged_metrics(hybrid(spark, d), judgements(spark, d))
+    return evaluate.judged_metrics(hybrid(spark, d, whole), judgements(spark, d))
 
 
 def side_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -289,24 +292,24 @@ def photo_search(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(q, items(spark, d).withColumnRenamed("photo_vector", "item_vector"), 20)
 
 
-def reranked(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.rerank(bm25(spark, d), text_queries(spark, d), titles(spark, d).select("doc_id", "title"))
+def reranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return rerank.rerank(bm25(spark, d, whole=whole), text_queries(spark, d, whole), titles(spark, d, whole).select("doc_id", "title"))
 
 
-def stage_trace(spark: SparkSession, d: str) -> DataFrame:
-    q = text_queries(spark, d)
-    first = bm25(spark, d)
-    short = rerank.rerank(first, q, titles(spark, d).select("doc_id", "title"), 50)
-    stages = rerank.hybrid(short, first, q, titles(spark, d).select("doc_id", "title"))
+def stage_trace(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    q = text_queries(spark, d, whole)
+    first = bm25(spark, d, whole=whole)
+    short = rerank.rerank(first, q, titles(spark, d, whole).select("doc_id", "title"), 50)
+    stages = rerank.hybrid(short, first, q, titles(spark, d, whole).select("doc_id", "title"))
     return fusion.stage_trace(stages, ["dense", "bm25", "rrf", "rerank"])
 
 
-def result_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.result_dedup(bm25(spark, d).join(titles(spark, d), "doc_id")).select("query_id", "doc_id", "rank")
+def result_dedup(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return fusion.result_dedup(bm25(spark, d, whole=whole).join(titles(spark, d, whole), "doc_id")).select("query_id", "doc_id", "rank")
 
 
-def merchant_facet(spark: SparkSession, d: str) -> DataFrame:
-    n = bm25(spark, d).join(titles(spark, d), "doc_id").groupBy("query_id", "merchant").agg(F.count("*").alias("n"))
+def merchant_facet(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    n = bm25(spark, d, whole=whole).join(titles(spark, d, whole), "doc_id").groupBy("query_id", "merchant").agg(F.count("*").alias("n"))
     return top_k(n, 10, ["query_id"], [F.col("n").desc(), F.col("merchant")])
 
 
@@ -495,3 +498,12 @@ a AS (SELECT w, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY w, part),
 b AS (SELECT w, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, w LIMIT 1)
 SELECT 'weighted_rrf' AS method, b.w, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.w = b.w AND a.part = 'test'""",
 }
+
+# ---------------------------------------------------------------- the same over whole texts
+
+#: Nothing of a query or a document is cut; the forms above ask with eight words and see 120 characters.
+OF_TEXTS = ("r2_bm25_search", "e3_bm25_metrics", "r5_rerank", "r6_hybrid_search", "e3_hybrid_metrics", "r20_stage_trace", "r21_result_dedup", "r22_stage_counts", "a13_merchant_facet")
+BM25_WHOLE = BM25[: BM25.index("q AS (")] + "q AS (SELECT item_id AS query_id, text AS query FROM benchmark),\n" + BM25[BM25.index("qt AS (") :]
+BM25_WHOLE = BM25_WHOLE[: BM25_WHOLE.index("titles AS (")] + "titles AS (SELECT doc_id, text AS title, source AS merchant FROM documents)"
+QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in OF_TEXTS}
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(BM25, BM25_WHOLE) for name in OF_TEXTS}
