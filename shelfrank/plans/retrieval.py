@@ -15,6 +15,8 @@ from ..operators.ranking import best_first, top_k, union_by
 
 WEIGHTS = [round(0.1 * k, 1) for k in range(11)]
 BOOSTS = [0.0, 0.25, 1.0]
+#: All boosts of the reference; the infinite one is the hard filter.
+ALL_BOOSTS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, float("inf")]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -193,25 +195,25 @@ def blend_sweep(spark: SparkSession, d: str) -> DataFrame:
     return blend.weight_ranks(target_queries(spark, d), items(spark, d), WEIGHTS).groupBy("w").agg(*evaluate.rank_metrics(F.col("rank")))
 
 
-def _boosted(spark: SparkSession, d: str) -> DataFrame:
+def _boosted(spark: SparkSession, d: str, boosts: list[float]) -> DataFrame:
     """``query_id, boost, rank``; every query asks for the colour of its target, or for the next one of the palette."""
     palette = F.array(*[F.lit(c) for c in colors.PALETTE])
     following = F.element_at(palette, (F.array_position(palette, F.col("color")) % len(colors.PALETTE) + 1).cast("int"))
     asked = F.array(F.when(F.col("query_id") % 4 != 0, F.col("color")).otherwise(following)).alias("asked")
     q = target_queries(spark, d).join(items(spark, d).select(F.col("item_id").alias("target_id"), "color"), "target_id").where("color <> ''")
-    return blend.boost_ranks(q.select("query_id", "target_id", "photo_query", "title_query", asked), items(spark, d), [*BOOSTS, float("inf")])
+    return blend.boost_ranks(q.select("query_id", "target_id", "photo_query", "title_query", asked), items(spark, d), boosts)
 
 
-def color_boost(spark: SparkSession, d: str) -> DataFrame:
+def color_boost(spark: SparkSession, d: str, boosts: list[float] = [*BOOSTS, float("inf")]) -> DataFrame:  # noqa: B006
     """Metrics of the target for every boost of items of the asked colour; ``filter`` drops all others."""
     name = F.when(F.col("boost") == float("inf"), "filter").otherwise(F.format_number("boost", 2))
-    return _boosted(spark, d).groupBy(name.alias("boost")).agg(*evaluate.rank_metrics(F.col("rank")))
+    return _boosted(spark, d, boosts).groupBy(name.alias("boost")).agg(*evaluate.rank_metrics(F.col("rank")))
 
 
-def boost_choice(spark: SparkSession, d: str) -> DataFrame:
+def boost_choice(spark: SparkSession, d: str, boosts: list[float] = BOOSTS) -> DataFrame:
     """The best boost on the tuning half, and its result on the other."""
     q = target_queries(spark, d).select("query_id", "source", F.col("target_id").alias("id"))
-    ranks = _boosted(spark, d).where(F.col("boost") < float("inf")).join(q, "query_id").join(evaluate.split_half(q.select("id")), "id")
+    ranks = _boosted(spark, d, boosts).join(q, "query_id").join(evaluate.split_half(q.select("id")), "id")
     each = ranks.groupBy("boost", "part", "source").agg(*evaluate.rank_metrics(F.col("rank"))).withColumn("method", F.lit("color_boost"))
     return evaluate.sweep(each, "boost")
 
@@ -507,3 +509,17 @@ BM25_WHOLE = BM25[: BM25.index("q AS (")] + "q AS (SELECT item_id AS query_id, t
 BM25_WHOLE = BM25_WHOLE[: BM25_WHOLE.index("titles AS (")] + "titles AS (SELECT doc_id, text AS title, source AS merchant FROM documents)"
 QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in OF_TEXTS}
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(BM25, BM25_WHOLE) for name in OF_TEXTS}
+
+# ---------------------------------------------------------------- all boosts of the reference
+
+ALL_BOOSTED = BOOSTED.replace("[0.0::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE]", f"[{', '.join(f'{b}::DOUBLE' for b in ALL_BOOSTS[:-1])}]")
+BOOST_VALUE = "CASE boost WHEN 'filter' THEN 'inf' ELSE boost END::DOUBLE"
+QUERIES |= {"r18_color_boost_all": partial(color_boost, boosts=ALL_BOOSTS), "e10_boost_choice_all": partial(boost_choice, boosts=ALL_BOOSTS)}
+ORACLE_SQL |= {
+    "r18_color_boost_all": f"WITH {ITEMS}, {ALL_BOOSTED} SELECT boost, {METRICS} FROM br GROUP BY boost",
+    "e10_boost_choice_all": f"""WITH {ITEMS}, {ALL_BOOSTED}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
+m AS (SELECT {BOOST_VALUE} AS boost, part, source, {METRICS} FROM br JOIN tq USING (query_id) JOIN h ON h.id = br.query_id GROUP BY ALL),
+a AS (SELECT boost, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY boost, part),
+b AS (SELECT boost, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, boost LIMIT 1)
+SELECT 'color_boost' AS method, b.boost, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.boost = b.boost AND a.part = 'test'""",
+}

@@ -26,3 +26,21 @@ def test_whole_texts_are_asked_scored_and_compared(spark, late):
     near = entry.queries()["r6_hybrid_search_whole"](spark, late).where((F.col("stage") == "dense") & (F.col("rank") == 1)).first()
     assert near.doc_id in (2, 3) and near.score > 0
     assert entry.queries()["x1_embedded_titles"](spark, late).count() == 3
+
+
+def test_all_boosts_of_the_reference(spark, data):
+    import __spark_entry__ as entry
+
+    every = {r.boost: r.mrr for r in entry.queries()["r18_color_boost_all"](spark, data).collect()}
+    assert set(every) == {"0.00", "0.25", "0.50", "0.75", "1.00", "1.50", "2.00", "3.00", "filter"}
+
+
+def test_hard_filter_can_be_chosen(spark, monkeypatch):
+    """Where targets are found only among items of their colour, the filter is the best of all nine."""
+    from shelfrank.plans import retrieval
+
+    ids = spark.range(0, 200, 10).select(F.col("id").alias("query_id"))
+    monkeypatch.setattr(retrieval, "target_queries", lambda *_: ids.select("query_id", F.col("query_id").alias("target_id"), F.lit("text").alias("source")))
+    monkeypatch.setattr(retrieval, "_boosted", lambda spark, d, boosts: ids.crossJoin(spark.createDataFrame([(b, 1 if b == float("inf") else 4) for b in boosts], "boost double, rank long")))
+    best = retrieval.QUERIES["e10_boost_choice_all"](spark, "").first()
+    assert (best.boost, best.tune_mrr, best.test_mrr) == (float("inf"), 1.0, 1.0)
