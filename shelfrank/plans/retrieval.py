@@ -334,12 +334,13 @@ def sampled_products(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sample_ids(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), 300)
 
 
-def weight_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The best RRF weight on the tuning half, and its result on the other."""
-    ranks = weighted_rrf_target(spark, d)
+def weight_choice(spark: SparkSession, d: str, methods: tuple[str, ...] = ("weighted_rrf",)) -> DataFrame:
+    """The best weight of each method on the tuning half, and its result on the other."""
+    by = {"weighted_rrf": weighted_rrf_target, "blend": lambda s, d: blend.weight_ranks(target_queries(s, d), items(s, d), WEIGHTS)}
+    ranks = union_by(["query_id"], *[by[m](spark, d).select(F.lit(m).alias("method"), "query_id", "w", "rank") for m in methods])
     q = target_queries(spark, d).select("query_id", "source", F.col("target_id").alias("id"))
     part = evaluate.split_half(q.select("id"))
-    each = ranks.join(q, "query_id").join(part, "id").groupBy("w", "part", "source").agg(*evaluate.rank_metrics(F.col("rank"))).withColumn("method", F.lit("weighted_rrf"))
+    each = ranks.join(q, "query_id").join(part, "id").groupBy("method", "w", "part", "source").agg(*evaluate.rank_metrics(F.col("rank")))
     return evaluate.sweep(each)
 
 
@@ -523,3 +524,15 @@ a AS (SELECT boost, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY boost, part)
 b AS (SELECT boost, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, boost LIMIT 1)
 SELECT 'color_boost' AS method, b.boost, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.boost = b.boost AND a.part = 'test'""",
 }
+
+# ---------------------------------------------------------------- the weight of both methods
+
+QUERIES["e9_weight_choice_both"] = partial(weight_choice, methods=("weighted_rrf", "blend"))
+ORACLE_SQL["e9_weight_choice_both"] = f"""WITH {ITEMS}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
+s AS (SELECT query_id, w, item_id, round(w * zp + (1 - w) * zt, 6) AS score FROM z, (SELECT DISTINCT w FROM wr)),
+br AS (SELECT a.query_id, a.w, count(*) AS rank FROM s a JOIN s o ON o.query_id = a.query_id AND o.w = a.w AND o.item_id = o.query_id AND a.score >= o.score GROUP BY ALL),
+every AS (SELECT 'weighted_rrf' AS method, query_id, w, rank FROM wt UNION ALL SELECT 'blend', query_id, w, rank FROM br),
+m AS (SELECT method, w, part, source, {METRICS} FROM every JOIN tq USING (query_id) JOIN h ON h.id = every.query_id GROUP BY ALL),
+a AS (SELECT method, w, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY method, w, part),
+b AS (SELECT method, w, mrr AS tune_mrr FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mrr DESC, w) AS k FROM a WHERE part = 'tune') WHERE k = 1)
+SELECT b.method, b.w, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.method = b.method AND a.w = b.w AND a.part = 'test'"""

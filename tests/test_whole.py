@@ -44,3 +44,10 @@ def test_hard_filter_can_be_chosen(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_boosted", lambda spark, d, boosts: ids.crossJoin(spark.createDataFrame([(b, 1 if b == float("inf") else 4) for b in boosts], "boost double, rank long")))
     best = retrieval.QUERIES["e10_boost_choice_all"](spark, "").first()
     assert (best.boost, best.tune_mrr, best.test_mrr) == (float("inf"), 1.0, 1.0)
+
+
+def test_weight_is_chosen_for_each_method(spark, data):
+    import __spark_entry__ as entry
+
+    got = {r.method: r for r in entry.queries()["e9_weight_choice_both"](spark, data).collect()}
+    assert set(got) == {"weighted_rrf", "blend"} and all(r.tune_mrr > 0 and r.test_mrr is not None for r in got.values())
