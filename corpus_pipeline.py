@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a source repeats on more than a tenth of its documents go; all documents stay."""
-    cut = line_dedup.drop_boilerplate(docs)
+    """Lines that a source repeats on more than a tenth of its documents, or a hundredth and ten, go; all documents stay."""
+    cut = line_dedup.drop_boilerplate(docs, low_ratio=line_dedup.LOW_RATIO)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 

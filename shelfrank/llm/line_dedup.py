@@ -3,6 +3,7 @@
 For each host, the share of its pages that contain a line; lines above ``max_ratio`` are boilerplate and are cut from
 every page of that host. Lines are compared without blanks at their ends; blank lines stay. A line counts once per
 page. Hosts with fewer than ``min_pages`` pages, and lines on fewer than ``min_line_pages`` pages, are left alone.
+``low_ratio``, if given, also makes boilerplate of lines above it that are on ``LOW_PAGES`` pages or more.
 
 A null text stays null; a null host is a host of its own. An empty table gives an empty result. Other columns pass
 through whatever their names.
@@ -17,6 +18,10 @@ from .common import boxed, materialize
 
 #: Boilerplate lines up to this number (a few bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 100_000
+#: The lowest of 0.1, 0.05, 0.03, 0.02, 0.015, 0.01, 0.005 and 0.002 at which repeated documents are not taken for
+#: boilerplate: every line that is cut on sf0.1 and check_s is in at least half as many different texts as documents.
+#: Lines over it must be on so many pages at least, against chance repeats in small hosts.
+LOW_RATIO, LOW_PAGES = 0.01, 10
 
 
 def _key(line: Column) -> Column:
@@ -24,11 +29,11 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, text: Column, host: Column, max_ratio: float, min_pages: int, min_line_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, text: Column, host: Column, max_ratio: float, min_pages: int, min_line_pages: int, low_ratio: float | None = None) -> DataFrame:
     """``host, keys``: per host the keys of its boilerplate lines.
 
-    A page has at most all its lines in here and each kept line is on over ``max_ratio`` of the pages, so a host has
-    at most (mean lines a page) / ``max_ratio`` keys: the arrays stay small whatever the host's size. Counts are
+    A page has at most all its lines in here and each kept line is on over the lower ratio of the pages, so a host has
+    at most (mean lines a page) / that ratio keys: the arrays stay small whatever the host's size. Counts are
     combined before the shuffle, so a hot host or line costs one row per task.
     """
     totals = pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
@@ -36,16 +41,19 @@ def boilerplate(pages: DataFrame, text: Column, host: Column, max_ratio: float,
     once = pages.select(host.alias("host"), F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
     counted = once.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_line_pages)
     large = totals.where(F.col("pages") >= min_pages).withColumnRenamed("host", "_host")
-    hot = counted.join(large, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > F.col("pages") * F.lit(max_ratio))
+    often = F.col("n") > F.col("pages") * F.lit(max_ratio)
+    if low_ratio is not None:
+        often |= (F.col("n") >= LOW_PAGES) & (F.col("n") > F.col("pages") * F.lit(low_ratio))
+    hot = counted.join(large, F.col("host").eqNullSafe(F.col("_host"))).where(often)
     return hot.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
 def drop_boilerplate(
-    pages: DataFrame, *, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 10, min_line_pages: int = 3, counts: bool = False
+    pages: DataFrame, *, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 10, min_line_pages: int = 3, low_ratio: float | None = None, counts: bool = False
 ) -> DataFrame:
     """``pages`` with the boilerplate lines cut from ``text_col``; ``counts`` adds ``n_lines`` and ``n_dropped``."""
     text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
-    cut = materialize(boilerplate(pages, text, host, max_ratio, min_pages, min_line_pages), "line-keys")
+    cut = materialize(boilerplate(pages, text, host, max_ratio, min_pages, min_line_pages, low_ratio), "line-keys")
     known = cut.select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
     if (cut.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_LINES:
         known = F.broadcast(known)
@@ -81,3 +89,5 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(kept) = 0 THEN '' ELSE
        CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped
 FROM left_over
 """
+
+LOW_ORACLE_SQL = ORACLE_SQL.replace("c.n > t.pages * 0.1)", f"(c.n > t.pages * 0.1 OR (c.n >= {LOW_PAGES} AND c.n > t.pages * {LOW_RATIO})))")

@@ -54,6 +54,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(documents, counts=True).drop("source")
 
 
+def op10_line_dedup_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline cuts: also lines on over a hundredth of a source."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(documents, low_ratio=line_dedup.LOW_RATIO, counts=True).drop("source")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -65,6 +71,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_dup": op9_near_dup,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_low": op10_line_dedup_low,
 }
 
 ORACLE_SQL = {
@@ -72,4 +79,5 @@ ORACLE_SQL = {
     "op5_warc": warc.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_line_dedup_low": line_dedup.LOW_ORACLE_SQL,
 }
