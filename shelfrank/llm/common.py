@@ -1,4 +1,4 @@
-"""What several operators of this subpackage share: scratch tables, word counts, stable ordinals."""
+"""What several operators of this subpackage share: scratch tables, bounded broadcasts and batches, word counts, ordinals."""
 
 from __future__ import annotations
 
@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Estimated bytes up to which a table may be broadcast; beyond that it is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Rows of one key that a join may put in one task before the key is split.
+HUB = 1000
+#: Texts in one batch for a Python worker: whole texts are long, and Spark's own 10,000 may be hundreds of MB.
+BATCH_ROWS = 1000
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session (as in tests) gets a temporary one; on a cluster that is an error, as executors
+    would each write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -26,10 +40,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors. See ``discard``."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more; what a lazy result reads stays."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of at most BATCH_ROWS rows, so a batch holds few MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, of about ``row_bytes`` each, stay within BROADCAST_BYTES."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def hub_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per ``key`` and in ``n`` how many of ``rows`` have it.
+
+    Keys of over HUB rows are split by a hash of ``by``, and their row of ``table`` is repeated as often, so no task
+    gets a hot key whole. There are at most 1/HUB as many of them as rows; should even these be too many to broadcast,
+    the plain join is left to adaptive execution, which splits skewed partitions.
+    """
+    heavy = table.where(F.col("n") > HUB).select(key, F.ceil(F.col("n") / HUB).cast("int").alias("_parts"))
+    n = heavy.count()
+    if not n or n * 64 > BROADCAST_BYTES:
+        return rows.join(table.drop("n"), key)
+    parts, one = F.broadcast(heavy), F.coalesce("_parts", F.lit(1))  # counted above
+    left = rows.join(parts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), one).cast("int")).drop("_parts")
+    right = table.drop("n").join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def boxed(df: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize
+from .common import BROADCAST_BYTES, boxed, materialize
 
-#: Boilerplate lines up to this number (a few bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_LINES = 100_000
+#: Bytes of a host's row in a broadcast, without its keys, and of each key.
+HOST_BYTES, KEY_BYTES = 128, 40
 #: The lowest of 0.1, 0.05, 0.03, 0.02, 0.015, 0.01, 0.005 and 0.002 at which repeated documents are not taken for
 #: boilerplate: every line that is cut on sf0.1 and check_s is in at least half as many different texts as documents.
 #: Lines over it must be on so many pages at least, against chance repeats in small hosts.
@@ -55,7 +55,7 @@ def drop_boilerplate(
     text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
     cut = materialize(boilerplate(pages, text, host, max_ratio, min_pages, min_line_pages, low_ratio), "line-keys")
     known = cut.select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    if (cut.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_LINES:
+    if cut.agg(F.coalesce(F.sum(HOST_BYTES + KEY_BYTES * F.size("keys")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_BYTES:
         known = F.broadcast(known)
     # every page is one struct here, so its columns may have any names
     own, text, host = F.col("doc"), F.col("doc")[text_col], F.col("doc")[host_col]

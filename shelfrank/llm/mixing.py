@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize, n_words, ordinal
+from .common import boxed, materialize, n_words, ordinal, small
 
 #: Leading hex digits of the seeded order that split a source into buckets for the running sum.
 BUCKET_DIGITS = 3
-#: Sources up to this number (one narrow row each) are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 50_000
+#: Bytes that a source's plan takes in a broadcast, about.
+PLAN_BYTES = 256
 
 
 def water_fill(sources: DataFrame, budget: int, max_epochs: int) -> DataFrame:
@@ -107,11 +107,12 @@ def mix_plan(
 
 
 def with_plan(rows: DataFrame, sources: DataFrame, source: Column) -> DataFrame:
-    """Join the plan of its source to every row; broadcast only after counting the sources."""
+    """Join the plan of its source to every row; broadcast only within a bound of bytes (see ``small``).
+
+    Beyond it a hot source's rows are left to adaptive execution, which splits skewed partitions.
+    """
     plan = sources.select(F.col("source").alias("_source"), "source_size", "target", "whole", "last", "last_size", "last_words")
-    if sources.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    return rows.join(plan, source.eqNullSafe(F.col("_source")), "left").drop("_source")
+    return rows.join(small(plan, PLAN_BYTES), source.eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def mixed_sizes(documents: DataFrame, **options) -> DataFrame:

@@ -11,8 +11,11 @@ shares a bucket is decided, no group is emitted as pairs, and the largest compon
 itself. Equal texts are one node from the start.
 
 Words are runs of non-blank characters with A-Z lowered; fewer words than a shingle form one shingle; a text without
-words (or null) has an empty set and is linked with nothing. Rows of one id and equal words are one node; a row
-without id gets a null component and is kept. An empty table gives an empty result.
+words (or null) has an empty set and is linked with nothing. Rows of one id and equal words are one node, rows of one
+id and other words are nodes of their own; a row without id gets a null component and is kept. An empty table gives an
+empty result.
+
+Hot keys are split: a bucket, component, class of copies or pivot of very many rows is joined in parts (``hub_join``).
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize
+from .common import BROADCAST_BYTES, boxed, discard, hub_join, materialize, small, small_batches
 
 #: Registers come in bands; pairs that agree on one whole band are candidates.
 BANDS, PER_BAND = 28, 5
@@ -35,8 +38,6 @@ REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates stay unless similarities at or above the threshold are this much less likely than the best one (in logs).
 LOG_LIKELIHOOD_GAP = 12.0
-#: Ids up to this number are broadcast to fetch texts; more are joined by shuffle.
-BROADCAST_IDS = 200_000
 #: Members that are compared with one copy of their pivot, and documents in a block, about.
 PIVOT_GROUP, BLOCK = 512, 512
 
@@ -115,6 +116,7 @@ def sketches(documents: DataFrame, id_col: str, text_col: str, size: int) -> Dat
                 columns = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.record_batch([batch.column(0).slice(at, 1000), *columns], names=["doc_id", "n", "key", "sketch", "bands"])
 
+    small_batches(documents.sparkSession)
     picked = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = picked.mapInArrow(run, "doc_id long, n long, key binary, sketch binary, bands array<long>")
     return materialize(out.withColumn("row", F.monotonically_increasing_id()), "nd-sketches")
@@ -137,10 +139,20 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float, least: float
     return float(likely[grid >= least - 1e-9].max(initial=-np.inf)) >= float(likely.max()) - LOG_LIKELIHOOD_GAP
 
 
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` plus ``group``: the partners of a pivot ``a`` in groups of about PIVOT_GROUP."""
+    heavy = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PIVOT_GROUP).select("a", F.ceil(F.col("n") / PIVOT_GROUP).cast("int").alias("parts")), "nd-hubs")
+    group = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    out = materialize(pairs.join(small(heavy, 64), "a", "left").select("a", group.alias("group"), "b"), "nd-pairs")
+    discard(heavy)
+    return out
+
+
 def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` that size ratio and joint likelihood leave."""
+    """The ``pairs(a, group, b)`` that size ratio and joint likelihood leave; a pivot's sketch goes to each of its groups."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pivots = pairs.select("a", "group").distinct().join(side("a"), "a")
+    both = pairs.join(pivots, ["a", "group"]).join(side("b"), "b")
     both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     @F.pandas_udf("boolean")
@@ -148,27 +160,32 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         sets = zip(a, b, n_a, n_b, strict=True)
         return pd.Series([plausible(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), m, n, percent / 100) for x, y, m, n in sets], dtype=bool)
 
-    return both.where(fits("s_a", "s_b", "n_a", "n_b")).select("a", "b")
+    return both.where(fits("s_a", "s_b", "n_a", "n_b")).select("a", "group", "b")
 
 
-def _with_texts(documents: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
-    """``asked(rep, key, ...)`` with the ``text`` of each row's document. Broadcast only after counting."""
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
+def _with_texts(documents: DataFrame, id_col: str, text_col: str, asked: DataFrame, row_bytes: int) -> DataFrame:
+    """``asked(rep, key, ...)`` with the ``text`` of each row's document.
+
+    ``asked`` is broadcast within BROADCAST_BYTES; beyond that the texts asked for, and only those, are shuffled by id.
+    """
     rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    most = BROADCAST_BYTES // row_bytes
+    if asked.limit(most + 1).count() <= most:
+        asked = F.broadcast(asked)
+    else:
+        rows = rows.join(small(asked.select(F.col("rep").alias("_id")).distinct(), 32), "_id", "left_semi")
     return rows.join(asked, F.col("_id") == F.col("rep")).drop("_id", "rep")
 
 
 def _verified(documents: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are similar enough; ``a`` is the pivot of many ``b``.
+    """The ``edges(a, b)`` of ``pairs(a, group, b)`` whose full sets are similar enough; ``a`` is the pivot of many ``b``.
 
     A pivot's text goes once to each of its groups of about ``PIVOT_GROUP`` members, a member's text once per pair.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_GROUP).cast("int").alias("groups"))
-    members = pairs.join(groups, "a").select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"))
-    pivots = groups.select(F.col("a").alias("node"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    members = pairs.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "group")
+    pivots = pairs.select(F.col("a").alias("node"), F.col("a").alias("pivot"), "group").distinct()
     asked = materialize(members.unionByName(pivots).join(nodes.select("node", "rep", "key"), "node"), "nd-asked")
-    rows = _with_texts(documents, id_col, text_col, asked)
+    rows = _with_texts(documents, id_col, text_col, asked, 120)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
@@ -187,7 +204,9 @@ def _verified(documents: DataFrame, id_col: str, text_col: str, nodes: DataFrame
             yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
     dealt = rows.select("pivot", "group", "node", "key", "text").repartition("pivot", "group").sortWithinPartitions("pivot", "group", F.col("node") != F.col("pivot"))
-    return dealt.mapInArrow(check, "a long, b long").distinct()
+    out = materialize(dealt.mapInArrow(check, "a long, b long").distinct(), "nd-edges")
+    discard(asked)
+    return out
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -229,8 +248,9 @@ def _block_edges(documents: DataFrame, id_col: str, text_col: str, open_nodes: D
     sizes = open_nodes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    plan = largest.select("cluster", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("many"))
-    rows = open_nodes.join(plan, "cluster").withColumn("in_top", F.col("label") == F.col("top"))
+    plan = largest.select("cluster", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("many"), F.col("all").alias("n"))
+    plan = materialize(plan, "nd-plan")
+    rows = hub_join(open_nodes, plan, "cluster", "node").withColumn("in_top", F.col("label") == F.col("top"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("in_top"), F.col("many")).otherwise(F.col("rest"))).cast("int")
     rows = rows.withColumn("own", own)
     rest, many = F.sequence(F.lit(0), F.col("rest") - 1), F.sequence(F.lit(0), F.col("many") - 1)
@@ -254,90 +274,127 @@ def _block_edges(documents: DataFrame, id_col: str, text_col: str, open_nodes: D
         found = block_links([part["node"][i] for i in at], [part["label"][i] for i in at], sketch, sets, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    texts = _with_texts(documents, id_col, text_col, asked).select("cluster", "x", "y", "node", "label", "key", "sketch", "text")
-    return texts.groupBy("cluster", "x", "y").applyInArrow(link, "a long, b long").distinct()
+    texts = _with_texts(documents, id_col, text_col, asked, 480).select("cluster", "x", "y", "node", "label", "key", "sketch", "text")
+    out = materialize(texts.groupBy("cluster", "x", "y").applyInArrow(link, "a long, b long").distinct(), "nd-more")
+    discard(plan, asked)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable, for all nodes of ``edges(a, b)``.
 
     Alternating stars: neighbours above a node are hung on its smallest neighbour, then those below; the number of
-    rounds grows with the logarithm of the longest path. Hubs cost one aggregated row per task.
+    rounds grows with the logarithm of the longest path. A hub's neighbours are joined in parts, and its minimum comes
+    from an aggregate that is combined before the shuffle.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "nd-stars")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     said = mark(now)
     while said[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "nd-low")
+        large = hub_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = materialize(small.where("u <> v").distinct(), "nd-stars")
+        hung = large.join(least, "u")  # from here on ``u`` is never a hub: it has one neighbour for each one that it had below
+        small_star = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        after = materialize(small_star.where("u <> v").distinct(), "nd-stars")
         then = mark(after)
-        if then == said:
+        discard(low, now)
+        now, before, said = after, said, then
+        if then == before:
             break
-        now, said = after, then
     # a node points to its root, and a root to itself; no union here, as Spark may take one for partitioned by node
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label"))))
-    return now.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.min("label").alias("label"))
+    out = materialize(now.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.min("label").alias("label")), "nd-labels")
+    discard(now)
+    return out
 
 
 def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``documents``."""
+def _judged(documents: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, key, component_id, kept_key`` of every row; ``key`` stands for the words in order.
+
+    ``kept_key`` is that of the text which stays of the component: of its smallest id, and of that id's texts the one
+    with the smallest key.
+    """
     seen = sketches(documents, id_col, text_col, size)
     named = seen.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(named.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "nd-classes")
+    classes = materialize(named.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nd-classes")
     nodes = materialize(seen.join(classes.select("node", "rep"), F.col("row") == F.col("node")).select("node", "rep", "key", "n", "sketch", "bands"), "nd-nodes")
-    n_nodes = nodes.count()
-    edges = _all_links(documents, nodes, n_nodes, id_col, text_col, size, percent)
-    labels = _with_labels(classes.select("node", "key", "rep"), components(edges)) if edges is not None else classes.select("node", "key", "rep", F.col("node").alias("label"))
-    first = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_key = labels.join(first, "label").select("key", "component_id")
-    rows = seen.select("doc_id", F.col("n").alias("n_shingles"), "key")
-    linked = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(by_key, "key").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where(F.col("key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _all_links(documents: DataFrame, nodes: DataFrame, n_nodes: int, id_col: str, text_col: str, size: int, percent: int) -> DataFrame | None:
-    """Verified ``edges(a, b)`` that connect every pair of linked nodes; None if no bucket holds two nodes."""
+    linked = components(_all_links(documents, nodes, id_col, text_col, size, percent))
+    labels = materialize(_with_labels(classes.withColumnRenamed("n", "rows"), linked), "nd-classes")
+    first = materialize(labels.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("best"), F.count("*").alias("n")), "nd-first")
+    by_key = hub_join(labels, first, "label", "node").select("key", F.col("best.rep").alias("component_id"), F.col("best.key").alias("kept_key"), F.col("rows").alias("n"))
+    by_key = materialize(by_key, "nd-by-key")
+    discard(classes, nodes, linked, labels, first)
+    rows = seen.select("doc_id", F.col("n").alias("n_shingles"), "key", "row")
+    one = ["doc_id", "n_shingles", "key", "component_id", "kept_key"]
+    joined = hub_join(rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()), by_key, "key", "row").select(one)
+    alone = rows.where(F.col("key").isNull() | F.col("doc_id").isNull())
+    return joined.unionByName(alone.select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"), F.col("key").alias("kept_key")))
+
+
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``documents``."""
+    judged = _judged(documents, id_col, text_col, size, percent)
+    return judged.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _all_links(documents: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Verified ``edges(a, b)`` that connect every pair of linked nodes."""
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
-    members = materialize(banded.join(shared, "bucket"), "nd-members")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "low", "n")
+    shared = materialize(shared, "nd-shared")
+    members = materialize(hub_join(banded, shared, "bucket", "node"), "nd-members")
     # only nodes that share a bucket are ever compared: their sketches are looked up each round
     compared = materialize(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "nd-compared")
-    pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    members = members.select("bucket", "node")
+    pairs = _grouped(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
     likely = materialize(_likely_pairs(pairs, compared, percent), "nd-likely")
-    edges = materialize(_verified(documents, id_col, text_col, compared, likely, size, percent), "nd-edges")
-    labels = materialize(components(edges), "nd-labels")
-    here = _with_labels(members, labels)
-    several = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("low")).where("x < y").select("bucket", "low")
-    here = materialize(here.join(several, "bucket").select("node", "label", "low"), "nd-open")
-    clusters = components(here.select(F.col("node").alias("a"), F.col("low").alias("b"))).select("node", F.col("label").alias("cluster"))
-    open_nodes = materialize(here.select("node", "label").distinct().join(clusters, "node"), "nd-clusters")
-    if not open_nodes.count():
-        return edges
-    more = materialize(_block_edges(documents, id_col, text_col, open_nodes, compared, size, percent), "nd-more")
-    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
+    edges = _verified(documents, id_col, text_col, compared, likely, size, percent)
+    labels = components(edges)
+    here = materialize(_with_labels(members.select("bucket", "node"), labels), "nd-here")
+    several = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("low"), F.count("*").alias("n")).where("x < y").select("bucket", "low", "n")
+    several = materialize(several, "nd-several")
+    unlike = materialize(hub_join(here, several, "bucket", "node").select("node", "label", "low").distinct(), "nd-open")
+    discard(shared, members, pairs, likely, labels, here, several)
+    clusters = components(unlike.select(F.col("node").alias("a"), F.col("low").alias("b"))).select("node", F.col("label").alias("cluster"))
+    open_nodes = materialize(unlike.select("node", "label").distinct().join(clusters, "node"), "nd-clusters")
+    if not open_nodes.isEmpty():
+        more = _block_edges(documents, id_col, text_col, open_nodes, compared, size, percent)
+        edges = edges.unionByName(more)
+    discard(compared, unlike, open_nodes)
+    return edges
+
+
+def _words_key(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_128_digest(b" ".join(w)) if (w := words_of(t)) else None for t in texts], dtype=object)
+
+    return key(text)
 
 
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` without those that a smaller id of their component stands for; repeated rows of an id that stays are one."""
-    judged = near_duplicates(documents, id_col=id_col, text_col=text_col, size=size, percent=percent)
-    judged = materialize(judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")), "nd-judged")
-    ids = judged.select(F.col("doc_id").alias("_gone"), "kept", "rows").where("not kept or rows > 1")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = boxed(documents).join(ids, F.col("doc")[id_col] == F.col("_gone"), "left")
-    stay = rows.where(F.col("_gone").isNull()).select("doc.*")
-    again = rows.where(F.col("kept") & (F.col("rows") > 1)).select("doc.*").dropDuplicates([id_col])
-    return stay.unionByName(again)
-
+    """The rows of ``documents`` without those that another text of their component stands for.
 
+    Of each component one text stays (see ``_judged``), and repeated rows of its id with equal words are one. Every row
+    is judged by its own words: of rows that share an id, one can go and another stay. Rows without words or id stay.
+    """
+    judged = _judged(documents, id_col, text_col, size, percent).where(F.col("doc_id").isNotNull())
+    stays = F.col("key").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("kept_key")))
+    judged = materialize(judged.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.bool_or(stays).alias("stays")), "nd-judged")
+    by_id = judged.groupBy(F.col("doc_id").alias("_gone")).agg((F.sum("rows") > 1).alias("_again"), F.bool_or("stays").alias("_stays"))
+    acts = materialize(by_id.where("_again or not _stays").select("_gone", "_again"), "nd-gone")
+    rows = boxed(documents).join(small(acts, 64), F.col("doc")[id_col] == F.col("_gone"), "left")
+    stay = rows.where(F.col("_gone").isNull()).select("doc.*")
+    if acts.where("_again").isEmpty():
+        return stay
+    ids = acts.where("_again").select(F.col("_gone").alias("doc_id"))
+    known = materialize(judged.where("stays").join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_known")), "nd-again")
+    again = rows.where("_again").withColumn("_key", _words_key(F.col("doc")[text_col].cast("string")))
+    again = again.join(small(known, 80), (F.col("_gone") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_known")))
+    worded, blank = again.where(F.col("_key").isNotNull()), again.where(F.col("_key").isNull())
+    return stay.unionByName(worded.dropDuplicates(["_gone", "_key"]).select("doc.*")).unionByName(blank.select("doc.*"))

@@ -14,7 +14,9 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Context sizes, longest first; each is a power of two.
 TIERS = (2048, 1024, 512)
 #: Shortest exact sequence that a task's last tokens are cut to.
@@ -32,8 +36,12 @@ FLUSH_TOKENS = 1 << 20
 #: Sequences in a step group.
 GROUP = 8
 END_ID = 1
-#: Words kept in each of two generations of a worker's cache.
-CACHE_WORDS = 400_000
+#: Bytes of words and ids kept in each of the two generations of a task's cache, and the longest word kept.
+CACHE_BYTES, LONGEST_KEPT = 8 << 20, 48
+#: What a cached word takes besides its characters and ids: two bytes objects and a place in the dict.
+ENTRY_BYTES = 120
+#: Fixed value: how the tokenizer cuts a word before its merges, for words of ASCII characters only.
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def tokenizer_file() -> str:
@@ -52,8 +60,10 @@ def _byte_letters() -> dict[int, int]:
 class WordIds(dict):
     """Word (UTF-8 bytes without ASCII white space) to its ids as little-endian 32-bit bytes.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. Plain
-    Latin-1 words go straight to the BPE model, all others through the whole tokenizer.
+    The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. Words of
+    ASCII characters are cut into pieces here and go straight to the BPE model, as do Latin-1 words; all others go
+    through the whole tokenizer. Two generations of CACHE_BYTES bound what is kept; a task makes its own cache and
+    drops it at its end.
     """
 
     def __init__(self, path: str):
@@ -61,45 +71,62 @@ class WordIds(dict):
 
         super().__init__()
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.marks = {m: self.whole(m.decode()) for m in (b".", b",")}
+        self.marks = {m: self.merged(chr(m)) for m in b".,"}
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def plain(self, word: bytes) -> bytes | None:
-        """Ids of a word of Latin-1 letters; None if it is any other."""
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def fresh(self, word: bytes) -> bytes:
+        if b"<|" in word:  # may hold a special token
+            return self.whole(word.decode())
+        if word.isascii():
+            low = word.lower()
+            if low.isalpha():
+                return self.merged(low.decode())
+            return b"".join([self.merged(piece.decode().translate(self.letters)) for piece in ASCII_PIECES.findall(low)])
         text = word.decode()
-        if not text.isalpha() or max(text) > "\xff":
-            return None
-        letters = text.lower().encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        if text.isalpha() and max(text) <= "\xff":
+            return self.merged(text.lower().encode().decode("latin-1").translate(self.letters))
+        return self.whole(text)
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.plain(word)
-            if ids is None and (mark := self.marks.get(word[-1:])) is not None and word[:-1] and (stem := self.plain(word[:-1])) is not None:
-                ids = stem + mark
-            if ids is None:
-                ids = self.whole(word.decode())
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+            if (mark := self.marks.get(word[-1])) is not None and word[-2:-1].isalnum():
+                return self[word[:-1]] + mark  # a mark after a letter or digit is a piece of its own
+            ids = self.fresh(word)
+        if len(word) <= LONGEST_KEPT:
+            if self.held >= CACHE_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[word] = ids
+            self.held += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
 
-_KNOWN: dict[str, WordIds] = {}
+def _is_latin_1(text: str) -> bool:
+    """Without characters that the tokenizer's normal form would join to others."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """A document's ids with the end id, as little-endian 32-bit bytes. The cache lives as long as the worker."""
-    words = _KNOWN.get(path)
-    if words is None:
-        words = _KNOWN[path] = WordIds(path)
-    parts = [words[w] for w in text.encode().split()] if text else []
+def token_bytes(text: str | None, words: WordIds) -> bytes:
+    """A document's ids with the end id, as little-endian 32-bit bytes."""
+    if not text:
+        return END_ID.to_bytes(4, "little")
+    data = text.encode()
+    if "<|" not in text and _is_latin_1(text):  # lower case comes to the same ids, and to fewer words
+        data = data.lower()
+    parts = [words[w] for w in data.split()]
     parts.append(END_ID.to_bytes(4, "little"))
     return b"".join(parts)
 
@@ -197,12 +224,14 @@ def pack(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, tokenizer: str | None = None, with_ids: bool = False
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence; ``with_ids`` adds the ids themselves."""
+    small_batches(documents.sparkSession)
     path = tokenizer or tokenizer_file()
     fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
               ("offset", pa.int64()), ("tier", pa.int64()), ("step_group", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 40
+        words = WordIds(path)
         packer, docs, keys, kind = Packer(tiers), {}, {}, None
         count = {"doc": 0, "sequence": 0, "group": 0}
 
@@ -230,7 +259,7 @@ def pack(
         for batch in batches:
             kind = batch.column(0).type
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = token_bytes(text.as_py(), path)
+                ids = token_bytes(text.as_py(), words)
                 doc = count["doc"]
                 count["doc"] += 1
                 docs[doc], keys[doc] = ids, key.as_py()

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features besides the word.
 BEGINNINGS = (4, 5, 6, 7)
@@ -32,8 +34,8 @@ LEAST_DOCUMENTS = 5
 #: Least G-test statistic of a feature against the labels.
 LEAST_CERTAINTY = 15.0
 GRADES = 3
-#: Tokens up to this length are looked up in the task's cache of 300,000; longer ones are taken apart each time.
-LONGEST_KEPT = 64
+#: A task's cache holds the features of so many tokens (about 6 MB) of at most so many characters.
+KEPT_TOKENS, LONGEST_KEPT = 50_000, 48
 PENALTY, STEPS, RATE = 1e-5, 500, 0.1
 
 
@@ -122,10 +124,15 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES) -> tuple[np.
 
 
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the sample; only counts of chosen features, at most 2 SAMPLE_PER_KIND sparse rows, come to the driver."""
+    """Fit on the sample; only counts of chosen features, at most 2 SAMPLE_PER_KIND sparse rows, come to the driver.
+
+    The texts of the sample are saved once: choosing features, counting kinds and making vectors read only them.
+    """
+    small_batches(documents.sparkSession)
     picked = sample_labels(labels, id_col, label_col)
     texts = documents.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).drop("_id", "_doc")  # at most 2 SAMPLE_PER_KIND ids
+    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).drop("_id", "_doc")  # at most 2 SAMPLE_PER_KIND ids
+    sample = materialize(joined, "toxicity-sample")
     chosen = choose_features(sample)
     names = {f: k for k, (f, _, _) in enumerate(chosen)}
     marks = np.array([t > 4 * c for _, c, t in chosen], bool)
@@ -137,6 +144,7 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
                                 "k": [list(c) for c in found], "n": [list(c.values()) for c in found]})
 
     rows = sample.mapInPandas(vectors, "label int, words long, k array<int>, n array<int>").toPandas()
+    discard(sample)
     y = rows["label"].to_numpy(int) if len(rows) else np.zeros(0, int)
     if not names or len(set(y)) < 2:
         return Model()
@@ -173,7 +181,7 @@ def severity(text: Column, model: Model) -> Column:
                     if ks is None:
                         ks = [k for word in WORD.findall(token) for f in features(word) if (k := model.names.get(f)) is not None] or none
                         if len(token) <= LONGEST_KEPT:
-                            if len(known) >= 300_000:
+                            if len(known) >= KEPT_TOKENS:
                                 known.clear()
                             known[token] = ks
                     for k in ks:
@@ -191,11 +199,13 @@ def severity(text: Column, model: Model) -> Column:
 
 def grade(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, p_toxic, expected_severity, severity, toxic`` of every document."""
+    small_batches(documents.sparkSession)
     scored = documents.select(F.col(f"`{id_col}`").alias(id_col), severity(F.col(f"`{text_col}`").cast("string"), model).alias("_s"))
     return scored.select(id_col, "_s.*", (F.col("_s.severity") >= 1).alias("toxic"))
 
 
 def drop_toxic(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` of severity 0."""
+    small_batches(documents.sparkSession)
     names = [F.col(f"`{c}`") for c in documents.columns]
     return documents.select(*names, severity(F.col(f"`{text_col}`").cast("string"), model).alias("__severity")).where(F.col("__severity.severity") == 0).select(*names)
