@@ -5,9 +5,12 @@ response by ``WARC-Concurrent-To``. Spark's text writer makes the files: a recor
 that WARC wants, which serve as the line separator. Reading: each file is split by ``Content-Length``. Assembly: one
 grouping by the identifier of the response gives one nested row per capture.
 
+Of the pages, only digests are grouped and joined; payloads stay where they are. Files may have any number of gzip
+members (commonly one for each record) and are unpacked as a stream, record by record.
+
 A null payload is empty. A null url leaves out ``WARC-Target-URI``; line ends in urls are percent-encoded. Of equal
-payloads the smallest (page_id, row) is the response; rows of one page_id keep identities of their own, and a null
-page_id comes last. A file that ends within a record gives the records before it.
+payloads the smallest (page_id, url) is the response; equal rows keep identities of their own, and a null page_id comes
+last. A file that ends within a record gives the records before it.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import hub_join, materialize, scratch_path, small
 
 CRLF = "\r\n"
-#: Records in one archive file, so that a reading task holds few bytes.
-RECORDS_PER_FILE = 3000
+#: Most bytes of payload in one archive file (a larger payload has a file of its own). Payloads are written in classes
+#: of size, so that a number of records bounds the bytes.
+FILE_BYTES, CLASSES = 32 << 20, (1 << 14, 1 << 18, 1 << 22, 1 << 25)
+#: Packed bytes that are unpacked at a time.
+CHUNK = 1 << 16
 #: Fixed date of made records: equal pages give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -48,25 +54,40 @@ def _uuid(*parts: Column) -> Column:
 def captures(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """One row per page with its digest, and for revisits the page and record that they refer to.
 
-    The first page of each digest comes from an aggregate that is combined before the shuffle; the join back to the
-    pages is an ordinary shuffled join whose hot digests Spark splits.
+    Rows are known by their content and a number among equal ones, never by their place in the input. A narrow row per
+    page is saved; revisits come from these alone. The pages themselves are only joined to the payloads that occur more
+    than once (broadcast within a bound of bytes), to tell which of their pages is the response.
     """
-    rows = pages.select(
-        F.col(f"`{id_col}`").cast("long").alias("page_id"),
-        F.regexp_replace(F.regexp_replace(F.col(f"`{url_col}`"), "\r", "%0D"), "\n", "%0A").alias("url"),
-        F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("serial"),
-    )
+    url = F.regexp_replace(F.regexp_replace(F.col(f"`{url_col}`"), "\r", "%0D"), "\n", "%0A")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    order = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("o"), F.col("serial").alias("serial"), F.col("page_id").alias("page_id"))
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("digest").alias("_digest")).agg(F.min(order).alias("first"), F.count("*").alias("_n")).where("_n > 1")
-    joined = rows.join(first.drop("_n"), F.col("digest") == F.col("_digest"), "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.serial") != F.col("serial")) & (F.col("payload_bytes") >= min_bytes)
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "digest", revisit.alias("revisit"),
-        _uuid(F.lit("capture"), F.col("serial"), F.col("page_id")).alias("capture_id"),
-        F.when(revisit, _uuid(F.lit("capture"), F.col("first.serial"), F.col("first.page_id"))).alias("refers_to"),
-        F.when(revisit, F.col("first.page_id")).alias("refers_page"),
+    own = ["page_id", "url", "digest", "payload_bytes"]
+    large, tiny = rows.where(F.col("payload_bytes") >= min_bytes), rows.where(F.col("payload_bytes") < min_bytes)
+    narrow = materialize(large.groupBy(*own).agg(F.count("*").alias("copies")), "warc-narrow")
+    order = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("o"), "page_id", "url", "copies")
+    first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.sum("copies").alias("rows"), F.count("*").alias("n")).where("rows > 1")
+    first = materialize(first, "warc-first")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+
+    def capture(page_id: str, url: str, k: Column) -> Column:
+        return _uuid(F.lit("capture"), F.col(page_id), F.col(url), F.col("digest"), k)
+
+    def responses(found: DataFrame, k: Column) -> DataFrame:
+        return found.select(*own, "payload", F.lit(False).alias("revisit"), capture("page_id", "url", k).alias("capture_id"), F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("long").alias("refers_page"))
+
+    again = hub_join(narrow, first.drop("rows"), "digest", "page_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).where(~(is_first & (F.col("k") == 0)))
+    revisits = again.select(
+        *own, F.lit("").alias("payload"), F.lit(True).alias("revisit"), capture("page_id", "url", F.col("k")).alias("capture_id"),
+        capture("first.page_id", "first.url", F.lit(0)).alias("refers_to"), F.col("first.page_id").alias("refers_page"),
     )
+    known = large.join(small(first.select(F.col("digest").alias("_digest"), "first"), 200), F.col("digest") == F.col("_digest"), "left")
+    out = responses(known.where(F.col("first").isNull() | (is_first & (F.col("first.copies") == 1))), F.lit(0)).unionByName(revisits)
+    if not first.where("first.copies > 1").isEmpty():  # equal rows at the head of a group: one of them is the response
+        out = out.unionByName(responses(known.where(is_first & (F.col("first.copies") > 1)).dropDuplicates(["digest"]), F.lit(0)))
+    if min_bytes > 0:
+        each = tiny.groupBy(*own, "payload").agg(F.count("*").cast("int").alias("copies"))
+        out = out.unionByName(responses(each.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))), F.col("k")))
+    return out
 
 
 def _record(kind: Column, record_id: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -76,8 +97,8 @@ def _record(kind: Column, record_id: Column, headers: list[tuple[str, Column]],
     return F.concat(F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines), F.lit(CRLF * 2), block)
 
 
-def write_archives(rows: DataFrame, path: str) -> None:
-    """Write ``captures`` rows as ``.warc.gz`` files under ``path``."""
+def write_archives(rows: DataFrame, path: str, classes: list[int] | None = None) -> None:
+    """Write ``captures`` rows as ``.warc.gz`` files under ``path``; ``classes`` are the numbers of the size classes there are."""
     url, to = ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", F.col("capture_id"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     request = _record(F.lit("request"), _uuid(F.lit("request"), F.col("capture_id")), [url, to, ("Content-Type", F.lit("application/http; msgtype=request"))],
@@ -90,8 +111,19 @@ def write_archives(rows: DataFrame, path: str) -> None:
     )
     fields = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("refers-page: "), F.col("refers_page").cast("string")), F.lit(""))
     metadata = _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("capture_id")), [url, to, ("Content-Type", F.lit("application/warc-fields"))], fields)
-    texts = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    texts.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    texts = F.explode(F.array(request, response, metadata)).alias("value")
+    for c in range(len(CLASSES) + 1) if classes is None else sorted({0, *classes}):
+        most = max(1, FILE_BYTES // CLASSES[c]) if c < len(CLASSES) else 1
+        part = rows.where(size_class(F.when(F.col("revisit"), 0).otherwise(F.col("payload_bytes"))) == c).select(texts)
+        part.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * most).text(path)
+
+
+def size_class(n_bytes: Column) -> Column:
+    """Number of the first of CLASSES that holds a payload, or of one more for larger ones."""
+    out = F.lit(len(CLASSES))
+    for c in range(len(CLASSES) - 1, -1, -1):
+        out = F.when(n_bytes <= CLASSES[c], c).otherwise(out)
+    return out
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -99,31 +131,70 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, sep, v in pairs if sep}
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """``(headers, block)`` of each whole record."""
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        head = data[at:end]
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of a plain or gzip file piece by piece; every gzip member, however many there are."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view = memoryview(content)
+    while len(view):
+        member = zlib.decompressobj(31)
+        at, n = 0, len(view)
+        while not member.eof and at < n:
+            yield member.decompress(view[at : at + CHUNK])
+            at += CHUNK
+        if not member.eof:
+            return  # the file ends within a member
+        view = view[min(at, n) - len(member.unused_data) :]
+        if len(view) and view[0] == 0:  # padding between or after members
+            view = memoryview(bytes(view).lstrip(b"\0"))
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """``(headers, block)`` of each whole record of a file that comes in ``pieces``; one record is held at a time."""
+    data, at, more = bytearray(), 0, iter(pieces)
+
+    def grow() -> bool:
+        nonlocal at
+        for piece in more:
+            del data[:at]
+            at = 0
+            data.extend(piece)
+            return True
+        return False
+
+    while True:
+        while True:  # line ends between records
+            while len(data) - at < 4 and grow():
+                pass
+            if data[at : at + 2] != b"\r\n":
+                break
+            at += 2
+        while (end := data.find(b"\r\n\r\n", at)) < 0:
+            if not grow():
+                return
+        head = bytes(data[at:end])
         if not head.startswith(b"WARC/"):
             raise ValueError("a record does not begin with its version")
         headers = _headers(head.partition(b"\r\n")[2])
-        stop = end + 4 + int(headers["content-length"])
-        if stop > len(data):
-            return
-        yield headers, data[end + 4 : stop]
-        at = stop + 4
+        begin = len(head) + 4
+        size = begin + int(headers["content-length"])
+        while len(data) - at < size:
+            if not grow():
+                return
+        yield headers, bytes(data[at + begin : at + size])
+        at += size
 
 
 _RECORD = pa.schema([(c, pa.string()) for c in ("type", "record_id", "concurrent_to", "refers_to", "url", "header_digest", "digest")]
                     + [("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("refers_page", pa.int64()), ("payload", pa.string())])
 
 
-def read_archives(spark: SparkSession, path: str, *, payload: bool = False) -> DataFrame:
-    """One row per record; digests and lengths are computed from the stored payload (of a revisit: its headers say them)."""
+def read_archives(spark: SparkSession, path: str, *, payload: bool = False, glob: str = "*.{txt,txt.gz,warc,warc.gz}") -> DataFrame:
+    """One row per record of the files whose names fit ``glob``; digests and lengths are computed from the stored payload (of a revisit: its headers say them)."""
 
     def rows(content: bytes) -> Iterator[dict]:
-        data = zlib.decompressobj(47).decompress(content) if content[:2] == b"\x1f\x8b" else content
-        for h, block in parse_records(data):
+        for h, block in parse_records(unpacked(content)):
             kind = h.get("warc-type")
             row = {"type": kind, "record_id": h.get("warc-record-id"), "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "url": h.get("warc-target-uri")}
             if kind in ("response", "revisit"):
@@ -149,7 +220,7 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = False) -> D
                         part = []
                 yield pa.RecordBatch.from_pylist(part, _RECORD)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in _RECORD)
     return files.select("content").mapInArrow(read, ddl)
 
@@ -175,7 +246,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder, read them back and return a flat row per capture."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(captures(pages), path)
+    sizes = pages.agg(F.collect_set(size_class(F.coalesce(F.octet_length(F.col("html")), F.lit(0)))).alias("c")).first()["c"]  # at most len(CLASSES) + 1
+    write_archives(captures(pages), path, sizes)
     whole = transactions(read_archives(spark, path))
     return whole.select(
         F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"),
