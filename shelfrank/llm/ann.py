@@ -5,12 +5,14 @@ summed nearness of its halves to the two centroids, taken from a heap, until eno
 vectors are ranked again by the exact inner product in double precision.
 
 How many vectors are enough is calibrated on the training sample: the smallest share that finds ``RECALL`` of the true
-neighbours there. Codebooks are fitted on a bounded sample; every vector is indexed. Cells are joined to blocks of
-bounded size (a crowded cell is split), queries are dealt to chunks, and a task ranks one block for one chunk.
+neighbours there. Codebooks are fitted on a bounded sample; every vector is indexed. Neighbouring cells make blocks of
+vectors of bounded size, and queries of neighbouring cells make chunks (a crowded cell is split either way); a block
+goes only to the chunks that visit it, and a task ranks one block for one chunk.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part.
-Rows of one id are never each other's neighbours. Equal scores are ordered by the smaller id. Fewer vectors than
-``k`` give fewer rows; an empty table gives an empty result.
+Every row is a vector of its own: rows of one id are each other's candidates, and each such query row gets its own
+list under that id. Equal scores are ordered by the smaller id. Fewer vectors than ``k`` give fewer rows; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,26 +25,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: The fit's bounds: vectors in the sample, and centroids of each half.
 SAMPLE, MAX_CENTROIDS = 16_000, 128
 #: Share of true neighbours that the calibration wants, and the shares of all vectors that it tries.
 RECALL, SHARES = 0.96, (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-#: Vectors in a block, and queries in a chunk, about.
-BLOCK, CHUNK = 4096, 4096
+#: Vectors in a block and queries in a chunk: at least (unless there are fewer), and at most so many bytes of doubles.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Blocks wanted of a large table, for parallel work; beyond that blocks grow, so that fewer copies are sent.
+BLOCKS = 1000
 #: Scores this close may be equal: they are computed again in one fixed order.
 CLOSE = 1e-9
 
 
 def valid_vectors(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, vec`` with doubles, of the vectors that take part."""
+    """``vec_id, row, vec`` with doubles, of the vectors that take part; ``row`` is a number of the row's own."""
     v = F.col("vec")
     rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vec"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(sound)
     common = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1)
-    return rows.join(F.broadcast(common), F.size(v) == F.col("d")).select("vec_id", "vec")
+    return rows.join(F.broadcast(common), F.size(v) == F.col("d")).select("vec_id", F.monotonically_increasing_id().alias("row"), "vec")
 
 
 def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -105,33 +109,57 @@ def calibrated(sample: np.ndarray, first: np.ndarray, second: np.ndarray, k: int
     return next((s for s in SHARES if (before < s * n).mean() >= RECALL), 1.0)
 
 
-def top_rows(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, wanted: list[np.ndarray], k: int) -> list[tuple[int, int, float]]:
-    """``(query, vector, score)``: the k best of a block for each query, among the cells it visits."""
+def deal(counts: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each cell: neighbouring cells share a part until it is full, a crowded one has several."""
+    start, parts, part, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for cell, size in enumerate(counts.tolist()):
+        if held and held + size > per:
+            part, held = part + 1, 0
+        start[cell], parts[cell] = part, max(1, -(-size // per))
+        if parts[cell] > 1:
+            part, held = part + int(parts[cell]), 0
+        else:
+            held += size
+    return start, parts
+
+
+Found = list[tuple[int, int, int, int, float]]
+
+
+def top_rows(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, queries: np.ndarray, wanted: list[np.ndarray], k: int) -> Found:
+    """``(query, its row, vector, its row, score)``: the k best of a block for each query, among the cells it visits."""
     kinds, at = np.unique(cells, return_inverse=True)
-    out: list[tuple[int, int, float]] = []
+    out: Found = []
     for lo in range(0, len(queries), 256):
         part = queries[lo : lo + 256]
         scores = part @ vectors.T
         for i in range(len(part)):
-            row = scores[i]
-            row[~np.isin(kinds, wanted[lo + i])[at] | (ids == q_ids[lo + i])] = -np.inf
-            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            near = np.flatnonzero((row >= least - CLOSE) & (row > -np.inf))
+            own, q = scores[i], lo + i
+            own[~np.isin(kinds, wanted[q])[at] | (rows == q_rows[q])] = -np.inf
+            least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+            near = np.flatnonzero((own >= least - CLOSE) & (own > -np.inf))
             exact = (vectors[near] * part[i]).sum(axis=1)
-            best = np.lexsort((ids[near], -exact))[:k]
-            out += zip([int(q_ids[lo + i])] * len(best), ids[near][best].tolist(), exact[best].tolist(), strict=True)
+            best = np.lexsort((rows[near], ids[near], -exact))[:k]
+            n = len(best)
+            out += zip([int(q_ids[q])] * n, [int(q_rows[q])] * n, ids[near][best].tolist(), rows[near][best].tolist(), exact[best].tolist(), strict=True)
     return out
 
 
+def _counts(indexed: DataFrame, cells: int) -> np.ndarray:
+    counts = np.zeros(cells, np.int64)
+    for r in indexed.groupBy("cell").count().collect():  # at most MAX_CENTROIDS squared
+        counts[r["cell"]] = r["count"]
+    return counts
+
+
 def search(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each vector whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = materialize(valid_vectors(embeddings, id_col, vector_col), "ann-vectors")
     n = vectors.count()
     if not n:
-        return empty
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).toPandas()
     x = np.array(sample["vec"].tolist(), float)
     half = max(1, x.shape[1] // 2)
     centroids = int(min(MAX_CENTROIDS, len(x), 2 ** np.ceil(np.log2(n + 1) / 3.2)))
@@ -143,52 +171,47 @@ def search(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
             if len(batch):
                 yield batch.assign(cell=cells_of(np.array(batch["vec"].tolist(), float), first, second))
 
-    indexed = materialize(vectors.mapInPandas(assign, "vec_id long, vec array<double>, cell long"), "ann-index")
-    counts = np.zeros(centroids * centroids, np.int64)
-    for r in indexed.groupBy("cell").count().collect():  # at most MAX_CENTROIDS squared
-        counts[r["cell"]] = r["count"]
-    # neighbouring cells share a block until it is full; a crowded cell has several blocks of its own
-    start, parts, block, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
-    for cell, size in enumerate(counts.tolist()):
-        if held and held + size > BLOCK:
-            block, held = block + 1, 0
-        start[cell], parts[cell] = block, max(1, -(-size // BLOCK))
-        if parts[cell] > 1:
-            block, held = block + int(parts[cell]), 0
-        else:
-            held += size
-    asked = vectors.where(F.col("vec_id") % every == 0)
-    chunks = max(1, -(-asked.count() // CHUNK))
+    indexed = materialize(vectors.mapInPandas(assign, "vec_id long, row long, vec array<double>, cell long"), "ann-index")
+    discard(vectors)
+    asked = indexed.where(F.col("vec_id") % every == 0)
+    counts, queries = _counts(indexed, centroids * centroids), _counts(asked, centroids * centroids)
+    per = lambda total: int(max(1, min(BLOCK_BYTES // (8 * x.shape[1]), max(BLOCK, total // BLOCKS))))
+    start, parts = deal(counts, per(n))
+    q_start, q_parts = deal(queries, per(int(queries.sum())))
+
+    def salted(batch: pd.DataFrame, start: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        cell = batch["cell"].to_numpy()
+        return start[cell] + (batch["row"].to_numpy() * 2654435761 >> 8) % parts[cell]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell = batch["cell"].to_numpy()
-            salt = (batch["vec_id"].to_numpy() * 2654435761 >> 8) % parts[cell]
-            yield batch.assign(block=start[cell] + salt)
+            yield batch.assign(block=salted(batch, start, parts))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for query, vec in zip(batch["vec_id"], batch["vec"], strict=True):
+            for query, row, vec, chunk in zip(batch["vec_id"], batch["row"], batch["vec"], salted(batch, q_start, q_parts), strict=True):
                 by_block: dict[int, list[int]] = {}
                 for cell in visit(np.asarray(vec, float), first, second, counts, enough):
                     for b in range(int(start[cell]), int(start[cell] + parts[cell])):
                         by_block.setdefault(b, []).append(cell)
-                rows += [(query, vec, b, cells) for b, cells in by_block.items()]
-            yield pd.DataFrame(rows, columns=["query_id", "query", "block", "cells"])
+                rows += [(query, row, vec, b, int(chunk), cells) for b, cells in by_block.items()]
+            yield pd.DataFrame(rows, columns=["query_id", "query_row", "query", "block", "chunk", "cells"])
 
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
-    routed = asked.mapInPandas(route, "query_id long, query array<double>, block long, cells array<long>").withColumn("chunk", chunk)
-    blocks = indexed.mapInPandas(place, "vec_id long, vec array<double>, cell long, block long").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    routed = asked.mapInPandas(route, "query_id long, query_row long, query array<double>, block long, chunk long, cells array<long>")
+    routed = materialize(routed, "ann-routed")
+    blocks = indexed.mapInPandas(place, "vec_id long, row long, vec array<double>, cell long, block long")
+    visited = routed.select("block", "chunk").distinct().groupBy("block").agg(F.collect_list("chunk").alias("chunks"))  # blocks are bounded in size, so is their product with chunks
+    blocks = blocks.join(visited, "block").withColumn("chunk", F.explode("chunks")).drop("chunks")
 
     def rank(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
+        columns = ["query_id", "query_row", "vec_id", "row", "score"]
         if not len(own) or not len(asking):
             return pd.DataFrame([], columns=columns)
         vecs, qs = np.array(own["vec"].tolist(), float), np.array(asking["query"].tolist(), float)
-        rows = top_rows(own["vec_id"].to_numpy(), vecs, own["cell"].to_numpy(), asking["query_id"].to_numpy(), qs, [np.asarray(c) for c in asking["cells"]], k)
+        rows = top_rows(own["vec_id"].to_numpy(), own["row"].to_numpy(), vecs, own["cell"].to_numpy(), asking["query_id"].to_numpy(), asking["query_row"].to_numpy(), qs, [np.asarray(c) for c in asking["cells"]], k)
         return pd.DataFrame(rows, columns=columns)
 
-    found = blocks.groupBy("block", "chunk").cogroup(routed.groupBy("block", "chunk")).applyInPandas(rank, "query_id long, vec_id long, score double")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = blocks.groupBy("block", "chunk").cogroup(routed.groupBy("block", "chunk")).applyInPandas(rank, "query_id long, query_row long, vec_id long, row long, score double")
+    order = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
