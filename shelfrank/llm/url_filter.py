@@ -2,8 +2,9 @@
 
 Rules decide first: a rule fits its host and all subdomains where the URL's path starts with the rule's; the longest
 fitting rule wins. Other URLs are blocked if their canonical form is listed. The Bloom filter is a table of blocks of
-eight 64-bit lanes, built by one aggregate and of bounded size, so it is broadcast; what it passes is settled by an
-exact join, which removes its false positives.
+eight 64-bit lanes, built by one aggregate; it grows with the list, so its rate of false positives stays. It is
+broadcast within a bound of bytes; a larger filter is joined by block number, with no more than 8 bytes a page shuffled
+besides the key. What the filter passes is settled by an exact join, which removes its false positives.
 
 A null URL, or one without ``://``, has empty host and path, fits no rule and is never listed. Repeated rows are judged
 alike. An empty list blocks nothing; an empty table gives an empty result.
@@ -16,14 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, small
 
 #: Fixed rules: (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 LANES, LANE_BITS = 8, 6
-#: Bounds of the broadcast filter: 64 bytes a block, so 8 MB at most.
-MAX_BLOCKS = 1 << 17
-KEYS_PER_BLOCK = 32
+#: Keys for which a block has room (16 bits each), and bytes of a block in a broadcast.
+KEYS_PER_BLOCK, BLOCK_BYTES = 32, 112
 
 
 def host_of(url: Column) -> Column:
@@ -55,15 +55,12 @@ def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     """Block number, and one bit for each lane of the block."""
     where, which = F.xxhash64(key), F.xxhash64(key, F.lit("lanes"))
     lane = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(which, k * LANE_BITS).bitwiseAND(63).cast("int"))
-    return F.pmod(where, F.lit(blocks)).cast("int"), [lane(k) for k in range(LANES)]
+    return F.pmod(where, F.lit(blocks)), [lane(k) for k in range(LANES)]
 
 
 def build_bloom(listed: DataFrame, key: str = "key") -> tuple[DataFrame, int]:
     """``(filter table, number of blocks)`` over the distinct ``key`` of ``listed``."""
-    n = listed.count()
-    blocks = 1
-    while blocks * KEYS_PER_BLOCK < n and blocks < MAX_BLOCKS:
-        blocks *= 2
+    blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
     block, lanes = _bits(F.col(key), blocks)
     table = listed.groupBy(block.alias("_block")).agg(*[F.bit_or(x).alias(f"_lane{k}") for k, x in enumerate(lanes)])
     return table, blocks
@@ -72,7 +69,7 @@ def build_bloom(listed: DataFrame, key: str = "key") -> tuple[DataFrame, int]:
 def may_be_listed(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """``rows`` plus ``_maybe``: false means certainly not listed."""
     block, lanes = _bits(F.col(key), blocks)
-    joined = rows.withColumn("_at", block).join(F.broadcast(bloom), F.col("_at") == F.col("_block"), "left")  # at most MAX_BLOCKS rows
+    joined = rows.withColumn("_at", block).join(small(bloom, BLOCK_BYTES), F.col("_at") == F.col("_block"), "left")
     hit = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_lane{k}"), F.lit(0)).bitwiseAND(x) == x for k, x in enumerate(lanes)])
     return joined.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_at", "_block", *[f"_lane{k}" for k in range(LANES)])
 
