@@ -303,3 +303,84 @@ def test_pipeline_stages_agree_with_plain_versions(spark, data):
     assert max(times.values()) <= 3 and set(times) <= {r.doc_id for r in single.collect()}
     packed = p.pack_sequences(spark, mixed, data).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     assert {r.doc_id for r in packed} == set(times) and all(r.n == r.d * times[r.doc_id] for r in packed)
+
+
+# ------------------------------------------------------------------ rows that were lost before, and hot keys
+
+
+def test_every_gzip_member_is_read(spark, tmp_path):
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {21 + 1000 * i}\r\n\r\nHTTP/1.1 200 OK\r\nA: b".encode() + b"x" * (1000 * i - 2) + b"\r\n\r\n" if i else b""
+    import gzip
+
+    records = [record(i) for i in range(1, 6)]
+    folder = tmp_path / "members"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (folder / "b.warc").write_bytes(b"".join(records))
+    (folder / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, records))[:-20])
+    got = warc.read_archives(spark, f"file://{folder}").groupBy("record_id").count().collect()
+    assert {r.record_id: r["count"] for r in got} == {"<1>": 3, "<2>": 3, "<3>": 3, "<4>": 3, "<5>": 2}
+
+
+def test_equal_pages_and_least_size(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (5, "v", "other"), (6, None, ""), (6, None, ""), (None, "u", "same"), (8, "w", "long" * 100_000), (7, "w", "long" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
+    for least in (0, 4):
+        path = f"file://{tmp_path}/least{least}"
+        warc.write_archives(warc.captures(pages, min_bytes=least), path)
+        got = [(r.metadata.page_id, r.response.type, r.metadata.refers_page) for r in warc.transactions(warc.read_archives(spark, path)).collect()]
+        again = "response" if least else "revisit"
+        want = [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (5, "response", None), (6, "response", None), (6, again, None if least else 6), (None, "revisit", 1), (7, "response", None), (8, "revisit", 7)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert warc.page_captures(pages.where("false")).count() == 0
+
+
+def test_repeated_query_rows_have_lists_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 6))
+    rows = [(i, x.tolist(), "x") for i, x in enumerate(v)] + [(20, v[20].tolist(), "x"), (40, (2 * v[40]).tolist(), "x")]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string"), every=20, k=10).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 10, 20: 20, 40: 20}
+    assert sorted(got["rank"]) == sorted(list(range(1, 11)) * 5)
+    every = np.array([x[1] for x in rows])
+    for q, at in ((0, [0]), (20, [20, 60]), (40, [40, 61])):
+        want = []
+        for i in at:
+            scores = every @ every[i]
+            order = [j for j in np.lexsort(([x[0] for x in rows], -scores)) if j != i][:10]
+            want += [(rows[j][0], round(float(scores[j]), 9)) for j in order]
+        assert sorted(want) == sorted((a, round(b, 9)) for a, b in got[got.query_id == q][["vec_id", "score"]].itertuples(index=False))
+
+
+def test_rows_of_one_id_are_judged_by_their_own_words(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (4, text), (4, "quite another text of its own with many words"), (4, "quite another text of its own with many words"), (5, text + " more"), (6, None), (6, None), (None, text)]
+    got = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if r.text) == sorted([("1", text), ("4", rows[2][1]), ("None", text)]) and sum(r.text is None for r in got) == 2
+
+
+def test_hot_keys_are_split_and_nothing_is_broadcast(spark, monkeypatch):
+    """The same groups where every key of over 5 rows is a hub, and where nothing may be broadcast."""
+    from shelfrank.llm import common
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(100)]
+    texts = {i: " ".join(base[:50] + [f"n{i % 40}"] + base[51:]) for i in range(120)} | {500 + i: f"alone {i} " * 9 for i in range(20)} | {700: "", 701: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(texts, 5, 80)
+    for hub, most in ((5, common.BROADCAST_BYTES), (1000, 0)):
+        monkeypatch.setattr(common, "HUB", hub)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(near_dup, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(near_dup, "PIVOT_GROUP", hub)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == want
+        assert {r.doc_id for r in near_dup.drop_near_duplicates(docs).collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
+def test_large_filter_is_joined_by_block(spark, monkeypatch):
+    from shelfrank.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}h.com/{i // 2 % 90}", "x") for i in range(400)], "page_id long, url string, _at string")
+    got = url_filter.judge(pages, url_filter.spelled_twice(pages)).collect()
+    assert len(got) == 400 and all(r.listed for r in got) and url_filter.judge(pages.where("false"), url_filter.spelled_twice(pages)).count() == 0
