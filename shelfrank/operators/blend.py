@@ -1,50 +1,49 @@
 """Two-sided search at scale: standard scores of photo and title, blended, without a row for each query and item.
 
-Queries come in blocks of bounded size, and every block makes two passes over the items. The first gives the moments of
-each query's scores, merged from one row per task; the second blends inside the task and emits top rows or counts only.
-Statistics are those of all items, so a filter never changes a score. ``fusion.blend`` is the small path and the check.
+Blocks of queries meet blocks of items twice. The first pass gives the moments of each query's scores, merged from one
+row per task; the second blends inside the task and emits top rows or counts only. Statistics are those of all items, so
+a filter never changes a score. ``fusion.blend`` is the check.
 
 ``queries(query_id, photo_query, title_query, ...)``, ``items(item_id, photo_vector, title_vector, ...)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import DIGITS, _doubles, _union
+from .dense import DIGITS, _doubles
 from .fusion import BLEND
-from .kernel import Best, Block, facets, item_blocks, kept, matrix, query_blocks
+from .kernel import Best, Block, by_blocks, facets, item_blocks, kept
 from .ranking import best_first, top_k
 
 SIDES = ("photo", "title")
 ASKING, OWN = ("photo_query", "title_query"), ("photo_vector", "title_vector")
 TARGETS = ("photo_target", "title_target")
+VECTORS = (*ASKING, *OWN, *TARGETS)
 
 
-def _moments_of(block: Block, items: DataFrame) -> DataFrame:
-    """``query_id, n, photo_mean, photo_dev, title_mean, title_dev`` of the queries of one block over all ``items``."""
-    ids, asked = block["query_id"].astype(np.int64), [block[c] for c in ASKING]
+def moments(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, n, photo_mean, photo_dev, title_mean, title_dev``: what standard scores need, over the whole item table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
+        ids = block["query_id"]
         n, mean, spread = 0, np.zeros((2, len(ids))), np.zeros((2, len(ids)))
-        for batch in item_blocks(batches):
-            m = len(batch)
-            for k, own in enumerate(OWN):
-                scores = np.round(asked[k] @ matrix(batch[own]).T, DIGITS)
+        for part in item_blocks(batch):
+            m = len(part["item_id"])
+            for k, (asking, own) in enumerate(zip(ASKING, OWN, strict=True)):
+                scores = np.round(block[asking] @ part[own].T, DIGITS)
                 here = scores.mean(axis=1)
                 off = here - mean[k]
                 spread[k] += ((scores - here[:, None]) ** 2).sum(axis=1) + off**2 * (n * m / (n + m))
                 mean[k] += off * (m / (n + m))
             n += m
-        if n:
-            yield pd.DataFrame({"query_id": ids, "n": n, "photo": mean[0], "title": mean[1], "photo_m2": spread[0], "title_m2": spread[1]})
+        return {"query_id": ids, "n": np.full(len(ids), n), "photo": mean[0], "title": mean[1], "photo_m2": spread[0], "title_m2": spread[1]}
 
-    parts = _doubles(items.select(*OWN), *OWN).mapInPandas(run, "query_id long, n long, photo double, title double, photo_m2 double, title_m2 double")
+    asked, rows = _doubles(queries.select("query_id", *ASKING), *ASKING), _doubles(items.select("item_id", *OWN), *OWN)
+    parts = by_blocks(asked, rows, VECTORS, run, "query_id long, n long, photo double, title double, photo_m2 double, title_m2 double")
     n, out = F.sum("n"), [F.sum("n").alias("n")]
     for side in SIDES:
         mean = F.sum(F.col("n") * F.col(side)) / n
@@ -53,42 +52,32 @@ def _moments_of(block: Block, items: DataFrame) -> DataFrame:
     return parts.groupBy("query_id").agg(*out)
 
 
-def moments(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """``query_id, n, photo_mean, photo_dev, title_mean, title_dev``: what standard scores need, over the whole item table."""
-    ddl = "query_id long, n long, photo_mean double, photo_dev double, title_mean double, title_dev double"
-    return _union([_moments_of(b, items) for b in query_blocks(_doubles(queries.select("query_id", *ASKING), *ASKING), ASKING)], queries, ddl)
-
-
-def _with_moments(block: Block, items: DataFrame) -> Block:
-    """``block`` plus mean and sample deviation of each query's scores on each side; one row per query of the block is fetched."""
-    got = _moments_of(block, items).toPandas().set_index("query_id").reindex(block["query_id"].astype(np.int64))
-    out = dict(block)
+def _with_moments(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``queries`` plus mean and sample deviation of each query's scores on each side; where all are equal they count 0."""
+    got = moments(queries, items).drop("n")
     for side in SIDES:
-        deviation = got[f"{side}_dev"].to_numpy(float)
-        out[f"{side}_mean"] = got[f"{side}_mean"].to_numpy(float)
-        out[f"{side}_dev"] = np.where(deviation > 1e-9, deviation, np.inf)  # equal scores: 0
-    return out
+        got = got.withColumn(f"{side}_dev", F.when(F.col(f"{side}_dev") > 1e-9, F.col(f"{side}_dev")).otherwise(float("inf")))
+    return queries.join(got, "query_id")
 
 
 def _standard(block: Block, side: str, scores: np.ndarray) -> np.ndarray:
     return (scores - block[f"{side}_mean"][:, None]) / block[f"{side}_dev"][:, None]
 
 
-def _raw(block: Block, batch: pd.DataFrame) -> dict[str, np.ndarray]:
+def _raw(block: Block, batch: Block) -> dict[str, np.ndarray]:
     """Scores of all queries of the block with the batch's items, by side."""
-    return {s: np.round(block[f"{s}_query"] @ matrix(batch[f"{s}_vector"]).T, DIGITS) for s in SIDES}
+    return {s: np.round(block[f"{s}_query"] @ batch[f"{s}_vector"].T, DIGITS) for s in SIDES}
 
 
 def _blended(block: Block, raw: dict[str, np.ndarray], w: float) -> np.ndarray:
     return np.round(w * _standard(block, "photo", raw["photo"]) + (1 - w) * _standard(block, "title", raw["title"]), DIGITS)
 
 
-def _target_blocks(queries: DataFrame, items: DataFrame, columns: list[str], *more: str) -> Iterator[Block]:
-    """Blocks of queries with the vectors of their target and all moments."""
+def _with_targets(queries: DataFrame, items: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """Queries with the vectors of their target and all moments."""
     own = items.select(F.col("item_id").alias("target_id"), *[F.col(v).alias(t) for v, t in zip(OWN, TARGETS, strict=True)], *more)
     asked = _doubles(queries.select("query_id", "target_id", *ASKING, *columns).join(own, "target_id"), *ASKING, *TARGETS)
-    for block in query_blocks(asked, (*ASKING, *TARGETS)):
-        yield _with_moments(block, items)
+    return _with_moments(asked, items)
 
 
 def _own(block: Block) -> dict[str, np.ndarray]:
@@ -96,8 +85,8 @@ def _own(block: Block) -> dict[str, np.ndarray]:
     return {s: _standard(block, s, np.round((block[f"{s}_query"] * block[f"{s}_target"]).sum(axis=1), DIGITS)[:, None]) for s in SIDES}
 
 
-def _others(block: Block, batch: pd.DataFrame) -> np.ndarray:
-    return batch["item_id"].to_numpy()[None, :] != block["target_id"].astype(np.int64)[:, None]
+def _others(block: Block, batch: Block) -> np.ndarray:
+    return batch["item_id"][None, :] != block["target_id"][:, None]
 
 
 def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND) -> DataFrame:
@@ -106,50 +95,44 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
     Queries may have ``mode`` (blend, photo or title), ``limit`` (1 to 100, else ``k``) and the filters ``color`` and
     ``category``; filters ask for ``color``, ``category`` and ``category_l1`` of items, a null filter keeps all.
     """
-    extra = [c for c in ("mode", "limit", "color", "category") if c in queries.columns]
+    extra = [c for c in ("mode", "color", "category") if c in queries.columns]
+    most = F.least(F.greatest(F.coalesce("limit", F.lit(k)), F.lit(1)), F.lit(100)) if "limit" in queries.columns else F.lit(k)
+    asked = _with_moments(_doubles(queries.select("query_id", *ASKING, *extra, most.cast("long").alias("most")), *ASKING), items)
     rows = _doubles(items.select("item_id", *OWN, *facets(queries)), *OWN)
-    ddl, parts = "query_id long, item_id long, score double, most int", []
-    for plain in query_blocks(_doubles(queries.select("query_id", *ASKING, *extra), *ASKING), ASKING):
-        block = _with_moments(plain, items)
-        most = np.array([min(max(int(x), 1), 100) if x is not None else k for x in block["limit"]]) if "limit" in extra else np.full(len(block["query_id"]), k)
-
-        def run(batches: Iterator[pd.DataFrame], block: Block = block, most: np.ndarray = most) -> Iterator[pd.DataFrame]:
-            best = Best(most)
-            for batch in item_blocks(batches):
-                raw, ids = _raw(block, batch), batch["item_id"].to_numpy()
-                scores = _blended(block, raw, w)
-                if "mode" in block:
-                    for side in SIDES:
-                        alone = block["mode"] == side
-                        scores[alone] = raw[side][alone]
-                near = scores >= best.least[:, None]
-                for i in np.flatnonzero(near.any(axis=1)):
-                    at = np.flatnonzero(near[i] & kept(block, i, batch))
-                    best.offer(i, ids[at], scores[i][at])
-            yield best.rows(block["query_id"], most=most)
-
-        parts.append(rows.mapInPandas(run, ddl))
-    return top_k(_union(parts, queries, ddl), F.col("most"), ["query_id"], best_first(item="item_id")).drop("most")
+
+    def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
+        best = Best(block["most"])
+        for part in item_blocks(batch):
+            raw, ids = _raw(block, part), part["item_id"]
+            scores = _blended(block, raw, w)
+            if "mode" in block:
+                for side in SIDES:
+                    alone = block["mode"] == side
+                    scores[alone] = raw[side][alone]
+            near = scores >= best.least[:, None]
+            for i in np.flatnonzero(near.any(axis=1)):
+                at = np.flatnonzero(near[i] & kept(block, i, part))
+                best.offer(i, ids[at], scores[i][at])
+        return best.rows(block["query_id"], most=block["most"])
+
+    found = by_blocks(asked, rows, VECTORS, run, "query_id long, item_id long, score double, most long")
+    return top_k(found, F.col("most"), ["query_id"], best_first(item="item_id")).drop("most")
 
 
 def weight_ranks(queries: DataFrame, items: DataFrame, weights: list[float]) -> DataFrame:
     """``query_id, w, rank`` of each query's ``target_id`` for every weight; items that score as much count against it."""
-    ddl, parts = "query_id long, w double, n long", []
-    rows = _doubles(items.select("item_id", *OWN), *OWN)
-    for block in _target_blocks(queries, items, []):
-
-        def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
-            own, n = _own(block), np.zeros((len(weights), len(block["query_id"])), np.int64)
-            least = [np.round(x * own["photo"] + (1 - x) * own["title"], DIGITS) for x in weights]
-            for batch in item_blocks(batches):
-                raw, other = _raw(block, batch), _others(block, batch)
-                for j, x in enumerate(weights):
-                    n[j] += ((_blended(block, raw, x) >= least[j]) & other).sum(axis=1)
+
+    def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
+        own, n = _own(block), np.zeros((len(weights), len(block["query_id"])), np.int64)
+        least = [np.round(x * own["photo"] + (1 - x) * own["title"], DIGITS) for x in weights]
+        for part in item_blocks(batch):
+            raw, other = _raw(block, part), _others(block, part)
             for j, x in enumerate(weights):
-                yield pd.DataFrame({"query_id": block["query_id"].astype(np.int64), "w": x, "n": n[j]})
+                n[j] += ((_blended(block, raw, x) >= least[j]) & other).sum(axis=1)
+        return {"query_id": np.tile(block["query_id"], len(weights)), "w": np.repeat(weights, n.shape[1]), "n": n.ravel()}
 
-        parts.append(rows.mapInPandas(run, ddl))
-    return _union(parts, queries, ddl).groupBy("query_id", "w").agg((F.sum("n") + 1).cast("long").alias("rank"))
+    counted = by_blocks(_with_targets(queries, items, []), _doubles(items.select("item_id", *OWN), *OWN), VECTORS, run, "query_id long, w double, n long")
+    return counted.groupBy("query_id", "w").agg((F.sum("n") + 1).cast("long").alias("rank"))
 
 
 def boost_ranks(queries: DataFrame, items: DataFrame, boosts: list[float], w: float = BLEND) -> DataFrame:
@@ -157,29 +140,28 @@ def boost_ranks(queries: DataFrame, items: DataFrame, boosts: list[float], w: fl
 
     An infinite boost is a hard filter: other items go, and a target of another colour has a null rank.
     """
-    ddl, parts = "query_id long, boost double, n long", []
-    rows = _doubles(items.select("item_id", *OWN, "color"), *OWN)
-    for block in _target_blocks(queries, items, ["asked"], F.col("color").alias("target_color")):
-
-        def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
-            own, ids = _own(block), block["query_id"].astype(np.int64)
-            base = np.round(w * own["photo"] + (1 - w) * own["title"], DIGITS)
-            wanted = [set(a or ()) for a in block["asked"]]
-            hit = np.array([c in a for c, a in zip(block["target_color"], wanted, strict=True)])[:, None]
-            n = np.zeros((len(boosts), len(ids)), np.int64)
-            for batch in item_blocks(batches):
-                scores, other = _blended(block, _raw(block, batch), w), _others(block, batch)
-                code, names = pd.factorize(batch["color"])
-                match = np.array([[*(c in a for c in names), False] for a in wanted])[:, code]  # a null colour has code -1
-                for j, b in enumerate(boosts):
-                    if np.isinf(b):
-                        n[j] += (match & other & (scores >= base)).sum(axis=1)
-                    else:
-                        n[j] += ((np.round(scores + b * match, DIGITS) >= np.round(base + b * hit, DIGITS)) & other).sum(axis=1)
-            for j, b in enumerate(boosts):
-                gone = np.isinf(b) & ~hit[:, 0]
-                yield pd.DataFrame({"query_id": ids, "boost": b, "n": pd.array(np.where(gone, -1, n[j]), dtype="int64")})
 
-        parts.append(rows.mapInPandas(run, ddl))
-    total = _union(parts, queries, ddl).groupBy("query_id", "boost").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
+        own, ids = _own(block), block["query_id"]
+        base = np.round(w * own["photo"] + (1 - w) * own["title"], DIGITS)
+        wanted = [set(a) if a is not None else set() for a in block["asked"]]
+        hit = np.array([c in a for c, a in zip(block["target_color"], wanted, strict=True)])[:, None]
+        n = np.zeros((len(boosts), len(ids)), np.int64)
+        for part in item_blocks(batch):
+            scores, other = _blended(block, _raw(block, part), w), _others(block, part)
+            code, names = pd.factorize(part["color"])
+            match = np.array([[*(c in a for c in names), False] for a in wanted])[:, code]  # a null colour has code -1
+            for j, b in enumerate(boosts):
+                if np.isinf(b):
+                    n[j] += (match & other & (scores >= base)).sum(axis=1)
+                else:
+                    n[j] += ((np.round(scores + b * match, DIGITS) >= np.round(base + b * hit, DIGITS)) & other).sum(axis=1)
+        for j, b in enumerate(boosts):
+            if np.isinf(b):
+                n[j][~hit[:, 0]] = -1
+        return {"query_id": np.tile(ids, len(boosts)), "boost": np.repeat(boosts, len(ids)), "n": n.ravel()}
+
+    asked = _with_targets(queries, items, ["asked"], F.col("color").alias("target_color"))
+    counted = by_blocks(asked, _doubles(items.select("item_id", *OWN, "color"), *OWN), VECTORS, run, "query_id long, boost double, n long")
+    total = counted.groupBy("query_id", "boost").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     return total.select("query_id", "boost", F.when(F.col("least") >= 0, (F.col("n") + 1).cast("long")).alias("rank"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.colors import query_colors
-from .ranking import first_of, small
+from ..sources.scratch import small
+from .ranking import first_of
 
 
 def us_corpus(products: DataFrame, locale: str = "us", order: str = "seq") -> DataFrame:
@@ -90,7 +91,7 @@ def rejected_filters(requests: DataFrame, items: DataFrame, palette: tuple[str,
     """``query_id, reason`` of ``requests(query_id, color, category)`` that name an unknown colour or category."""
     known = items.select(F.explode(F.array("category", "category_l1")).alias("category")).where("category <> ''").distinct()
     color = requests.where(F.col("color").isNotNull() & ~F.col("color").isin(*palette)).select("query_id", F.lit("color").alias("reason"))
-    category = requests.where("category is not null").join(small(known), "category", "left_anti").select("query_id", F.lit("category").alias("reason"))
+    category = requests.where("category is not null").join(small(known, 128), "category", "left_anti").select("query_id", F.lit("category").alias("reason"))
     return color.unionByName(category)
 
 

@@ -1,43 +1,24 @@
-"""Exact vector search for tables of queries: one numpy kernel per item block, reducers on top.
+"""Exact vector search for tables of queries: one numpy kernel per block of items and of queries, reducers on top.
 
-Queries come to the tasks as a broadcast matrix, block by block, so memory stays bounded; scores are doubles rounded to
-six digits, so equal vectors tie and ties go to the smaller id.
+Scores are doubles rounded to six digits, so equal vectors tie and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
-from .kernel import Best, Block, facets, item_blocks, kept, matrix, query_blocks
+from .kernel import Best, Block, by_blocks, facets, item_blocks, kept
 from .ranking import best_first, top_k, union_by
 
 DIGITS = 6
-#: Queries up to this number may be compared by a join instead of the kernel.
-SMALL_QUERIES = 10_000
 
 
 def _doubles(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("array<double>") for c in columns})
 
 
-def _union(parts: list[DataFrame], queries: DataFrame, ddl: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], ddl)
-
-
-def small_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """All ``query_id, item_id, score`` of few queries; the check of the kernel. Raises where queries are many."""
-    if queries.limit(SMALL_QUERIES + 1).count() > SMALL_QUERIES:
-        raise ValueError(f"more than {SMALL_QUERIES} queries: use search")
-    return items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot(F.col("item_vector"), F.col("vector")), DIGITS).alias("score"))
-
-
 def search(queries: DataFrame, items: DataFrame, k: int = 50, *, exclude_self: bool = False, digits: int = DIGITS) -> DataFrame:
     """``query_id, item_id, score, rank``: the ``k`` nearest items of each query.
 
@@ -45,28 +26,26 @@ def search(queries: DataFrame, items: DataFrame, k: int = 50, *, exclude_self: b
     ``category``; these ask for ``color``, ``category`` and ``category_l1`` of items, a null filter keeps all. Each task
     emits ``k`` rows a query.
     """
-    asked = facets(queries)
-    rows = _doubles(items.select("item_id", "item_vector", *asked), "item_vector")
+    rows = _doubles(items.select("item_id", "item_vector", *facets(queries)), "item_vector")
     filters = [c for c in ("color", "category") if c in queries.columns]
-    ddl, parts = "query_id long, item_id long, score double", []
-    for block in query_blocks(_doubles(queries.select("query_id", "vector", *filters), "vector"), ("vector",)):
-
-        def run(batches: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
-            ids = block["query_id"].astype(np.int64)
-            best = Best(np.full(len(ids), k))
-            for batch in item_blocks(batches):
-                own = batch["item_id"].to_numpy()
-                scores = np.round(block["vector"] @ matrix(batch["item_vector"]).T, digits)
-                if exclude_self:
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                near = (scores >= best.least[:, None]) & (scores > -np.inf)
-                for i in np.flatnonzero(near.any(axis=1)):
-                    at = np.flatnonzero(near[i] & kept(block, i, batch)) if filters else np.flatnonzero(near[i])
-                    best.offer(i, own[at], scores[i][at])
-            yield best.rows(ids)
-
-        parts.append(rows.mapInPandas(run, ddl))
-    return top_k(_union(parts, queries, ddl), k, ["query_id"], best_first(item="item_id"))
+    asked = _doubles(queries.select("query_id", "vector", *filters), "vector")
+
+    def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
+        ids = block["query_id"]
+        best = Best(np.full(len(ids), k))
+        for part in item_blocks(batch):
+            own = part["item_id"]
+            scores = np.round(block["vector"] @ part["item_vector"].T, digits)
+            if exclude_self:
+                scores[ids[:, None] == own[None, :]] = -np.inf
+            near = (scores >= best.least[:, None]) & (scores > -np.inf)
+            for i in np.flatnonzero(near.any(axis=1)):
+                at = np.flatnonzero(near[i] & kept(block, i, part)) if filters else np.flatnonzero(near[i])
+                best.offer(i, own[at], scores[i][at])
+        return best.rows(ids)
+
+    found = by_blocks(asked, rows, ("vector", "item_vector"), run, "query_id long, item_id long, score double")
+    return top_k(found, k, ["query_id"], best_first(item="item_id"))
 
 
 def search_types(queries: DataFrame, items: DataFrame, types: dict[str, tuple[str, str, str]], k: int = 48) -> DataFrame:
@@ -94,19 +73,15 @@ def target_ranks_at_scale(queries: DataFrame, items: DataFrame, targets: DataFra
     """As ``target_ranks``, without a row for each query and item: tasks emit counts only."""
     known = targets.join(items, F.col("target_id") == F.col("item_id")).select("query_id", "target_id", F.col("item_vector").alias("target_vector"))
     asked = _doubles(queries.join(known, "query_id").select("query_id", "target_id", "vector", "target_vector"), "vector", "target_vector")
-    rows = _doubles(items.select("item_id", "item_vector"), "item_vector")
-    ddl = "query_id long, n long"
-    parts = [rows.mapInPandas(_counter(block), ddl) for block in query_blocks(asked, ("vector", "target_vector"))]
-    return _union(parts, queries, ddl).groupBy("query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))
 
-
-def _counter(block: Block):  # noqa: ANN202
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(block: Block, batch: Block) -> dict[str, np.ndarray]:
         own = np.round((block["vector"] * block["target_vector"]).sum(axis=1), DIGITS)
-        targets, n = block["target_id"].astype(np.int64), np.zeros(len(own), np.int64)
-        for batch in item_blocks(batches):
-            scores = np.round(block["vector"] @ matrix(batch["item_vector"]).T, DIGITS)
-            n += ((scores >= own[:, None]) & (batch["item_id"].to_numpy()[None, :] != targets[:, None])).sum(axis=1)
-        yield pd.DataFrame({"query_id": block["query_id"].astype(np.int64), "n": n})
+        n = np.zeros(len(own), np.int64)
+        for part in item_blocks(batch):
+            scores = np.round(block["vector"] @ part["item_vector"].T, DIGITS)
+            n += ((scores >= own[:, None]) & (part["item_id"][None, :] != block["target_id"][:, None])).sum(axis=1)
+        return {"query_id": block["query_id"], "n": n}
 
-    return count
+    rows = _doubles(items.select("item_id", "item_vector"), "item_vector")
+    counted = by_blocks(asked, rows, ("vector", "target_vector", "item_vector"), count, "query_id long, n long")
+    return counted.groupBy("query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))

@@ -45,10 +45,10 @@ def rank_metrics(rank: Column) -> list[Column]:
     return [F.count("*").alias("n"), at(1), at(10), F.round(F.avg(F.when(rank <= 10, 1 / rank).otherwise(0.0)), 6).alias("mrr")]
 
 
-def sliced(ranks: DataFrame) -> DataFrame:
-    """Metrics by (generator, source) with style ``all``, and by (generator, source, style), in one pass."""
-    full = ["generator", "source", "style"]
-    return ranks.groupingSets([full[:2], full], *full).agg(*rank_metrics(F.col("rank"))).withColumn("style", F.coalesce("style", F.lit("all")))
+def sliced(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics by ``keys`` and (generator, source) with style ``all``, and by (generator, source, style), in one pass."""
+    full = [*keys, "generator", "source", "style"]
+    return ranks.groupingSets([full[:-1], full], *full).agg(*rank_metrics(F.col("rank"))).withColumn("style", F.coalesce("style", F.lit("all")))
 
 
 def split_half(ids: DataFrame, seed: int = 0) -> DataFrame:

@@ -1,46 +1,59 @@
-"""What the vector kernels share: blocks of queries and of items of bounded size, filters, and running top lists.
+"""What the vector kernels share: blocks of queries against blocks of items as tasks, filters, and running top lists.
 
-Scores of a block exist as one matrix of at most QUERY_BLOCK x ITEM_BLOCK doubles (32 MB), whatever an Arrow batch holds.
+Queries and items stay tables: each is dealt to blocks by a hash of its id, and a task gets one block of either. Scores
+exist as one matrix of at most QUERY_BLOCK x ITEM_BLOCK doubles (32 MB); reducers emit a few rows per query and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Queries in one broadcast block, and items whose scores are held at once.
+#: Queries in a block, and items whose scores are held at once.
 QUERY_BLOCK, ITEM_BLOCK = 4096, 1024
+#: Items in a block: at least, and at most; between them so many that there are about BLOCKS blocks.
+LEAST_ITEMS, MOST_ITEMS, BLOCKS = 2048, 1 << 16, 1000
 Block = dict[str, np.ndarray]
 
 
-def query_blocks(queries: DataFrame, vectors: tuple[str, ...]) -> Iterator[Block]:
-    """The query table in blocks of at most QUERY_BLOCK rows, streamed through the driver; ``vectors`` become matrices."""
-    plain = [c for c in queries.columns if c not in vectors]
+def _arrays(table: pa.Table, vectors: tuple[str, ...]) -> Block:
+    """Columns as arrays; those of ``vectors`` as matrices."""
+    matrix = lambda c: pc.list_flatten(table[c]).to_numpy().astype(float).reshape(table.num_rows, -1)
+    return {c: matrix(c) if c in vectors else table[c].to_pandas().to_numpy() for c in table.column_names}
 
-    def as_block(rows: list) -> Block:
-        return {c: np.array([r[c] for r in rows], float) for c in vectors} | {c: pd.Series([r[c] for r in rows], dtype=object).to_numpy() for c in plain}
 
-    rows = []
-    for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            yield as_block(rows)
-            rows = []
-    if rows:
-        yield as_block(rows)
+def by_blocks(queries: DataFrame, items: DataFrame, vectors: tuple[str, ...], run: Callable[[Block, Block], dict[str, np.ndarray]], ddl: str) -> DataFrame:
+    """The rows of ``run(queries, items)`` for every block of queries and every block of items.
 
+    The items are read once, whatever the number of queries; their rows go once to each block of queries, and queries
+    once to each block of items. Only two counts come to the driver.
+    """
+    n_items = items.count()
+    per = min(MOST_ITEMS, max(LEAST_ITEMS, n_items // BLOCKS))
+    chunks, blocks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-n_items // per))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asking = queries.withColumn("_chunk", dealt("query_id", chunks)).withColumn("_block", each(blocks))
+    asked = items.withColumn("_block", dealt("item_id", blocks)).withColumn("_chunk", each(chunks))
 
-def item_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), ITEM_BLOCK):
-            yield batch.iloc[at : at + ITEM_BLOCK]
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({})
+        return pa.table(run(_arrays(left, vectors), _arrays(right, vectors)))
 
+    key = ["_chunk", "_block"]
+    return asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(task, ddl)
 
-def matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), float)
+
+def item_blocks(batch: Block) -> Iterator[Block]:
+    n = len(next(iter(batch.values())))
+    for at in range(0, n, ITEM_BLOCK):
+        yield {c: x[at : at + ITEM_BLOCK] for c, x in batch.items()}
 
 
 def facets(queries: DataFrame) -> list[str]:
@@ -48,13 +61,13 @@ def facets(queries: DataFrame) -> list[str]:
     return [c for c in ("color", "category", "category_l1") if c.split("_")[0] in queries.columns]
 
 
-def kept(block: Block, i: int, batch: pd.DataFrame) -> np.ndarray:
+def kept(block: Block, i: int, batch: Block) -> np.ndarray:
     """Which items of ``batch`` pass the ``color`` and ``category`` of query ``i``; a null filter keeps all."""
-    keep = np.ones(len(batch), bool)
+    keep = np.ones(len(batch["item_id"]), bool)
     if "color" in block and block["color"][i] is not None:
-        keep &= (batch["color"] == block["color"][i]).to_numpy()
+        keep &= batch["color"] == block["color"][i]
     if "category" in block and (want := block["category"][i]) is not None:
-        keep &= (batch["category" if " > " in want else "category_l1"] == want).to_numpy()
+        keep &= batch["category" if " > " in want else "category_l1"] == want
     return keep
 
 
@@ -74,7 +87,7 @@ class Best:
         if len(first) == self.most[i]:
             self.least[i] = scores[first[-1]]
 
-    def rows(self, query_ids: np.ndarray, **more: np.ndarray) -> pd.DataFrame:
+    def rows(self, query_ids: np.ndarray, **more: np.ndarray) -> dict[str, np.ndarray]:
         n = [len(x) for x in self.ids]
         out = {"query_id": np.repeat(query_ids.astype(np.int64), n), "item_id": np.concatenate(self.ids), "score": np.concatenate(self.scores)}
-        return pd.DataFrame(out | {c: np.repeat(x, n) for c, x in more.items()})
+        return out | {c: np.repeat(x, n) for c, x in more.items()}

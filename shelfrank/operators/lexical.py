@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .ranking import best_first, small, top_k
+from ..sources.scratch import small
+from .ranking import best_first, top_k
 
 K1, B = 1.2, 0.75
-#: Words that a text must share with a passage in a row to be compared with it.
+#: Words that a text must share with a passage in a row to be compared with it, if the passage has so many inside.
 ANCHOR = 4
+#: Bytes of a query's term and of an anchor in a broadcast, about.
+TERM_BYTES, ANCHOR_BYTES = 128, 64
 
 
 class Index(NamedTuple):
@@ -24,10 +28,13 @@ class Index(NamedTuple):
 
 
 def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Counts include documents without tokens. Postings are grouped by document: frequent terms make no hot key."""
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tokens = tokenize(F.col("text")).alias("tokens")
-    base = texts.repartition("doc_id").select("doc_id", tokens)  # whole texts are shuffled once, not a row for each token
+    """Counts include documents without tokens. Postings are grouped by document: frequent terms make no hot key.
+
+    Tokens are found once, before the only shuffle of texts, and cross it as one string per document.
+    """
+    said = F.array_join(tokenize(F.col(text)), " ")
+    base = corpus.select(F.col(doc_id).alias("doc_id"), said.alias("said")).repartition("doc_id")
+    base = base.select("doc_id", F.filter(F.split("said", " "), lambda x: x != "").alias("tokens"))
     stats = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     each = base.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
@@ -46,9 +53,14 @@ def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B)
 
 
 def search(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, doc_id, score, rank``: only documents that share a term, at most ``k`` per query."""
-    said = small(query_terms(queries))
-    asked = small(said.join(index.terms.select("term", "idf"), "term"), said)  # no more rows than were counted
+    """``query_id, doc_id, score, rank``: only documents that share a term, at most ``k`` per query.
+
+    Query terms are broadcast within a bound of bytes; beyond it the join is by term, where adaptive execution splits
+    the partitions of frequent terms.
+    """
+    terms = query_terms(queries)
+    said = small(terms, TERM_BYTES)
+    asked = small(said.join(index.terms.select("term", "idf"), "term"), TERM_BYTES, terms)  # no more rows than were counted
     hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     scored = hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -58,19 +70,29 @@ def search(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: flo
 def holding(corpus: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``query_id, doc_id`` of every document that contains a passage literally. ``passages(query_id, passage)``.
 
-    The ANCHOR words after a passage's first are whole words of each text that contains it, so equal hashes of such runs
-    give the candidates; only candidates are compared as text. Passages with fewer inner words than that are compared
-    with every document.
+    The words inside a passage, without its first and last, are whole words of each text that contains it. So equal
+    hashes of runs of up to ANCHOR such words give the candidates, and only candidates are compared as text. Passages
+    of one or two words have no word inside: their texts are found among all (there is nothing to look up).
     """
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")  # as the join below wants them
     parts = F.split("passage", r"\s+")
-    run = lambda words, at: F.xxhash64(*[F.get(words, at + k) for k in range(ANCHOR)])
-    marks = passages.select("query_id", "passage", F.when(F.size(parts) >= ANCHOR + 2, run(parts, F.lit(1))).alias("anchor"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("words") - ANCHOR), lambda at: run(F.col("words"), at))
-    each = texts.select("doc_id", F.split("text", r"\s+").alias("words")).where(F.size("words") >= ANCHOR).select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
-    pairs = each.join(small(marks.where("anchor is not null").select("query_id", "anchor"), passages), "anchor").select("doc_id", "query_id").distinct()
-    found = texts.join(pairs, "doc_id").join(small(marks.select("query_id", "passage")), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
-    short = marks.where("anchor is null and passage is not null").select("query_id", "passage")
-    if short.isEmpty():
-        return found
-    return found.unionByName(texts.join(small(short), F.contains("text", "passage")).select("query_id", "doc_id"))
+    run = lambda words, at, n: F.xxhash64(F.lit(n), *[F.get(words, at + k) for k in range(n)])
+    marked = passages.select("query_id", "passage", F.least(F.size(parts) - 2, F.lit(ANCHOR)).alias("inner"), parts.alias("words"))
+    lengths = sorted(r["inner"] for r in marked.where("inner >= 1").select("inner").distinct().collect())  # at most ANCHOR
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")  # as the join below wants them
+    found = []
+    if lengths:
+        anchor = F.coalesce(*[F.when(F.col("inner") == n, run(F.col("words"), F.lit(1), n)) for n in lengths])
+        anchors = marked.where("inner >= 1").select("query_id", anchor.alias("anchor"))
+        each = texts.select("doc_id", F.split("text", r"\s+").alias("words"))
+
+        def runs(n: int) -> Column:
+            every = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda at: run(F.col("words"), at, n))
+            return F.when(F.size("words") >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+        pairs = each.select("doc_id", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("anchor")).join(small(anchors, ANCHOR_BYTES, passages), "anchor").select("doc_id", "query_id").distinct()
+        # candidates are few: their passages come to them by key, whatever the number of passages
+        found.append(texts.join(pairs, "doc_id").join(passages.select("query_id", "passage"), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id"))
+    short = marked.where("inner < 1").select("query_id", "passage")
+    if not short.isEmpty():
+        found.append(texts.join(small(short, 256), F.contains("text", "passage")).select("query_id", "doc_id"))
+    return reduce(DataFrame.unionByName, found) if found else texts.where("false").join(passages, F.lit(True)).select("query_id", "doc_id")

@@ -1,4 +1,4 @@
-"""Top-k, first/last of duplicates, and joins that broadcast only what was counted."""
+"""Top-k, first/last of duplicates, and unions."""
 
 from __future__ import annotations
 
@@ -7,15 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to this number may be broadcast; it is checked by counting.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, no_more_than: DataFrame | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; a cheaper table that has at least as many can be counted for it."""
-    counted = df if no_more_than is None else no_more_than
-    return F.broadcast(df) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
 
 def top_k(df: DataFrame, k: int | Column, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their rank from 1; the limit is applied before the shuffle."""

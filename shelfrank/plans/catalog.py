@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,12 +145,12 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def document_text(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents")
-    return x.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("words"), F.size(T.tokenize(F.col("text"))).cast("long").alias("tokens"), T.slug(F.substring("text", 1, 60)).alias("slug"), T.clean_description(F.col("text"), 600).alias("description"))
+    return x.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("words"), F.size(T.tokenize(F.col("text"))).cast("long").alias("tokens"), T.slug(F.col("text")).alias("slug"), T.clean_description(F.col("text"), 600).alias("description"))
 
 
 def embedded_titles(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of whole texts from the default encoder, summed up by their length."""
-    e = enrich.embed(retrieval.titles(spark, d, whole=True), "doc_id", "title", "hashed-64")
+    e = enrich.embed(retrieval.titles(spark, d), "doc_id", "title", "hashed-64")
     return e.select("doc_id", "model_id", "modality", F.size("embedding").cast("long").alias("d"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
@@ -232,8 +230,8 @@ def gallery_queries(spark: SparkSession, d: str) -> DataFrame:
     return catalog.queries_of(said, gallery(spark, d), "A", with_color=True)
 
 
-def merchant_results(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    found = retrieval.bm25(spark, d, whole=whole).join(retrieval.titles(spark, d).select("doc_id", "merchant"), "doc_id")
+def merchant_results(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.bm25(spark, d).join(retrieval.titles(spark, d).select("doc_id", "merchant"), "doc_id")
     return catalog.of_merchant(found, "src1").select("query_id", "doc_id", "rank")
 
 
@@ -315,7 +313,7 @@ SELECT count(*) AS n, round(avg((a = b)::INT), 6) AS agreement FROM p""",
     "a15_query_sizes": f"WITH {I} SELECT generator, source, count(*) AS queries, count(DISTINCT target_id) AS products FROM tq GROUP BY ALL",
     "a17_manifest": f"WITH {I} SELECT count(*) AS items, count(*) FILTER (color <> '') AS labelled FROM items",
     "f1_document_text": f"""SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words, len({retrieval.TOKENS.format(x='text')}) AS tokens,
-regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
 CASE WHEN lower({CLEAN.format(x='text')}) IN ('', 'na') THEN '(none)' ELSE substr({CLEAN.format(x='text')}, 1, 600) END AS description FROM documents""",
     "p1_us_corpus": """WITH r AS (SELECT CAST(CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 97 END AS VARCHAR) AS product_id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS product_title,
 CASE WHEN p_partkey % 2 = 0 THEN 'us' ELSE 'es' END AS product_locale, p_partkey AS seq FROM part)
@@ -352,5 +350,5 @@ SELECT page_id, string_split(url, '/')[-1] AS base, regexp_replace(regexp_replac
     "f21_prompts": "SELECT p_partkey, 'Title: ' || coalesce(p_name, '') || '. Brand: ' || coalesce(p_brand, '') || '.' AS prompt FROM part",
 }
 
-QUERIES["p14_merchant_results_whole"] = partial(merchant_results, whole=True)
-ORACLE_SQL["p14_merchant_results_whole"] = ORACLE_SQL["p14_merchant_results"].replace(retrieval.BM25, retrieval.BM25_WHOLE)
+QUERIES["p14_merchant_results_whole"] = merchant_results  # an earlier name
+ORACLE_SQL["p14_merchant_results_whole"] = ORACLE_SQL["p14_merchant_results"]

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colors
-from ..functions.text import words
 from ..functions.vectors import dot, half_precision, normalize
 from ..operators import blend, dense, enrich, evaluate, fusion, lexical, rerank
 from ..operators.ranking import best_first, top_k, union_by
+from ..sources.scratch import materialize
 
 WEIGHTS = [round(0.1 * k, 1) for k in range(11)]
-BOOSTS = [0.0, 0.25, 1.0]
-#: All boosts of the reference; the infinite one is the hard filter.
-ALL_BOOSTS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, float("inf")]
+#: The infinite boost is the hard filter.
+BOOSTS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, float("inf")]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,25 +25,28 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- roles of the tables
 
 
-def text_queries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The benchmark's texts: ``whole``, or their first eight words."""
-    query = F.col("text") if whole else F.array_join(F.slice(words(F.col("text")), 1, 8), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
+def text_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's texts, whole."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def titles(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """What is scored, embedded and compared of a document: its ``whole`` text, or the first 120 characters."""
-    return table(spark, d, "documents").select("doc_id", (F.col("text") if whole else F.substring("text", 1, 120)).alias("title"), F.col("source").alias("merchant"))
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    """What is scored, embedded and compared of a document: its whole text."""
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("title"), F.col("source").alias("merchant"))
 
 
 def judgements(spark: SparkSession, d: str) -> DataFrame:
+    """``relevance, query_id, doc_id``: strictly, documents that hold the passage; leniently, also good ones of their sources.
+
+    What holds a passage is found once and saved.
+    """
     docs = table(spark, d, "documents")
     held = lexical.holding(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
-    strict = held.join(docs.select("doc_id", "source"), "doc_id")
-    good = docs.join(table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "source")
+    strict = materialize(held.join(docs.select("doc_id", "source"), "doc_id"), "judged-strict")
+    good = docs.select("doc_id", "source").join(table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "source")
     more = strict.select("query_id", "source").distinct().join(good, "source").select("query_id", "doc_id")
-    pairs = [strict.select(F.lit(x).alias("relevance"), "query_id", "doc_id") for x in ("strict", "lenient")]
-    return union_by(["query_id", "doc_id"], *pairs, more.select(F.lit("lenient").alias("relevance"), "query_id", "doc_id")).distinct()
+    own = strict.select(F.explode(F.array(F.lit("strict"), F.lit("lenient"))).alias("relevance"), "query_id", "doc_id")
+    return union_by(["query_id", "doc_id"], own, more.select(F.lit("lenient").alias("relevance"), "query_id", "doc_id")).distinct()
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -79,20 +81,6 @@ def target_queries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _many(queries: DataFrame) -> bool:
-    return queries.limit(dense.SMALL_QUERIES + 1).count() > dense.SMALL_QUERIES
-
-
-def side_scores(spark: SparkSession, d: str) -> DataFrame:
-    """``query_id, item_id, photo, title`` of all items: the small path of blended search."""
-    q, i = target_queries(spark, d), items(spark, d)
-    if _many(q):
-        raise ValueError("too many queries for the small path: use blend.search")
-    pairs = i.crossJoin(F.broadcast(q.select("query_id", "photo_query", "title_query")))  # counted above
-    photo, title = F.round(dot(F.col("photo_vector"), F.col("photo_query")), 6), F.round(dot(F.col("title_vector"), F.col("title_query")), 6)
-    return pairs.select("query_id", "item_id", photo.alias("photo"), title.alias("title"), "color", "category", "category_l1")
-
-
 def _side(q: DataFrame, i: DataFrame, side: str, k: int) -> DataFrame:
     return dense.search(q.select("query_id", F.col(f"{side}_query").alias("vector")), i.select("item_id", F.col(f"{side}_vector").alias("item_vector")), k)
 
@@ -100,29 +88,24 @@ def _side(q: DataFrame, i: DataFrame, side: str, k: int) -> DataFrame:
 # ---------------------------------------------------------------- queries
 
 
-def bm25(spark: SparkSession, d: str, k: int = 50, whole: bool = False) -> DataFrame:
-    return lexical.search(lexical.build_index(table(spark, d, "documents")), text_queries(spark, d, whole), k)
+def bm25(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, d, "documents")), text_queries(spark, d), k)
 
 
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexical.build_index(table(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25_metrics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return evaluate.judged_metrics(bm25(spark, d, whole=whole).withColumn("stage", F.lit("bm25")), judgements(spark, d))
+def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.judged_metrics(bm25(spark, d).withColumn("stage", F.lit("bm25")), judgements(spark, d))
 
 
 def dense_photo(spark: SparkSession, d: str) -> DataFrame:
     return _side(target_queries(spark, d), items(spark, d), "photo", 50)
 
 
-def dense_small(spark: SparkSession, d: str) -> DataFrame:
-    """The joined form, the kernel's check; with many queries the kernel itself."""
-    q, i = target_queries(spark, d), items(spark, d)
-    if _many(q):
-        return _side(q, i, "title", 50)
-    scored = dense.small_scores(q.select("query_id", F.col("title_query").alias("vector")), i.select("item_id", F.col("title_vector").alias("item_vector")))
-    return top_k(scored, 50, ["query_id"], best_first(item="item_id"))
+def dense_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _side(target_queries(spark, d), items(spark, d), "title", 50)
 
 
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
@@ -139,11 +122,6 @@ def target_rank(spark: SparkSession, d: str) -> DataFrame:
     return union_by(["query_id"], *sides)
 
 
-def sliced_metrics(spark: SparkSession, d: str) -> DataFrame:
-    q = target_queries(spark, d).select("query_id", "generator", "source", "style")
-    return evaluate.sliced(target_rank(spark, d).where("side = 'title'").join(q, "query_id")).select("generator", "source", "style", "n", "r_1", "r_10", "mrr")
-
-
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, i = target_queries(spark, d), items(spark, d)
     return q, _side(q, i, "photo", 100), _side(q, i, "title", 100)
@@ -169,11 +147,10 @@ def blended(spark: SparkSession, d: str) -> DataFrame:
     return blend.search(target_queries(spark, d).select("query_id", "photo_query", "title_query"), items(spark, d), 20)
 
 
-def blended_small(spark: SparkSession, d: str) -> DataFrame:
-    """The windowed form over all pairs, the kernel's check; with many queries the kernel itself."""
-    if _many(target_queries(spark, d)):
-        return blended(spark, d)
-    return fusion.blended_search(side_scores(spark, d), 20).select("query_id", "item_id", "score", "rank")
+def blended_mode(spark: SparkSession, d: str) -> DataFrame:
+    """The same asked for by mode and limit of each query."""
+    q = target_queries(spark, d).select("query_id", "photo_query", "title_query", F.lit("blend").alias("mode"), F.lit(20).alias("limit"))
+    return blend.search(q, items(spark, d))
 
 
 def blended_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +181,7 @@ def _boosted(spark: SparkSession, d: str, boosts: list[float]) -> DataFrame:
     return blend.boost_ranks(q.select("query_id", "target_id", "photo_query", "title_query", asked), items(spark, d), boosts)
 
 
-def color_boost(spark: SparkSession, d: str, boosts: list[float] = [*BOOSTS, float("inf")]) -> DataFrame:  # noqa: B006
+def color_boost(spark: SparkSession, d: str, boosts: list[float] = BOOSTS) -> DataFrame:
     """Metrics of the target for every boost of items of the asked colour; ``filter`` drops all others."""
     name = F.when(F.col("boost") == float("inf"), "filter").otherwise(F.format_number("boost", 2))
     return _boosted(spark, d, boosts).groupBy(name.alias("boost")).agg(*evaluate.rank_metrics(F.col("rank")))
@@ -218,32 +195,43 @@ def boost_choice(spark: SparkSession, d: str, boosts: list[float] = BOOSTS) -> D
     return evaluate.sweep(each, "boost")
 
 
+def type_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """``type, model, family, query_id, rank`` of the one right answer, for every search type; null where a fused list lacks it."""
+    asked, stored = _by_model(spark, d)
+    targets, parts = target_queries(spark, d).select("query_id", "target_id"), []
+    for name, (model, asking, own) in SEARCH_TYPES.items():
+        q = asked.where((F.col("model_id") == model) & (F.col("modality") == asking)).select("query_id", "vector")
+        i = stored.where((F.col("model_id") == model) & (F.col("modality") == own)).select("item_id", "item_vector")
+        parts.append(dense.target_ranks_at_scale(q, i, targets).select(F.lit(name).alias("type"), F.lit(model).alias("model"), F.lit("separate" if name.endswith("-sep") else "shared").alias("family"), "query_id", "rank"))
+    fused = targets.join(_fused(asked, stored), (F.col("target_id") == F.col("item_id")) & (F.col("query_id") == F.col("asked")), "left")
+    parts.append(fused.select(F.lit("t2p-fused").alias("type"), F.lit("joint").alias("model"), F.lit("fused").alias("family"), "query_id", F.col("rank").cast("long").alias("rank")))
+    return union_by(["query_id"], *parts)
+
+
 def type_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """One right answer per query, by search type: photo alone, title alone, and both fused."""
-    ranks = target_rank(spark, d).select("query_id", "rank", F.col("side").alias("type")).unionByName(rrf_target(spark, d).withColumn("type", F.lit("fused")))
-    return ranks.groupBy("type").agg(*evaluate.rank_metrics(F.col("rank")))
+    """One right answer per query, by search type, model and family of models."""
+    return type_ranks(spark, d).groupBy("type", "model", "family").agg(*evaluate.rank_metrics(F.col("rank")))
+
+
+def sliced_metrics(spark: SparkSession, d: str) -> DataFrame:
+    q = target_queries(spark, d).select("query_id", "generator", "source", "style")
+    return evaluate.sliced(type_ranks(spark, d).join(q, "query_id"), ["type", "model"]).select("type", "model", "generator", "source", "style", "n", "r_1", "r_10", "mrr")
 
 
 def metric_report(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal ranks, one row per side and one column per source of the query."""
-    q = target_queries(spark, d).select("query_id", "source")
-    each = target_rank(spark, d).join(q, "query_id").withColumn("rr", F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0))
-    return each.groupBy("side").pivot("source", ["brand", "image", "text"]).agg(F.round(F.avg("rr"), 6))
+    """Reciprocal ranks, one row per type and model, one column per generator, source and style of the query."""
+    q = target_queries(spark, d).select("query_id", F.concat_ws("_", "generator", "source", "style").alias("column"))
+    each = type_ranks(spark, d).join(q, "query_id").withColumn("rr", F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0))
+    return each.groupBy("type", "model").pivot("column", REPORT_COLUMNS).agg(F.round(F.avg("rr"), 6))
 
 
 def top_of_every_type(spark: SparkSession, d: str) -> DataFrame:
     """Side by side: the first eight of each search type."""
-    _, photo, title = _sides(spark, d)
-    fused = rrf_photo_title(spark, d).withColumnRenamed("doc_id", "item_id")
-    parts = [x.where("rank <= 8").select(F.lit(n).alias("type"), "query_id", "item_id", "rank") for n, x in (("photo", photo), ("title", title), ("fused", fused))]
-    return union_by(["query_id"], *parts)
+    return search_types(spark, d, 8).select("type", "query_id", "item_id", "rank")
 
 
-def stage_counts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    found = bm25(spark, d, whole=whole)
-    short = rerank.rerank(found, text_queries(spark, d, whole), titles(spark, d, whole).select("doc_id", "title"))
-    both = union_by(["query_id"], found.select("query_id", F.lit("bm25").alias("stage")), short.select("query_id", F.lit("rerank").alias("stage")))
-    return both.groupBy("query_id", "stage").agg(F.count("*").alias("n"))
+def stage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid(spark, d).groupBy("query_id", "stage").agg(F.count("*").alias("n"))
 
 
 def side_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -252,18 +240,18 @@ def side_tags(spark: SparkSession, d: str) -> DataFrame:
     return tagged.select("query_id", "item_id", "rank", F.array_join("sides", "+").alias("sides"))
 
 
-def hybrid(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Vectors of titles and BM25 over texts, fused and reranked; every stage's list."""
-    q, t = text_queries(spark, d, whole), titles(spark, d, whole).select("doc_id", "title")
+def hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of titles and BM25 over texts, fused and reranked; every stage's list. The short lists are saved once."""
+    q, t = text_queries(spark, d), titles(spark, d).select("doc_id", "title")
     asked = enrich.embed(q, "query_id", "query", "hashed-64").select("query_id", F.col("embedding").alias("vector"))
     stored = enrich.embed(t, "doc_id", "title", "hashed-64").select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("item_vector"))
-    near = dense.search(asked, stored, 50).withColumnRenamed("item_id", "doc_id")
-    return rerank.hybrid(near, bm25(spark, d, whole=whole), q, t)
+    near = dense.search(asked, materialize(stored, "title-vectors"), 50).withColumnRenamed("item_id", "doc_id")
+    return rerank.hybrid(materialize(near, "dense-list"), materialize(bm25(spark, d), "bm25-list"), q, t)
 
 
-def hybrid_metrics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def hybrid_metrics(spark: SparkSession, d: str) -> DataFrame:
     """All stages at both levels of relevance, in one table."""
-    return evaluate.judged_metrics(hybrid(spark, d, whole), judgements(spark, d))
+    return evaluate.judged_metrics(hybrid(spark, d), judgements(spark, d))
 
 
 def side_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -271,11 +259,13 @@ def side_moments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "n", *[F.round(c, 5).alias(c) for c in ("photo_mean", "photo_dev", "title_mean", "title_dev")])
 
 
+#: Columns of the pivoted report: what ``target_queries`` makes.
+REPORT_COLUMNS = [f"{g}_{s}_{t}" for g in "AB" for s in ("brand", "image", "text") for t in ("need", "short")]
 SEARCH_TYPES = {"t2i": ("joint", "text", "photo"), "t2t": ("joint", "text", "title"), "i2i": ("joint", "image", "photo"), "i2t": ("joint", "image", "title"), "t2t-sep": ("half", "text", "title"), "i2i-sep": ("half", "image", "photo")}
 
 
-def search_types(spark: SparkSession, d: str) -> DataFrame:
-    """Every kind of query against every kind of target; the second model keeps half of each vector."""
+def _by_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Query and item vectors of both modalities by model; the second model keeps half of each vector."""
     q, i = target_queries(spark, d), items(spark, d)
     half = lambda c: F.slice(c, 1, (F.size(c) / 2).cast("int"))
     asked, stored = [], []
@@ -284,7 +274,20 @@ def search_types(spark: SparkSession, d: str) -> DataFrame:
     for modality in ("photo", "title"):
         c = f"{modality}_vector"
         stored += [i.select(F.lit(m).alias("model_id"), F.lit(modality).alias("modality"), "item_id", v.alias("item_vector")) for m, v in (("joint", F.col(c)), ("half", half(c)))]
-    return dense.search_types(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, stored), SEARCH_TYPES, 10)
+    return reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, stored)
+
+
+def _fused(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """``asked, item_id, score, rank``: text against titles and photos, the two lists of 50 fused."""
+    text = lambda own: dense.search_types(asked, stored, {own: SEARCH_TYPES[own]}, 50).withColumnRenamed("item_id", "doc_id")
+    return fusion.rrf(text("t2t"), text("t2i")).select(F.col("query_id").alias("asked"), F.col("doc_id").alias("item_id"), "score", "rank")
+
+
+def search_types(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    """Every kind of query against every kind of target, and text against both, fused."""
+    asked, stored = _by_model(spark, d)
+    fused = _fused(asked, stored).where(F.col("rank") <= k).withColumn("type", F.lit("t2p-fused")).withColumnRenamed("asked", "query_id")
+    return union_by(["query_id"], dense.search_types(asked, stored, SEARCH_TYPES, k), fused.select("query_id", "item_id", "score", "rank", "type"))
 
 
 def photo_search(spark: SparkSession, d: str) -> DataFrame:
@@ -294,24 +297,21 @@ def photo_search(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(q, items(spark, d).withColumnRenamed("photo_vector", "item_vector"), 20)
 
 
-def reranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return rerank.rerank(bm25(spark, d, whole=whole), text_queries(spark, d, whole), titles(spark, d, whole).select("doc_id", "title"))
+def reranked(spark: SparkSession, d: str) -> DataFrame:
+    return rerank.rerank(bm25(spark, d), text_queries(spark, d), titles(spark, d).select("doc_id", "title"))
 
 
-def stage_trace(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    q = text_queries(spark, d, whole)
-    first = bm25(spark, d, whole=whole)
-    short = rerank.rerank(first, q, titles(spark, d, whole).select("doc_id", "title"), 50)
-    stages = rerank.hybrid(short, first, q, titles(spark, d, whole).select("doc_id", "title"))
-    return fusion.stage_trace(stages, ["dense", "bm25", "rrf", "rerank"])
+def stage_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of every result at each stage of the hybrid search."""
+    return fusion.stage_trace(hybrid(spark, d), ["dense", "bm25", "rrf", "rerank"])
 
 
-def result_dedup(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return fusion.result_dedup(bm25(spark, d, whole=whole).join(titles(spark, d, whole), "doc_id")).select("query_id", "doc_id", "rank")
+def result_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.result_dedup(bm25(spark, d).join(titles(spark, d), "doc_id")).select("query_id", "doc_id", "rank")
 
 
-def merchant_facet(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    n = bm25(spark, d, whole=whole).join(titles(spark, d, whole), "doc_id").groupBy("query_id", "merchant").agg(F.count("*").alias("n"))
+def merchant_facet(spark: SparkSession, d: str) -> DataFrame:
+    n = bm25(spark, d).join(titles(spark, d), "doc_id").groupBy("query_id", "merchant").agg(F.count("*").alias("n"))
     return top_k(n, 10, ["query_id"], [F.col("n").desc(), F.col("merchant")])
 
 
@@ -321,6 +321,14 @@ def drift(spark: SparkSession, d: str) -> DataFrame:
     return rough.select(dot(normalize(F.col("a")), normalize(F.col("b"))).alias("c")).agg(F.round(F.avg("c"), 6).alias("mean_cosine"), F.round(F.min("c"), 6).alias("min_cosine"), F.count("*").alias("n"))
 
 
+def drift_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What coarser query vectors do to the search: metrics of each variant by source."""
+    q, i = target_queries(spark, d), items(spark, d).select("item_id", F.col("photo_vector").alias("item_vector"))
+    variants = {"full": F.col("photo_query"), "coarse": F.transform("photo_query", lambda x: F.round(x, 1))}
+    ranks = [dense.target_ranks_at_scale(q.select("query_id", v.alias("vector")), i, q.select("query_id", "target_id")).withColumn("variant", F.lit(name)) for name, v in variants.items()]
+    return union_by(["query_id"], *ranks).join(q.select("query_id", "source"), "query_id").groupBy("variant", "source").agg(*evaluate.rank_metrics(F.col("rank")))
+
+
 def half_drift(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"), half_precision(F.col("embedding")).alias("b"))
     return e.select("vec_id", F.round(dot(normalize(F.col("a")), normalize(F.col("b"))), 4).alias("cosine"))
@@ -334,7 +342,7 @@ def sampled_products(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sample_ids(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), 300)
 
 
-def weight_choice(spark: SparkSession, d: str, methods: tuple[str, ...] = ("weighted_rrf",)) -> DataFrame:
+def weight_choice(spark: SparkSession, d: str, methods: tuple[str, ...] = ("weighted_rrf", "blend")) -> DataFrame:
     """The best weight of each method on the tuning half, and its result on the other."""
     by = {"weighted_rrf": weighted_rrf_target, "blend": lambda s, d: blend.weight_ranks(target_queries(s, d), items(s, d), WEIGHTS)}
     ranks = union_by(["query_id"], *[by[m](spark, d).select(F.lit(m).alias("method"), "query_id", "w", "rank") for m in methods])
@@ -351,12 +359,12 @@ BM25 = f"""toks AS (SELECT doc_id, {TOKENS.format(x='text')} AS t FROM documents
 post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 terms AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
-q AS (SELECT item_id AS query_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), 1, 8), ' ') AS query FROM benchmark),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format(x='query')}) AS term FROM q) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * (tf / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
        FROM qt JOIN terms USING (term) JOIN post USING (term), stats GROUP BY query_id, doc_id),
 bm25 AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 50),
-titles AS (SELECT doc_id, substr(text, 1, 120) AS title, source AS merchant FROM documents)"""
+titles AS (SELECT doc_id, text AS title, source AS merchant FROM documents)"""
 JUDGED = """strict AS (SELECT DISTINCT item_id AS query_id, doc_id, source FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 lenient AS (SELECT query_id, doc_id FROM strict UNION
             SELECT s.query_id, d.doc_id FROM (SELECT DISTINCT query_id, source FROM strict) s JOIN documents d USING (source) JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1),
@@ -412,17 +420,31 @@ stages AS (SELECT query_id, 'dense' AS stage, doc_id, rank, score FROM dn UNION
 UNION ALL SELECT query_id, 'rerank', doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hs) WHERE rank <= 10)"""
 
 BOOSTED = f"""ask AS (SELECT query_id, CASE WHEN query_id % 4 <> 0 THEN color ELSE ([{PALETTE}])[list_position([{PALETTE}], color) % 16 + 1] END AS asked, color AS own FROM tq JOIN items ON item_id = query_id AND color <> ''),
-bs AS (SELECT b.query_id, boost, b.item_id, round(b.score + boost * CASE WHEN b.color = asked THEN 1 ELSE 0 END, 6) AS score FROM bl b JOIN ask USING (query_id), (SELECT unnest([0.0::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE]) AS boost)),
+bs AS (SELECT b.query_id, boost, b.item_id, round(b.score + boost * CASE WHEN b.color = asked THEN 1 ELSE 0 END, 6) AS score FROM bl b JOIN ask USING (query_id), (SELECT unnest([{", ".join(f"{b}::DOUBLE" for b in BOOSTS[:-1])}]) AS boost)),
 fs AS (SELECT b.query_id, b.item_id, b.score FROM bl b JOIN ask ON ask.query_id = b.query_id AND b.color = asked),
 br AS (SELECT a.query_id, printf('%.2f', a.boost) AS boost, count(*) AS rank FROM bs a JOIN bs o ON o.query_id = a.query_id AND o.boost = a.boost AND o.item_id = o.query_id AND a.score >= o.score GROUP BY a.query_id, a.boost
 UNION ALL SELECT ask.query_id, 'filter', r.rank FROM ask LEFT JOIN (SELECT a.query_id, count(*) AS rank FROM fs a JOIN fs o ON o.query_id = a.query_id AND o.item_id = o.query_id AND a.score >= o.score GROUP BY a.query_id) r USING (query_id))"""
 
+BOOST_VALUE = "CASE boost WHEN 'filter' THEN 'inf' ELSE boost END::DOUBLE"
+TYPES = f"""h AS (SELECT len(pq) // 2 AS n FROM tq LIMIT 1),
+a AS (SELECT 't2i' AS type, query_id, item_id, round(list_dot_product(tq, pv), 6) AS s FROM tq, items UNION ALL SELECT 't2t', query_id, item_id, round(list_dot_product(tq, tv), 6) FROM tq, items
+UNION ALL SELECT 'i2i', query_id, item_id, round(list_dot_product(pq, pv), 6) FROM tq, items UNION ALL SELECT 'i2t', query_id, item_id, round(list_dot_product(pq, tv), 6) FROM tq, items
+UNION ALL SELECT 't2t-sep', query_id, item_id, round(list_dot_product(tq[:h.n], tv[:h.n]), 6) FROM tq, items, h UNION ALL SELECT 'i2i-sep', query_id, item_id, round(list_dot_product(pq[:h.n], pv[:h.n]), 6) FROM tq, items, h),
+tl AS (SELECT * FROM (SELECT type, query_id, item_id, s AS score, row_number() OVER (PARTITION BY type, query_id ORDER BY s DESC, item_id) AS rank FROM a) WHERE rank <= 50),
+fu AS (SELECT query_id, item_id, round(sum(1 / (60 + rank)), 9) AS score, min(l) AS l, arg_min(rank, l) AS r FROM (
+  SELECT query_id, item_id, rank, 0 AS l FROM tl WHERE type = 't2t' UNION ALL SELECT query_id, item_id, rank, 1 FROM tl WHERE type = 't2i') GROUP BY query_id, item_id),
+fl AS (SELECT * FROM (SELECT 't2p-fused' AS type, query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r) AS rank FROM fu) WHERE rank <= 50),
+types AS (SELECT * FROM tl UNION ALL SELECT * FROM fl),
+tk AS (SELECT o.type, CASE WHEN o.type LIKE '%-sep' THEN 'half' ELSE 'joint' END AS model, CASE WHEN o.type LIKE '%-sep' THEN 'separate' ELSE 'shared' END AS family, o.query_id, 1 + count(x.item_id) AS rank
+  FROM a o LEFT JOIN a x ON x.type = o.type AND x.query_id = o.query_id AND x.item_id <> o.item_id AND x.s >= o.s WHERE o.item_id = o.query_id GROUP BY o.type, o.query_id
+UNION ALL SELECT 't2p-fused', 'joint', 'fused', tq.query_id, fl.rank FROM tq LEFT JOIN fl ON fl.query_id = tq.query_id AND fl.item_id = tq.query_id)"""
+
 QUERIES = {
     "r1_bm25_terms": bm25_terms, "r2_bm25_search": bm25, "e3_bm25_metrics": bm25_metrics, "r6_hybrid_search": hybrid, "e3_hybrid_metrics": hybrid_metrics, "r7_side_moments": side_moments,
-    "r11_search_types": search_types, "r13_photo_search": photo_search, "r3_dense_search": dense_photo, "r3_dense_small": dense_small, "r12_similar_items": similar_items,
-    "r14_target_rank": target_rank, "e6_sliced_metrics": sliced_metrics, "r4_rrf": rrf_photo_title, "r15_rrf_target_rank": rrf_target, "r16_weighted_rrf": weighted_rrf_target, "r8_blended_search": blended, "r8_blended_small": blended_small,
+    "r11_search_types": search_types, "r13_photo_search": photo_search, "r3_dense_search": dense_photo, "r3_dense_small": dense_titles, "r12_similar_items": similar_items,
+    "r14_target_rank": target_rank, "e6_sliced_metrics": sliced_metrics, "r4_rrf": rrf_photo_title, "r15_rrf_target_rank": rrf_target, "r16_weighted_rrf": weighted_rrf_target, "r8_blended_search": blended, "r8_blended_small": blended_mode,
     "r9_blended_filtered": blended_filtered, "r10_search_modes": search_modes, "r17_blend_sweep": blend_sweep, "r18_color_boost": color_boost, "r19_side_tags": side_tags, "r5_rerank": reranked,
-    "r20_stage_trace": stage_trace, "r21_result_dedup": result_dedup, "a13_merchant_facet": merchant_facet, "e12_drift": drift, "f16_half_precision": half_drift, "e8_tune_split": tune_split,
+    "r20_stage_trace": stage_trace, "r21_result_dedup": result_dedup, "a13_merchant_facet": merchant_facet, "e12_drift": drift, "e12_drift_metrics": drift_metrics, "f16_half_precision": half_drift, "e8_tune_split": tune_split,
     "e14_sample": sampled_products, "e9_weight_choice": weight_choice, "e10_boost_choice": boost_choice, "e5_type_metrics": type_metrics, "e7_metric_report": metric_report, "r22_stage_counts": stage_counts, "r23_side_by_side": top_of_every_type,
 }
 
@@ -441,11 +463,7 @@ SELECT stage, relevance, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::
 round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits_10, round(avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr FROM f GROUP BY stage, relevance""",
     "r7_side_moments": f"""WITH {ITEMS} SELECT query_id, count(*) AS n, round(avg(photo), 5) AS photo_mean, round(stddev_samp(photo), 5) AS photo_dev, round(avg(title), 5) AS title_mean, round(stddev_samp(title), 5) AS title_dev
 FROM sc GROUP BY query_id""",
-    "r11_search_types": f"""WITH {ITEMS}, h AS (SELECT len(pq) // 2 AS n FROM tq LIMIT 1),
-a AS (SELECT 't2i' AS type, query_id, item_id, list_dot_product(tq, pv) AS s FROM tq, items UNION ALL SELECT 't2t', query_id, item_id, list_dot_product(tq, tv) FROM tq, items
-UNION ALL SELECT 'i2i', query_id, item_id, list_dot_product(pq, pv) FROM tq, items UNION ALL SELECT 'i2t', query_id, item_id, list_dot_product(pq, tv) FROM tq, items
-UNION ALL SELECT 't2t-sep', query_id, item_id, list_dot_product(tq[:h.n], tv[:h.n]) FROM tq, items, h UNION ALL SELECT 'i2i-sep', query_id, item_id, list_dot_product(pq[:h.n], pv[:h.n]) FROM tq, items, h)
-SELECT * FROM (SELECT type, query_id, item_id, round(s, 6) AS score, row_number() OVER (PARTITION BY type, query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM a) WHERE rank <= 10""",
+    "r11_search_types": f"WITH {ITEMS}, {TYPES} SELECT type, query_id, item_id, score, rank FROM types WHERE rank <= 10",
     "r13_photo_search": f"""WITH {ITEMS} SELECT * FROM (SELECT query_id, item_id, photo AS score, row_number() OVER (PARTITION BY query_id ORDER BY photo DESC, item_id) AS rank FROM sc
 WHERE (query_id % 20 <> 0 OR color = 'white') AND CASE query_id % 3 WHEN 0 THEN category_l1 = 'L1' WHEN 1 THEN category = 'L2 > 2' ELSE true END) WHERE rank <= 20""",
     "r3_dense_search": f"WITH {ITEMS} SELECT query_id, item_id, score, rank FROM photo WHERE rank <= 50",
@@ -454,8 +472,8 @@ WHERE (query_id % 20 <> 0 OR color = 'white') AND CASE query_id % 3 WHEN 0 THEN
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 3)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20""",
     "r14_target_rank": f"WITH {ITEMS}, {TARGET} SELECT query_id, rank, side FROM tr",
-    "e6_sliced_metrics": f"""WITH {ITEMS}, {TARGET} SELECT generator, source, coalesce(style, 'all') AS style, {METRICS} FROM tr JOIN tq USING (query_id) WHERE side = 'title'
-GROUP BY GROUPING SETS ((generator, source), (generator, source, style))""",
+    "e6_sliced_metrics": f"""WITH {ITEMS}, {TYPES} SELECT type, model, generator, source, coalesce(style, 'all') AS style, {METRICS} FROM tk JOIN tq USING (query_id)
+GROUP BY GROUPING SETS ((type, model, generator, source), (type, model, generator, source, style))""",
     "r4_rrf": f"WITH {ITEMS} SELECT query_id, doc_id, score, rank FROM rr WHERE rank <= 50",
     "r15_rrf_target_rank": f"WITH {ITEMS} SELECT tq.query_id, r.rank FROM tq LEFT JOIN (SELECT * FROM rr WHERE rank <= 50) r ON r.query_id = tq.query_id AND r.doc_id = tq.query_id",
     "r16_weighted_rrf": f"WITH {ITEMS} SELECT query_id, w, rank FROM wt",
@@ -469,66 +487,35 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 r AS (SELECT a.query_id, a.w, count(*) AS rank FROM s a JOIN s o ON o.query_id = a.query_id AND o.w = a.w AND o.item_id = o.query_id AND a.score >= o.score GROUP BY ALL) SELECT w, {METRICS} FROM r GROUP BY w""",
     "r18_color_boost": f"WITH {ITEMS}, {BOOSTED} SELECT boost, {METRICS} FROM br GROUP BY boost",
     "e10_boost_choice": f"""WITH {ITEMS}, {BOOSTED}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
-m AS (SELECT boost, part, source, {METRICS} FROM br JOIN tq USING (query_id) JOIN h ON h.id = br.query_id WHERE boost <> 'filter' GROUP BY boost, part, source),
-a AS (SELECT boost::DOUBLE AS boost, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY boost, part),
+m AS (SELECT {BOOST_VALUE} AS boost, part, source, {METRICS} FROM br JOIN tq USING (query_id) JOIN h ON h.id = br.query_id GROUP BY ALL),
+a AS (SELECT boost, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY boost, part),
 b AS (SELECT boost, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, boost LIMIT 1)
 SELECT 'color_boost' AS method, b.boost, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.boost = b.boost AND a.part = 'test'""",
-    "e5_type_metrics": f"""WITH {ITEMS}, {TARGET}, every AS (SELECT query_id, rank, side AS type FROM tr UNION ALL
-SELECT tq.query_id, r.rank, 'fused' FROM tq LEFT JOIN (SELECT * FROM rr WHERE rank <= 50) r ON r.query_id = tq.query_id AND r.doc_id = tq.query_id) SELECT type, {METRICS} FROM every GROUP BY type""",
-    "e7_metric_report": f"""WITH {ITEMS}, {TARGET}, x AS (SELECT side, source, CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END AS r FROM tr JOIN tq USING (query_id))
-SELECT side, round(avg(r) FILTER (source = 'brand'), 6) AS brand, round(avg(r) FILTER (source = 'image'), 6) AS image, round(avg(r) FILTER (source = 'text'), 6) AS text FROM x GROUP BY side""",
-    "r22_stage_counts": f"WITH {BM25}, {OVERLAP} SELECT query_id, 'bm25' AS stage, count(*) AS n FROM bm25 GROUP BY query_id UNION ALL SELECT query_id, 'rerank', count(*) FROM rr2 WHERE rank <= 10 GROUP BY query_id",
-    "r23_side_by_side": f"""WITH {ITEMS} SELECT 'photo' AS type, query_id, item_id, rank FROM photo WHERE rank <= 8 UNION ALL SELECT 'title', query_id, item_id, rank FROM title WHERE rank <= 8
-UNION ALL SELECT 'fused', query_id, doc_id, rank FROM rr WHERE rank <= 8""",
+    "e5_type_metrics": f"WITH {ITEMS}, {TYPES} SELECT type, model, family, {METRICS} FROM tk GROUP BY type, model, family",
+    "e7_metric_report": f"""WITH {ITEMS}, {TYPES}, x AS (SELECT type, model, generator || '_' || source || '_' || style AS c, CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END AS r FROM tk JOIN tq USING (query_id))
+SELECT type, model, {", ".join(f"round(avg(r) FILTER (c = '{c}'), 6) AS {c}" for c in REPORT_COLUMNS)} FROM x GROUP BY type, model""",
+    "e12_drift_metrics": f"""WITH {ITEMS}, v AS (SELECT 'full' AS variant, query_id, source, pq AS q FROM tq UNION ALL SELECT 'coarse', query_id, source, list_transform(pq, lambda x: round(x, 1)) FROM tq),
+vs AS (SELECT variant, query_id, source, item_id, round(list_dot_product(q, pv), 6) AS s FROM v, items),
+r AS (SELECT o.variant, o.source, o.query_id, 1 + count(x.item_id) AS rank FROM vs o LEFT JOIN vs x ON x.variant = o.variant AND x.query_id = o.query_id AND x.item_id <> o.item_id AND x.s >= o.s
+  WHERE o.item_id = o.query_id GROUP BY ALL) SELECT variant, source, {METRICS} FROM r GROUP BY variant, source""",
+    "r22_stage_counts": f"WITH {BM25}, {HYBRID} SELECT query_id, stage, count(*) AS n FROM stages GROUP BY query_id, stage",
+    "r23_side_by_side": f"WITH {ITEMS}, {TYPES} SELECT type, query_id, item_id, rank FROM types WHERE rank <= 8",
     "r19_side_tags": f"""WITH {ITEMS} SELECT b.query_id, b.item_id, b.rank, CASE WHEN t.item_id IS NOT NULL AND p.item_id IS NOT NULL THEN 'title+photo' WHEN t.item_id IS NOT NULL THEN 'title' WHEN p.item_id IS NOT NULL THEN 'photo' ELSE '' END AS sides
 FROM blended b LEFT JOIN photo p ON p.query_id = b.query_id AND p.item_id = b.item_id LEFT JOIN title t ON t.query_id = b.query_id AND t.item_id = b.item_id""",
     "r5_rerank": f"WITH {BM25}, {OVERLAP} SELECT query_id, doc_id, score, rank FROM rr2 WHERE rank <= 10",
-    "r20_stage_trace": f"""WITH {BM25}, {OVERLAP},
-f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score, min(l) AS l, arg_min(rank, l) AS r FROM (SELECT query_id, doc_id, rank, 0 AS l FROM rr2 WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 1 FROM bm25) GROUP BY ALL),
-fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r) AS rank FROM f) WHERE rank <= 50),
-lr AS (SELECT f.query_id, f.doc_id, row_number() OVER (PARTITION BY f.query_id ORDER BY k.score DESC, f.doc_id) AS rank FROM fr f JOIN rk k ON k.query_id = f.query_id AND k.doc_id = f.doc_id)
-SELECT b.query_id, b.doc_id, d.rank AS dense, b.rank AS bm25, f.rank AS rrf, l.rank AS rerank FROM bm25 b LEFT JOIN rr2 d ON d.query_id = b.query_id AND d.doc_id = b.doc_id
-LEFT JOIN fr f ON f.query_id = b.query_id AND f.doc_id = b.doc_id LEFT JOIN (SELECT * FROM lr WHERE rank <= 10) l ON l.query_id = b.query_id AND l.doc_id = b.doc_id""",
+    "r20_stage_trace": f"WITH {BM25}, {HYBRID} SELECT query_id, doc_id, "
+    + ", ".join(f"min(rank) FILTER (stage = '{x}') AS {x}" for x in ("dense", "bm25", "rrf", "rerank")) + " FROM stages GROUP BY query_id, doc_id",
     "r21_result_dedup": f"WITH {BM25} SELECT query_id, doc_id, rank FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id, lower(title), merchant ORDER BY rank) AS k FROM bm25 b JOIN titles USING (doc_id)) WHERE k = 1",
     "a13_merchant_facet": f"WITH {BM25} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, merchant) AS rank FROM (SELECT query_id, merchant, count(*) AS n FROM bm25 JOIN titles USING (doc_id) GROUP BY ALL)) WHERE rank <= 10",
     "e12_drift": """WITH e AS (SELECT embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: round(x, 2)) AS b FROM embeddings),
 c AS (SELECT list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)) AS c FROM e) SELECT round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine, count(*) AS n FROM c""",
     "e8_tune_split": f"{HALF} (SELECT DISTINCT p_partkey AS id FROM part)",
     "e14_sample": "SELECT p_partkey AS id, p_name FROM part ORDER BY md5('0:' || p_partkey), p_partkey LIMIT 300",
-    "e9_weight_choice": f"""WITH {ITEMS}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
-m AS (SELECT w, part, source, {METRICS} FROM wt JOIN tq USING (query_id) JOIN h ON h.id = wt.query_id GROUP BY w, part, source),
-a AS (SELECT w, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY w, part),
-b AS (SELECT w, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, w LIMIT 1)
-SELECT 'weighted_rrf' AS method, b.w, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.w = b.w AND a.part = 'test'""",
-}
-
-# ---------------------------------------------------------------- the same over whole texts
-
-#: Nothing of a query or a document is cut; the forms above ask with eight words and see 120 characters.
-OF_TEXTS = ("r2_bm25_search", "e3_bm25_metrics", "r5_rerank", "r6_hybrid_search", "e3_hybrid_metrics", "r20_stage_trace", "r21_result_dedup", "r22_stage_counts", "a13_merchant_facet")
-BM25_WHOLE = BM25[: BM25.index("q AS (")] + "q AS (SELECT item_id AS query_id, text AS query FROM benchmark),\n" + BM25[BM25.index("qt AS (") :]
-BM25_WHOLE = BM25_WHOLE[: BM25_WHOLE.index("titles AS (")] + "titles AS (SELECT doc_id, text AS title, source AS merchant FROM documents)"
-QUERIES |= {f"{name}_whole": partial(QUERIES[name], whole=True) for name in OF_TEXTS}
-ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(BM25, BM25_WHOLE) for name in OF_TEXTS}
-
-# ---------------------------------------------------------------- all boosts of the reference
-
-ALL_BOOSTED = BOOSTED.replace("[0.0::DOUBLE, 0.25::DOUBLE, 1.0::DOUBLE]", f"[{', '.join(f'{b}::DOUBLE' for b in ALL_BOOSTS[:-1])}]")
-BOOST_VALUE = "CASE boost WHEN 'filter' THEN 'inf' ELSE boost END::DOUBLE"
-QUERIES |= {"r18_color_boost_all": partial(color_boost, boosts=ALL_BOOSTS), "e10_boost_choice_all": partial(boost_choice, boosts=ALL_BOOSTS)}
-ORACLE_SQL |= {
-    "r18_color_boost_all": f"WITH {ITEMS}, {ALL_BOOSTED} SELECT boost, {METRICS} FROM br GROUP BY boost",
-    "e10_boost_choice_all": f"""WITH {ITEMS}, {ALL_BOOSTED}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
-m AS (SELECT {BOOST_VALUE} AS boost, part, source, {METRICS} FROM br JOIN tq USING (query_id) JOIN h ON h.id = br.query_id GROUP BY ALL),
-a AS (SELECT boost, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY boost, part),
-b AS (SELECT boost, mrr AS tune_mrr FROM a WHERE part = 'tune' ORDER BY mrr DESC, boost LIMIT 1)
-SELECT 'color_boost' AS method, b.boost, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.boost = b.boost AND a.part = 'test'""",
 }
 
 # ---------------------------------------------------------------- the weight of both methods
 
-QUERIES["e9_weight_choice_both"] = partial(weight_choice, methods=("weighted_rrf", "blend"))
-ORACLE_SQL["e9_weight_choice_both"] = f"""WITH {ITEMS}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
+ORACLE_SQL["e9_weight_choice"] = f"""WITH {ITEMS}, h AS ({HALF} (SELECT DISTINCT query_id AS id FROM tq)),
 s AS (SELECT query_id, w, item_id, round(w * zp + (1 - w) * zt, 6) AS score FROM z, (SELECT DISTINCT w FROM wr)),
 br AS (SELECT a.query_id, a.w, count(*) AS rank FROM s a JOIN s o ON o.query_id = a.query_id AND o.w = a.w AND o.item_id = o.query_id AND a.score >= o.score GROUP BY ALL),
 every AS (SELECT 'weighted_rrf' AS method, query_id, w, rank FROM wt UNION ALL SELECT 'blend', query_id, w, rank FROM br),
@@ -536,3 +523,13 @@ m AS (SELECT method, w, part, source, {METRICS} FROM every JOIN tq USING (query_
 a AS (SELECT method, w, part, round(avg(mrr), 6) AS mrr FROM m GROUP BY method, w, part),
 b AS (SELECT method, w, mrr AS tune_mrr FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mrr DESC, w) AS k FROM a WHERE part = 'tune') WHERE k = 1)
 SELECT b.method, b.w, tune_mrr, a.mrr AS test_mrr FROM b LEFT JOIN a ON a.method = b.method AND a.w = b.w AND a.part = 'test'"""
+
+# ---------------------------------------------------------------- earlier names
+
+#: These forms were once cut to eight words and 120 characters; now they are whole, and the longer names say the same.
+OF_TEXTS = ("r2_bm25_search", "e3_bm25_metrics", "r5_rerank", "r6_hybrid_search", "e3_hybrid_metrics", "r20_stage_trace", "r21_result_dedup", "r22_stage_counts", "a13_merchant_facet")
+QUERIES |= {f"{name}_whole": QUERIES[name] for name in OF_TEXTS}
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name] for name in OF_TEXTS}
+LATER = {"r18_color_boost_all": "r18_color_boost", "e10_boost_choice_all": "e10_boost_choice", "e9_weight_choice_both": "e9_weight_choice"}
+QUERIES |= {name: QUERIES[same] for name, same in LATER.items()}
+ORACLE_SQL |= {name: ORACLE_SQL[same] for name, same in LATER.items()}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import colors
 from shelfrank.functions import text as T
+from shelfrank.functions.vectors import dot
 from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, kernel, lexical, ranking
 from shelfrank.sources import tables
 
@@ -67,13 +68,18 @@ def test_constant_side_gives_zero(spark):
     assert [r.item_id for r in fusion.blended_search(rows, 5).orderBy("rank").collect()] == [2, 1]
 
 
+def every_pair(queries, rows, vector, own, name):
+    """Scores of all pairs, on a small fixture only."""
+    return rows.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot(F.col(own), F.col(vector)), 6).alias(name))
+
+
 def test_kernel_equals_small_path(spark, data):
     from shelfrank.plans import retrieval
 
     q, i = retrieval.target_queries(spark, data), retrieval.items(spark, data)
     queries, rows = q.select("query_id", F.col("photo_query").alias("vector")), i.select("item_id", F.col("photo_vector").alias("item_vector"))
     targets = q.select("query_id", "target_id")
-    slow = dense.target_ranks(dense.small_scores(queries, rows), targets)
+    slow = dense.target_ranks(every_pair(queries, rows, "vector", "item_vector", "score"), targets)
     fast = dense.target_ranks_at_scale(queries, rows, targets)
     assert sorted(map(tuple, slow.collect())) == sorted(map(tuple, fast.collect()))
 
@@ -85,9 +91,11 @@ def test_blend_kernel_equals_windowed_form(spark, data, monkeypatch, block):
 
     monkeypatch.setattr(kernel, "QUERY_BLOCK", block)
     monkeypatch.setattr(kernel, "ITEM_BLOCK", block)
+    monkeypatch.setattr(kernel, "LEAST_ITEMS", 12 * block)
     q, i = retrieval.target_queries(spark, data).where("query_id < 200"), retrieval.items(spark, data).repartition(5)
     fast = blend.search(q.select("query_id", "photo_query", "title_query"), i, 20)
-    slow = retrieval.blended_small(spark, data).where("query_id < 200")
+    photo, title = (every_pair(q, i, f"{x}_query", f"{x}_vector", x) for x in ("photo", "title"))
+    slow = fusion.blended_search(photo.join(title, ["query_id", "item_id"]), 20).select("query_id", "item_id", "score", "rank")
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
 
 
