@@ -11,30 +11,31 @@ from pyspark.sql import functions as F
 # texts but usually something else in queries.
 PALETTE = ("black", "white", "gray", "beige", "brown", "red", "pink", "orange", "yellow", "green", "blue", "purple", "gold", "silver", "multicolor", "clear")
 WORDS = {
-    "black": "black jet onyx ebony",
-    "white": "white ivory off-white offwhite snow",
-    "gray": "gray grey charcoal slate graphite heather ash pewter smoke",
-    "beige": "beige cream tan khaki camel nude sand oatmeal ecru taupe natural champagne bone linen neutral stone",
-    "brown": "brown chocolate espresso walnut mocha cognac chestnut mahogany wood oak caramel coffee",
-    "red": "red burgundy maroon wine crimson scarlet cherry brick oxblood ruby",
-    "pink": "pink rose blush fuchsia magenta coral salmon",
-    "orange": "orange rust copper tangerine peach apricot terracotta",
-    "yellow": "yellow mustard lemon",
-    "green": "green olive sage emerald mint forest lime",
-    "blue": "blue navy denim cobalt indigo sky royal cyan periwinkle teal turquoise aqua",
-    "purple": "purple lavender lilac violet plum eggplant mauve",
-    "gold": "gold golden brass bronze",
-    "silver": "silver chrome metallic platinum steel nickel",
-    "multicolor": "multicolor multicolored multi rainbow colorful assorted print",
-    "clear": "clear transparent",
+    "black": ("black", "jet", "onyx", "ebony"),
+    "white": ("white", "ivory", "off-white", "offwhite", "snow"),
+    "gray": ("gray", "grey", "charcoal", "slate", "graphite", "heather", "ash", "pewter", "smoke"),
+    "beige": ("beige", "cream", "tan", "khaki", "camel", "nude", "sand", "oatmeal", "ecru", "taupe", "natural", "champagne", "bone", "linen", "neutral", "stone"),
+    "brown": ("brown", "chocolate", "espresso", "walnut", "mocha", "cognac", "chestnut", "mahogany", "wood", "oak", "caramel", "coffee"),
+    "red": ("red", "burgundy", "maroon", "wine", "crimson", "scarlet", "cherry", "brick", "oxblood", "ruby"),
+    "pink": ("pink", "rose", "blush", "fuchsia", "magenta", "coral", "salmon"),
+    "orange": ("orange", "rust", "copper", "tangerine", "peach", "apricot", "terracotta"),
+    "yellow": ("yellow", "mustard", "lemon"),
+    "green": ("green", "olive", "sage", "emerald", "mint", "forest", "lime"),
+    "blue": ("blue", "navy", "denim", "cobalt", "indigo", "sky", "royal", "cyan", "periwinkle", "teal", "turquoise", "aqua"),
+    "purple": ("purple", "lavender", "lilac", "violet", "plum", "eggplant", "mauve"),
+    "gold": ("gold", "golden", "brass", "bronze"),
+    "silver": ("silver", "chrome", "metallic", "platinum", "steel", "nickel"),
+    "multicolor": ("multicolor", "multicolored", "multi", "rainbow", "colorful", "assorted", "print"),
+    "clear": ("clear", "transparent"),
 }
 PHRASES = {"hot pink": "pink"}
 AMBIGUOUS = (
-    "print coffee wood wine natural neutral stone linen steel chocolate espresso champagne oak snow sky cherry ruby bone multi heather brick apricot "
-    "lemon lime smoke ash sand royal forest jet metallic walnut coral salmon peach mint caramel"
-).split()
+    "print", "coffee", "wood", "wine", "natural", "neutral", "stone", "linen", "steel", "chocolate", "espresso", "champagne", "oak", "snow", "sky",
+    "cherry", "ruby", "bone", "multi", "heather", "brick", "apricot", "lemon", "lime", "smoke", "ash", "sand", "royal", "forest", "jet", "metallic",
+    "walnut", "coral", "salmon", "peach", "mint", "caramel",
+)
 
-BY_WORD = {w: color for color, ws in WORDS.items() for w in ws.split()}
+BY_WORD = {w: color for color, ws in WORDS.items() for w in ws}
 
 
 def _map(pairs: dict[str, str]) -> Column:

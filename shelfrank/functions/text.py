@@ -23,12 +23,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+#: What marketplaces put before and after titles.
+TITLE_PREFIXES, TITLE_SUFFIXES = ("Amazon.com: ", "Amazon.com : "), (" - Etsy", " | Etsy")
+
+
 def clean_title(title: Column) -> Column:
     """Title without marketplace prefixes and suffixes; each is removed at most once, in this order."""
     t = strip(F.coalesce(title, F.lit("")))
-    for prefix in ("Amazon.com: ", "Amazon.com : "):
+    for prefix in TITLE_PREFIXES:
         t = F.when(t.startswith(prefix), F.substr(t, F.lit(len(prefix) + 1))).otherwise(t)
-    for suffix in (" - Etsy", " | Etsy"):
+    for suffix in TITLE_SUFFIXES:
         t = F.when(t.endswith(suffix), F.substr(t, F.lit(1), F.length(t) - len(suffix))).otherwise(t)
     return strip(t)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,15 +32,19 @@ def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(df: DataFrame, key: str, text: str, model_id: str, encode: Callable[[list[str]], np.ndarray] = hashed_encoder, modality: str = "title") -> DataFrame:
-    """``key, model_id, modality, embedding``; rows of different models never meet, as joins use model_id."""
+def embed(df: DataFrame, key: str, text: str, model_id: str, encode: Callable[[list[str]], np.ndarray] = hashed_encoder, modality: str = "title", blank: str | bytes = "", lower: bool = False) -> DataFrame:
+    """``key, model_id, modality, embedding``; rows of different models never meet, as joins use model_id.
+
+    ``text`` may be bytes (images) as well; ``blank`` stands for nulls and has the same type. ``lower`` is for models
+    that were trained on lower-case text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = encode([x or "" for x in batch["text"]])
+            vectors = encode([blank if x is None else x for x in batch["text"]])
             yield pd.DataFrame({key: batch[key], "model_id": model_id, "modality": modality, "embedding": list(vectors)})
 
-    rows = df.select(key, F.col(text).alias("text"))
+    rows = df.select(key, (F.lower(F.col(text)) if lower else F.col(text)).alias("text"))
     return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, model_id string, modality string, embedding array<float>")
 
 
@@ -48,20 +53,33 @@ def work_list(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def annotate(work: DataFrame, keys: list[str], prompt: str, call: Callable[[str], str], tries: int = 3) -> DataFrame:
-    """``keys, reply, error`` of a call per row; a failing row is recorded and stays in the next work list."""
+def may_pass(error: Exception) -> bool:
+    """Whether a call may work later: the service is busy (429) or failed itself (5xx), or cannot be reached."""
+    status = getattr(error, "status", getattr(error, "code", None))
+    return isinstance(error, (ConnectionError, TimeoutError)) or (isinstance(status, int) and (status == 429 or 500 <= status < 600))
+
+
+def annotate(work: DataFrame, keys: list[str], prompt: str, call: Callable[[str], str], tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """``keys, reply, error`` of a call per row; a failing row is recorded and stays in the next work list.
+
+    Failures that may pass are tried again after ``pause`` seconds, twice that, and so on; others are not.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             replies, errors = [], []
             for text in batch["_prompt"]:
                 reply = error = None
-                for _ in range(tries):
+                for k in range(tries):
                     try:
                         reply, error = call(text), None
                         break
                     except Exception as e:  # noqa: BLE001  any failure of the caller's model is a result here
                         error = str(e)
+                        if not may_pass(e):
+                            break
+                        if k + 1 < tries:
+                            time.sleep(pause * 2**k)
                 replies.append(reply)
                 errors.append(error)
             yield batch[keys].assign(reply=pd.Series(replies, dtype=object), error=pd.Series(errors, dtype=object))
@@ -92,3 +110,9 @@ def agreement(rows: DataFrame) -> DataFrame:
     """How often two methods give a product one colour. ``rows(product_id, method, color)``."""
     a, b = (rows.where(F.col("method") == m).select("product_id", F.col("color").alias(m)) for m in ("closed", "open"))
     return a.join(b, "product_id").agg(F.count("*").alias("n"), F.round(F.avg((F.col("closed") == F.col("open")).cast("int")), 6).alias("agreement"))
+
+
+def disagreements(rows: DataFrame) -> DataFrame:
+    """``product_id, closed, open`` where the two methods differ. ``rows(product_id, method, color)``."""
+    a, b = (rows.where(F.col("method") == m).select("product_id", F.col("color").alias(m)) for m in ("closed", "open"))
+    return a.join(b, "product_id").where(F.col("closed") != F.col("open"))

@@ -20,29 +20,38 @@ TERM_BYTES, ANCHOR_BYTES = 128, 64
 
 
 class Index(NamedTuple):
-    """``postings(doc_id, term, tf, dl)``, ``terms(term, df, idf)`` and the one-row ``stats(n, avgdl)``."""
+    """``postings(doc_id, dl, posting)``, one row per document, ``terms(term, df, idf)`` and the one-row ``stats(n, avgdl)``."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
-def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Counts include documents without tokens. Postings are grouped by document: frequent terms make no hot key.
+def postings_of(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, dl, posting``: each document's length and ``(term, tf)`` list; also of documents without tokens.
 
-    Tokens are found once, before the only shuffle of texts, and cross it as one string per document.
+    Whole texts are shuffled once, by document, so a frequent term is never a hot key. Save the result where it is
+    used more than once: texts are then tokenized once.
     """
-    said = F.array_join(tokenize(F.col(text)), " ")
-    base = corpus.select(F.col(doc_id).alias("doc_id"), said.alias("said")).repartition("doc_id")
-    base = base.select("doc_id", F.filter(F.split("said", " "), lambda x: x != "").alias("tokens"))
-    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    each = base.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    tokens = texts.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    each = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    counted = each.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf"))
+    return counted.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("posting"))
+
+
+def index_of(postings: DataFrame) -> Index:
+    """The index over (saved) ``postings``; counts include documents without tokens."""
+    stats = postings.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    terms = postings.select(F.explode("posting.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return Index(postings, terms.select("term", "df", idf.alias("idf")), stats)
 
 
+def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    return index_of(postings_of(corpus, doc_id, text))
+
+
 def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """``query_id, term, qtf``: a repeated term counts each time."""
     return queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -61,7 +70,9 @@ def search(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: flo
     terms = query_terms(queries)
     said = small(terms, TERM_BYTES)
     asked = small(said.join(index.terms.select("term", "idf"), "term"), TERM_BYTES, terms)  # no more rows than were counted
-    hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
+    # compact rows are shuffled by document, so scores are summed up where they arise and only top rows travel
+    postings = index.postings.repartition("doc_id").select("doc_id", "dl", F.explode("posting").alias("p")).select("doc_id", "dl", "p.term", "p.tf")
+    hits = postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     scored = hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")

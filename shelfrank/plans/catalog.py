@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions import text as T
-from ..operators import catalog, enrich, evaluate, profile
+from ..operators import catalog, enrich, evaluate, lexical, profile
 from ..operators.ranking import first_of
+from ..sources import tables
+from ..sources.scratch import scratch_path
 from . import retrieval
 from .retrieval import items, table
 
@@ -129,9 +133,7 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_agreement(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.coalesce(colors.normalize_color(F.col("p_name")), F.lit("")).alias("color"))
-    shifted = p.withColumn("color", F.when(F.col("product_id") % 5 == 0, "clear").otherwise(F.col("color")))
-    return enrich.agreement(p.withColumn("method", F.lit("closed")).unionByName(shifted.withColumn("method", F.lit("open"))))
+    return enrich.agreement(_two_methods(spark, d))
 
 
 def query_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -253,6 +255,99 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     return enrich.usage(e.select(F.col("user_id").alias("tokens_in"), (F.col("event_id") % 50).alias("tokens_out"), F.when(F.col("event_type") == "error", "x").alias("error")))
 
 
+def catalog_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus operator over a catalog, enriched texts and an image inventory."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        k.alias("global_product_id"), F.col("p_brand").alias("advertiser_program_name"), F.concat(F.lit(" Amazon.com: "), F.col("p_name"), F.lit(" - Etsy ")).alias("most_recent_product_name"),
+        F.when(k % 5 != 0, F.col("p_brand")).alias("most_recent_product_description"), F.concat(F.lit("http://x/"), k.cast("string")).alias("linked_product_url"),
+        F.col("p_retailprice").cast("string").alias("most_recent_price"), F.lit(None).cast("string").alias("most_recent_product_image"), F.concat(F.lit("/images/"), k.cast("string"), F.lit(".jpg")).alias("outpath"), k.alias("seq"),
+    )
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("global_product_id"), F.col("text").alias("text_description"), F.col("doc_id").alias("seq"))
+    images = table(spark, d, "part").where(k % 7 != 0).select(F.concat(k.cast("string"), F.lit(".jpg")).alias("name"))
+    return catalog.corpus(rows, texts, images).drop("seq")
+
+
+def gallery_counts(spark: SparkSession, d: str) -> DataFrame:
+    g = catalog.gallery(_corpus(spark, d))
+    return g.agg(F.count("*").alias("items"), F.count_distinct("merchant").alias("merchants"), F.count_if(F.col("ai_description") != "(none)").alias("described"))
+
+
+def described_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded sample of products that have a description, joined to it."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    ids = texts.where(F.length("description") > 0).join(table(spark, d, "part").select(F.col("p_partkey").alias("id")), "id", "left_semi").select("id")
+    return evaluate.sample_ids(ids, 300).join(texts, "id", "left").select("id", F.md5("description").alias("described"))
+
+
+def label_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Items with a colour, and queries whose target has one."""
+    labelled = items(spark, d).agg(F.count("*").alias("items"), F.round(F.avg((F.col("color") != "").cast("int")), 6).alias("labelled"))
+    asked = retrieval.target_queries(spark, d).join(items(spark, d).select(F.col("item_id").alias("target_id"), "color"), "target_id").agg(F.count_if(F.col("color") != "").alias("color_queries"))
+    return labelled.crossJoin(asked)  # one row each
+
+
+def _two_methods(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.coalesce(colors.normalize_color(F.col("p_name")), F.lit("")).alias("color"))
+    shifted = p.withColumn("color", F.when(F.col("product_id") % 5 == 0, "clear").otherwise(F.col("color")))
+    return p.withColumn("method", F.lit("closed")).unionByName(shifted.withColumn("method", F.lit("open")))
+
+
+def method_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.disagreements(_two_methods(spark, d))
+
+
+# ---------------------------------------------------------------- written and read again
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes and line ends as several CSV files, read by a glob with a schema."""
+    path = scratch_path(spark, "csv")
+    texts = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), "n_chars").repartition(3, "doc_id")
+    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    back = tables.read_csv(spark, f"{path}/*.csv", "doc_id long, text string, n_chars long")
+    return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"), "n_chars")
+
+
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "jsonl")
+    for part in (0, 1):  # results are appended
+        tables.append_results(table(spark, d, "conversations").where(F.col("turn") % 2 == part), path)
+    return tables.read_jsonl(spark, path, "conv_id long, turn int, role string, text string").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+
+
+def vector_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of two modalities; one of them is read back."""
+    path, i = scratch_path(spark, "vectors"), items(spark, d)
+    both = [i.select("item_id", F.lit("joint").alias("model_id"), F.lit(m).alias("modality"), F.col(f"{m}_vector").alias("embedding")) for m in ("photo", "title")]
+    tables.write_vectors(both[0].unionByName(both[1]), path)
+    e = F.col("embedding")
+    return tables.read_vectors(spark, path, "joint", "title").select("item_id", F.size(e).cast("long").alias("d"), F.round(F.element_at(e, 1), 6).alias("first"), F.round(F.element_at(e, -1), 6).alias("last"))
+
+
+def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A search over an index that was written and read."""
+    path = scratch_path(spark, "index")
+    tables.write_index(retrieval.bm25_index(spark, d), path)
+    return lexical.search(lexical.Index(*tables.read_index(spark, path)), retrieval.text_queries(spark, d), 50)
+
+
+def metric_tables(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "metrics")
+    tables.write_metrics(locale_counts(spark, d), path)
+    return spark.read.schema("value string, n long").json(path)
+
+
+def export_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every table of a written bundle, and the manifest's own counts."""
+    path, rows = scratch_path(spark, "bundle"), items(spark, d).withColumnRenamed("item_id", "product_id")
+    tables.write_bundle(rows.select("product_id", "color", "category"), {x: rows.select("product_id", F.col(f"{x}_vector").alias("embedding")) for x in ("photo", "title")}, path)
+    counts = [spark.read.parquet(f"{path}/{x}").agg(F.lit(x).alias("part"), F.count("*").alias("n")) for x in ("items", "photo", "title")]
+    said = spark.read.schema("items long, labelled long").json(f"{path}/manifest")
+    counts += [said.select(F.lit(f"manifest {c}").alias("part"), F.col(c).alias("n")) for c in ("items", "labelled")]
+    return reduce(DataFrame.unionByName, counts)
+
+
 EXAMPLES = """ex AS (SELECT user_id AS query_id, CAST(event_id % (SELECT count(*) FROM part) + 1 AS VARCHAR) AS product_id, CAST(user_id % 3 AS VARCHAR) AS product_locale, event_type AS esci_label,
 event_id % 2 AS small_version, 1 AS large_version, CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, event_id FROM events)"""
 CLEAN = "trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
@@ -278,6 +373,9 @@ QUERIES = {
     "p1_us_corpus": us_corpus, "p10_clean_queries": clean_queries, "p11_rejected_filters": rejected_filters, "p13_valid_labels": valid_labels, "p15_cards": cards, "p16_lookup": lookups,
     "j3_judged_titles": judged_titles, "j4_attributes": attributes, "a1_table_sizes": table_sizes, "a16_usage": usage,
     "p2_task_slice": task_rows, "e1_test_set": truth, "p5_gallery_queries": gallery_queries, "p14_merchant_results": merchant_results, "f5_url_parts": url_parts, "f21_prompts": prompts,
+    "p3_catalog_corpus": catalog_corpus, "a14_gallery_counts": gallery_counts, "e14_described_sample": described_sample, "e11_label_shares": label_shares, "e13_disagreements": method_disagreements,
+    "s2_csv_round_trip": csv_round_trip, "s4_jsonl_round_trip": jsonl_round_trip, "s9_vector_round_trip": vector_round_trip, "s10_index_round_trip": index_round_trip,
+    "s12_metric_tables": metric_tables, "s13_export_bundle": export_round_trip,
 }
 
 ORACLE_SQL = {
@@ -350,5 +448,25 @@ SELECT page_id, string_split(url, '/')[-1] AS base, regexp_replace(regexp_replac
     "f21_prompts": "SELECT p_partkey, 'Title: ' || coalesce(p_name, '') || '. Brand: ' || coalesce(p_brand, '') || '.' AS prompt FROM part",
 }
 
+ORACLE_SQL |= {
+    "p3_catalog_corpus": """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS title, CASE WHEN p_partkey % 5 <> 0 THEN p_brand ELSE '' END AS description, coalesce(text, '') AS ai_description,
+p_brand AS merchant, CAST(p_retailprice AS DOUBLE) AS price, 'http://x/' || p_partkey AS url, '' AS image_url, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey || '.jpg' ELSE '' END AS local_image
+FROM part LEFT JOIN documents ON doc_id = p_partkey""",
+    "a14_gallery_counts": f"""WITH {CORPUS}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY local_image ORDER BY seq) AS k FROM corpus WHERE local_image <> '') WHERE k = 1),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY seq) AS m FROM a) WHERE m = 1)
+SELECT count(*) AS items, count(DISTINCT merchant) AS merchants, count(*) FILTER (ai_description <> '(none)') AS described FROM g""",
+    "e14_described_sample": """SELECT id, md5(text) AS described FROM (SELECT doc_id AS id, text FROM documents WHERE len(text) > 0 AND doc_id IN (SELECT p_partkey FROM part)
+ORDER BY md5('0:' || doc_id), doc_id LIMIT 300)""",
+    "e11_label_shares": f"""WITH {I} SELECT (SELECT count(*) FROM items) AS items, (SELECT round(avg((color <> '')::INT), 6) FROM items) AS labelled,
+(SELECT count(*) FROM tq JOIN items ON item_id = target_id WHERE color <> '') AS color_queries""",
+    "e13_disagreements": f"""WITH {COLOR} SELECT p_partkey AS product_id, coalesce(color, '') AS closed, 'clear' AS open FROM part JOIN col USING (p_name) WHERE p_partkey % 5 = 0 AND coalesce(color, '') <> 'clear'""",
+    "s2_csv_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text, n_chars FROM documents",
+    "s4_jsonl_round_trip": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations",
+    "s9_vector_round_trip": f"WITH {I} SELECT item_id, CAST(len(tv) AS BIGINT) AS d, round(tv[1], 6) AS first, round(tv[-1], 6) AS last FROM items",
+    "s10_index_round_trip": retrieval.ORACLE_SQL["r2_bm25_search"],
+    "s12_metric_tables": ORACLE_SQL["a2_locale_counts"],
+    "s13_export_bundle": f"""WITH {I} SELECT unnest(['items', 'photo', 'title', 'manifest items']) AS part, count(*) AS n FROM items UNION ALL SELECT 'manifest labelled', count(*) FROM items WHERE color <> ''""",
+}
+
 QUERIES["p14_merchant_results_whole"] = merchant_results  # an earlier name
 ORACLE_SQL["p14_merchant_results_whole"] = ORACLE_SQL["p14_merchant_results"]

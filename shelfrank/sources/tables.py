@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import taxonomy_level2
+from ..operators.catalog import export_bundle
 
 CATALOG = (
     "global_product_id long, advertiser_program_name string, most_recent_product_name string, most_recent_product_description string, "
@@ -22,7 +23,7 @@ def with_order(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV by header names: quoted fields may hold line ends; columns that are not asked for are not parsed."""
+    """CSV by header names, of one file, a glob or a list: quoted fields may hold line ends; columns that are not asked for are not parsed."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     wanted = [x.split() for x in schema.split(", ")]
     return df.select(*[F.col(n).try_cast(t).alias(n) for n, t in wanted if columns is None or n in columns])
@@ -39,7 +40,7 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the files under ``path``; contents are not read."""
+    """Names and lengths of the files under ``path``; contents are not read, and empty files, which hold no image, are left out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
@@ -47,6 +48,29 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("model_id", "modality").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str, model_id: str, modality: str) -> DataFrame:
+    """The vectors of one model and modality; only their folder is read."""
+    return spark.read.parquet(path).where((F.col("model_id") == model_id) & (F.col("modality") == modality))
+
+
+def has_vectors(spark: SparkSession, path: str, model_id: str, modality: str) -> bool:
+    return exists(spark, path) and not read_vectors(spark, path, model_id, modality).isEmpty()
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metric tables are a few rows of JSON lines."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_bundle(items: DataFrame, vectors: dict[str, DataFrame], path: str) -> None:
+    """``items``, a table of vectors of each kind, and ``manifest``; raises where counts differ."""
+    kept, manifest = export_bundle(items, vectors)
+    kept.write.mode("overwrite").parquet(f"{path}/items")
+    for kind, table in vectors.items():
+        table.join(kept.select("product_id"), "product_id", "left_semi").write.mode("overwrite").parquet(f"{path}/{kind}")
+    write_metrics(manifest, f"{path}/manifest")
+
+
 def write_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
     for name, df in zip(("postings", "terms", "stats"), index, strict=True):
         df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -224,3 +224,68 @@ def test_cards_facets_and_export(spark):
     assert rows.where(catalog.facet_filter(None, F.lit("A"))).count() == 1 and rows.where(catalog.facet_filter(None, F.lit("A > C"))).count() == 0
     with pytest.raises(ValueError):
         catalog.export_bundle(rows, {"photo": rows.where("false").select("product_id")})
+
+
+def test_several_csv_files_inventory_and_readability(spark, tmp_path):
+    for name, body in (("a_x.csv", 'id,text,more\n1,"two\nlines, ""quoted""",z\n'), ("b_x.csv", "id,text,more\n2,,z\nbad,t,z\n")):
+        (tmp_path / name).write_text(body)
+    got = tables.read_csv(spark, f"file://{tmp_path}/*_x.csv", "id long, text string").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(None, "t"), (1, 'two\nlines, "quoted"'), (2, None)]
+    images = tmp_path / "images" / "deep"
+    images.mkdir(parents=True)
+    for name, body in (("a.jpg", b"\xff\xd8\xff\xe0data"), ("b.png", b"\x89PNG\r\n\x1a\nx"), ("c.jpg", b"not an image"), ("d.png", b"")):
+        (images / name).write_bytes(body)
+    have = {r.name: r.length for r in tables.image_inventory(spark, f"file://{tmp_path}/images").collect()}
+    assert have == {"a.jpg": 8, "b.png": 9, "c.jpg": 12}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{tmp_path}/images")
+    assert {r.name for r in files.where(catalog.readable(F.col("content"))).select(F.element_at(F.split("path", "/"), -1).alias("name")).collect()} == {"a.jpg", "b.png"}
+
+
+def test_half_precision(spark):
+    import numpy as np
+
+    from shelfrank.functions.vectors import half_precision
+
+    rows = [(1, [0.1, -2.0, 65504.0]), (2, [])]
+    got = {r.i: r.h for r in spark.createDataFrame(rows, "i int, v array<float>").select("i", half_precision(F.col("v")).alias("h")).collect()}
+    assert got[1] == np.array(rows[0][1], np.float16).astype(np.float32).tolist() and got[2] == []
+
+
+def test_encoders_of_bytes_and_lower_case(spark):
+    import numpy as np
+
+    seen = lambda xs: np.array([[len(x), x[:1] in ("A", b"A")] for x in xs], np.float32)
+    images = spark.createDataFrame([(1, bytearray(b"Abc")), (2, None)], "i long, x binary")
+    assert {r.i: r.embedding for r in enrich.embed(images, "i", "x", "m", seen, "photo", blank=b"").collect()} == {1: [3.0, 1.0], 2: [0.0, 0.0]}
+    texts = spark.createDataFrame([(1, "Abc")], "i long, x string")
+    assert [enrich.embed(texts, "i", "x", "m", seen, lower=low).first().embedding for low in (False, True)] == [[3.0, 1.0], [3.0, 0.0]]
+
+
+def test_only_failures_that_may_pass_are_tried_again(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def call(text):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        with open(log) as f:
+            n = f.read().split().count(text)
+        error = RuntimeError(text)
+        error.status = {"busy": 429, "down": 503, "wrong": 400}[text]
+        if text == "busy" and n == 3:
+            return "done"
+        raise error
+
+    work = spark.createDataFrame([(1, "busy"), (2, "down"), (3, "wrong")], "k long, p string").coalesce(1)
+    got = {r.k: (r.reply, r.error) for r in enrich.annotate(work, ["k"], "p", call, tries=3, pause=0.01).collect()}
+    assert got == {1: ("done", None), 2: (None, "down"), 3: (None, "wrong")}
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["busy"] * 3 + ["down"] * 3 + ["wrong"]
+
+
+def test_short_passages_are_found(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone two threex four"), (3, None), (4, "")], "doc_id long, text string")
+    said = [(1, "two three"), (2, "one"), (3, "one two three"), (4, "two three four five six"), (5, "nine ten eleven"), (6, "two three four five six seven")]
+    passages = spark.createDataFrame(said, "query_id long, passage string")
+    want = sorted((q, i) for q, p in said for i, t in ((1, "one two three four five six seven"), (2, "xone two threex four")) if p in t)
+    assert sorted(map(tuple, lexical.holding(docs, passages).collect())) == want
+    assert lexical.holding(docs, passages.where("false")).count() == 0
