@@ -384,3 +384,147 @@ def test_large_filter_is_joined_by_block(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}h.com/{i // 2 % 90}", "x") for i in range(400)], "page_id long, url string, _at string")
     got = url_filter.judge(pages, url_filter.spelled_twice(pages)).collect()
     assert len(got) == 400 and all(r.listed for r in got) and url_filter.judge(pages.where("false"), url_filter.spelled_twice(pages)).count() == 0
+
+
+# ------------------------------------------------------------------ whole queries against plain versions
+
+
+def test_toxicity_query_equals_a_plain_version(spark, data):
+    """Features, grades, weights and scores of all documents, from plain counts."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{data}/labels.parquet").where("toxic is not null").collect():
+        labels.setdefault(r.doc_id, []).append(r.toxic)
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    named = lambda w: [w, *("^" + w[:n] for n in (4, 5, 6, 7) if len(w) >= n)]
+    sample = [(docs[i], max(x)) for i, x in labels.items() if i in docs]
+    seen = {}
+    for t, y in sample:
+        for f in {f for w in words(t) for f in named(w)}:
+            seen.setdefault(f, [0, 0])[y] += 1
+    size, n = [sum(y == k for _, y in sample) for k in (0, 1)], len(sample)
+
+    def certainty(c):
+        cells = [(c[k], sum(c) * size[k] / n) for k in (0, 1)] + [(size[k] - c[k], (n - sum(c)) * size[k] / n) for k in (0, 1)]
+        return sum(2 * a * np.log(a / b) for a, b in cells if a)
+
+    best = sorted((-round(certainty(c), 6), f) for f, c in seen.items() if sum(c) >= 5 and certainty(c) >= 15)[:600]
+    names = [f for _, f in best]
+    place = {f: k for k, f in enumerate(names)}
+
+    def vector(t):
+        x = np.zeros(len(names))
+        for w in words(t):
+            for f in named(w):
+                if f in place:
+                    x[place[f]] += 1
+        return np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0)
+
+    x, y = np.array([vector(t) for t, _ in sample]), np.array([v for _, v in sample])
+    held = x[:, [seen[f][1] > 4 * seen[f][0] for f in names]].sum(axis=1)
+    grade = np.where(y == 1, 1 + (held > np.median(held[y == 1])), 0)
+    w, cuts = toxicity.fit_ordinal(x, grade)
+    every = [max(v) for v in labels.values() for _ in v]
+    share = np.mean([v for vs in labels.values() for v in vs])
+    cuts = cuts + np.log(y.mean() / (1 - y.mean())) - np.log(share / (1 - share))
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, data).collect()}
+    assert set(got) == set(docs) and every
+    for i, t in docs.items():
+        p = 1 / (1 + np.exp(np.clip(cuts - vector(t) @ w, -50, 50))) if t else np.zeros(2)
+        assert got[i].expected_severity == pytest.approx(p.sum(), abs=2e-3)
+        if np.abs(p - 0.5).min() > 1e-2:
+            assert got[i].severity == (p >= 0.5).sum() and got[i].toxic == (p[0] >= 0.5)
+
+
+def test_secrets_query_equals_a_plain_version(spark, data):
+    """Base spans, both models and all spans of all documents, from plain loops."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+    def base(t):
+        out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+    letters = "A-Za-z0-9+/_-"
+    clear = lambda m, spans: all(m.end() <= s or e <= m.start() for s, _, e in spans)
+    counts = ({}, {})
+    for t in docs.values():
+        spans = base(t)
+        random_ = [m[0] for s, _, e in spans for m in re.finditer(f"[{letters}]{{6,}}", t[s:e].split("=")[-1])]
+        ordinary = [m[0] for m in re.finditer(f"(?<![{letters}])[{letters}]{{6,19}}(?![{letters}])", t) if clear(m, spans)]
+        for c, tokens in zip(counts, (random_, ordinary), strict=True):
+            for token in tokens:
+                for a, b in zip("^" + token[:-1], token, strict=True):
+                    c[a, b] = c.get((a, b), 0) + 1
+
+    def chance(c, a, b):
+        to, out = {}, {}
+        for (x, y), k in c.items():
+            to[y], out[x] = to.get(y, 0) + k, out.get(x, 0) + k
+        return lambda a, b: np.log((c.get((a, b), 0) + 5.0 * (to.get(b, 0) + 0.5) / (sum(to.values()) + 0.5 * 67)) / (out.get(a, 0) + 5.0))
+
+    one, two = (chance(c, 0, 0) for c in counts)
+    got = {r.doc_id: r for r in queries.op6_secrets(spark, data).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        spans = base(t)
+        line = lambda xs: ",".join(f"{('assign', 'access', 'hex', 'markov')[k]}:{s}:{e}" for s, k, e in sorted(xs))
+        assert got[i].base_sha256 == hashlib.sha256(line(spans).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in spans) for j in range(3))
+        more = []
+        for m in re.finditer(f"(?<![{letters}])[{letters}]{{20,}}", t):
+            score = sum(one(a, b) - two(a, b) for a, b in zip("^" + m[0][:-1], m[0], strict=True)) if clear(m, spans) else 0
+            if score >= 30 and score >= len(m[0]):
+                more.append((m.start(), 3, m.end()))
+        assert got[i].spans == line(spans + more)
+
+
+# ------------------------------------------------------------------ awkward tables
+
+
+def test_training_on_awkward_labels(spark):
+    """Null, empty, repeated and contradicting labels; a label without a document; one kind only."""
+    docs = spark.createDataFrame([(i, f"kind words number{i} of people" if i % 2 else f"vile stupid words number{i}", 1) for i in range(60)] + [(60, None, 1), (61, "", 1), (None, "x", 1)], "doc_id long, text string, _label int")
+    rows = [(i, (i + 1) % 2) for i in range(60)] + [(0, 0), (0, 1), (0, None), (None, 1), (60, 0), (61, 1), (999, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    got = {r.doc_id: r.severity for r in toxicity.grade(docs, toxicity.train(docs, labels)).collect()}
+    assert len(got) == 63 and all((got[i] > 0) == (i % 2 == 0) for i in range(60)) and got[60] == got[61] == 0
+    for some in (labels.where("false"), labels.where("toxic = 1")):
+        assert toxicity.train(docs, some).names == {}
+    assert toxicity.train(docs.where("false"), labels).names == {}
+
+
+def test_packing_awkward_rows(spark, rows):
+    """Nulls, blanks, repeated ids, a very long text and clashing columns: every token lies in one piece."""
+    clash = rows.withColumns({"start": F.lit(1), "length": F.lit("x"), "ids": F.lit("x")})
+    got = packing.pack(clash).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    n = {r.doc_id: (r.n, r.d) for r in got}
+    assert n[2] == n[3] == n[6] == (1, 1) and n[4] == (14, 7) and n[5] == (60_001, 60_001) and n[None] == (3, 3) and n[1] == (7, 7)
+    assert packing.pack(clash.where("doc_id = 2")).first().length == 1
+
+
+def test_awkward_pages(spark):
+    """Null and very long values, repeated rows, clashing columns and an empty table, for archives and URL filters."""
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "http://a.net/" + "p" * 200_000, "h" * 2_000_000, "x"), (3, "://", "", "x"), (4, "HTTP://A.NET?x", "é" * 10, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumns({"digest": F.lit("x"), "first": F.lit("x"), "_maybe": F.lit("x"), "key": F.lit("x")})
+    got = {(r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in warc.page_captures(pages).collect()}
+    assert got == {(1, "response", 0, None), (1, "revisit", 0, 1), (None, "response", 2_000_000, None), (3, "revisit", 0, 1), (4, "response", 20, None)}
+    said = sorted(((str(r.page_id), r.host, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.spelled_twice(pages)).collect()), key=str)
+    assert said == sorted([("1", "", None, "allow"), ("1", "", None, "allow"), ("None", "a.net", "net/", "block"), ("3", "", None, "allow"), ("4", "a.net", None, "allow")], key=str)
+    assert url_filter.judge(pages, spark.createDataFrame([], "key string")).count() == 5 and warc.page_captures(pages.where("false")).count() == 0
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark, rows, data):
+    import corpus_pipeline as p
+
+    docs = rows.withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "_gone": F.lit("x"), "_times": F.lit(1), "doc": F.lit("x"), "_left": F.lit("x")})
+    for table in (docs, docs.where("false")):
+        now = table
+        for _, stage in p.STAGES[:-1]:
+            after = stage(spark, now, data)
+            assert after.columns == table.columns
+            now = after.cache()
+        ids = {r.doc_id for r in now.collect()}
+        assert ids <= {r[0] for r in ROWS} and (not table.isEmpty()) == bool(ids)
+        assert {r.doc_id for r in p.STAGES[-1][1](spark, now, data).collect()} == ids
