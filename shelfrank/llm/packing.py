@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,12 +37,14 @@ FLUSH_TOKENS = 1 << 20
 #: Sequences in a step group.
 GROUP = 8
 END_ID = 1
-#: Bytes of words and ids kept in each of the two generations of a task's cache, and the longest word kept.
-CACHE_BYTES, LONGEST_KEPT = 8 << 20, 48
+#: Bytes of words and ids that a task's cache holds before it starts anew, and the longest word kept.
+CACHE_BYTES, LONGEST_KEPT = 40 << 20, 48
 #: What a cached word takes besides its characters and ids: two bytes objects and a place in the dict.
 ENTRY_BYTES = 120
-#: Fixed value: how the tokenizer cuts a word before its merges, for words of ASCII characters only.
-ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Fixed value: how the tokenizer cuts a lower-case word before its merges, for words of Latin-1 characters only.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: Latin-1 characters that the tokenizer takes for blanks and the split into words does not, or the other way round.
+BLANKS = re.compile("[\x1c-\x1f\x85\xa0]")
 
 
 def tokenizer_file() -> str:
@@ -50,61 +53,53 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_letters() -> dict[int, int]:
-    """Byte-level alphabet of byte-level BPE: printable Latin-1 stands for itself, other bytes for 256 and up."""
+def _byte_letters() -> str:
+    """Letter of each byte in byte-level BPE: printable Latin-1 stands for itself, other bytes for 256 and up."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(others)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
 class WordIds(dict):
     """Word (UTF-8 bytes without ASCII white space) to its ids as little-endian 32-bit bytes.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. Words of
-    ASCII characters are cut into pieces here and go straight to the BPE model, as do Latin-1 words; all others go
-    through the whole tokenizer. Two generations of CACHE_BYTES bound what is kept; a task makes its own cache and
-    drops it at its end.
+    Latin-1 characters are cut into pieces here and go straight to the BPE model; all others go through the whole
+    tokenizer. CACHE_BYTES bound what is kept; a task makes its own cache and drops it at its end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.old: dict[bytes, bytes] = {}
         self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.marks = {m: self.merged(chr(m)) for m in b".,"}
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.marks = {m: self.merged(bytes([m])) for m in b".,"}
 
-    def merged(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def merged(self, piece: bytes) -> bytes:
+        return array("I", [t.id for t in self.tokenize(charmap_decode(piece, "strict", self.letters)[0])]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def fresh(self, word: bytes) -> bytes:
-        if b"<|" in word:  # may hold a special token
-            return self.whole(word.decode())
-        if word.isascii():
-            low = word.lower()
-            if low.isalpha():
-                return self.merged(low.decode())
-            return b"".join([self.merged(piece.decode().translate(self.letters)) for piece in ASCII_PIECES.findall(low)])
+    def pieces(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isalpha() and max(text) <= "\xff":
-            return self.merged(text.lower().encode().decode("latin-1").translate(self.letters))
-        return self.whole(text)
+        if "<|" in text or not _is_latin_1(text) or BLANKS.search(text):  # may hold a special token, or other forms
+            return self.whole(text)
+        return b"".join([self.merged(piece.encode()) for piece in PIECES.findall(text.lower())])
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if (mark := self.marks.get(word[-1])) is not None and word[-2:-1].isalnum():
-                return self[word[:-1]] + mark  # a mark after a letter or digit is a piece of its own
-            ids = self.fresh(word)
+        if word.isalpha():  # ASCII letters stand for themselves
+            ids = array("I", [t.id for t in self.tokenize(word.lower().decode())]).tobytes()
+        elif word[-1] in b".," and word[-2:-1].isalnum():
+            return self[word[:-1]] + self.marks[word[-1]]  # a mark after a letter or digit is a piece of its own
+        else:
+            ids = self.pieces(word)
         if len(word) <= LONGEST_KEPT:
             if self.held >= CACHE_BYTES:
-                self.old, self.held = dict(self), 0
                 self.clear()
+                self.held = 0
             self[word] = ids
             self.held += ENTRY_BYTES + len(word) + len(ids)
         return ids
