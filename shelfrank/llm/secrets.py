@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two bigram models are trained from labelled samples: strings that the patterns found (random) and other words of the
-same texts (ordinary). A long token whose log-likelihood ratio per character and in sum exceed thresholds is a span of
-kind ``markov``, unless it overlaps a span of the patterns. Positions are code points, ends exclusive.
+same texts (ordinary). The ordinary model is trained twice: on words too short to be judged, then also on longer ones
+that the first models did not report, so that no unlabelled secret trains it. A token whose log-likelihood ratio per
+character and in sum exceed thresholds is a span of kind ``markov``, unless it overlaps a span of the patterns.
+Positions are code points, ends exclusive.
 
 A null text is empty. Texts are scanned whole. Without samples both models are uniform and only patterns report. Rows
 of one id are scanned one by one; an empty table gives an empty result.
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 #: Fixed patterns: kind, pattern, group whose length counts, and the least length.
 PATTERNS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
@@ -26,11 +30,12 @@ PATTERNS = (
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 )
 KINDS = ("assign", "access", "hex", "markov")
-#: Tokens that the models judge.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
-WORD = re.compile(r"[A-Za-z0-9+/_-]{6,}")
-#: Ordinary samples: shorter than what is judged, so that no unlabelled secret trains the ordinary model.
-ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,19}(?![A-Za-z0-9+/_-])")
+#: Least length of tokens that the models judge, and that of the patterns' strings that train them.
+JUDGED, LEAST = 12, 6
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % JUDGED)
+WORD = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
+#: Ordinary samples; longer tokens are rather paths and lists than words.
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,19}(?![A-Za-z0-9+/_-])" % LEAST)
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIZE = len(ALPHABET) + 1  # the last is the beginning of a token
 #: The classifier's bound: documents whose strings train the models.
@@ -73,7 +78,15 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
     """Log-likelihood ratio of each bigram, random over ordinary: one SIZE x SIZE table whatever the input's size."""
     n = documents.count()
     share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
-    sample = documents.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(text.alias("text"))
+    sample = documents.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(text.cast("string").alias("text"))
+    sample = materialize(sample, "secrets-sample")
+    ratio = _ratio(sample, _ratio(sample, None))
+    discard(sample)
+    return ratio
+
+
+def _ratio(sample: DataFrame, first: np.ndarray | None) -> np.ndarray:
+    """The table from a sample; ordinary words long enough to be judged take part if ``first`` is there to judge them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = np.zeros((2, SIZE, SIZE), np.int64)
@@ -86,7 +99,8 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
                     for m in WORD.finditer(t[start:end].rpartition("=")[2]):
                         np.add.at(both[0], steps(m[0]), 1)
                 for m in clear_of(spans, ORDINARY.finditer(t)):
-                    np.add.at(both[1], steps(m[0]), 1)
+                    if len(m[0]) < JUDGED or (first is not None and not is_random(m[0], first)):
+                        np.add.at(both[1], steps(m[0]), 1)
         kind, a, b = np.nonzero(both)
         yield pd.DataFrame({"kind": kind, "a": a, "b": b, "n": both[kind, a, b]})
 
@@ -101,13 +115,13 @@ def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
     return chance[0] - chance[1]
 
 
+def is_random(token: str, ratio: np.ndarray) -> bool:
+    score = float(ratio[steps(token)].sum())
+    return score >= IN_SUM and score >= PER_CHARACTER * len(token)
+
+
 def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
-    for m in clear_of(taken, TOKEN.finditer(text)):
-        score = float(ratio[steps(m[0])].sum())
-        if score >= IN_SUM and score >= PER_CHARACTER * (m.end() - m.start()):
-            found.append((m.start(), len(PATTERNS), m.end()))
-    return found
+    return [(m.start(), len(PATTERNS), m.end()) for m in clear_of(taken, TOKEN.finditer(text)) if is_random(m[0], ratio)]
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"

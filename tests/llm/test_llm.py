@@ -169,6 +169,17 @@ def test_base_spans_and_random_strings(spark):
     assert got[1000].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_short_random_strings_are_found_and_do_not_train_the_ordinary_model(spark):
+    rng, alphabet = random.Random(3), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [(i, f"the station of information was interesting and considerable token={make(24)} administration") for i in range(200)]
+    texts += [(1000 + i, f"look {make(16)} and transformation here") for i in range(100)] + [(2000, make(11)), (2001, "interestingstation")]
+    got = {r.doc_id: r for r in secrets.scan_digests(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[i].n_markov == 0 for i in (*range(200), 2000, 2001))
+    found = [got[1000 + i].spans for i in range(100)]
+    assert found.count("markov:5:21") >= 90 and set(found) <= {"", "markov:5:21"}
+
+
 def test_hex_runs_are_the_whole_runs():
     plain = lambda t: [m.span() for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 16]
     rng = random.Random(1)
@@ -448,23 +459,34 @@ def test_secrets_query_equals_a_plain_version(spark, data):
 
     letters = "A-Za-z0-9+/_-"
     clear = lambda m, spans: all(m.end() <= s or e <= m.start() for s, _, e in spans)
-    counts = ({}, {})
-    for t in docs.values():
-        spans = base(t)
-        random_ = [m[0] for s, _, e in spans for m in re.finditer(f"[{letters}]{{6,}}", t[s:e].split("=")[-1])]
-        ordinary = [m[0] for m in re.finditer(f"(?<![{letters}])[{letters}]{{6,19}}(?![{letters}])", t) if clear(m, spans)]
-        for c, tokens in zip(counts, (random_, ordinary), strict=True):
-            for token in tokens:
-                for a, b in zip("^" + token[:-1], token, strict=True):
-                    c[a, b] = c.get((a, b), 0) + 1
-
-    def chance(c, a, b):
+    def chance(c):
         to, out = {}, {}
         for (x, y), k in c.items():
             to[y], out[x] = to.get(y, 0) + k, out.get(x, 0) + k
         return lambda a, b: np.log((c.get((a, b), 0) + 5.0 * (to.get(b, 0) + 0.5) / (sum(to.values()) + 0.5 * 67)) / (out.get(a, 0) + 5.0))
 
-    one, two = (chance(c, 0, 0) for c in counts)
+    def models(judged):
+        counts = ({}, {})
+        for t in docs.values():
+            spans = base(t)
+            random_ = [m[0] for s, _, e in spans for m in re.finditer(f"[{letters}]{{6,}}", t[s:e].split("=")[-1])]
+            ordinary = [m[0] for m in re.finditer(f"(?<![{letters}])[{letters}]{{6,19}}(?![{letters}])", t) if clear(m, spans)]
+            for c, tokens in zip(counts, (random_, [x for x in ordinary if len(x) < 12 or not judged(x)]), strict=True):
+                for token in tokens:
+                    for a, b in zip("^" + token[:-1], token, strict=True):
+                        c[a, b] = c.get((a, b), 0) + 1
+        one, two = map(chance, counts)
+        score = lambda x: sum(one(a, b) - two(a, b) for a, b in zip("^" + x[:-1], x, strict=True))
+        known = {}
+
+        def reported(x):
+            if x not in known:
+                known[x] = score(x) >= max(30, len(x))
+            return known[x]
+
+        return reported
+
+    reported = models(models(lambda x: True))
     got = {r.doc_id: r for r in queries.op6_secrets(spark, data).collect()}
     assert set(got) == set(docs)
     for i, t in docs.items():
@@ -472,11 +494,7 @@ def test_secrets_query_equals_a_plain_version(spark, data):
         line = lambda xs: ",".join(f"{('assign', 'access', 'hex', 'markov')[k]}:{s}:{e}" for s, k, e in sorted(xs))
         assert got[i].base_sha256 == hashlib.sha256(line(spans).encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in spans) for j in range(3))
-        more = []
-        for m in re.finditer(f"(?<![{letters}])[{letters}]{{20,}}", t):
-            score = sum(one(a, b) - two(a, b) for a, b in zip("^" + m[0][:-1], m[0], strict=True)) if clear(m, spans) else 0
-            if score >= 30 and score >= len(m[0]):
-                more.append((m.start(), 3, m.end()))
+        more = [(m.start(), 3, m.end()) for m in re.finditer(f"(?<![{letters}])[{letters}]{{12,}}", t) if clear(m, spans) and reported(m[0])]
         assert got[i].spans == line(spans + more)
 
 
