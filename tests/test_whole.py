@@ -51,14 +51,3 @@ def test_weight_is_chosen_for_each_method(spark, data):
 
     got = {r.method: r for r in entry.queries()["e9_weight_choice_both"](spark, data).collect()}
     assert set(got) == {"weighted_rrf", "blend"} and all(r.tune_mrr > 0 and r.test_mrr is not None for r in got.values())
-
-
-def test_lines_on_a_hundredth_of_a_source_are_cut(spark):
-    """Of 600 documents a line on 12 goes, one on 9 stays; in a source of 20, on 3 documents, it goes as before."""
-    import corpus_pipeline as p
-
-    rows = [(i, "big", f"own {i}\n" + ("often" if i < 12 else "seldom" if i < 21 else "none %d" % i)) for i in range(600)]
-    rows += [(1000 + i, "small", f"own {i}\n" + ("thrice" if i < 3 else "none %d" % i)) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r.doc_id: r.text for r in p.drop_site_lines(spark, docs, "").collect()}
-    assert {i for i, _, t in rows if got[i] != t} == {*range(12), 1000, 1001, 1002}
