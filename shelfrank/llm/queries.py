@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_dedup, media, mixing, near_dup, packing, secrets, toxicity, url_filter, warc
+from . import ann, line_dedup, media, merkle, mixing, near_dup, packing, repair, secrets, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op10_line_dedup_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(documents, low_ratio=line_dedup.LOW_RATIO, counts=True).drop("source")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -72,6 +80,8 @@ QUERIES = {
     "op9_near_dup": op9_near_dup,
     "op10_line_dedup": op10_line_dedup,
     "op10_line_dedup_low": op10_line_dedup_low,
+    "op11_merkle": op11_merkle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -80,4 +90,5 @@ ORACLE_SQL = {
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
     "op10_line_dedup_low": line_dedup.LOW_ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
