@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_dedup, media, merkle, mixing, near_dup, packing, repair, secrets, toxicity, url_filter, warc
+from . import ann, line_dedup, media, merkle, mixing, near_dup, packing, repair, secrets, token_codes, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_proofs(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.file_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(_table(spark, sf_dir, "conversations"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op10_line_dedup_low": op10_line_dedup_low,
     "op11_merkle": op11_merkle,
+    "op12_token_codes": op12_token_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
