@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -14,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_part
+from .annotate import annotate, may_pass
+
+__all__ = ["annotate", "may_pass"]
 
 BLANKS = re.compile(r"\s+", re.ASCII)
 
@@ -53,42 +55,6 @@ def work_list(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def may_pass(error: Exception) -> bool:
-    """Whether a call may work later: the service is busy (429) or failed itself (5xx), or cannot be reached."""
-    status = getattr(error, "status", getattr(error, "code", None))
-    return isinstance(error, (ConnectionError, TimeoutError)) or (isinstance(status, int) and (status == 429 or 500 <= status < 600))
-
-
-def annotate(work: DataFrame, keys: list[str], prompt: str, call: Callable[[str], str], tries: int = 3, pause: float = 1.0) -> DataFrame:
-    """``keys, reply, error`` of a call per row; a failing row is recorded and stays in the next work list.
-
-    Failures that may pass are tried again after ``pause`` seconds, twice that, and so on; others are not.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies, errors = [], []
-            for text in batch["_prompt"]:
-                reply = error = None
-                for k in range(tries):
-                    try:
-                        reply, error = call(text), None
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of the caller's model is a result here
-                        error = str(e)
-                        if not may_pass(e):
-                            break
-                        if k + 1 < tries:
-                            time.sleep(pause * 2**k)
-                replies.append(reply)
-                errors.append(error)
-            yield batch[keys].assign(reply=pd.Series(replies, dtype=object), error=pd.Series(errors, dtype=object))
-
-    rows = work.select(*keys, F.col(prompt).alias("_prompt"))
-    ddl = ", ".join(f"{k} {work.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInPandas(run, f"{ddl}, reply string, error string")
-
-
 def styles_of(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
     """One row per style and query text of a reply; blank texts go."""
     said = F.from_json(json_part(F.col(reply)), "map<string,string>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +124,26 @@ def work_list(spark: SparkSession, d: str) -> DataFrame:
     return enrich.work_list(wanted, done, ["p_partkey", "source"])
 
 
+def _paint(prompt: str) -> str:
+    """Stands for a model: a chatty reply that follows from the prompt; it refuses one prompt in sixteen."""
+    code = hashlib.md5(prompt.encode()).hexdigest()
+    if code[0] == "0":
+        raise ValueError("refused")
+    return f'Sure: {{"color": "{("red", "blue", "plaid")[int(code[1:3], 16) % 3]}"}} done'
+
+
+def annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Colours of all parts, asked for twice of a journaled model: titles first, then titles and photos."""
+    p = table(spark, d, "part")
+    prompt = T.render("Colour of {name} by {source}?", {"name": F.col("p_name"), "source": F.col("source")})
+    wanted = p.select("p_partkey", "p_name", F.explode(F.array(F.lit("text"), F.lit("image"))).alias("source")).select("p_partkey", "source", prompt.alias("prompt"))
+    journal = scratch_path(spark, "journal")
+    ask = lambda rows: enrich.annotate(rows, ["p_partkey", "source"], "prompt", _paint, journal=journal)
+    ask(wanted.where("source = 'text'")).write.format("noop").mode("overwrite").save()
+    said = F.from_json(T.json_part(F.col("reply")), "map<string,string>")["color"]
+    return ask(wanted).select("p_partkey", "source", F.when(said.isin(*colors.PALETTE), said).alias("color"), "error")
+
+
 def label_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Share of targets whose colour is one that the query asks for, by source of the query."""
     q = retrieval.target_queries(spark, d).select("query_id", "target_id", "source")
@@ -368,7 +389,7 @@ CASE WHEN contains(t, 'rose gold') THEN '' ELSE coalesce(array_to_string(list_so
 QUERIES = {
     "p3_corpus": corpus, "w2_gallery": gallery, "a14_corpus_counts": corpus_counts, "j1_judged_products": judged_join, "w2_keep_first": first_product, "a3_label_shares": label_counts,
     "a2_locale_counts": locale_counts, "a4_distinct_queries": query_counts, "a5_depth": query_depth, "a6_query_lengths": query_lengths, "a7_length_histogram": length_histogram, "a8_missing_rates": missing_rates,
-    "a9_completeness": completeness, "a10_split_leakage": split_leakage, "a11_positive_pairs": positive_pairs, "a12_facets": facets, "f7_colors": part_colors, "f20_json_replies": json_replies, "j8_work_list": work_list,
+    "a9_completeness": completeness, "a10_split_leakage": split_leakage, "a11_positive_pairs": positive_pairs, "a12_facets": facets, "f7_colors": part_colors, "f20_json_replies": json_replies, "j8_work_list": work_list, "x4_annotations": annotations,
     "e11_label_agreement": label_agreement, "e13_method_agreement": method_agreement, "a15_query_sizes": query_sizes, "a17_manifest": manifest, "f1_document_text": document_text, "x1_embedded_titles": embedded_titles,
     "p1_us_corpus": us_corpus, "p10_clean_queries": clean_queries, "p11_rejected_filters": rejected_filters, "p13_valid_labels": valid_labels, "p15_cards": cards, "p16_lookup": lookups,
     "j3_judged_titles": judged_titles, "j4_attributes": attributes, "a1_table_sizes": table_sizes, "a16_usage": usage,
@@ -404,6 +425,8 @@ UNION ALL SELECT 'lang', round(avg((lang IS NULL)::INT), 6) FROM j UNION ALL SEL
 UNION ALL SELECT 'category_l1', category_l1, count(*) FROM items WHERE category_l1 <> '' GROUP BY category_l1""",
     "f7_colors": f"WITH {COLOR} SELECT p_name, n, color, asked FROM col",
     "f20_json_replies": "SELECT 'k' AS style, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS texts FROM events",
+    "x4_annotations": """SELECT p_partkey, source, CASE WHEN h[1] <> '0' THEN (['red', 'blue', NULL])[('0x' || h[2:3])::INT % 3 + 1] END AS color, CASE WHEN h[1] = '0' THEN 'refused' END AS error
+FROM (SELECT p_partkey, source, md5('Colour of ' || coalesce(p_name, '') || ' by ' || source || '?') AS h FROM part, (SELECT unnest(['text', 'image']) AS source))""",
     "j8_work_list": """SELECT p_partkey, source FROM part, (SELECT unnest(['text', 'image']) AS source) EXCEPT SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'text' ELSE 'image' END FROM events""",
     "e11_label_agreement": f"WITH {I} SELECT source, count(*) AS n, round(avg((query_id % 4 <> 0)::INT), 6) AS agreement FROM tq JOIN items ON item_id = target_id AND color <> '' GROUP BY source",
     "e13_method_agreement": f"""WITH {COLOR}, p AS (SELECT p_partkey, coalesce(color, '') AS a, CASE WHEN p_partkey % 5 = 0 THEN 'clear' ELSE coalesce(color, '') END AS b FROM part JOIN col USING (p_name))
