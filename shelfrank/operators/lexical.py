@@ -1,55 +1,148 @@
-"""BM25 over tables: the index is three tables, a search answers a table of queries."""
+"""BM25 over tables: an index of blocks of postings, a search that answers a table of queries.
+
+Documents are dealt to ranges by a hash of their id. A block is a term's postings in one range, with the largest of its
+weights; a frequent term is in one block of every range, so no task gets it whole. Blocks are stored in buckets by a
+hash of their term, so a search reads the buckets of its terms only. Before postings are unpacked, a query's ranges are
+judged by the blocks' weights alone: where their sum cannot reach what k documents of one block have for certain,
+the blocks of the range are passed over for that query.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
-from ..sources.scratch import small
+from ..functions.text import STOP_WORDS, tokenize
+from ..sources.scratch import materialize, scratch_path, small
 from .ranking import best_first, top_k
 
 K1, B = 1.2, 0.75
+#: Documents in a range: at least, and at most; between them so many that there are about RANGES.
+LEAST_DOCS, MOST_DOCS, RANGES = 512, 1 << 15, 64
+#: Postings that a bucket of terms holds, about, and the most buckets.
+BUCKET_POSTINGS, MOST_BUCKETS = 1 << 22, 1 << 12
 #: Words that a text must share with a passage in a row to be compared with it, if the passage has so many inside.
 ANCHOR = 4
 #: Bytes of a query's term and of an anchor in a broadcast, about.
 TERM_BYTES, ANCHOR_BYTES = 128, 64
+TOKEN = re.compile("[a-z0-9]+")
 
 
 class Index(NamedTuple):
-    """``postings(doc_id, dl, posting)``, one row per document, ``terms(term, df, idf)`` and the one-row ``stats(n, avgdl)``."""
+    """Tables of an index.
+
+    ``postings(doc_id, dl, terms, tfs)``, one row per document; ``blocks(bucket, term, range, n, marks, docs, weights)``,
+    where ``marks`` are the first, second, fourth, ... largest weights; ``terms(term, df, idf)``; the one-row
+    ``stats(n, avgdl, ranges, buckets)``.
+    """
 
     postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
 def postings_of(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, dl, posting``: each document's length and ``(term, tf)`` list; also of documents without tokens.
+    """``doc_id, dl, terms, tfs``: each document's length and its distinct terms with their counts; also without tokens.
 
-    Whole texts are shuffled once, by document, so a frequent term is never a hot key. Save the result where it is
-    used more than once: texts are then tokenized once.
+    Texts are tokenized where they are read, once if the result is saved.
     """
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
-    tokens = texts.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    each = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
-    counted = each.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf"))
-    return counted.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("posting"))
-
 
-def index_of(postings: DataFrame) -> Index:
-    """The index over (saved) ``postings``; counts include documents without tokens."""
-    stats = postings.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.select(F.explode("posting.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Index(postings, terms.select("term", "df", idf.alias("idf")), stats)
-
-
-def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    return index_of(postings_of(corpus, doc_id, text))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes: dict[str, int] = {}
+            terms, tfs, ends, lengths = [], [], [0], []
+            for value in batch.column(1):
+                found = TOKEN.findall(value.as_py() or "")
+                counts: dict[str, int] = {}
+                for word in found:
+                    counts[word] = counts.get(word, 0) + 1
+                for word in STOP_WORDS:
+                    counts.pop(word, None)
+                terms.extend([codes.setdefault(word, len(codes)) for word in counts])
+                tfs.extend(counts.values())
+                ends.append(len(terms))
+                lengths.append(sum(counts.values()))
+            words = pa.array(list(codes), pa.string()).take(pa.array(terms, pa.int32()))
+            at = pa.array(ends, pa.int32())
+            columns = [batch.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(at, words), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))]
+            yield pa.record_batch(columns, names=["doc_id", "dl", "terms", "tfs"])
+
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, dl long, terms array<string>, tfs array<int>")
+
+
+def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Table]:
+    """From the postings of the documents of a range to its blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(table["terms"]).to_numpy()
+        words = pc.list_flatten(table["terms"]).combine_chunks()
+        words = (pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+        code, tf = words.indices.to_numpy(), pc.list_flatten(table["tfs"]).to_numpy().astype(float)
+        dl = np.repeat(table["dl"].to_numpy(), sizes)
+        weights = tf / (tf + k1 * (1 - b + b * dl / avgdl)) if len(tf) else tf
+        row = np.repeat(np.arange(table.num_rows), sizes)
+        order = np.lexsort((-weights, code))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(words.dictionary)))]).astype(np.int32)
+        weights = weights[order]
+        places = [np.minimum(1 << np.arange(int(n).bit_length()), n) - 1 for n in np.diff(ends)]
+        marks = weights[np.concatenate([p + s for p, s in zip(places, ends, strict=False)])] if places else weights
+        mark_ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
+        docs = table["doc_id"].combine_chunks().take(pa.array(row[order]))
+        n = len(words.dictionary)
+        return pa.table({
+            "term": words.dictionary, "range": pa.array([table["range"][0].as_py()] * n, pa.int32()), "n": pa.array(np.diff(ends), pa.int64()),
+            "marks": pa.ListArray.from_arrays(pa.array(mark_ends), pa.array(marks)), "docs": pa.ListArray.from_arrays(pa.array(ends), docs),
+            "weights": pa.ListArray.from_arrays(pa.array(ends), pa.array(weights)),
+        })
+
+    return run
+
+
+def write_index(corpus: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> None:
+    """Write the four tables of an index under ``path``; counts include documents without tokens."""
+    spark = corpus.sparkSession
+    postings_of(corpus, doc_id, text).write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    n, total, pairs = postings.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    ranges = max(1, -(-n // min(MOST_DOCS, max(LEAST_DOCS, n // RANGES))))
+    buckets = min(MOST_BUCKETS, max(1, pairs // BUCKET_POSTINGS))
+    dealt = postings.where("dl > 0").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
+    kind = postings.schema["doc_id"].dataType.simpleString()
+    blocks = dealt.groupBy("range").applyInArrow(_inverted(total / max(n, 1), k1, b), f"term string, range int, n long, marks array<double>, docs array<{kind}>, weights array<double>")
+    blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), F.lit(buckets)))
+    if buckets > 1:  # a bucket's files are few, and sorted, so that a reader can skip parts of them
+        blocks = blocks.repartition(F.col("bucket"), F.col("range") % 8).sortWithinPartitions("bucket", "term")
+    blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", idf).write.parquet(f"{path}/terms")
+    spark.createDataFrame([(n, total / n if n else None, ranges, buckets)], "n long, avgdl double, ranges int, buckets int").coalesce(1).write.parquet(f"{path}/stats")
+
+
+def bucket_of(term: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(term), buckets).cast("int")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    kind = spark.read.parquet(f"{path}/postings").schema["doc_id"].dataType.simpleString()
+    blocks = spark.read.schema(f"term string, range int, n long, marks array<double>, docs array<{kind}>, weights array<double>, bucket int").parquet(f"{path}/blocks")
+    return Index(spark.read.parquet(f"{path}/postings"), blocks, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"))
+
+
+def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> Index:
+    """An index in the scratch folder."""
+    path = scratch_path(corpus.sparkSession, "bm25")
+    write_index(corpus, path, doc_id, text, k1, b)
+    return read_index(corpus.sparkSession, path)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -57,24 +150,38 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
     return queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
-    return tf / (tf + k1 * (1 - b + b * dl / avgdl))
+def hopeless(met: DataFrame, k: int) -> DataFrame:
+    """``query_id, range`` whose documents are not among the best ``k``, by blocks' largest weights alone.
+
+    ``met(query_id, range, w, marks)``: the blocks of each query's terms. If a block has k weights of x and more, k
+    documents score x at least; a range whose largest weights sum up to less (by more than rounding) is hopeless.
+    """
+    at = F.lit((k - 1).bit_length())  # the mark of that many weights or more
+    sure = F.when(F.size("marks") > at, F.col("w") * F.get("marks", at)).when(F.col("n") >= k, F.col("w") * F.element_at("marks", -1))
+    each = met.groupBy("query_id", "range").agg(F.sum(F.col("w") * F.col("marks")[0]).alias("most"), F.max(sure).alias("sure"))
+    bar = F.max("sure").over(Window.partitionBy("query_id"))
+    return each.withColumn("bar", bar).where(F.col("most") < F.col("bar") - 1e-5).select("query_id", "range")
 
 
-def search(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """``query_id, doc_id, score, rank``: only documents that share a term, at most ``k`` per query.
 
-    Query terms are broadcast within a bound of bytes; beyond it the join is by term, where adaptive execution splits
-    the partitions of frequent terms.
+    Query terms are broadcast within a bound of bytes, which also leaves out the buckets without any of them; beyond it
+    they are joined by term.
     """
-    terms = query_terms(queries)
-    said = small(terms, TERM_BYTES)
-    asked = small(said.join(index.terms.select("term", "idf"), "term"), TERM_BYTES, terms)  # no more rows than were counted
-    # compact rows are shuffled by document, so scores are summed up where they arise and only top rows travel
-    postings = index.postings.repartition("doc_id").select("doc_id", "dl", F.explode("posting").alias("p")).select("doc_id", "dl", "p.term", "p.tf")
-    hits = postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
-    part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    scored = hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
+    stats = index.stats.first()
+    terms = materialize(query_terms(queries), "query-terms")
+    known = index.terms.join(small(terms.select("term").distinct(), TERM_BYTES, terms), "term", "left_semi")
+    asked = terms.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), bucket_of(F.col("term"), F.lit(stats["buckets"])).alias("bucket"))
+    asked = small(materialize(asked, "query-weights"), TERM_BYTES, terms)  # no more rows than were counted
+    on = ["bucket", "term"]
+    dropped = materialize(hopeless(index.blocks.select(*on, "range", "n", "marks").join(asked, on), k), "passed-over") if stats["ranges"] > 1 else None
+    # compact rows are shuffled by range, so scores are summed up where they arise and only top rows travel
+    met = index.blocks.select(*on, "range", "docs", "weights").repartition("range").join(asked, on)
+    if dropped is not None and not dropped.isEmpty():
+        met = met.join(small(dropped, 32), ["query_id", "range"], "left_anti")
+    hits = met.select("range", "query_id", "w", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
+    scored = hits.groupBy("range", "query_id", F.col("p.docs").alias("doc_id")).agg(F.round(F.sum(F.col("w") * F.col("p.weights")), 6).alias("score"))
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
 
 

@@ -349,8 +349,8 @@ def vector_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A search over an index that was written and read."""
     path = scratch_path(spark, "index")
-    tables.write_index(retrieval.bm25_index(spark, d), path)
-    return lexical.search(lexical.Index(*tables.read_index(spark, path)), retrieval.text_queries(spark, d), 50)
+    lexical.write_index(table(spark, d, "documents"), path)
+    return lexical.search(lexical.read_index(spark, path), retrieval.text_queries(spark, d), 50)
 
 
 def metric_tables(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from ..functions import colors
 from ..functions.vectors import dot, half_precision, normalize
 from ..operators import blend, dense, enrich, evaluate, fusion, lexical, rerank
 from ..operators.ranking import best_first, top_k, union_by
-from ..sources.scratch import materialize
+from ..sources import artifacts
+from ..sources.scratch import materialize, scratch_dir
 
 WEIGHTS = [round(0.1 * k, 1) for k in range(11)]
 #: The infinite boost is the hard filter.
@@ -88,17 +90,12 @@ def _side(q: DataFrame, i: DataFrame, side: str, k: int) -> DataFrame:
 # ---------------------------------------------------------------- queries
 
 
-_INDEXES: dict[tuple, lexical.Index] = {}
-
-
 def bm25_index(spark: SparkSession, d: str) -> lexical.Index:
-    """The saved index of the documents; made where this session has none of the files as they are now."""
+    """The published index of the documents; made where there is none of the files as they are now."""
     files = spark.read.format("binaryFile").load(f"{d}/documents.parquet").agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()  # contents are not read
-    key = (spark.sparkContext.applicationId, d, *files)
-    if key not in _INDEXES:
-        index = lexical.index_of(materialize(lexical.postings_of(table(spark, d, "documents")), "bm25-postings"))
-        _INDEXES[key] = lexical.Index(index.postings, materialize(index.terms, "bm25-terms"), materialize(index.stats, "bm25-stats"))
-    return _INDEXES[key]
+    path = f"{scratch_dir(spark)}/bm25-{hashlib.md5(repr((d, *files)).encode()).hexdigest()}"
+    folder = artifacts.current(spark, path) or artifacts.publish(spark, path, lambda at: lexical.write_index(table(spark, d, "documents"), at))
+    return lexical.read_index(spark, folder)
 
 
 def bm25(spark: SparkSession, d: str, k: int = 50) -> DataFrame:

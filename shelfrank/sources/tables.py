@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import taxonomy_level2
 from ..operators.catalog import export_bundle
+from .artifacts import complete
 
 CATALOG = (
     "global_product_id long, advertiser_program_name string, most_recent_product_name string, most_recent_product_description string, "
@@ -54,7 +55,7 @@ def read_vectors(spark: SparkSession, path: str, model_id: str, modality: str) -
 
 
 def has_vectors(spark: SparkSession, path: str, model_id: str, modality: str) -> bool:
-    return exists(spark, path) and not read_vectors(spark, path, model_id, modality).isEmpty()
+    return complete(spark, path) and not read_vectors(spark, path, model_id, modality).isEmpty()
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
@@ -71,32 +72,5 @@ def write_bundle(items: DataFrame, vectors: dict[str, DataFrame], path: str) ->
     write_metrics(manifest, f"{path}/manifest")
 
 
-def write_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
-    for name, df in zip(("postings", "terms", "stats"), index, strict=True):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats"))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` can be read as Parquet; asks Spark, so any of its file systems will do."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path).limit(0).count()
-    except AnalysisException:
-        return False
-    return True
-
-
-def build_if_missing(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:  # noqa: ANN001
-    """The table at ``path``; made and written first if it is missing or ``rebuild`` is set."""
-    if rebuild or not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)

@@ -7,7 +7,7 @@ from shelfrank.functions import colors
 from shelfrank.functions import text as T
 from shelfrank.functions.vectors import dot
 from shelfrank.operators import blend, catalog, dense, enrich, evaluate, fusion, kernel, lexical, ranking
-from shelfrank.sources import tables
+from shelfrank.sources import artifacts, tables
 
 
 def each(spark, function, values, kind="string"):
@@ -188,13 +188,14 @@ def test_later_attribute_file_wins(spark, tmp_path):
 def test_round_trips(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red lamp"), (2, "blue")], "doc_id long, text string")
     index = lexical.build_index(docs)
-    tables.write_index(index, str(tmp_path / "index"))
-    back = tables.read_index(spark, str(tmp_path / "index"))
+    lexical.write_index(docs, str(tmp_path / "index"))
+    back = lexical.read_index(spark, str(tmp_path / "index"))
     assert sorted(map(tuple, back[0].collect())) == sorted(map(tuple, index.postings.collect()))
     path = str(tmp_path / "made")
-    assert not tables.exists(spark, path)
-    assert tables.build_if_missing(spark, path, lambda: docs).count() == 2
-    assert tables.build_if_missing(spark, path, lambda: docs.limit(1)).count() == 2
+    assert artifacts.current(spark, path) is None and not artifacts.complete(spark, path)
+    assert artifacts.build_if_missing(spark, path, lambda: docs).count() == 2
+    assert artifacts.build_if_missing(spark, path, lambda: docs.limit(1)).count() == 2
+    assert artifacts.build_if_missing(spark, path, lambda: docs.limit(1), rebuild=True).count() == 1
     tables.write_vectors(enrich.embed(docs, "doc_id", "text", "m-1"), str(tmp_path / "vectors"))
     assert spark.read.parquet(str(tmp_path / "vectors")).where("model_id = 'm-1'").count() == 2
     (tmp_path / "t.txt").write_text("# v\n1 - A\n2 - A > B\n3 - A > B > C\n")
