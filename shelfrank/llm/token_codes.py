@@ -13,7 +13,7 @@ that order, in files of about FILE_IDS ids (a longer document has its file to it
 table, so any store that Spark writes will do; ``(part, file)`` orders them, and one count per range, at the driver,
 gives each its first id.
 
-A null text is empty: just the end id. Null document ids come first; rows of one id are ordered by their ids' bytes, and
+A null text is empty: just the end id. Null document ids come first; rows of one id are ordered by a checksum of their ids, and
 equal rows are documents of their own. Extra columns are ignored. An empty table gives no files and no rows.
 """
 
@@ -114,15 +114,25 @@ class TokenFile:
         return self.tokens(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits as 16 bits each where they fit; a last byte tells the width."""
+    own = np.frombuffer(ids, "<u4")
+    return own.astype("<u2").tobytes() + b"\2" if own.max() < 1 << 16 else ids + b"\4"
+
+
+def _wide(data: memoryview) -> np.ndarray:
+    return np.frombuffer(data[:-1], f"<u{data[-1]}").astype("<u4")
+
+
 def tokenized(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, ids``: each document's ids with the end id, as little-endian 32-bit bytes."""
+    """``doc_id, ids``: each document's ids with the end id, as bytes of two or four each."""
     small_batches(documents.sparkSession)
     path = tokenizer or tokenizer_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:
-            ids = [token_bytes(text.as_py(), words) for text in batch.column(1)]
+            ids = [_narrow(token_bytes(text.as_py(), words)) for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     picked = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -138,7 +148,7 @@ def _writer(file_ids: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
         def file(kind: pa.DataType) -> pa.RecordBatch:
             nonlocal number, inside, n
-            data = encode(np.frombuffer(b"".join(held), "<u4"), np.asarray(ends), bits)
+            data = encode(np.concatenate(held), np.asarray(ends), bits)
             row = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int64()), (inside, pa.int64()), (n, pa.int64()), (list(keys), pa.list_(kind)), (data, pa.binary()))]
             number, inside, n = number + 1, inside + n, 0
             keys.clear(), held.clear(), ends.clear()
@@ -148,12 +158,12 @@ def _writer(file_ids: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = ids.as_buffer()
-                if n and n + own.size // 4 > file_ids:
+                own = _wide(memoryview(ids.as_buffer()))
+                if n and n + len(own) > file_ids:
                     yield file(kind)
                 keys.append(key)
                 held.append(own)
-                n += own.size // 4
+                n += len(own)
                 ends.append(n)
         if n:
             yield file(kind)
