@@ -10,122 +10,112 @@ the blocks of the range are passed over for that query.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokenize
-from ..sources.scratch import materialize, scratch_path, small
+from ..sources.scratch import BROADCAST_BYTES, materialize, scratch_path, small
 from .ranking import best_first, top_k
 
 K1, B = 1.2, 0.75
 #: Documents in a range: at least, and at most; between them so many that there are about RANGES.
 LEAST_DOCS, MOST_DOCS, RANGES = 512, 1 << 15, 64
+#: Bytes of text in a range, about.
+RANGE_BYTES = 32 << 20
 #: Postings that a bucket of terms holds, about, and the most buckets.
 BUCKET_POSTINGS, MOST_BUCKETS = 1 << 22, 1 << 12
 #: Words that a text must share with a passage in a row to be compared with it, if the passage has so many inside.
 ANCHOR = 4
-#: Bytes of a query's term and of an anchor in a broadcast, about.
-TERM_BYTES, ANCHOR_BYTES = 128, 64
+#: Bytes of a query's term, of an anchor, and of a query and a range in a broadcast, about.
+TERM_BYTES, ANCHOR_BYTES, PAIR_BYTES = 128, 64, 32
 TOKEN = re.compile("[a-z0-9]+")
+#: Changes with the tables of an index: one of another layout is not read.
+LAYOUT = 3
 
 
 class Index(NamedTuple):
     """Tables of an index.
 
-    ``postings(doc_id, dl, terms, tfs)``, one row per document; ``blocks(bucket, term, range, n, marks, docs, weights)``,
-    where ``marks`` are the first, second, fourth, ... largest weights; ``terms(term, df, idf)``; the one-row
-    ``stats(n, avgdl, ranges, buckets)``.
+    ``blocks(bucket, term, range, n, marks, posting)``, where ``posting`` lists documents and weights, and ``marks`` are the
+    first, second, fourth, ... largest weights; ``terms(term, df, idf)``; the one-row ``stats(n, avgdl, ranges, buckets)``.
     """
 
-    postings: DataFrame
     blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
-def postings_of(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, dl, terms, tfs``: each document's length and its distinct terms with their counts; also without tokens.
-
-    Texts are tokenized where they are read, once if the result is saved.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes: dict[str, int] = {}
-            terms, tfs, ends, lengths = [], [], [0], []
-            for value in batch.column(1):
-                found = TOKEN.findall(value.as_py() or "")
-                counts: dict[str, int] = {}
-                for word in found:
-                    counts[word] = counts.get(word, 0) + 1
-                for word in STOP_WORDS:
-                    counts.pop(word, None)
-                terms.extend([codes.setdefault(word, len(codes)) for word in counts])
-                tfs.extend(counts.values())
-                ends.append(len(terms))
-                lengths.append(sum(counts.values()))
-            words = pa.array(list(codes), pa.string()).take(pa.array(terms, pa.int32()))
-            at = pa.array(ends, pa.int32())
-            columns = [batch.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(at, words), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))]
-            yield pa.record_batch(columns, names=["doc_id", "dl", "terms", "tfs"])
-
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, dl long, terms array<string>, tfs array<int>")
+def _blocks(kind: str) -> str:
+    return f"term string, range int, n long, marks array<double>, posting array<struct<doc:{kind},weight:double>>"
 
 
 def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Table]:
-    """From the postings of the documents of a range to its blocks."""
+    """From the lower-case texts of the documents of a range to its blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = pc.list_value_length(table["terms"]).to_numpy()
-        words = pc.list_flatten(table["terms"]).combine_chunks()
-        words = (pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
-        code, tf = words.indices.to_numpy(), pc.list_flatten(table["tfs"]).to_numpy().astype(float)
-        dl = np.repeat(table["dl"].to_numpy(), sizes)
-        weights = tf / (tf + k1 * (1 - b + b * dl / avgdl)) if len(tf) else tf
-        row = np.repeat(np.arange(table.num_rows), sizes)
+        codes: dict[str, int] = {}
+        code, tf, distinct, dl = array("i"), array("i"), [], []
+        for value in table["text"]:
+            counts = Counter(TOKEN.findall(value.as_py() or ""))
+            for word in STOP_WORDS:
+                counts.pop(word, None)
+            code.extend([codes.setdefault(word, len(codes)) for word in counts])
+            tf.extend(counts.values())
+            distinct.append(len(counts))
+            dl.append(counts.total())
+        row = np.repeat(np.arange(table.num_rows), distinct)
+        code, tf = np.frombuffer(code, np.int32), np.frombuffer(tf, np.int32).astype(float)
+        weights = tf / (tf + k1 * (1 - b + b * np.array(dl)[row] / avgdl)) if len(tf) else tf
         order = np.lexsort((-weights, code))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(words.dictionary)))]).astype(np.int32)
-        weights = weights[order]
-        places = [np.minimum(1 << np.arange(int(n).bit_length()), n) - 1 for n in np.diff(ends)]
-        marks = weights[np.concatenate([p + s for p, s in zip(places, ends, strict=False)])] if places else weights
-        mark_ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32)
-        docs = table["doc_id"].combine_chunks().take(pa.array(row[order]))
-        n = len(words.dictionary)
+        weights, sizes = weights[order], np.bincount(code, minlength=len(codes))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        # the marks of a block of n: places 0, 1, 3, ... in it, and the last one
+        n_marks = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int) + 1
+        mark_ends = np.concatenate([[0], np.cumsum(n_marks)])
+        nth = np.arange(mark_ends[-1]) - np.repeat(mark_ends[:-1], n_marks)
+        marks = weights[np.minimum((1 << nth) - 1, np.repeat(sizes, n_marks) - 1) + np.repeat(ends[:-1], n_marks)] if len(codes) else weights
+        docs = table["doc_id"].combine_chunks()
+        posting = pa.StructArray.from_arrays([(pa.concat_arrays(docs.chunks) if isinstance(docs, pa.ChunkedArray) else docs).take(pa.array(row[order])), pa.array(weights)], ["doc", "weight"])
+        at = lambda x: pa.array(x.astype(np.int32))
         return pa.table({
-            "term": words.dictionary, "range": pa.array([table["range"][0].as_py()] * n, pa.int32()), "n": pa.array(np.diff(ends), pa.int64()),
-            "marks": pa.ListArray.from_arrays(pa.array(mark_ends), pa.array(marks)), "docs": pa.ListArray.from_arrays(pa.array(ends), docs),
-            "weights": pa.ListArray.from_arrays(pa.array(ends), pa.array(weights)),
+            "term": pa.array(list(codes), pa.string()), "range": pa.array([table["range"][0].as_py()] * len(codes), pa.int32()), "n": pa.array(sizes, pa.int64()),
+            "marks": pa.ListArray.from_arrays(at(mark_ends), pa.array(marks)), "posting": pa.ListArray.from_arrays(at(ends), posting),
         })
 
     return run
 
 
 def write_index(corpus: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> None:
-    """Write the four tables of an index under ``path``; counts include documents without tokens."""
+    """Write the tables of an index under ``path``; counts include documents without tokens.
+
+    Texts are read twice: for their number and mean length, and, dealt to ranges, for the blocks.
+    """
     spark = corpus.sparkSession
-    postings_of(corpus, doc_id, text).write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    n, total, pairs = postings.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    ranges = max(1, -(-n // min(MOST_DOCS, max(LEAST_DOCS, n // RANGES))))
-    buckets = min(MOST_BUCKETS, max(1, pairs // BUCKET_POSTINGS))
-    dealt = postings.where("dl > 0").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
-    kind = postings.schema["doc_id"].dataType.simpleString()
-    blocks = dealt.groupBy("range").applyInArrow(_inverted(total / max(n, 1), k1, b), f"term string, range int, n long, marks array<double>, docs array<{kind}>, weights array<double>")
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    n, total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.size(tokenize(F.col("text")))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(1, -(-n // min(MOST_DOCS, max(LEAST_DOCS, n // RANGES))), -(-size // RANGE_BYTES))
+    buckets = min(MOST_BUCKETS, max(1, total // BUCKET_POSTINGS))
+    dealt = texts.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
+    blocks = dealt.groupBy("range").applyInArrow(_inverted(max(total, 1) / max(n, 1), k1, b), _blocks(texts.schema["doc_id"].dataType.simpleString()))
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), F.lit(buckets)))
     if buckets > 1:  # a bucket's files are few, and sorted, so that a reader can skip parts of them
         blocks = blocks.repartition(F.col("bucket"), F.col("range") % 8).sortWithinPartitions("bucket", "term")
     blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", idf).write.parquet(f"{path}/terms")
-    spark.createDataFrame([(n, total / n if n else None, ranges, buckets)], "n long, avgdl double, ranges int, buckets int").coalesce(1).write.parquet(f"{path}/stats")
+    read_blocks(spark, path, texts.schema["doc_id"].dataType.simpleString()).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", idf).write.parquet(f"{path}/terms")
+    spark.createDataFrame([(n, total / n if n else None, ranges, buckets, texts.schema["doc_id"].dataType.simpleString())], "n long, avgdl double, ranges int, buckets int, doc_kind string").coalesce(1).write.parquet(f"{path}/stats")
+
+
+def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"{_blocks(kind)}, bucket int").parquet(f"{path}/blocks")
 
 
 def bucket_of(term: Column, buckets: Column) -> Column:
@@ -133,9 +123,8 @@ def bucket_of(term: Column, buckets: Column) -> Column:
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    kind = spark.read.parquet(f"{path}/postings").schema["doc_id"].dataType.simpleString()
-    blocks = spark.read.schema(f"term string, range int, n long, marks array<double>, docs array<{kind}>, weights array<double>, bucket int").parquet(f"{path}/blocks")
-    return Index(spark.read.parquet(f"{path}/postings"), blocks, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats"))
+    stats = spark.read.parquet(f"{path}/stats")
+    return Index(read_blocks(spark, path, stats.first()["doc_kind"]), spark.read.parquet(f"{path}/terms"), stats)
 
 
 def build_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> Index:
@@ -156,8 +145,8 @@ def hopeless(met: DataFrame, k: int) -> DataFrame:
     ``met(query_id, range, w, marks)``: the blocks of each query's terms. If a block has k weights of x and more, k
     documents score x at least; a range whose largest weights sum up to less (by more than rounding) is hopeless.
     """
-    at = F.lit((k - 1).bit_length())  # the mark of that many weights or more
-    sure = F.when(F.size("marks") > at, F.col("w") * F.get("marks", at)).when(F.col("n") >= k, F.col("w") * F.element_at("marks", -1))
+    at = F.lit((k - 1).bit_length())  # the mark of k weights or more, or the last one
+    sure = F.when(F.col("n") >= k, F.col("w") * F.coalesce(F.get("marks", at), F.element_at("marks", -1)))
     each = met.groupBy("query_id", "range").agg(F.sum(F.col("w") * F.col("marks")[0]).alias("most"), F.max(sure).alias("sure"))
     bar = F.max("sure").over(Window.partitionBy("query_id"))
     return each.withColumn("bar", bar).where(F.col("most") < F.col("bar") - 1e-5).select("query_id", "range")
@@ -171,17 +160,19 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """
     stats = index.stats.first()
     terms = materialize(query_terms(queries), "query-terms")
-    known = index.terms.join(small(terms.select("term").distinct(), TERM_BYTES, terms), "term", "left_semi")
-    asked = terms.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), bucket_of(F.col("term"), F.lit(stats["buckets"])).alias("bucket"))
-    asked = small(materialize(asked, "query-weights"), TERM_BYTES, terms)  # no more rows than were counted
+    n, far = terms.count(), lambda df: df
+    near = F.broadcast if n * TERM_BYTES <= BROADCAST_BYTES else far  # the next table has no more rows
+    bucket = bucket_of(F.col("term"), F.lit(stats["buckets"])).alias("bucket")
+    asked = near(materialize(index.terms.join(near(terms), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), bucket), "query-weights"))
     on = ["bucket", "term"]
-    dropped = materialize(hopeless(index.blocks.select(*on, "range", "n", "marks").join(asked, on), k), "passed-over") if stats["ranges"] > 1 else None
     # compact rows are shuffled by range, so scores are summed up where they arise and only top rows travel
-    met = index.blocks.select(*on, "range", "docs", "weights").repartition("range").join(asked, on)
-    if dropped is not None and not dropped.isEmpty():
-        met = met.join(small(dropped, 32), ["query_id", "range"], "left_anti")
-    hits = met.select("range", "query_id", "w", F.explode(F.arrays_zip("docs", "weights")).alias("p"))
-    scored = hits.groupBy("range", "query_id", F.col("p.docs").alias("doc_id")).agg(F.round(F.sum(F.col("w") * F.col("p.weights")), 6).alias("score"))
+    met = index.blocks.select(*on, "range", "posting").repartition("range").join(asked, on)
+    if stats["ranges"] > 1:
+        over = hopeless(index.blocks.select(*on, "range", "n", "marks").join(asked, on), k)
+        fits = n * stats["ranges"] * PAIR_BYTES <= BROADCAST_BYTES  # a query has a term, and passes over a range, once
+        met = met.join((F.broadcast if fits else far)(over), ["query_id", "range"], "left_anti")
+    hits = met.select("range", "query_id", "w", F.explode("posting").alias("p"))
+    scored = hits.groupBy("range", "query_id", F.col("p.doc").alias("doc_id")).agg(F.round(F.sum(F.col("w") * F.col("p.weight")), 6).alias("score"))
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
 
 

@@ -93,7 +93,7 @@ def _side(q: DataFrame, i: DataFrame, side: str, k: int) -> DataFrame:
 def bm25_index(spark: SparkSession, d: str) -> lexical.Index:
     """The published index of the documents; made where there is none of the files as they are now."""
     files = spark.read.format("binaryFile").load(f"{d}/documents.parquet").agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()  # contents are not read
-    path = f"{scratch_dir(spark)}/bm25-{hashlib.md5(repr((d, *files)).encode()).hexdigest()}"
+    path = f"{scratch_dir(spark)}/bm25-{hashlib.md5(repr((lexical.LAYOUT, d, *files)).encode()).hexdigest()}"
     folder = artifacts.current(spark, path) or artifacts.publish(spark, path, lambda at: lexical.write_index(table(spark, d, "documents"), at))
     return lexical.read_index(spark, folder)
 

@@ -1,5 +1,7 @@
 """Hand-worked cases, invariants and plans."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,30 @@ def test_bm25_edges(spark):
     assert got[3, 1][1] == 1 and got[3, 2][1] == 2 and got[4, 1][0] == pytest.approx(2 * got[3, 1][0], abs=2e-6)
 
 
+def test_bm25_in_ranges_and_buckets(spark, monkeypatch):
+    """Ranges that cannot reach the best are passed over, in many buckets, with and without a broadcast; nothing is lost."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("red", "lamp", "rug", f"w{rng.randrange(40)}")) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, "Rare Lamp lamp. LAMP" if i < 3 else None if i == 9 else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "rare lamp"), (2, "red the w3 w3"), (3, "nothing here"), (4, None), (5, "lamp")], "query_id long, query string")
+    want = None
+    for ranges, buckets, most in ((1, 1 << 30, 1 << 24), (7, 1 << 30, 1 << 24), (30, 50, 1 << 24), (30, 50, 0)):
+        monkeypatch.setattr(lexical, "LEAST_DOCS", -(-300 // ranges))
+        monkeypatch.setattr(lexical, "RANGES", ranges)
+        monkeypatch.setattr(lexical, "BUCKET_POSTINGS", buckets)
+        monkeypatch.setattr(lexical, "BROADCAST_BYTES", most)
+        index = lexical.build_index(docs)
+        assert index.stats.first()["ranges"] >= ranges
+        for k in (2, 50):
+            got = sorted(tuple(r) for r in lexical.search(index, queries, k).collect())
+            if ranges == 1:
+                want = (want or {}) | {k: got}
+            assert got == want[k]
+    terms = lexical.query_terms(queries).join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    met = index.blocks.join(terms, "term").select("query_id", "range", "n", "w", "marks")
+    assert lexical.hopeless(met, 1).where("query_id = 1").count() > 10 and len(want[2]) == 6
+
+
 def test_bm25_plan_has_no_python_and_limits_early(spark, data):
     from shelfrank.plans import retrieval
 
@@ -190,7 +216,7 @@ def test_round_trips(spark, tmp_path):
     index = lexical.build_index(docs)
     lexical.write_index(docs, str(tmp_path / "index"))
     back = lexical.read_index(spark, str(tmp_path / "index"))
-    assert sorted(map(tuple, back[0].collect())) == sorted(map(tuple, index.postings.collect()))
+    assert sorted(map(tuple, back.blocks.collect())) == sorted(map(tuple, index.blocks.collect())) and back.stats.first() == index.stats.first()
     path = str(tmp_path / "made")
     assert artifacts.current(spark, path) is None and not artifacts.complete(spark, path)
     assert artifacts.build_if_missing(spark, path, lambda: docs).count() == 2
