@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 
 from .dense import DIGITS, _doubles
 from .fusion import BLEND
-from .kernel import Best, Block, by_blocks, facets, item_blocks, kept
+from .kernel import Best, Block, Shape, by_blocks, facets, item_blocks, kept, shape
 from .ranking import best_first, top_k
 
 SIDES = ("photo", "title")
 ASKING, OWN = ("photo_query", "title_query"), ("photo_vector", "title_vector")
 TARGETS = ("photo_target", "title_target")
-VECTORS = (*ASKING, *OWN, *TARGETS)
+#: Which columns of queries meet which of items.
+MEET = dict(zip(OWN, ((a,) for a in ASKING), strict=True))
+MEET_TARGETS = dict(zip(OWN, zip(ASKING, TARGETS, strict=True), strict=True))
+#: Blended scores nearer to the target's than this are compared as they are rounded.
+NEAR = 2e-6
 
 
-def moments(queries: DataFrame, items: DataFrame) -> DataFrame:
+def moments(queries: DataFrame, items: DataFrame, known: Shape | None = None) -> DataFrame:
     """``query_id, n, photo_mean, photo_dev, title_mean, title_dev``: what standard scores need, over the whole item table."""
 
     def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
@@ -43,7 +47,7 @@ def moments(queries: DataFrame, items: DataFrame) -> DataFrame:
         return {"query_id": ids, "n": np.full(len(ids), n), "photo": mean[0], "title": mean[1], "photo_m2": spread[0], "title_m2": spread[1]}
 
     asked, rows = _doubles(queries.select("query_id", *ASKING), *ASKING), _doubles(items.select("item_id", *OWN), *OWN)
-    parts = by_blocks(asked, rows, VECTORS, run, "query_id long, n long, photo double, title double, photo_m2 double, title_m2 double")
+    parts = by_blocks(asked, rows, MEET, run, "query_id long, n long, photo double, title double, photo_m2 double, title_m2 double", known)
     n, out = F.sum("n"), [F.sum("n").alias("n")]
     for side in SIDES:
         mean = F.sum(F.col("n") * F.col(side)) / n
@@ -52,9 +56,9 @@ def moments(queries: DataFrame, items: DataFrame) -> DataFrame:
     return parts.groupBy("query_id").agg(*out)
 
 
-def _with_moments(queries: DataFrame, items: DataFrame) -> DataFrame:
+def _with_moments(queries: DataFrame, items: DataFrame, known: Shape) -> DataFrame:
     """``queries`` plus mean and sample deviation of each query's scores on each side; where all are equal they count 0."""
-    got = moments(queries, items).drop("n")
+    got = moments(queries, items, known).drop("n")
     for side in SIDES:
         got = got.withColumn(f"{side}_dev", F.when(F.col(f"{side}_dev") > 1e-9, F.col(f"{side}_dev")).otherwise(float("inf")))
     return queries.join(got, "query_id")
@@ -73,11 +77,11 @@ def _blended(block: Block, raw: dict[str, np.ndarray], w: float) -> np.ndarray:
     return np.round(w * _standard(block, "photo", raw["photo"]) + (1 - w) * _standard(block, "title", raw["title"]), DIGITS)
 
 
-def _with_targets(queries: DataFrame, items: DataFrame, columns: list[str], *more: str) -> DataFrame:
+def _with_targets(queries: DataFrame, items: DataFrame, known: Shape, columns: list[str], *more: str) -> DataFrame:
     """Queries with the vectors of their target and all moments."""
     own = items.select(F.col("item_id").alias("target_id"), *[F.col(v).alias(t) for v, t in zip(OWN, TARGETS, strict=True)], *more)
     asked = _doubles(queries.select("query_id", "target_id", *ASKING, *columns).join(own, "target_id"), *ASKING, *TARGETS)
-    return _with_moments(asked, items)
+    return _with_moments(asked, items, known)
 
 
 def _own(block: Block) -> dict[str, np.ndarray]:
@@ -97,7 +101,8 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
     """
     extra = [c for c in ("mode", "color", "category") if c in queries.columns]
     most = F.least(F.greatest(F.coalesce("limit", F.lit(k)), F.lit(1)), F.lit(100)) if "limit" in queries.columns else F.lit(k)
-    asked = _with_moments(_doubles(queries.select("query_id", *ASKING, *extra, most.cast("long").alias("most")), *ASKING), items)
+    known = shape(queries, items, OWN)
+    asked = _with_moments(_doubles(queries.select("query_id", *ASKING, *extra, most.cast("long").alias("most")), *ASKING), items, known)
     rows = _doubles(items.select("item_id", *OWN, *facets(queries)), *OWN)
 
     def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
@@ -115,23 +120,48 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
                 best.offer(i, ids[at], scores[i][at])
         return best.rows(block["query_id"], most=block["most"])
 
-    found = by_blocks(asked, rows, VECTORS, run, "query_id long, item_id long, score double, most long")
+    found = by_blocks(asked, rows, MEET, run, "query_id long, item_id long, score double, most long", known)
     return top_k(found, F.col("most"), ["query_id"], best_first(item="item_id")).drop("most")
 
 
 def weight_ranks(queries: DataFrame, items: DataFrame, weights: list[float]) -> DataFrame:
-    """``query_id, w, rank`` of each query's ``target_id`` for every weight; items that score as much count against it."""
+    """``query_id, w, rank`` of each query's ``target_id`` for every weight; items that score as much count against it.
+
+    Item minus target is linear in the weight, so an item beats the target on one run of the ordered weights: it adds 1
+    where its run begins and takes 1 away behind it, and running sums give the counts of all weights at once. Items that
+    come as near to the target as rounding, at some weight, are compared weight by weight.
+    """
+    grid = np.array(sorted(set(weights)), float)
+    known, m = shape(queries, items, OWN), len(grid)
 
     def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
-        own, n = _own(block), np.zeros((len(weights), len(block["query_id"])), np.int64)
-        least = [np.round(x * own["photo"] + (1 - x) * own["title"], DIGITS) for x in weights]
+        own, q = _own(block), len(block["query_id"])
+        least = np.round(grid * own["photo"] + (1 - grid) * own["title"], DIGITS)
+        turns, exact = np.zeros((q, m + 1)), np.zeros((q, m), np.int64)
+        first = np.arange(q)[:, None] * (m + 1)
         for part in item_blocks(batch):
             raw, other = _raw(block, part), _others(block, part)
-            for j, x in enumerate(weights):
-                n[j] += ((_blended(block, raw, x) >= least[j]) & other).sum(axis=1)
-        return {"query_id": np.tile(block["query_id"], len(weights)), "w": np.repeat(weights, n.shape[1]), "n": n.ravel()}
-
-    counted = by_blocks(_with_targets(queries, items, []), _doubles(items.select("item_id", *OWN), *OWN), VECTORS, run, "query_id long, w double, n long")
+            photo, title = (_standard(block, s, raw[s]) for s in SIDES)
+            at_0 = title - own["title"]
+            slope = photo - own["photo"] - at_0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cut = np.where(slope != 0, -at_0 / slope, np.where(at_0 >= 0, -np.inf, np.inf))
+            k = np.searchsorted(grid, cut)
+            near = np.zeros(k.shape, bool)
+            for beside in (np.minimum(k, m - 1), np.maximum(k - 1, 0)):
+                near |= np.abs(at_0 + grid[beside] * slope) < NEAR
+            sure, rising = other & ~near, slope >= 0
+            turns += np.bincount((first + k)[sure & rising], minlength=turns.size).reshape(turns.shape)
+            turns -= np.bincount((first + k)[sure & ~rising], minlength=turns.size).reshape(turns.shape)
+            turns[:, 0] += (sure & ~rising).sum(axis=1)
+            i, j = np.nonzero(near & other)
+            if len(i):
+                scores = np.round(grid * photo[i, j][:, None] + (1 - grid) * title[i, j][:, None], DIGITS)
+                np.add.at(exact, i, scores >= least[i])
+        n = np.cumsum(turns[:, :m], axis=1).astype(np.int64) + exact
+        return {"query_id": np.repeat(block["query_id"], m), "w": np.tile(grid, q), "n": n.ravel()}
+
+    counted = by_blocks(_with_targets(queries, items, known, []), _doubles(items.select("item_id", *OWN), *OWN), MEET_TARGETS, run, "query_id long, w double, n long", known)
     return counted.groupBy("query_id", "w").agg((F.sum("n") + 1).cast("long").alias("rank"))
 
 
@@ -161,7 +191,8 @@ def boost_ranks(queries: DataFrame, items: DataFrame, boosts: list[float], w: fl
                 n[j][~hit[:, 0]] = -1
         return {"query_id": np.tile(ids, len(boosts)), "boost": np.repeat(boosts, len(ids)), "n": n.ravel()}
 
-    asked = _with_targets(queries, items, ["asked"], F.col("color").alias("target_color"))
-    counted = by_blocks(asked, _doubles(items.select("item_id", *OWN, "color"), *OWN), VECTORS, run, "query_id long, boost double, n long")
+    known = shape(queries, items, OWN)
+    asked = _with_targets(queries, items, known, ["asked"], F.col("color").alias("target_color"))
+    counted = by_blocks(asked, _doubles(items.select("item_id", *OWN, "color"), *OWN), MEET_TARGETS, run, "query_id long, boost double, n long", known)
     total = counted.groupBy("query_id", "boost").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     return total.select("query_id", "boost", F.when(F.col("least") >= 0, (F.col("n") + 1).cast("long")).alias("rank"))

@@ -44,7 +44,7 @@ def search(queries: DataFrame, items: DataFrame, k: int = 50, *, exclude_self: b
                 best.offer(i, own[at], scores[i][at])
         return best.rows(ids)
 
-    found = by_blocks(asked, rows, ("vector", "item_vector"), run, "query_id long, item_id long, score double")
+    found = by_blocks(asked, rows, {"item_vector": ("vector",)}, run, "query_id long, item_id long, score double")
     return top_k(found, k, ["query_id"], best_first(item="item_id"))
 
 
@@ -83,5 +83,5 @@ def target_ranks_at_scale(queries: DataFrame, items: DataFrame, targets: DataFra
         return {"query_id": block["query_id"], "n": n}
 
     rows = _doubles(items.select("item_id", "item_vector"), "item_vector")
-    counted = by_blocks(asked, rows, ("vector", "target_vector", "item_vector"), count, "query_id long, n long")
+    counted = by_blocks(asked, rows, {"item_vector": ("vector", "target_vector")}, count, "query_id long, n long")
     return counted.groupBy("query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))

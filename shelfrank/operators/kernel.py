@@ -1,45 +1,85 @@
 """What the vector kernels share: blocks of queries against blocks of items as tasks, filters, and running top lists.
 
-Queries and items stay tables: each is dealt to blocks by a hash of its id, and a task gets one block of either. Scores
-exist as one matrix of at most QUERY_BLOCK x ITEM_BLOCK doubles (32 MB); reducers emit a few rows per query and task.
+Queries and items stay tables: each is dealt to blocks by a hash of its id, and a task gets one block of either, of at
+most TILE_BYTES of vectors. Scores exist as one matrix of at most QUERY_BLOCK x ITEM_BLOCK doubles (32 MB); reducers
+emit a few rows per query and task.
+
+Vectors that are null, hold null or are not finite take no part, neither as items nor as queries; nor do vectors of
+another length than the longest item vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Queries in a block, and items whose scores are held at once.
 QUERY_BLOCK, ITEM_BLOCK = 4096, 1024
 #: Items in a block: at least, and at most; between them so many that there are about BLOCKS blocks.
 LEAST_ITEMS, MOST_ITEMS, BLOCKS = 2048, 1 << 16, 1000
+#: Bytes of a block's vectors, as doubles. A task holds a block of queries and one of items, each up to twice.
+TILE_BYTES = 64 << 20
 Block = dict[str, np.ndarray]
 
 
+class Shape(NamedTuple):
+    """How many queries and items there are, and how long their vectors are, by column of the items."""
+
+    n_queries: int
+    n_items: int
+    lengths: dict[str, int]
+
+
+def usable(vector: str) -> Column:
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.col(vector).isNotNull() & ~F.coalesce(F.exists(F.col(vector).cast("array<double>"), bad), F.lit(True))
+
+
+def shape(queries: DataFrame, items: DataFrame, vectors: tuple[str, ...]) -> Shape:
+    """Two counts; ``vectors`` are the vector columns of the items."""
+    sizes = [F.max(F.when(usable(v), F.size(v))).alias(v) for v in vectors]
+    row = items.agg(F.count("*").alias("_n"), *sizes).first()
+    return Shape(queries.count(), row["_n"], {v: row[v] or 0 for v in vectors})
+
+
 def _arrays(table: pa.Table, vectors: tuple[str, ...]) -> Block:
     """Columns as arrays; those of ``vectors`` as matrices."""
     matrix = lambda c: pc.list_flatten(table[c]).to_numpy().astype(float).reshape(table.num_rows, -1)
     return {c: matrix(c) if c in vectors else table[c].to_pandas().to_numpy() for c in table.column_names}
 
 
-def by_blocks(queries: DataFrame, items: DataFrame, vectors: tuple[str, ...], run: Callable[[Block, Block], dict[str, np.ndarray]], ddl: str) -> DataFrame:
+def by_blocks(
+    queries: DataFrame, items: DataFrame, asking: dict[str, tuple[str, ...]], run: Callable[[Block, Block], dict[str, np.ndarray]], ddl: str, known: Shape | None = None
+) -> DataFrame:
     """The rows of ``run(queries, items)`` for every block of queries and every block of items.
 
-    The items are read once, whatever the number of queries; their rows go once to each block of queries, and queries
-    once to each block of items. Only two counts come to the driver.
+    ``asking`` gives for each vector column of the items the columns of the queries that meet it. The items are read
+    once, whatever the number of queries; their rows go once to each block of queries, and queries once to each block of
+    items. Only two counts come to the driver, none where the shape is ``known``.
     """
-    n_items = items.count()
-    per = min(MOST_ITEMS, max(LEAST_ITEMS, n_items // BLOCKS))
-    chunks, blocks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-n_items // per))
+    known = known or shape(queries, items, tuple(asking))
+    pairs = [(q, own) for own, them in asking.items() for q in them]
+    fits = lambda v, own: usable(v) & (F.size(v) == known.lengths[own])
+    per_vector = lambda own: max(8 * known.lengths[own], 1)
+    tile = TILE_BYTES // max(sum(map(per_vector, asking)), 1)
+    per = max(1, min(MOST_ITEMS, tile, max(LEAST_ITEMS, known.n_items // BLOCKS)))
+    most_queries = max(1, min(QUERY_BLOCK, TILE_BYTES // max(sum(per_vector(own) for _, own in pairs), 1)))
+    chunks, blocks = max(1, -(-known.n_queries // most_queries)), max(1, -(-known.n_items // per))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asking = queries.withColumn("_chunk", dealt("query_id", chunks)).withColumn("_block", each(blocks))
-    asked = items.withColumn("_block", dealt("item_id", blocks)).withColumn("_chunk", each(chunks))
+    for q, own in pairs:
+        queries = queries.where(fits(q, own))
+    for own in asking:
+        items = items.where(fits(own, own))
+    asked = queries.withColumn("_chunk", dealt("query_id", chunks)).withColumn("_block", each(blocks))
+    rows = items.withColumn("_block", dealt("item_id", blocks)).withColumn("_chunk", each(chunks))
+    vectors = (*asking, *(q for q, _ in pairs))
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -47,7 +87,7 @@ def by_blocks(queries: DataFrame, items: DataFrame, vectors: tuple[str, ...], ru
         return pa.table(run(_arrays(left, vectors), _arrays(right, vectors)))
 
     key = ["_chunk", "_block"]
-    return asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(task, ddl)
+    return asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(task, ddl)
 
 
 def item_blocks(batch: Block) -> Iterator[Block]:

@@ -125,6 +125,43 @@ def test_blend_kernel_equals_windowed_form(spark, data, monkeypatch, block):
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
 
 
+def test_all_weights_at_once_equal_weight_by_weight(spark):
+    """Random items, exact copies of targets and items that tie with them at one weight; any order of weights."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    photo, title = rng.integers(-2, 3, (90, 4)).astype(float), rng.integers(-2, 3, (90, 4)).astype(float)
+    photo[60:70], title[60:70] = photo[:10], title[:10]
+    title[70:80] = title[:10]
+    i = spark.createDataFrame([(k, p.tolist(), t.tolist()) for k, (p, t) in enumerate(zip(photo, title, strict=True))], "item_id long, photo_vector array<double>, title_vector array<double>")
+    asked = [(k, k, rng.integers(-2, 3, 4).astype(float), rng.integers(-2, 3, 4).astype(float)) for k in range(20)]
+    q = spark.createDataFrame([(a, b, p.tolist(), t.tolist()) for a, b, p, t in asked], "query_id long, target_id long, photo_query array<double>, title_query array<double>")
+    weights = [0.5, 0.0, 1.0, 0.1, 0.25, 1.5]
+    z = lambda s: (s - s.mean()) / s.std(ddof=1) if s.std() > 1e-9 else s * 0
+    want = {}
+    for a, b, p, t in asked:
+        zp, zt = z(np.round(photo @ p, 6)), z(np.round(title @ t, 6))
+        for w in weights:
+            s = np.round(w * zp + (1 - w) * zt, 6)
+            want[a, w] = 1 + sum(s[j] >= s[b] for j in range(90) if j != b)
+    assert {(r.query_id, r.w): r["rank"] for r in blend.weight_ranks(q, i, weights).collect()} == want
+
+
+def test_vectors_that_take_no_part(spark, monkeypatch):
+    """Null, ragged and unfinished vectors, as items, queries and targets; blocks of two vectors."""
+    nan = float("nan")
+    bad = [(10, None), (11, [1.0]), (12, [nan, 1.0]), (13, [None, 1.0]), (14, [float("inf"), 0.0]), (15, [1.0, 0.0, 0.0][:0])]
+    good = [(k, [float(k), 1.0]) for k in range(5)]
+    i = spark.createDataFrame(good + bad, "item_id long, item_vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [nan, 0.0])], "query_id long, vector array<double>")
+    monkeypatch.setattr(kernel, "TILE_BYTES", 32)
+    assert [(r.query_id, r.item_id) for r in dense.search(q, i, 3).orderBy("rank").collect()] == [(1, 4), (1, 3), (1, 2)]
+    targets = spark.createDataFrame([(1, 3), (2, 3)], "query_id long, target_id long")
+    assert [tuple(r) for r in dense.target_ranks_at_scale(q, i, targets).collect()] == [(1, 2)]
+    assert dense.target_ranks_at_scale(q, i, targets.withColumn("target_id", F.lit(12).cast("long"))).count() == 0
+    assert dense.search(q, i.where("item_id >= 10"), 3).where("item_id <> 11 and item_id <> 15").count() == 0 and dense.search(q.where("false"), i, 3).count() == 0
+
+
 def test_blend_edges(spark):
     rows = [(1, [1.0, 0.0], [1.0, 0.0], "red"), (2, [1.0, 0.0], [0.0, 1.0], "blue"), (3, [1.0, 0.0], [0.0, 1.0], None)]
     i = spark.createDataFrame(rows, "item_id long, photo_vector array<double>, title_vector array<double>, color string")
