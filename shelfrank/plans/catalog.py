@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..functions import text as T
-from ..operators import catalog, enrich, evaluate, lexical, profile
+from ..operators import catalog, enrich, evaluate, images, lexical, profile
 from ..operators.ranking import first_of
 from ..sources import tables
 from ..sources.scratch import scratch_path
@@ -144,6 +144,18 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     return ask(wanted).select("p_partkey", "source", F.when(said.isin(*colors.PALETTE), said).alias("color"), "error")
 
 
+def whole_images(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as the data of image files of four formats; one in five lacks its last bytes, one has a byte changed."""
+    i, data = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("png", "jpeg", "gif", "webp")]), (i % 4 + 1).cast("int"))
+    files = table(spark, d, "documents").select("doc_id", kind.alias("asked"), images.wrapped(data, kind).alias("file"))
+    size = F.octet_length("file")
+    cut = F.substring(F.col("file"), F.lit(1), (size - 1 - i % 10).cast("int"))
+    changed = F.concat(F.substring(F.col("file"), F.lit(1), size - 14), F.unhex(F.lit("00")), F.substring(F.col("file"), size - 12, F.lit(13)))
+    bytes_ = F.when(i % 5 == 0, cut).when((i % 5 == 1) & (F.col("asked") == "png"), changed).otherwise(F.col("file"))
+    return files.select("doc_id", size.cast("long").alias("n_bytes"), images.image_kind(bytes_).alias("kind"))
+
+
 def label_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Share of targets whose colour is one that the query asks for, by source of the query."""
     q = retrieval.target_queries(spark, d).select("query_id", "target_id", "source")
@@ -389,7 +401,7 @@ CASE WHEN contains(t, 'rose gold') THEN '' ELSE coalesce(array_to_string(list_so
 QUERIES = {
     "p3_corpus": corpus, "w2_gallery": gallery, "a14_corpus_counts": corpus_counts, "j1_judged_products": judged_join, "w2_keep_first": first_product, "a3_label_shares": label_counts,
     "a2_locale_counts": locale_counts, "a4_distinct_queries": query_counts, "a5_depth": query_depth, "a6_query_lengths": query_lengths, "a7_length_histogram": length_histogram, "a8_missing_rates": missing_rates,
-    "a9_completeness": completeness, "a10_split_leakage": split_leakage, "a11_positive_pairs": positive_pairs, "a12_facets": facets, "f7_colors": part_colors, "f20_json_replies": json_replies, "j8_work_list": work_list, "x4_annotations": annotations,
+    "a9_completeness": completeness, "a10_split_leakage": split_leakage, "a11_positive_pairs": positive_pairs, "a12_facets": facets, "f7_colors": part_colors, "f20_json_replies": json_replies, "j8_work_list": work_list, "x4_annotations": annotations, "s7_whole_images": whole_images,
     "e11_label_agreement": label_agreement, "e13_method_agreement": method_agreement, "a15_query_sizes": query_sizes, "a17_manifest": manifest, "f1_document_text": document_text, "x1_embedded_titles": embedded_titles,
     "p1_us_corpus": us_corpus, "p10_clean_queries": clean_queries, "p11_rejected_filters": rejected_filters, "p13_valid_labels": valid_labels, "p15_cards": cards, "p16_lookup": lookups,
     "j3_judged_titles": judged_titles, "j4_attributes": attributes, "a1_table_sizes": table_sizes, "a16_usage": usage,
@@ -425,6 +437,8 @@ UNION ALL SELECT 'lang', round(avg((lang IS NULL)::INT), 6) FROM j UNION ALL SEL
 UNION ALL SELECT 'category_l1', category_l1, count(*) FROM items WHERE category_l1 <> '' GROUP BY category_l1""",
     "f7_colors": f"WITH {COLOR} SELECT p_name, n, color, asked FROM col",
     "f20_json_replies": "SELECT 'k' AS style, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS texts FROM events",
+    "s7_whole_images": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 57 + n WHEN 1 THEN 32 + n WHEN 2 THEN 26 + n + (n + 254) // 255 ELSE 20 + n + n % 2 END AS n_bytes,
+CASE WHEN doc_id % 5 = 0 OR (doc_id % 5 = 1 AND doc_id % 4 = 0) THEN NULL ELSE (['png', 'jpeg', 'gif', 'webp'])[doc_id % 4 + 1] END AS kind FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)""",
     "x4_annotations": """SELECT p_partkey, source, CASE WHEN h[1] <> '0' THEN (['red', 'blue', NULL])[('0x' || h[2:3])::INT % 3 + 1] END AS color, CASE WHEN h[1] = '0' THEN 'refused' END AS error
 FROM (SELECT p_partkey, source, md5('Colour of ' || coalesce(p_name, '') || ' by ' || source || '?') AS h FROM part, (SELECT unnest(['text', 'image']) AS source))""",
     "j8_work_list": """SELECT p_partkey, source FROM part, (SELECT unnest(['text', 'image']) AS source) EXCEPT SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'text' ELSE 'image' END FROM events""",
