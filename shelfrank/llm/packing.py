@@ -135,7 +135,7 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...] = TIERS, smallest: int = SMALLEST):
         self.tiers, self.smallest = tuple(sorted(tiers, reverse=True)), smallest
         self.waiting: dict[int, list[Piece]] = {t: [] for t in self.tiers}
-        self.tokens = 0
+        self.tokens, self.held = 0, dict.fromkeys(self.tiers, 0)  # that wait, in all and by tier
         self.done: list[tuple[int, list[Piece]]] = []
 
     def add(self, doc: int, length: int, start: int = 0) -> None:
@@ -150,10 +150,12 @@ class Packer:
         tier = next(t for t in reversed(self.tiers) if piece[0] <= t)
         insort(self.waiting[tier], piece)
         self.tokens += piece[0]
+        self.held[tier] += piece[0]
 
     def _pop(self, tier: int, at: int) -> Piece:
         piece = self.waiting[tier].pop(at)
         self.tokens -= piece[0]
+        self.held[tier] -= piece[0]
         return piece
 
     def _fill(self, window: int, tiers: tuple[int, ...]) -> list[Piece]:
@@ -175,7 +177,7 @@ class Packer:
     def flush(self, end: bool = False) -> None:
         for k, tier in enumerate(self.tiers):
             below = self.tiers[k:]
-            while self.waiting[tier] and sum(p[0] for p in self.waiting[tier]) + self._some(below[1:], tier) >= tier:
+            while self.waiting[tier] and sum(self.held[t] for t in below) >= tier:
                 self.done.append((tier, self._fill(tier, below)))
         if end:
             size = self.tiers[0]
@@ -187,16 +189,6 @@ class Packer:
                 else:
                     self.done.append((size, self._fill(size, self.tiers)))
 
-    def _some(self, tiers: tuple[int, ...], enough: int) -> int:
-        """Tokens that wait in ``tiers``, counted until there are enough."""
-        n = 0
-        for t in tiers:
-            for p in self.waiting[t]:
-                n += p[0]
-                if n >= enough:
-                    return n
-        return n
-
     def take(self) -> list[tuple[int, list[Piece]]]:
         out, self.done = self.done, []
         return out
