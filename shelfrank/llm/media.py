@@ -4,7 +4,8 @@
 the sample tables and returns codec, duration and the byte ranges of keyframes; payload bytes are only sliced.
 
 A null text is an empty payload (one chunk of padding). Any text length works: sizes over 32 bits take the 64-bit box
-forms. Broken or truncated containers give a row with null fields and ``valid`` false. Equal texts give equal bytes.
+forms. Files may have several tracks, and fragments; boxes are read track by track. Broken or truncated containers give a
+row with null fields and ``valid`` false. Equal texts give equal bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SAMPLE_RATE = 8000
 #: Every so many chunks one is a sync sample.
 KEYFRAME_EVERY = 16
 #: Fixed values of the ISO base media format: boxes that hold boxes, and the unity matrix of headers.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -92,46 +93,130 @@ def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -
         start += size
 
 
-def read_container(data: bytes) -> dict:
-    """Codec, time scale, duration, sample ranges summed up and keyframe byte ranges of the first track."""
+def _numbers(data: memoryview, at: int, n: int, kind: str = "I") -> tuple[int, ...]:
+    return struct.unpack_from(f">{n}{kind}", data, at)
+
+
+class Track:
+    """What the boxes of one track say: its samples with their places, from sample tables and then from fragments."""
+
+    def __init__(self, data: memoryview, at: dict[bytes, tuple[int, int]]):
+        box = lambda kind: at[kind][0]
+        self.id = _numbers(data, box(b"tkhd") + (20 if data[box(b"tkhd")] else 12), 1)[0]
+        wide = data[box(b"mdhd")]
+        self.timescale, self.duration = struct.unpack_from(">IQ", data, box(b"mdhd") + 20) if wide else struct.unpack_from(">II", data, box(b"mdhd") + 12)
+        self.handler = bytes(data[box(b"hdlr") + 8 : box(b"hdlr") + 12]).decode("latin-1")
+        self.codec = bytes(data[box(b"stsd") + 12 : box(b"stsd") + 16]).decode("latin-1")
+        same, n = _numbers(data, box(b"stsz") + 4, 2)
+        self.sizes = [same] * n if same else list(_numbers(data, box(b"stsz") + 12, n))
+        if b"stco" in at:
+            chunks = _numbers(data, box(b"stco") + 8, _numbers(data, box(b"stco") + 4, 1)[0])
+        else:
+            chunks = _numbers(data, box(b"co64") + 8, _numbers(data, box(b"co64") + 4, 1)[0], "Q")
+        runs = [_numbers(data, box(b"stsc") + 8 + 12 * k, 3) for k in range(_numbers(data, box(b"stsc") + 4, 1)[0])]
+        self.starts: list[int] = []
+        for k, (first, per, _) in enumerate(runs):
+            until = runs[k + 1][0] if k + 1 < len(runs) else len(chunks) + 1
+            for chunk in range(first, until):
+                pos = chunks[chunk - 1]
+                for _ in range(min(per, n - len(self.starts))):
+                    self.starts.append(pos)
+                    pos += self.sizes[len(self.starts) - 1]
+        if len(self.starts) < n:
+            raise ValueError("chunks hold fewer samples than there are sizes")
+        self.keys = list(_numbers(data, box(b"stss") + 8, _numbers(data, box(b"stss") + 4, 1)[0])) if b"stss" in at else list(range(1, n + 1))
+        times = [_numbers(data, box(b"stts") + 8 + 8 * k, 2) for k in range(_numbers(data, box(b"stts") + 4, 1)[0])]
+        self.ticks = sum(count * delta for count, delta in times)
+
+    def fragment(self, data: memoryview, run: tuple[int, int], base: int, head: dict[str, int]) -> int:
+        """Append the samples of one run of a fragment; where the next run begins. ``head`` has the defaults."""
+        at = run[0]
+        flags, count = _numbers(data, at, 1)[0] & 0xFFFFFF, _numbers(data, at + 4, 1)[0]
+        at += 8
+        pos, said_first = base, None
+        if flags & 0x1:
+            pos, at = head["base"] + struct.unpack_from(">i", data, at)[0], at + 4
+        if flags & 0x4:
+            said_first, at = _numbers(data, at, 1)[0], at + 4
+        for k in range(count):
+            said = {}
+            for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "offset")):
+                if flags & bit:
+                    said[name], at = _numbers(data, at, 1)[0], at + 4
+            if at > run[1]:
+                raise ValueError("a run of samples ends outside its box")
+            own = said.get("flags", said_first if k == 0 and said_first is not None else head["flags"])
+            self.starts.append(pos)
+            self.sizes.append(said.get("size", head["size"]))
+            pos += self.sizes[-1]
+            self.ticks += said.get("duration", head["duration"])
+            if not own & 0x10000:
+                self.keys.append(len(self.starts))
+        return pos
+
+    def info(self) -> dict:
+        ends = [s + z for s, z in zip(self.starts, self.sizes, strict=True)]
+        keys = [{"sample": k, "first_byte": self.starts[k - 1], "end_byte": ends[k - 1]} for k in self.keys]
+        return {"track": self.id, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": self.duration or self.ticks, "ticks": self.ticks,
+                "samples": len(self.starts), "starts": self.starts, "sizes": self.sizes, "end": max(ends, default=0), "keyframes": keys}
+
+
+def _defaults(data: memoryview, at: int, moof: int, after: int, first: bool, trex: dict[int, tuple[int, ...]]) -> tuple[int, dict[str, int]]:
+    """Track of a fragment, and what its samples are without own words, from the fragment's and the file's defaults."""
+    flags, track = _numbers(data, at, 1)[0] & 0xFFFFFF, _numbers(data, at + 4, 1)[0]
+    at += 8
+    head = dict(zip(("duration", "size", "flags"), trex.get(track, (0, 0, 0)), strict=True))
+    head["base"] = moof if first or flags & 0x20000 else after
+    if flags & 0x1:
+        head["base"], at = _numbers(data, at, 1, "Q")[0], at + 8
+    at += 4 if flags & 0x2 else 0
+    for bit, name in ((0x8, "duration"), (0x10, "size"), (0x20, "flags")):
+        if flags & bit:
+            head[name], at = _numbers(data, at, 1)[0], at + 4
+    return track, head
+
+
+def read_tracks(data: bytes) -> list[dict]:
+    """Every track of a file: codec, time scale, duration, sample places and keyframe byte ranges, also of fragments."""
     view = memoryview(data)
-    at: dict[bytes, tuple[int, int]] = {}
+    parts: list[dict[bytes, tuple[int, int]]] = []
+    trex: dict[int, tuple[int, ...]] = {}
+    runs: list[tuple[bytes, int, int, int]] = []
+    moof = 0
     for path, start, end in walk(view, 0, len(view)):
-        at.setdefault(path[-1], (start, end))
-    u32 = lambda kind, off, n: struct.unpack_from(f">{n}I", view, at[kind][0] + off)
-    version = view[at[b"mdhd"][0]]
-    timescale, duration = struct.unpack_from(">IQ", view, at[b"mdhd"][0] + 20) if version else struct.unpack_from(">II", view, at[b"mdhd"][0] + 12)
-    codec = bytes(view[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
-    same, n = u32(b"stsz", 4, 2)
-    sizes = [same] * n if same else list(u32(b"stsz", 12, n))
-    if b"stco" in at:
-        offsets = list(u32(b"stco", 8, u32(b"stco", 4, 1)[0]))
-    else:
-        offsets = list(struct.unpack_from(f">{u32(b'co64', 4, 1)[0]}Q", view, at[b"co64"][0] + 8))
-    runs = [u32(b"stsc", 8 + 12 * k, 3) for k in range(u32(b"stsc", 4, 1)[0])]
-    starts: list[int] = []
-    for k, (first, per, _) in enumerate(runs):
-        until = runs[k + 1][0] if k + 1 < len(runs) else len(offsets) + 1
-        for chunk in range(first, until):
-            pos = offsets[chunk - 1]
-            for _ in range(per):
-                if len(starts) < n:
-                    starts.append(pos)
-                    pos += sizes[len(starts) - 1]
-    if len(starts) < n:
-        raise ValueError("chunks hold fewer samples than there are sizes")
-    keys = u32(b"stss", 8, u32(b"stss", 4, 1)[0]) if b"stss" in at else range(1, n + 1)
-    times, ticks = u32(b"stts", 4, 1)[0], 0
-    for k in range(times):
-        count, delta = u32(b"stts", 8 + 8 * k, 2)
-        ticks += count * delta
-    ends = [s + z for s, z in zip(starts, sizes, strict=True)]
-    if ends and max(ends) > len(view):
+        if path == (b"moov", b"trak"):
+            parts.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            parts[-1].setdefault(path[-1], (start, end))
+        elif path == (b"moov", b"mvex", b"trex"):
+            track, _, *defaults = _numbers(view, start + 4, 5)
+            trex[track] = tuple(defaults)
+        elif path == (b"moof",):
+            moof = start - (8 if view[start - 4 : start] == b"moof" else 16)  # the kind stands before the body, or the wide size
+        elif path[:2] == (b"moof", b"traf") and path[-1] in (b"tfhd", b"trun"):
+            runs.append((path[-1], start, end, moof))
+    tracks = [Track(view, at) for at in parts]
+    by_id, after, before, track, head = {t.id: t for t in tracks}, 0, None, 0, {}
+    for kind, start, end, moof in runs:
+        if kind == b"tfhd":
+            track, head = _defaults(view, start, moof, after, moof != before, trex)
+            before, after = moof, head["base"]
+        elif track not in by_id:
+            raise ValueError("a fragment of an unknown track")
+        else:
+            after = by_id[track].fragment(view, (start, end), after, head)
+    found = [t.info() for t in tracks]
+    if any(t["end"] > len(view) for t in found):
         raise ValueError("samples end outside the file")
-    return {
-        "codec": codec, "timescale": timescale, "duration": duration, "ticks": ticks, "samples": n, "starts": starts, "sizes": sizes,
-        "keyframes": [{"sample": k, "first_byte": starts[k - 1], "end_byte": ends[k - 1]} for k in keys],
-    }
+    return found
+
+
+def read_container(data: bytes) -> dict:
+    """The track that stands for a file: its first one of video, else its first one; ``tracks`` has all."""
+    tracks = read_tracks(data)
+    if not tracks:
+        raise ValueError("a file without tracks")
+    return next((t for t in tracks if t["handler"] == "vide"), tracks[0]) | {"tracks": tracks}
 
 
 def payload_of(data: bytes, info: dict) -> bytes:
@@ -146,6 +231,9 @@ def payload_of(data: bytes, info: dict) -> bytes:
 
 KEYFRAMES = "array<struct<sample:bigint,first_byte:bigint,end_byte:bigint>>"
 _KEYS = pa.list_(pa.struct([("sample", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
+TRACKS = f"array<struct<track:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:{KEYFRAMES}>>"
+_TRACK = [("track", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", _KEYS)]
+_TRACKS = pa.list_(pa.struct(_TRACK))
 
 
 def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +255,10 @@ def store_media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def read_media(df: DataFrame, *, keep: tuple[str, ...] = ("id", "n_bytes")) -> DataFrame:
-    """Structure and digests of the ``media`` column, next to the columns ``keep``."""
+    """Structure and digests of the ``media`` column, next to the columns ``keep``; ``tracks`` has every track of a file.
+
+    The columns of a file are those of its first video track, else of its first track.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,10 +269,11 @@ def read_media(df: DataFrame, *, keep: tuple[str, ...] = ("id", "n_bytes")) -> D
                     info = read_container(data)
                     payload = payload_of(data, info)
                     rows.append((True, info["codec"], info["timescale"], info["duration"], info["samples"], info["keyframes"], len(payload),
-                                 hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest()))
+                                 hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
+                                 [{c: x[c] for c, _ in _TRACK} for x in info["tracks"]]))
                 except (ValueError, KeyError, IndexError, struct.error, TypeError):
-                    rows.append((False, None, None, None, None, None, None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest()))
-            kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _KEYS, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                    rows.append((False, None, None, None, None, None, None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None))
+            kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _KEYS, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _TRACKS]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.record_batch([*(batch.column(k) for k in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*keep, *_READ])
 
@@ -189,11 +281,11 @@ def read_media(df: DataFrame, *, keep: tuple[str, ...] = ("id", "n_bytes")) -> D
     return df.select(*keep, "media").mapInArrow(
         read,
         f"{kept}, valid boolean, codec string, timescale long, duration long, samples long, keyframes {KEYFRAMES}, "
-        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string",
+        f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tracks {TRACKS}",
     )
 
 
-_READ = ["valid", "codec", "timescale", "duration", "samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+_READ = ["valid", "codec", "timescale", "duration", "samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tracks"]
 
 
 def media_digests(documents: DataFrame) -> DataFrame:
