@@ -68,10 +68,10 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bounded(df: DataFrame) -> DataFrame | None:
-    """``df`` if its rows, by the real length of their strings, stay within BROADCAST_BYTES, else None."""
+def bounded(df: DataFrame, more: Column | None = None) -> DataFrame | None:
+    """``df`` if its rows, by the real length of their strings and ``more`` bytes, stay within BROADCAST_BYTES, else None."""
     strings = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
-    width = sum(strings, F.lit(16 * len(df.columns))).cast("long")
+    width = sum(strings, F.lit(16 * len(df.columns)) + F.coalesce(more if more is not None else F.lit(0), F.lit(0))).cast("long")
     total = df.agg(F.sum(width)).first()[0] or 0
     return df if total <= BROADCAST_BYTES else None
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hub_join, materialize, scratch_path, small
+from .common import bounded, hub_join, materialize, scratch_path
+from .near_dup import components
 
 CRLF = "\r\n"
 #: Most bytes of payload in one archive file (a larger payload has a file of its own). Payloads are written in classes
@@ -80,7 +82,9 @@ def captures(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         *own, F.lit("").alias("payload"), F.lit(True).alias("revisit"), capture("page_id", "url", F.col("k")).alias("capture_id"),
         capture("first.page_id", "first.url", F.lit(0)).alias("refers_to"), F.col("first.page_id").alias("refers_page"),
     )
-    known = large.join(small(first.select(F.col("digest").alias("_digest"), "first"), 200), F.col("digest") == F.col("_digest"), "left")
+    heads = first.select(F.col("digest").alias("_digest"), "first")
+    few = bounded(heads, F.octet_length("first.url") + 32)
+    known = large.join(heads if few is None else F.broadcast(few), F.col("digest") == F.col("_digest"), "left")
     out = responses(known.where(F.col("first").isNull() | (is_first & (F.col("first.copies") == 1))), F.lit(0)).unionByName(revisits)
     if not first.where("first.copies > 1").isEmpty():  # equal rows at the head of a group: one of them is the response
         out = out.unionByName(responses(known.where(is_first & (F.col("first.copies") > 1)).dropDuplicates(["digest"]), F.lit(0)))
@@ -127,8 +131,17 @@ def size_class(n_bytes: Column) -> Column:
 
 
 def _headers(block: bytes) -> dict[str, str]:
-    pairs = (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF))
-    return {k.strip().lower(): v.strip() for k, sep, v in pairs if sep}
+    """Names in lower case; values of a repeated name are joined by blanks."""
+    out: dict[str, str] = {}
+    for k, sep, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF)):
+        if sep:
+            name = k.strip().lower()
+            out[name] = f"{out[name]} {v.strip()}" if name in out else v.strip()
+    return out
+
+
+class Damaged(ValueError):
+    """A file cannot be read on from here."""
 
 
 def unpacked(content: bytes) -> Iterator[bytes]:
@@ -141,7 +154,10 @@ def unpacked(content: bytes) -> Iterator[bytes]:
         member = zlib.decompressobj(31)
         at, n = 0, len(view)
         while not member.eof and at < n:
-            yield member.decompress(view[at : at + CHUNK])
+            try:
+                yield member.decompress(view[at : at + CHUNK])
+            except zlib.error as e:
+                raise Damaged(f"gzip: {e}") from e
             at += CHUNK
         if not member.eof:
             return  # the file ends within a member
@@ -175,10 +191,13 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
                 return
         head = bytes(data[at:end])
         if not head.startswith(b"WARC/"):
-            raise ValueError("a record does not begin with its version")
+            raise Damaged("a record does not begin with its version")
         headers = _headers(head.partition(b"\r\n")[2])
         begin = len(head) + 4
-        size = begin + int(headers["content-length"])
+        length = headers.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", length):
+            raise Damaged("a record without a length")
+        size = begin + int(length)
         while len(data) - at < size:
             if not grow():
                 return
@@ -187,14 +206,31 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 _RECORD = pa.schema([(c, pa.string()) for c in ("type", "record_id", "concurrent_to", "refers_to", "url", "header_digest", "digest")]
-                    + [("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("refers_page", pa.int64()), ("payload", pa.string())])
+                    + [("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("refers_page", pa.int64()), ("payload", pa.string()), ("error", pa.string())])
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    said = fields.get(name, "")
+    return int(said) if re.fullmatch("-?[0-9]{1,18}", said) else None
 
 
 def read_archives(spark: SparkSession, path: str, *, payload: bool = False, glob: str = "*.{txt,txt.gz,warc,warc.gz}") -> DataFrame:
-    """One row per record of the files whose names fit ``glob``; digests and lengths are computed from the stored payload (of a revisit: its headers say them)."""
+    """One row per record of the files whose names fit ``glob``; digests and lengths are computed from the stored payload (of a revisit: its headers say them).
+
+    ``concurrent_to`` has all identifiers of a record, parted by blanks. Where a file is damaged, a row with ``type``
+    ``damaged`` and the ``error`` follows the records before it; a damaged member or record ends its file only.
+    """
 
     def rows(content: bytes) -> Iterator[dict]:
-        for h, block in parse_records(unpacked(content)):
+        records = parse_records(unpacked(content))
+        while True:
+            try:
+                h, block = next(records)
+            except StopIteration:
+                return
+            except Damaged as e:
+                yield {"type": "damaged", "error": str(e)}
+                return
             kind = h.get("warc-type")
             row = {"type": kind, "record_id": h.get("warc-record-id"), "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "url": h.get("warc-target-uri")}
             if kind in ("response", "revisit"):
@@ -203,10 +239,10 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = False, glob
                 if kind == "response":
                     row |= {"digest": base64.b32encode(hashlib.sha1(body).digest()).decode(), "payload": body.decode("utf-8", "replace") if payload else None}
                 else:
-                    row |= {"digest": row["header_digest"], "payload_bytes": int(_headers(head).get("content-length", 0))}
+                    row |= {"digest": row["header_digest"], "payload_bytes": _number(_headers(head), "content-length") or 0}
             elif kind == "metadata":
                 fields = _headers(block)
-                row |= {"page_id": int(fields["page-id"]) if "page-id" in fields else None, "refers_page": int(fields["refers-page"]) if "refers-page" in fields else None}
+                row |= {"page_id": _number(fields, "page-id"), "refers_page": _number(fields, "refers-page")}
             yield row
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +264,30 @@ def read_archives(spark: SparkSession, path: str, *, payload: bool = False, glob
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``request``, ``response`` and ``metadata``, joined through concurrent-to identifiers.
 
-    A capture has a handful of records, so the groups are small. Records that point to nothing here make a row of their own.
+    Identifiers count in both directions: records that reach each other over any number of them are one capture, known by
+    its response, else by its smallest record. Mostly requests and metadata name their response and nothing else; only
+    records that are linked otherwise are followed from link to link. A capture has a handful of records, so groups are
+    small. Records that point to nothing here make a row of their own; damaged places make none.
     """
-    key = F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    named = F.when(F.col("concurrent_to") != "", F.split("concurrent_to", " "))
+    main = F.col("type").isin("response", "revisit")
+    records = records.where("type is null or type <> 'damaged'")
+    narrow = materialize(records.select("type", "record_id", "concurrent_to"), "warc-links")
+    key = F.when(main, F.col("record_id")).otherwise(F.coalesce(named[0], F.col("record_id")))
+    # who names more than one, is named by a response, or names what is no response, is linked otherwise
+    odd = narrow.where((F.size(named) > 1) | (main & named.isNotNull())).select("record_id", F.explode(named).alias("to"))
+    others = narrow.where(~main & (F.size(named) == 1)).select("record_id", named[0].alias("to"))
+    astray = others.join(narrow.where(~main).select(F.col("record_id").alias("to")), "to", "left_semi")
+    links = materialize(odd.unionByName(astray).where("record_id is not null"), "warc-links")
+    if not links.isEmpty():
+        touched = links.select(F.explode(F.array("record_id", "to")).alias("to")).distinct()
+        near = others.join(touched, "to", "left_semi").unionByName(others.join(touched.withColumnRenamed("to", "record_id"), "record_id", "left_semi"))
+        edges = links.unionByName(near.select("record_id", "to"))
+        labels = components(edges.select(F.col("record_id").alias("a"), F.col("to").alias("b")))
+        response = labels.join(narrow.where(main).select(F.col("record_id").alias("node")), "node").groupBy("label").agg(F.min("node").alias("_capture"))
+        whole = labels.join(response, "label", "left").select(F.col("node").alias("record_id"), F.coalesce("_capture", "label").alias("_capture"))
+        records = records.join(whole, "record_id", "left")
+        key = F.coalesce("_capture", key)
 
     def one(kinds: tuple[str, ...], *names: str) -> Column:
         return F.max(F.when(F.col("type").isin(*kinds), F.struct("record_id", *names)))
@@ -248,7 +305,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     sizes = pages.agg(F.collect_set(size_class(F.coalesce(F.octet_length(F.col("html")), F.lit(0)))).alias("c")).first()["c"]  # at most len(CLASSES) + 1
     write_archives(captures(pages), path, sizes)
-    whole = transactions(read_archives(spark, path))
+    whole = transactions(materialize(read_archives(spark, path), "warc-records"))  # archives are parsed once
     return whole.select(
         F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("metadata.refers_page").alias("refers_to"),
