@@ -38,7 +38,7 @@ WORD = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
 ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,19}(?![A-Za-z0-9+/_-])" % LEAST)
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SIZE = len(ALPHABET) + 1  # the last is the beginning of a token
-#: The classifier's bound: documents whose strings train the models.
+#: The classifier's bound: different documents whose strings train the models, about.
 SAMPLE_DOCUMENTS = 4000
 SMOOTHING, BACK_OFF = 0.5, 5.0
 #: Least log-likelihood ratio per character, and in sum.
@@ -74,12 +74,21 @@ def steps(token: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[SIZE - 1], codes[:-1]]), codes
 
 
+def sample_bar(n: int) -> int | None:
+    """Signed 64-bit hashes below this make SAMPLE_DOCUMENTS of ``n`` rows, about; None takes all."""
+    return None if n <= SAMPLE_DOCUMENTS else -(1 << 63) + (SAMPLE_DOCUMENTS << 64) // n
+
+
 def train(documents: DataFrame, text: Column, key: Column) -> np.ndarray:
-    """Log-likelihood ratio of each bigram, random over ordinary: one SIZE x SIZE table whatever the input's size."""
-    n = documents.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
-    sample = documents.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(text.cast("string").alias("text"))
-    sample = materialize(sample, "secrets-sample")
+    """Log-likelihood ratio of each bigram, random over ordinary: one SIZE x SIZE table whatever the input's size.
+
+    The sample is the rows of the smallest hashes of id and text; equal rows count once.
+    """
+    bar = sample_bar(documents.count())
+    sample = documents.select(text.cast("string").alias("text"), F.xxhash64(key, text.cast("string")).alias("hash"))
+    if bar is not None:
+        sample = sample.where(F.col("hash") < F.lit(bar)).dropDuplicates(["hash"])
+    sample = materialize(sample.select("text"), "secrets-sample")
     ratio = _ratio(sample, _ratio(sample, None))
     discard(sample)
     return ratio

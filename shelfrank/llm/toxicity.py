@@ -1,13 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are words and their beginnings, chosen from labelled documents. One weight vector serves all thresholds:
-``P(severity > k) = 1 / (1 + exp(threshold_k - w . x))``; the sum over k is the expected severity. Labels say only
-toxic or not, so the grades above 0 of labelled toxic documents come from how much of what marks toxic documents they
-hold (lower half: grade 1, upper half: grade 2).
+``P(severity > k) = 1 / (1 + exp(threshold_k - w . x))``; the sum over k is the expected severity. Labels of several
+values are grades: severity k is the k-th smallest value. Where labels are only 0 and 1, the grades above 0 of documents
+labelled 1 come from how much of what marks these they hold (lower half: grade 1, upper half: grade 2).
 
 The fit uses a bounded sample of labels; scoring reads every text whole. A null or empty text has no features and gets
-severity 0. Without labels of both kinds nothing is toxic. Rows of one id are scored one by one; labels of one id that
-contradict each other count as toxic. An empty table gives an empty result.
+severity 0. With labels of one value nothing is toxic. Rows of one id are scored one by one; of contradicting labels of
+one id the greatest counts, and of its texts one (of the smallest hash) is in the sample. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,8 @@ from .common import discard, materialize, small_batches
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features besides the word.
 BEGINNINGS = (4, 5, 6, 7)
-#: The classifier's bounds: labelled documents of each kind, and features.
-SAMPLE_PER_KIND, FEATURES = 2500, 600
+#: The classifier's bounds: labelled documents of each value, values, and features.
+SAMPLE_PER_KIND, MOST_GRADES, FEATURES = 2500, 20, 600
 #: Documents of the sample in which a feature must be.
 LEAST_DOCUMENTS = 5
 #: Least G-test statistic of a feature against the labels.
@@ -72,15 +74,23 @@ def counts_of(text: str | None, names: dict[str, int]) -> dict[int, int]:
     return found
 
 
-def sample_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """At most SAMPLE_PER_KIND ids of each kind, smallest hashes first."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    parts = [one.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PER_KIND) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+def values_of(labels: DataFrame, label_col: str) -> list:
+    """The values of labels in order; they are grades, so there are few."""
+    found = labels.where(F.col(label_col).isNotNull()).groupBy(label_col).count().orderBy(label_col).limit(MOST_GRADES + 1).collect()
+    if len(found) > MOST_GRADES:
+        raise ValueError(f"{label_col} has more than {MOST_GRADES} values: no grades")
+    return [(r[0], r[1]) for r in found]
+
+
+def sample_labels(labels: DataFrame, id_col: str, label_col: str, values: list) -> DataFrame:
+    """``_id, _level``: at most SAMPLE_PER_KIND ids of each of ``values``, smallest hashes first."""
+    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_value"))
+    parts = [one.where(F.col("_value") == v).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PER_KIND).select("_id", F.lit(k).alias("_level")) for k, v in enumerate(values)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def choose_features(sample: DataFrame) -> list[tuple[str, int, int]]:
-    """``(feature, clean documents, toxic documents)`` of the most telling features of ``sample(text, _label)``."""
+    """``(feature, clean documents, toxic documents)`` of the most telling features of ``sample(text, _label)``, labels 0 and 1."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,15 +134,20 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES) -> tuple[np.
 
 
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the sample; only counts of chosen features, at most 2 SAMPLE_PER_KIND sparse rows, come to the driver.
+    """Fit on the sample; only counts of chosen features, at most SAMPLE_PER_KIND sparse rows a value, come to the driver.
 
     The texts of the sample are saved once: choosing features, counting kinds and making vectors read only them.
     """
     small_batches(documents.sparkSession)
-    picked = sample_labels(labels, id_col, label_col)
+    values = values_of(labels, label_col)
+    if len(values) < 2:
+        return Model()
+    halves = [v for v, _ in values] == [0, 1]
+    picked = sample_labels(labels, id_col, label_col, [v for v, _ in values])
     texts = documents.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).drop("_id", "_doc")  # at most 2 SAMPLE_PER_KIND ids
-    sample = materialize(joined, "toxicity-sample")
+    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # at most SAMPLE_PER_KIND ids a value
+    one = joined.groupBy("_id", "_level").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialize(one.select("text", "_level", (F.col("_level") > 0).cast("int").alias("_label")), "toxicity-sample")
     chosen = choose_features(sample)
     names = {f: k for k, (f, _, _) in enumerate(chosen)}
     marks = np.array([t > 4 * c for _, c, t in chosen], bool)
@@ -140,26 +155,28 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [counts_of(t, names) for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["_label"], "words": [len(t.split()) if t else 0 for t in batch["text"]],
+            yield pd.DataFrame({"level": batch["_level"], "words": [len(t.split()) if t else 0 for t in batch["text"]],
                                 "k": [list(c) for c in found], "n": [list(c.values()) for c in found]})
 
-    rows = sample.mapInPandas(vectors, "label int, words long, k array<int>, n array<int>").toPandas()
+    rows = sample.mapInPandas(vectors, "level int, words long, k array<int>, n array<int>").toPandas()
     discard(sample)
-    y = rows["label"].to_numpy(int) if len(rows) else np.zeros(0, int)
-    if not names or len(set(y)) < 2:
-        return Model()
+    level = rows["level"].to_numpy(int) if len(rows) else np.zeros(0, int)
+    if not names or len(set(level)) < len(values):
+        return Model()  # a value has no document
     counts = np.zeros((len(rows), len(names)), np.float32)
     for i, (k, n) in enumerate(zip(rows["k"], rows["n"], strict=True)):
         counts[i, np.asarray(k, int)] = n
     model = Model(names)
     held = model.value(counts)[:, marks].sum(axis=1)
-    toxic = y == 1
-    grade = np.where(toxic, 1 + (held > np.median(held[toxic])), 0)
-    order = np.lexsort((held, rows["words"], y))  # the fit's result does not depend on the order of rows, but its last bits do
-    model.weights, model.thresholds = fit_ordinal(model.value(counts[order]), grade[order])
-    # the sample holds both kinds in other shares than the labels do
-    share = labels.where(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double")).alias("p")).first()["p"]
-    model.thresholds = model.thresholds + np.log(toxic.mean() / (1 - toxic.mean())) - np.log(share / (1 - share))
+    toxic = level > 0
+    grade = np.where(toxic, 1 + (held > np.median(held[toxic])), 0) if halves else level
+    order = np.lexsort((held, rows["words"], level))  # the fit's result does not depend on the order of rows, but its last bits do
+    model.weights, cuts = fit_ordinal(model.value(counts[order]), grade[order], int(grade.max()) + 1)
+    # the sample holds the values in other shares than the labels do
+    seen, odds = np.array([n for _, n in values], float), lambda p: np.log(p / (1 - p))
+    there = odds(np.cumsum(seen[::-1])[::-1][1:] / seen.sum())
+    here = odds(np.array([(level >= k).mean() for k in range(1, len(values))]))
+    model.thresholds = np.maximum.accumulate(cuts + (here - there))
     return model
 
 
