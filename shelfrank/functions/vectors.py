@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +18,15 @@ def normalize(v: Column) -> Column:
 
 
 def half_precision(v: Column) -> Column:
-    """What is left of a vector after 16-bit storage."""
+    """What is left of a vector after 16-bit storage: 11 significant bits, rounded half to even, by expressions only.
 
-    @F.pandas_udf("array<float>")
-    def there_and_back(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+    Below the normal range the steps stay the same; beyond the largest value comes infinity. Null components stay null.
+    """
 
-    return there_and_back(v)
+    def rounded(x: Column) -> Column:
+        a = F.abs(x.cast("double"))
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(a)), F.lit(-14)) - 10)
+        near = F.when(a >= 65520.0, float("inf")).otherwise(F.rint(a / step) * step)
+        return F.when((a == 0) | F.isnan(x), x).otherwise(F.when(x < 0, -near).otherwise(near)).cast("float")
+
+    return F.transform(v.cast("array<float>"), rounded)

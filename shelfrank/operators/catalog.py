@@ -115,10 +115,22 @@ def facet_counts(items: DataFrame) -> DataFrame:
     return counted.select(facet.alias("facet"), value.alias("value"), "n").where("value <> ''")
 
 
-def export_bundle(items: DataFrame, vectors: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Items that have a vector of every kind, and the one-row manifest; raises where an item has none."""
+def bundle_faults(items: DataFrame, vectors: dict[str, DataFrame]) -> dict[str, int]:
+    """What keeps ``items`` and their ``vectors`` from matching one to one, in one grouping by product; only counts that are not 0."""
+    rows = items.select("product_id", F.lit("item").alias("kind"))
     for kind, table in vectors.items():
-        missing = items.join(table, "product_id", "left_anti").count()
-        if missing:
-            raise ValueError(f"{missing} items have no {kind} vector")
+        rows = rows.unionByName(table.select("product_id", F.lit(kind).alias("kind")))
+    kinds = ["item", *vectors]
+    each = rows.groupBy("product_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    counts = [F.count_if(F.col(k) > 1).alias(f"ids of {k} rows are repeated") for k in kinds]
+    for k in vectors:
+        counts += [F.count_if((F.col("item") > 0) & (F.col(k) == 0)).alias(f"items have no {k} vector"), F.count_if((F.col("item") == 0) & (F.col(k) > 0)).alias(f"{k} vectors have no item")]
+    found = each.agg(*counts, F.count_if(F.col("product_id").isNull()).alias("rows have no id")).first().asDict()
+    return {fault: n for fault, n in found.items() if n}
+
+
+def export_bundle(items: DataFrame, vectors: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Items and the one-row manifest; raises where items and vectors of every kind do not match one to one."""
+    if faults := bundle_faults(items, vectors):
+        raise ValueError("; ".join(f"{n} {fault}" for fault, n in faults.items()))
     return items, items.agg(F.count("*").alias("items"), F.count_if(F.col("color") != "").alias("labelled"))

@@ -34,17 +34,46 @@ def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(df: DataFrame, key: str, text: str, model_id: str, encode: Callable[[list[str]], np.ndarray] = hashed_encoder, modality: str = "title", blank: str | bytes = "", lower: bool = False) -> DataFrame:
+Encode = Callable[[list], np.ndarray]
+#: Texts or images that an encoder gets at once, of like length.
+ENCODED_AT_ONCE = 256
+_LOADED: dict[str, Encode] = {}
+
+
+def loaded(model_id: str, load: Callable[[], Encode]) -> Encode:
+    """The encoder of ``model_id``: loaded at its first use in a Python worker and kept for all later tasks there."""
+    if model_id not in _LOADED:
+        _LOADED[model_id] = load()
+    return _LOADED[model_id]
+
+
+def by_length(encode: Encode, values: list, at_once: int = ENCODED_AT_ONCE) -> np.ndarray:
+    """The vectors of ``values`` in their order; the encoder gets values of like length together."""
+    order = sorted(range(len(values)), key=lambda i: len(values[i]))
+    parts = [np.asarray(encode([values[i] for i in order[at : at + at_once]]), np.float32) for at in range(0, len(order), at_once)]
+    out = np.concatenate(parts)
+    out[order] = out.copy()
+    return out
+
+
+def embed(
+    df: DataFrame, key: str, text: str, model_id: str, encode: Encode = hashed_encoder, modality: str = "title", blank: str | bytes = "", lower: bool = False, *, load: Callable[[], Encode] | None = None
+) -> DataFrame:
     """``key, model_id, modality, embedding``; rows of different models never meet, as joins use model_id.
 
     ``text`` may be bytes (images) as well; ``blank`` stands for nulls and has the same type. ``lower`` is for models
-    that were trained on lower-case text.
+    that were trained on lower-case text. A large model comes by ``load``, a function that makes the encoder: it runs
+    once in each Python worker, whatever the number of tasks, and only the function travels with them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_by = encode if load is None else enrich.loaded(model_id, load)
         for batch in batches:
-            vectors = encode([blank if x is None else x for x in batch["text"]])
-            yield pd.DataFrame({key: batch[key], "model_id": model_id, "modality": modality, "embedding": list(vectors)})
+            if len(batch):
+                vectors = by_length(run_by, [blank if x is None else x for x in batch["text"]])
+                yield pd.DataFrame({key: batch[key], "model_id": model_id, "modality": modality, "embedding": list(vectors)})
+
+    from . import enrich  # by its name: what a worker has loaded stays in the module, not in a copy of this function
 
     rows = df.select(key, (F.lower(F.col(text)) if lower else F.col(text)).alias("text"))
     return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, model_id string, modality string, embedding array<float>")

@@ -30,15 +30,37 @@ def judged_metrics(stages: DataFrame, judgements: DataFrame, ks: tuple[int, ...]
 
     ``stages(stage, query_id, doc_id, rank)``, ``judgements(relevance, query_id, doc_id)``.
     """
-    judged = judgements.select("relevance", "query_id").distinct()
-    hits = stages.join(judgements, ["query_id", "doc_id"]).groupBy("stage", "relevance", "query_id").agg(F.min("rank").alias("first"))
+    hits = stages.join(judgements, ["query_id", "doc_id"]).select("stage", "relevance", "query_id", "rank")
+    return hit_metrics(stages, judgements.select("relevance", "query_id").distinct(), hits, ks, mrr_k)
+
+
+def hit_metrics(stages: DataFrame, judged: DataFrame, hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10), mrr_k: int = 10) -> DataFrame:
+    """As ``judged_metrics``, from ``judged(relevance, query_id)`` and the ``hits(stage, relevance, query_id, rank)`` that are right."""
+    best = hits.groupBy("stage", "relevance", "query_id").agg(F.min("rank").alias("first"))
     every = judged.crossJoin(F.broadcast(stages.select("stage").distinct()))  # a handful of stages
-    first = every.join(hits, ["stage", "relevance", "query_id"], "left")
+    first = every.join(best, ["stage", "relevance", "query_id"], "left")
     share = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"hits_{k}") for k in ks]
     mrr = F.round(F.avg(F.when(F.col("first") <= mrr_k, 1 / F.col("first")).otherwise(0.0)), 6).alias("mrr")
     return first.groupBy("stage", "relevance").agg(F.count("*").alias("n"), *share, mrr)
 
 
+def source_metrics(stages: DataFrame, strict: DataFrame, documents: DataFrame) -> DataFrame:
+    """Metrics at both levels without a list of lenient answers: a result is looked up by its own keys.
+
+    ``strict(query_id, doc_id, source)`` are the strict answers; lenient ones are also the documents that are ``good`` in
+    ``documents(doc_id, source, good)`` and of a source of a strict answer. Every result is joined to one document, to
+    at most one strict answer and to at most one source of its query, so rows do not multiply.
+    """
+    own = strict.select("query_id", "doc_id", F.lit(True).alias("_own")).distinct()
+    sources = strict.select("query_id", "source", F.lit(True).alias("_near")).distinct()
+    seen = stages.select("stage", "query_id", "doc_id", "rank").join(documents, "doc_id", "left").join(own, ["query_id", "doc_id"], "left").join(sources, ["query_id", "source"], "left")
+    lenient = F.coalesce("_own", F.lit(False)) | (F.coalesce("good", F.lit(False)) & F.coalesce("_near", F.lit(False)))
+    levels = F.array_compact(F.array(F.when(F.col("_own"), "strict"), F.when(lenient, "lenient")))
+    hits = seen.select("stage", F.explode(levels).alias("relevance"), "query_id", "rank")
+    judged = strict.select("query_id").distinct().select(F.explode(F.array(F.lit("strict"), F.lit("lenient"))).alias("relevance"), "query_id")
+    return hit_metrics(stages, judged, hits)
+
+
 def rank_metrics(rank: Column) -> list[Column]:
     """R@1, R@10 and MRR@10 from the rank of one right answer; null is absent."""
     at = lambda k: F.round(F.avg(F.when(rank <= k, 1.0).otherwise(0.0)), 6).alias(f"r_{k}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions import colors
 from ..functions import text as T
 from ..operators import catalog, enrich, evaluate, images, lexical, profile
 from ..operators.ranking import first_of
-from ..sources import tables
+from ..sources import artifacts, tables
 from ..sources.scratch import scratch_path
 from . import retrieval
 from .retrieval import items, table
@@ -355,7 +356,7 @@ def vector_round_trip(spark: SparkSession, d: str) -> DataFrame:
     both = [i.select("item_id", F.lit("joint").alias("model_id"), F.lit(m).alias("modality"), F.col(f"{m}_vector").alias("embedding")) for m in ("photo", "title")]
     tables.write_vectors(both[0].unionByName(both[1]), path)
     e = F.col("embedding")
-    return tables.read_vectors(spark, path, "joint", "title").select("item_id", F.size(e).cast("long").alias("d"), F.round(F.element_at(e, 1), 6).alias("first"), F.round(F.element_at(e, -1), 6).alias("last"))
+    return tables.read_vectors(spark, path, "joint", "title").select("item_id", F.size(e).cast("long").alias("d"), _weighted("embedding").alias("weighted"), F.round(F.element_at(e, 1), 6).alias("first"), F.round(F.element_at(e, -1), 6).alias("last"))
 
 
 def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -371,12 +372,91 @@ def metric_tables(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("value string, n long").json(path)
 
 
+def _bundle(rows: DataFrame, path: str) -> None:
+    vectors = {x: rows.select("product_id", F.col(f"{x}_vector").alias("embedding")) for x in ("photo", "title")}
+    tables.write_bundle(rows.select("product_id", "color", "category"), vectors, path, models={"photo": "joint", "title": "joint"}, built_at="2024-01-01T00:00:00+00:00")
+
+
+def _weighted(e: str):  # noqa: ANN202
+    """One number that every component counts in by its place."""
+    return F.round(F.aggregate(F.zip_with(F.col(e), F.sequence(F.lit(1), F.size(e)), lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x), 5)
+
+
+def bundle_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Items and both vectors of a bundle that was published twice, read from its current version."""
+    path, rows = scratch_path(spark, "bundle"), items(spark, d).withColumnRenamed("item_id", "product_id")
+    _bundle(rows.withColumn("color", F.lit("")), path)
+    _bundle(rows, path)
+    read = tables.read_bundle(spark, path, ("photo", "title"))
+    out = read["items"]
+    for x in ("photo", "title"):
+        out = out.join(read[x].select("product_id", _weighted("embedding").alias(x)), "product_id")
+    said = read["manifest"].select("photo_weight", F.element_at("models", "photo").alias("model"), F.array_join("palette", ",").alias("palette"), "built_at")
+    return out.crossJoin(F.broadcast(said))  # one row
+
+
+def file_order(spark: SparkSession, d: str) -> DataFrame:
+    """First and last row of each key over CSV files of three folders, in the order of folders and rows."""
+    path, i = scratch_path(spark, "ordered"), F.col("doc_id")
+    rows = table(spark, d, "documents").select((i % 50).alias("key"), "doc_id", F.col("lang").alias("text"))
+    for k in range(3):
+        rows.where(i % 3 == k).repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id").write.option("header", True).csv(f"{path}/{2 - k}")
+    back = tables.read_csv(spark, f"{path}/*/*.csv", "key long, doc_id long", ordered=True)
+    ends = [first_of(back, ["key"], [order]).select("key", F.col("doc_id").alias(name)) for name, order in (("first_id", F.col("seq")), ("last_id", F.col("seq").desc()))]
+    return ends[0].join(ends[1], "key")
+
+
+def taxonomy_file(spark: SparkSession, d: str) -> DataFrame:
+    """Second-level paths of a taxonomy file that is made of the items' categories and deeper and shallower lines."""
+    path = scratch_path(spark, "taxonomy")
+    c = items(spark, d).where("category <> ''").select("category", "category_l1").distinct()
+    name = F.concat(F.lit("7 - "), F.col("category"))
+    c.select(F.explode(F.array(name, F.concat(name, F.lit(" > deep")), F.concat(F.lit("8 - "), F.col("category_l1")), F.concat(F.lit("# "), F.col("category")))).alias("value")).write.text(path)
+    return tables.read_taxonomy(spark, path)
+
+
+def image_files(spark: SparkSession, d: str) -> DataFrame:
+    """Which parts have an image file, by an inventory of names; a part's image is one of ten files, or not there at all."""
+    path, k = scratch_path(spark, "images"), F.col("p_partkey")
+    p = table(spark, d, "part")
+    bodies = p.select((k % 12).alias("kind")).distinct().where("kind < 10").select("kind", F.lit("x").alias("value"))
+    bodies.write.partitionBy("kind").text(path)
+    found = tables.image_inventory(spark, path).select(F.regexp_extract("path", "kind=([0-9]+)/", 1).cast("long").alias("kind"), "length").where("length > 0").select("kind").distinct()
+    have = p.select("p_partkey", (k % 12).alias("kind")).join(found.withColumn("have", F.lit(True)), "kind", "left")
+    return have.select("p_partkey", F.coalesce("have", F.lit(False)).alias("have"))
+
+
+def built_once(spark: SparkSession, d: str) -> DataFrame:
+    """Built where it is missing, kept where it is not, and built anew where asked."""
+    path, made = scratch_path(spark, "artifact"), []
+    count = lambda n: locale_counts(spark, d).withColumn("build", F.lit(n))
+    for n, rebuild in ((1, False), (2, False), (3, True), (4, False)):
+        made.append(artifacts.build_if_missing(spark, path, lambda n=n: count(n), rebuild).select(F.lit(n).alias("run"), "value", "n", "build"))
+    return reduce(DataFrame.unionByName, made)
+
+
+def lower_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a model that was trained on lower-case text, loaded in each worker; upper-case texts give the same."""
+    texts = retrieval.titles(spark, d).select("doc_id", F.upper("title").alias("title"))
+    e = enrich.embed(texts, "doc_id", "title", "vowels", load=lambda: lambda xs: np.array([[x.count(v) for v in "aeiou"] for x in xs]), lower=True)
+    return e.select("doc_id", "model_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+
+
+def embedded_images(spark: SparkSession, d: str) -> DataFrame:
+    """Image bytes as vectors: how often each upper half of a byte occurs."""
+    files = table(spark, d, "documents").select("doc_id", images.wrapped(F.col("text").cast("binary"), F.lit("jpeg")).alias("file"))
+    count = lambda: lambda xs: np.array([np.bincount(np.frombuffer(x, np.uint8) >> 4, minlength=16) for x in xs])
+    e = enrich.embed(files, "doc_id", "file", "nibbles", modality="photo", blank=b"", load=count)
+    return e.select("doc_id", "model_id", "modality", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+
+
 def export_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rows of every table of a written bundle, and the manifest's own counts."""
     path, rows = scratch_path(spark, "bundle"), items(spark, d).withColumnRenamed("item_id", "product_id")
-    tables.write_bundle(rows.select("product_id", "color", "category"), {x: rows.select("product_id", F.col(f"{x}_vector").alias("embedding")) for x in ("photo", "title")}, path)
-    counts = [spark.read.parquet(f"{path}/{x}").agg(F.lit(x).alias("part"), F.count("*").alias("n")) for x in ("items", "photo", "title")]
-    said = spark.read.schema("items long, labelled long").json(f"{path}/manifest")
+    _bundle(rows, path)
+    read = tables.read_bundle(spark, path, ("photo", "title"))
+    counts = [read[x].agg(F.lit(x).alias("part"), F.count("*").alias("n")) for x in ("items", "photo", "title")]
+    said = read["manifest"]
     counts += [said.select(F.lit(f"manifest {c}").alias("part"), F.col(c).alias("n")) for c in ("items", "labelled")]
     return reduce(DataFrame.unionByName, counts)
 
@@ -391,6 +471,7 @@ CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name || '-' || p_size END AS local_im
 CASE WHEN lower(coalesce(t, '')) IN ('', 'na') THEN '(none)' ELSE substr(t, 1, 600) END AS ai_description
 FROM part LEFT JOIN docs ON doc_id = p_partkey)"""
 I = retrieval.ITEMS
+WEIGHTED = "round(list_sum(list_transform(range(1, len({x}) + 1), lambda i: i * {x}[i])), 5)"
 _BY = ", ".join(f"'{w}': '{c}'" for w, c in colors.BY_WORD.items())
 _SURE = ", ".join(f"'{w}': '{c}'" for w, c in colors.BY_WORD.items() if w not in colors.AMBIGUOUS)
 NAMED = "list_filter(list_transform(regexp_extract_all({t}, '[a-z]+(?:-[a-z]+)?'), lambda w: MAP {{{m}}}[w]), lambda c: c IS NOT NULL)"
@@ -408,7 +489,8 @@ QUERIES = {
     "p2_task_slice": task_rows, "e1_test_set": truth, "p5_gallery_queries": gallery_queries, "p14_merchant_results": merchant_results, "f5_url_parts": url_parts, "f21_prompts": prompts,
     "p3_catalog_corpus": catalog_corpus, "a14_gallery_counts": gallery_counts, "e14_described_sample": described_sample, "e11_label_shares": label_shares, "e13_disagreements": method_disagreements,
     "s2_csv_round_trip": csv_round_trip, "s4_jsonl_round_trip": jsonl_round_trip, "s9_vector_round_trip": vector_round_trip, "s10_index_round_trip": index_round_trip,
-    "s12_metric_tables": metric_tables, "s13_export_bundle": export_round_trip,
+    "s12_metric_tables": metric_tables, "s13_export_bundle": export_round_trip, "s13_bundle_vectors": bundle_vectors, "s3_file_order": file_order, "s5_taxonomy_file": taxonomy_file, "s6_image_files": image_files,
+    "s14_built_once": built_once, "f14_lower_titles": lower_titles, "x2_embedded_images": embedded_images,
 }
 
 ORACLE_SQL = {
@@ -499,9 +581,22 @@ ORDER BY md5('0:' || doc_id), doc_id LIMIT 300)""",
     "e13_disagreements": f"""WITH {COLOR} SELECT p_partkey AS product_id, coalesce(color, '') AS closed, 'clear' AS open FROM part JOIN col USING (p_name) WHERE p_partkey % 5 = 0 AND coalesce(color, '') <> 'clear'""",
     "s2_csv_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text, n_chars FROM documents",
     "s4_jsonl_round_trip": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations",
-    "s9_vector_round_trip": f"WITH {I} SELECT item_id, CAST(len(tv) AS BIGINT) AS d, round(tv[1], 6) AS first, round(tv[-1], 6) AS last FROM items",
+    "s9_vector_round_trip": f"WITH {I} SELECT item_id, CAST(len(tv) AS BIGINT) AS d, {WEIGHTED.format(x='tv')} AS weighted, round(tv[1], 6) AS first, round(tv[-1], 6) AS last FROM items",
     "s10_index_round_trip": retrieval.ORACLE_SQL["r2_bm25_search"],
     "s12_metric_tables": ORACLE_SQL["a2_locale_counts"],
+    "s13_bundle_vectors": f"""WITH {I} SELECT item_id AS product_id, color, category, {WEIGHTED.format(x='pv')} AS photo, {WEIGHTED.format(x='tv')} AS title, 0.7::DOUBLE AS photo_weight, 'joint' AS model,
+'{",".join(colors.PALETTE)}' AS palette, '2024-01-01T00:00:00+00:00' AS built_at FROM items""",
+    "s3_file_order": """SELECT doc_id % 50 AS key, arg_min(doc_id, (2 - doc_id % 3) * 1000000000000 + doc_id) AS first_id, arg_max(doc_id, (2 - doc_id % 3) * 1000000000000 + doc_id) AS last_id FROM documents GROUP BY 1""",
+    "s5_taxonomy_file": f"WITH {I} SELECT DISTINCT category AS path, category_l1 AS l1 FROM items WHERE category <> ''",
+    "s6_image_files": "SELECT p_partkey, p_partkey % 12 < 10 AS have FROM part",
+    "s14_built_once": f"""WITH {EXAMPLES} SELECT run, product_locale AS value, count(*) AS n, CASE WHEN run < 3 THEN 1 ELSE 3 END AS build FROM ex, (SELECT unnest([1, 2, 3, 4]) AS run) GROUP BY run, product_locale""",
+    "f14_lower_titles": """SELECT doc_id, 'vowels' AS model_id, array_to_string(list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(t) - length(replace(t, v, ''))), ',') AS vector
+FROM (SELECT doc_id, lower(upper(coalesce(text, ''))) AS t FROM documents)""",
+    "x2_embedded_images": """SELECT doc_id, 'nibbles' AS model_id, 'photo' AS modality, array_to_string(list_transform(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'A', 'B', 'C', 'D', 'E', 'F'],
+  lambda d: length(h) - length(replace(h, d, ''))), ',') AS vector FROM (SELECT doc_id, regexp_replace(CASE WHEN text IS NOT NULL THEN 'FFD8FFE000104A46494600010100000100010000FFDA0008010100003F00' || hex(text) || 'FFD9' ELSE '' END, '(.).', '\\1', 'g') AS h FROM documents)""",
+    "x1_embedded_titles": f"""WITH titles AS (SELECT doc_id, text AS title FROM documents), c AS (SELECT doc_id, {retrieval.CODES.format(x='title')} AS h FROM titles),
+v AS (SELECT doc_id, {retrieval.HASHED.format(x='h')} AS v FROM c), u AS (SELECT doc_id, {retrieval.UNIT.format(x='v')} AS u FROM v)
+SELECT doc_id, 'hashed-64' AS model_id, 'title' AS modality, 64::BIGINT AS d, round(list_dot_product(u, u), 4) AS length FROM u""",
     "s13_export_bundle": f"""WITH {I} SELECT unnest(['items', 'photo', 'title', 'manifest items']) AS part, count(*) AS n FROM items UNION ALL SELECT 'manifest labelled', count(*) FROM items WHERE color <> ''""",
 }
 

@@ -37,18 +37,16 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.col("text").alias("title"), F.col("source").alias("merchant"))
 
 
-def judgements(spark: SparkSession, d: str) -> DataFrame:
-    """``relevance, query_id, doc_id``: strictly, documents that hold the passage; leniently, also good ones of their sources.
+def source_judged(spark: SparkSession, d: str, stages: DataFrame) -> DataFrame:
+    """Metrics of ``stages``: strictly, documents that hold the passage are right; leniently, also good ones of their sources.
 
     What holds a passage is found once and saved.
     """
     docs = table(spark, d, "documents")
     held = lexical.holding(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
     strict = materialize(held.join(docs.select("doc_id", "source"), "doc_id"), "judged-strict")
-    good = docs.select("doc_id", "source").join(table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "source")
-    more = strict.select("query_id", "source").distinct().join(good, "source").select("query_id", "doc_id")
-    own = strict.select(F.explode(F.array(F.lit("strict"), F.lit("lenient"))).alias("relevance"), "query_id", "doc_id")
-    return union_by(["query_id", "doc_id"], own, more.select(F.lit("lenient").alias("relevance"), "query_id", "doc_id")).distinct()
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    return evaluate.source_metrics(stages, strict, docs.select("doc_id", "source").join(good, "doc_id", "left"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +105,7 @@ def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.judged_metrics(bm25(spark, d).withColumn("stage", F.lit("bm25")), judgements(spark, d))
+    return source_judged(spark, d, materialize(bm25(spark, d), "bm25-list").withColumn("stage", F.lit("bm25")))
 
 
 def dense_photo(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +121,14 @@ def similar_items(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(i.where("item_id % 10 = 3").select(F.col("item_id").alias("query_id"), F.col("item_vector").alias("vector")), i, 20, exclude_self=True)
 
 
+def similar_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """More like this, never the item itself: half of the items ask for a colour, two thirds for a category of either level."""
+    i = items(spark, d).select("item_id", F.col("photo_vector").alias("item_vector"), "color", "category", "category_l1")
+    q = i.where("item_id % 10 = 3").select(F.col("item_id").alias("query_id"), F.col("item_vector").alias("vector"))
+    color, category = F.when(F.col("query_id") % 20 == 3, "white"), F.when(F.col("query_id") % 3 == 0, "L1").when(F.col("query_id") % 3 == 1, "L2 > 2")
+    return dense.search(q.withColumns({"color": color, "category": category}), i, 20, exclude_self=True)
+
+
 def target_rank(spark: SparkSession, d: str) -> DataFrame:
     q, i = target_queries(spark, d), items(spark, d)
     sides = []
@@ -261,7 +267,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_metrics(spark: SparkSession, d: str) -> DataFrame:
     """All stages at both levels of relevance, in one table."""
-    return evaluate.judged_metrics(hybrid(spark, d), judgements(spark, d))
+    return source_judged(spark, d, materialize(hybrid(spark, d), "hybrid-lists"))
 
 
 def side_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -451,7 +457,7 @@ UNION ALL SELECT 't2p-fused', 'joint', 'fused', tq.query_id, fl.rank FROM tq LEF
 
 QUERIES = {
     "r1_bm25_terms": bm25_terms, "r2_bm25_search": bm25, "e3_bm25_metrics": bm25_metrics, "r6_hybrid_search": hybrid, "e3_hybrid_metrics": hybrid_metrics, "r7_side_moments": side_moments,
-    "r11_search_types": search_types, "r13_photo_search": photo_search, "r3_dense_search": dense_photo, "r3_dense_small": dense_titles, "r12_similar_items": similar_items,
+    "r11_search_types": search_types, "r13_photo_search": photo_search, "r3_dense_search": dense_photo, "r3_dense_small": dense_titles, "r12_similar_items": similar_items, "r12_similar_filtered": similar_filtered,
     "r14_target_rank": target_rank, "e6_sliced_metrics": sliced_metrics, "r4_rrf": rrf_photo_title, "r15_rrf_target_rank": rrf_target, "r16_weighted_rrf": weighted_rrf_target, "r8_blended_search": blended, "r8_blended_small": blended_mode,
     "r9_blended_filtered": blended_filtered, "r10_search_modes": search_modes, "r17_blend_sweep": blend_sweep, "r18_color_boost": color_boost, "r19_side_tags": side_tags, "r5_rerank": reranked,
     "r20_stage_trace": stage_trace, "r21_result_dedup": result_dedup, "a13_merchant_facet": merchant_facet, "e12_drift": drift, "e12_drift_metrics": drift_metrics, "f16_half_precision": half_drift, "e8_tune_split": tune_split,
@@ -480,6 +486,9 @@ WHERE (query_id % 20 <> 0 OR color = 'white') AND CASE query_id % 3 WHEN 0 THEN
     "r3_dense_small": f"WITH {ITEMS} SELECT query_id, item_id, score, rank FROM title WHERE rank <= 50",
     "r12_similar_items": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 3)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20""",
+    "r12_similar_filtered": f"""WITH {ITEMS}, s AS (SELECT a.item_id AS query_id, b.item_id, round(list_dot_product(a.pv, b.pv), 6) AS score FROM items a JOIN items b ON a.item_id <> b.item_id
+WHERE a.item_id % 10 = 3 AND (a.item_id % 20 <> 3 OR b.color = 'white') AND CASE a.item_id % 3 WHEN 0 THEN b.category_l1 = 'L1' WHEN 1 THEN b.category = 'L2 > 2' ELSE true END)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20""",
     "r14_target_rank": f"WITH {ITEMS}, {TARGET} SELECT query_id, rank, side FROM tr",
     "e6_sliced_metrics": f"""WITH {ITEMS}, {TYPES} SELECT type, model, generator, source, coalesce(style, 'all') AS style, {METRICS} FROM tk JOIN tq USING (query_id)
@@ -517,6 +526,9 @@ FROM blended b LEFT JOIN photo p ON p.query_id = b.query_id AND p.item_id = b.it
     + ", ".join(f"min(rank) FILTER (stage = '{x}') AS {x}" for x in ("dense", "bm25", "rrf", "rerank")) + " FROM stages GROUP BY query_id, doc_id",
     "r21_result_dedup": f"WITH {BM25} SELECT query_id, doc_id, rank FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id, lower(title), merchant ORDER BY rank) AS k FROM bm25 b JOIN titles USING (doc_id)) WHERE k = 1",
     "a13_merchant_facet": f"WITH {BM25} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, merchant) AS rank FROM (SELECT query_id, merchant, count(*) AS n FROM bm25 JOIN titles USING (doc_id) GROUP BY ALL)) WHERE rank <= 10",
+    "f16_half_precision": """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x) AS a, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN x ELSE
+  sign(x) * round_even(abs(x) / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END) AS b FROM embeddings)
+SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 4) AS cosine FROM e""",
     "e12_drift": """WITH e AS (SELECT embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: round(x, 2)) AS b FROM embeddings),
 c AS (SELECT list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)) AS c FROM e) SELECT round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine, count(*) AS n FROM c""",
     "e8_tune_split": f"{HALF} (SELECT DISTINCT p_partkey AS id FROM part)",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.colors import PALETTE
 from ..functions.text import taxonomy_level2
 from ..operators.catalog import export_bundle
-from .artifacts import complete
+from ..operators.fusion import BLEND
+from .artifacts import complete, current, publish
 
 CATALOG = (
     "global_product_id long, advertiser_program_name string, most_recent_product_name string, most_recent_product_description string, "
@@ -19,15 +24,23 @@ ATTRIBUTES = "product_id string, method string, model string, tokens_in long, to
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """``seq``: file name and place in it, for keep-first and keep-last."""
-    return df.withColumn("seq", F.concat_ws(":", F.col("_metadata.file_name"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
+    """``seq``: full path of the file and place in it, for keep-first and keep-last.
+
+    A place is where the file's part begins that a task reads, and the row's number among those of the task.
+    """
+    place = [F.lpad(x.cast("string"), 20, "0") for x in (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())]
+    return df.withColumn("seq", F.concat_ws(":", F.col("_metadata.file_path"), *place))
+
 
+def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    """CSV by header names, of one file, a glob or a list: quoted fields may hold line ends; columns that are not asked for are not parsed.
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV by header names, of one file, a glob or a list: quoted fields may hold line ends; columns that are not asked for are not parsed."""
+    ``ordered`` adds ``seq``, by which keep-first and keep-last go.
+    """
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     wanted = [x.split() for x in schema.split(", ")]
-    return df.select(*[F.col(n).try_cast(t).alias(n) for n, t in wanted if columns is None or n in columns])
+    picked = [F.col(n).try_cast(t).alias(n) for n, t in wanted if columns is None or n in columns]
+    return with_order(df).select(*picked, "seq") if ordered else df.select(*picked)
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
@@ -42,7 +55,7 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 def image_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Names and lengths of the files under ``path``; contents are not read, and empty files, which hold no image, are left out."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length")
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
@@ -63,13 +76,36 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_bundle(items: DataFrame, vectors: dict[str, DataFrame], path: str) -> None:
-    """``items``, a table of vectors of each kind, and ``manifest``; raises where counts differ."""
-    kept, manifest = export_bundle(items, vectors)
-    kept.write.mode("overwrite").parquet(f"{path}/items")
-    for kind, table in vectors.items():
-        table.join(kept.select("product_id"), "product_id", "left_semi").write.mode("overwrite").parquet(f"{path}/{kind}")
-    write_metrics(manifest, f"{path}/manifest")
+MANIFEST = "built_at string, items long, labelled long, models map<string,string>, photo_weight double, palette array<string>"
+
+
+def write_bundle(
+    items: DataFrame, vectors: dict[str, DataFrame], path: str, *, models: dict[str, str] | None = None, photo_weight: float = BLEND, palette: tuple[str, ...] = PALETTE, built_at: str | None = None
+) -> str:
+    """Publish ``items``, a table of vectors of each kind, and ``manifest`` as one version; its folder.
+
+    Raises where items and vectors do not match one to one; the version before then stays the current one.
+    """
+    kept, counts = export_bundle(items, vectors)
+    when = built_at or datetime.now(UTC).isoformat(timespec="seconds")
+    names = F.from_json(F.lit(json.dumps(models or {})), "map<string,string>")
+    said = counts.select(F.lit(when).alias("built_at"), "items", "labelled", names.alias("models"), F.lit(photo_weight).alias("photo_weight"), F.array(*[F.lit(c) for c in palette]).cast("array<string>").alias("palette"))
+
+    def write(folder: str) -> None:
+        kept.write.parquet(f"{folder}/items")
+        for kind, table in vectors.items():
+            table.write.parquet(f"{folder}/{kind}")
+        write_metrics(said, f"{folder}/manifest")
+
+    return publish(items.sparkSession, path, write)
+
+
+def read_bundle(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
+    """``items``, the vectors of ``kinds`` and ``manifest`` of the current version, all of one version."""
+    folder = current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(path)
+    return {x: spark.read.parquet(f"{folder}/{x}") for x in ("items", *kinds)} | {"manifest": spark.read.schema(MANIFEST).json(f"{folder}/manifest")}
 
 
 def append_results(df: DataFrame, path: str) -> None:
