@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize, scratch_dir, scratch_path
+
+__all__ = ["discard", "materialize", "scratch_dir", "scratch_path"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,41 +21,6 @@ HUB = 1000
 BATCH_ROWS = 1000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset, a local session (as in tests) gets a temporary one; on a cluster that is an error, as executors
-    would each write to their own disk.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors. See ``discard``."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more; what a lazy result reads stays."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python workers in batches of at most BATCH_ROWS rows, so a batch holds few MB on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

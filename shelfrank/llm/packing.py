@@ -14,6 +14,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -43,6 +44,15 @@ CACHE_BYTES, LONGEST_KEPT = 40 << 20, 48
 ENTRY_BYTES = 120
 #: Fixed value: how the tokenizer cuts a lower-case word before its merges, for words of Latin-1 characters only.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: How the tokenizer's file says that it prepares and cuts texts. Files that say else are used as they are.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Latin-1 characters that the tokenizer takes for blanks and the split into words does not, or the other way round.
 BLANKS = re.compile("[\x1c-\x1f\x85\xa0]")
 
@@ -65,7 +75,7 @@ class WordIds(dict):
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its words in order. Words of
     Latin-1 characters are cut into pieces here and go straight to the BPE model; all others go through the whole
-    tokenizer. CACHE_BYTES bound what is kept; a task makes its own cache and drops it at its end.
+    tokenizer. So does every text where the file is not ``known`` to prepare and cut texts in this way. CACHE_BYTES bound what is kept; a task makes its own cache and drops it at its end.
     """
 
     def __init__(self, path: str):
@@ -75,7 +85,10 @@ class WordIds(dict):
         self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-        self.marks = {m: self.merged(bytes([m])) for m in b".,"}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.known = (said["normalizer"], said["pre_tokenizer"], said["model"]["type"]) == (NORMALIZER, PRE_TOKENIZER, "BPE")
+        self.marks = {m: self.merged(bytes([m])) for m in b".,"} if self.known else {}
 
     def merged(self, piece: bytes) -> bytes:
         return array("I", [t.id for t in self.tokenize(charmap_decode(piece, "strict", self.letters)[0])]).tobytes()
@@ -118,6 +131,8 @@ def token_bytes(text: str | None, words: WordIds) -> bytes:
     """A document's ids with the end id, as little-endian 32-bit bytes."""
     if not text:
         return END_ID.to_bytes(4, "little")
+    if not words.known:
+        return words.whole(text) + END_ID.to_bytes(4, "little")
     data = text.encode()
     if "<|" not in text and _is_latin_1(text):  # lower case comes to the same ids, and to fewer words
         data = data.lower()
