@@ -203,5 +203,7 @@ def holding(corpus: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text
         found.append(texts.join(pairs, "doc_id").join(passages.select("query_id", "passage"), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id"))
     short = marked.where("inner < 1").select("query_id", "passage")
     if not short.isEmpty():
-        found.append(texts.join(small(short, 256), F.contains("text", "passage")).select("query_id", "doc_id"))
+        size = short.agg(F.sum(F.octet_length("passage") + 16)).first()[0]
+        few = F.broadcast(short) if size <= BROADCAST_BYTES else short
+        found.append(texts.join(few, F.contains("text", "passage")).select("query_id", "doc_id"))
     return reduce(DataFrame.unionByName, found) if found else texts.where("false").join(passages, F.lit(True)).select("query_id", "doc_id")

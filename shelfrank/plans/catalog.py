@@ -230,14 +230,26 @@ def judged_titles(spark: SparkSession, d: str) -> DataFrame:
     return profile.judged_titles(rows.select("query_id", "product_id", "product_locale", "esci_label").distinct(), _products(spark, d))
 
 
-def attributes(spark: SparkSession, d: str) -> DataFrame:
+def _made_attributes(spark: SparkSession, d: str) -> DataFrame:
     k, palette = F.col("event_id"), F.array(*[F.lit(c) for c in colors.PALETTE])
     n = table(spark, d, "part").count()
-    made = table(spark, d, "events").select(
+    return table(spark, d, "events").select(
         (k * 3 % n).cast("string").alias("product_id"), F.when(k % 4 == 0, "open").otherwise("closed").alias("method"), F.element_at(palette, (k % 16 + 1).cast("int")).alias("color"),
         F.lit("").alias("color_name"), F.concat(F.lit("L"), (k % 5).cast("string"), F.lit(" > "), (k % 7).cast("string")).alias("category"), k.alias("seq"),
     )
-    return catalog.with_attributes(catalog.gallery(_corpus(spark, d)).select("product_id"), made).select("product_id", "color", "category", "category_l1")
+
+
+def attributes(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.with_attributes(catalog.gallery(_corpus(spark, d)).select("product_id"), _made_attributes(spark, d)).select("product_id", "color", "category", "category_l1")
+
+
+def catalog_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Items of a gallery of a corpus, each published and read by the next; the corpus is there when it is asked for again."""
+    path = scratch_path(spark, "catalog")
+    tables.save_corpus(spark, f"{path}/corpus", lambda: _corpus(spark, d))
+    rows = tables.save_corpus(spark, f"{path}/corpus", lambda: _corpus(spark, d).where("false"))
+    shown = tables.save_gallery(rows, f"{path}/gallery")
+    return tables.save_items(shown, _made_attributes(spark, d), f"{path}/items").select("product_id", "title", "price", "color", "category", "category_l1")
 
 
 def table_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -490,7 +502,7 @@ QUERIES = {
     "p3_catalog_corpus": catalog_corpus, "a14_gallery_counts": gallery_counts, "e14_described_sample": described_sample, "e11_label_shares": label_shares, "e13_disagreements": method_disagreements,
     "s2_csv_round_trip": csv_round_trip, "s4_jsonl_round_trip": jsonl_round_trip, "s9_vector_round_trip": vector_round_trip, "s10_index_round_trip": index_round_trip,
     "s12_metric_tables": metric_tables, "s13_export_bundle": export_round_trip, "s13_bundle_vectors": bundle_vectors, "s3_file_order": file_order, "s5_taxonomy_file": taxonomy_file, "s6_image_files": image_files,
-    "s14_built_once": built_once, "f14_lower_titles": lower_titles, "x2_embedded_images": embedded_images,
+    "s14_built_once": built_once, "s8_catalog_artifacts": catalog_artifacts, "f14_lower_titles": lower_titles, "x2_embedded_images": embedded_images,
 }
 
 ORACLE_SQL = {
@@ -589,6 +601,10 @@ ORDER BY md5('0:' || doc_id), doc_id LIMIT 300)""",
     "s3_file_order": """SELECT doc_id % 50 AS key, arg_min(doc_id, (2 - doc_id % 3) * 1000000000000 + doc_id) AS first_id, arg_max(doc_id, (2 - doc_id % 3) * 1000000000000 + doc_id) AS last_id FROM documents GROUP BY 1""",
     "s5_taxonomy_file": f"WITH {I} SELECT DISTINCT category AS path, category_l1 AS l1 FROM items WHERE category <> ''",
     "s6_image_files": "SELECT p_partkey, p_partkey % 12 < 10 AS have FROM part",
+    "s8_catalog_artifacts": f"""WITH {CORPUS}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY local_image ORDER BY seq) AS k FROM corpus WHERE local_image <> '') WHERE k = 1),
+h AS (SELECT product_id, title, price FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY seq) AS m FROM g) WHERE m = 1),
+m AS (SELECT CAST(event_id * 3 % (SELECT count(*) FROM part) AS VARCHAR) AS product_id, max(event_id) AS k FROM events WHERE event_id % 4 <> 0 GROUP BY 1)
+SELECT product_id, title, price, coalesce(([{retrieval.PALETTE}])[k % 16 + 1], '') AS color, coalesce('L' || (k % 5) || ' > ' || (k % 7), '') AS category, coalesce('L' || (k % 5), '') AS category_l1 FROM h LEFT JOIN m USING (product_id)""",
     "s14_built_once": f"""WITH {EXAMPLES} SELECT run, product_locale AS value, count(*) AS n, CASE WHEN run < 3 THEN 1 ELSE 3 END AS build FROM ex, (SELECT unnest([1, 2, 3, 4]) AS run) GROUP BY run, product_locale""",
     "f14_lower_titles": """SELECT doc_id, 'vowels' AS model_id, array_to_string(list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(t) - length(replace(t, v, ''))), ',') AS vector
 FROM (SELECT doc_id, lower(upper(coalesce(text, ''))) AS t FROM documents)""",

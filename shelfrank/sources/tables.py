@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.colors import PALETTE
-from ..functions.text import taxonomy_level2
-from ..operators.catalog import export_bundle
+from ..functions.text import clean_price, taxonomy_level2
+from ..operators.catalog import export_bundle, gallery, with_attributes
 from ..operators.fusion import BLEND
-from .artifacts import complete, current, publish
+from .artifacts import build_if_missing, complete, current, publish
 
 CATALOG = (
     "global_product_id long, advertiser_program_name string, most_recent_product_name string, most_recent_product_description string, "
@@ -76,6 +77,22 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def save_corpus(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The published corpus at ``path``: ``build()`` gives its rows (``catalog.corpus``) where there is none."""
+    return build_if_missing(spark, path, build, rebuild)
+
+
+def save_gallery(corpus_rows: DataFrame, path: str, order: str = "seq", rebuild: bool = False) -> DataFrame:
+    """The published gallery at ``path``, of ``corpus_rows``."""
+    return build_if_missing(corpus_rows.sparkSession, path, lambda: gallery(corpus_rows, order), rebuild)
+
+
+def save_items(gallery_rows: DataFrame, attributes: DataFrame, path: str, order: str = "seq", rebuild: bool = False) -> DataFrame:
+    """The published items at ``path``: gallery rows with clean prices and attributes."""
+    priced = gallery_rows.withColumn("price", clean_price(F.col("price")))
+    return build_if_missing(gallery_rows.sparkSession, path, lambda: with_attributes(priced, attributes, order), rebuild)
+
+
 MANIFEST = "built_at string, items long, labelled long, models map<string,string>, photo_weight double, palette array<string>"
 
 
