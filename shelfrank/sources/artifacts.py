@@ -46,31 +46,37 @@ def complete(spark: SparkSession, folder: str) -> bool:
     return _store(spark, folder).exists(_path(spark, f"{folder}/_SUCCESS"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the current version and of the one before it, as far as there are any."""
+    if not _store(spark, path).exists(_path(spark, f"{path}/{POINTER}")):
+        return []
+    said = spark.read.text(f"{path}/{POINTER}", wholetext=True).first()[0]
+    return said.split()
+
+
 def current(spark: SparkSession, path: str) -> str | None:
     """Folder of the current version, or None."""
-    at, store = _path(spark, f"{path}/{POINTER}"), _store(spark, path)
-    if not store.exists(at):
-        return None
-    name = spark.read.text(f"{path}/{POINTER}").first()[0]
-    return f"{path}/{name}" if store.exists(_path(spark, f"{path}/{name}")) else None
+    folder = next((f"{path}/{name}" for name in _versions(spark, path)), None)
+    return folder if folder is not None and _store(spark, path).exists(_path(spark, folder)) else None
 
 
 def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
-    """Have ``write(folder)`` fill a new version of ``path`` and make it the current one; its folder."""
-    before, name = current(spark, path), f"version-{uuid.uuid4().hex}"
+    """Have ``write(folder)`` fill a new version of ``path`` and make it the current one; its folder.
+
+    Of two writers at once the later one's version is current; what another writer is still filling stays.
+    """
+    name = f"version-{uuid.uuid4().hex}"
     folder, store = f"{path}/{name}", _store(spark, path)
     try:
         write(folder)
     except BaseException:
         store.delete(_path(spark, folder), True)
         raise
-    note = f"{path}/.{name}"
-    _write_text(spark, note, name + "\n")
+    before, note = _versions(spark, path), f"{path}/.{name}"
+    _write_text(spark, note, "\n".join([name, *before[:1]]) + "\n")
     _replace(spark, note, f"{path}/{POINTER}")
-    for s in store.listStatus(_path(spark, path)):
-        other = s.getPath().getName()
-        if other.startswith("version-") and other != name and (before is None or not before.endswith(other)):
-            store.delete(s.getPath(), True)
+    for old in before[1:]:
+        store.delete(_path(spark, f"{path}/{old}"), True)
     return folder
 
 
