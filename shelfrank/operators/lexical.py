@@ -103,8 +103,8 @@ def write_index(corpus: DataFrame, path: str, doc_id: str = "doc_id", text: str
     n, total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.size(tokenize(F.col("text")))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     ranges = max(1, -(-n // min(MOST_DOCS, max(LEAST_DOCS, n // RANGES))), -(-size // RANGE_BYTES))
     buckets = min(MOST_BUCKETS, max(1, total // BUCKET_POSTINGS))
-    dealt = texts.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
-    blocks = dealt.groupBy("range").applyInArrow(_inverted(max(total, 1) / max(n, 1), k1, b), _blocks(texts.schema["doc_id"].dataType.simpleString()))
+    dealt = by_range(texts.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")), ranges)
+    blocks = dealt.groupBy("slot", "range").applyInArrow(_inverted(max(total, 1) / max(n, 1), k1, b), _blocks(texts.schema["doc_id"].dataType.simpleString()))
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), F.lit(buckets)))
     if buckets > 1:  # a bucket's files are few, and sorted, so that a reader can skip parts of them
         blocks = blocks.repartition(F.col("bucket"), F.col("range") % 8).sortWithinPartitions("bucket", "term")
@@ -114,6 +114,12 @@ def write_index(corpus: DataFrame, path: str, doc_id: str = "doc_id", text: str
     spark.createDataFrame([(n, total / n if n else None, ranges, buckets, texts.schema["doc_id"].dataType.simpleString())], "n long, avgdl double, ranges int, buckets int, doc_kind string").coalesce(1).write.parquet(f"{path}/stats")
 
 
+def by_range(rows: DataFrame, ranges: int) -> DataFrame:
+    """``rows`` with a ``slot``, dealt to one task for each slot: as many ranges to each task, where a hash would not."""
+    slots = min(ranges, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.withColumn("slot", F.pmod("range", F.lit(slots))).repartitionById(slots, F.col("slot"))
+
+
 def read_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(f"{_blocks(kind)}, bucket int").parquet(f"{path}/blocks")
 
@@ -166,13 +172,13 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     asked = near(materialize(index.terms.join(near(terms), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), bucket), "query-weights"))
     on = ["bucket", "term"]
     # compact rows are shuffled by range, so scores are summed up where they arise and only top rows travel
-    met = index.blocks.select(*on, "range", "posting").repartition("range").join(asked, on)
+    met = by_range(index.blocks.select(*on, "range", "posting"), stats["ranges"]).join(asked, on)
     if stats["ranges"] > 1:
         over = hopeless(index.blocks.select(*on, "range", "n", "marks").join(asked, on), k)
         fits = n * stats["ranges"] * PAIR_BYTES <= BROADCAST_BYTES  # a query has a term, and passes over a range, once
         met = met.join((F.broadcast if fits else far)(over), ["query_id", "range"], "left_anti")
-    hits = met.select("range", "query_id", "w", F.explode("posting").alias("p"))
-    scored = hits.groupBy("range", "query_id", F.col("p.doc").alias("doc_id")).agg(F.round(F.sum(F.col("w") * F.col("p.weight")), 6).alias("score"))
+    hits = met.select("slot", "query_id", "w", F.explode("posting").alias("p"))
+    scored = hits.groupBy("slot", "query_id", F.col("p.doc").alias("doc_id")).agg(F.round(F.sum(F.col("w") * F.col("p.weight")), 6).alias("score"))
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
 
 
