@@ -93,9 +93,9 @@ def test_a_model_is_loaded_once_in_a_worker(spark, tmp_path):
         got = enrich.embed(docs, "id", "text", f"model-{log}", load=load).collect()
         assert len(got) == 3000 and all(r.embedding[0] == r.id * 7919 % 97 for r in got)
     workers = [x.split("-")[0] for x in os.listdir(log)]
-    assert len(workers) == len(set(workers)) <= 8 < 40
+    assert len(workers) == len(set(workers)) < 40  # of two times 40 tasks
     lengths = enrich.by_length(lambda xs: np.array([[max(map(len, xs))] for x in xs]), ["x" * n for n in (9, 1, 8, 2, 7, 3)], 2)[:, 0].tolist()
-    assert lengths == [9, 2, 9, 2, 7, 7] or lengths == [9, 2, 9, 2, 7, 7]
+    assert lengths == [9, 2, 9, 2, 7, 7]
 
 
 def test_half_precision_equals_numpy(spark):
