@@ -8,12 +8,12 @@ one chunk, one bit and one rank per level. Frequent ids are small in common voca
 A file: the magic, then little-endian the numbers of ids, documents and levels, the ends of the documents (in ids),
 and per level its number of chunks, the chunks, the bitmap and the directory, each at a multiple of 8 bytes.
 
-Texts are tokenized once and saved, as few bytes each; only ids are then dealt to ranges by document id and written in
-that order, in files of about FILE_IDS ids (a longer document has its file to itself). Files are rows of a Parquet
+Texts are dealt to ranges by document id, and tokenized and written there in that order, in files of about FILE_IDS ids (a
+longer document has its file to itself). Files are rows of a Parquet
 table, so any store that Spark writes will do; ``(part, file)`` orders them, and one count per range, at the driver,
 gives each its first id.
 
-A null text is empty: just the end id. Null document ids come first; rows of one id are ordered by a checksum of their ids, and
+A null text is empty: just the end id. Null document ids come first; rows of one id are ordered by a checksum of their text, and
 equal rows are documents of their own. Extra columns are ignored. An empty table gives no files and no rows.
 """
 
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_path, small_batches
+from .common import scratch_path, small_batches
 from .packing import WordIds, token_bytes, tokenizer_file
 
 MAGIC = b"DACIDS1\0"
@@ -114,41 +114,17 @@ class TokenFile:
         return self.tokens(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Ids of 32 bits as 16 bits each where they fit; a last byte tells the width."""
-    own = np.frombuffer(ids, "<u4")
-    return own.astype("<u2").tobytes() + b"\2" if own.max() < 1 << 16 else ids + b"\4"
-
-
-def _wide(data: memoryview) -> np.ndarray:
-    return np.frombuffer(data[:-1], f"<u{data[-1]}").astype("<u4")
-
-
-def tokenized(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, ids``: each document's ids with the end id, as bytes of two or four each."""
-    small_batches(documents.sparkSession)
-    path = tokenizer or tokenizer_file()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        for batch in batches:
-            ids = [_narrow(token_bytes(text.as_py(), words)) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    picked = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids binary")
-
-
-def _writer(file_ids: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(path: str, file_ids: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Files of a sorted range: ``part, file, inside, n_ids, doc_ids, data``; ``inside`` counts the range's ids before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, inside = TaskContext.get().partitionId(), 0, 0
+        words = WordIds(path)
         keys, held, ends, n = [], [], [], 0
 
         def file(kind: pa.DataType) -> pa.RecordBatch:
             nonlocal number, inside, n
-            data = encode(np.concatenate(held), np.asarray(ends), bits)
+            data = encode(np.frombuffer(b"".join(held), "<u4"), np.asarray(ends), bits)
             row = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int64()), (inside, pa.int64()), (n, pa.int64()), (list(keys), pa.list_(kind)), (data, pa.binary()))]
             number, inside, n = number + 1, inside + n, 0
             keys.clear(), held.clear(), ends.clear()
@@ -157,13 +133,13 @@ def _writer(file_ids: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = _wide(memoryview(ids.as_buffer()))
-                if n and n + len(own) > file_ids:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = token_bytes(text.as_py(), words)
+                if n and n + len(own) // 4 > file_ids:
                     yield file(kind)
                 keys.append(key)
                 held.append(own)
-                n += len(own)
+                n += len(own) // 4
                 ends.append(n)
         if n:
             yield file(kind)
@@ -173,12 +149,13 @@ def _writer(file_ids: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def write_files(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, file_ids: int = FILE_IDS, bits: int = CHUNK_BITS) -> None:
     """Write the token files of ``documents`` under ``path``, in ascending order of their ids."""
-    saved = materialize(tokenized(documents, id_col=id_col, text_col=text_col, tokenizer=tokenizer), "token-ids")
-    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids"), F.col("ids")]
-    ranged = saved.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    kind = saved.schema["doc_id"].dataType.simpleString()
-    ranged.mapInArrow(_writer(file_ids, bits), f"part int, file long, inside long, n_ids long, doc_ids array<{kind}>, data binary").write.mode("overwrite").option("compression", "none").parquet(path)
-    discard(saved)
+    small_batches(documents.sparkSession)
+    texts = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")), F.col("text")]
+    ranged = texts.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    files = ranged.mapInArrow(_writer(tokenizer or tokenizer_file(), file_ids, bits), f"part int, file long, inside long, n_ids long, doc_ids array<{kind}>, data binary")
+    files.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

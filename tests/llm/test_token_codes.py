@@ -12,18 +12,14 @@ from shelfrank.llm import queries, token_codes
 from shelfrank.llm.packing import tokenizer_file
 
 
-def stored(ids):
-    """The bytes that rows of one id are ordered by."""
-    return ids.astype("<u2").tobytes() + b"\2"
-
-
 def plain(rows):
     """``doc_id, start, n_tokens, ids_crc32`` in order, from the whole tokenizer."""
     from tokenizers import Tokenizer
 
     whole, out, start = Tokenizer.from_file(tokenizer_file()), [], 0
-    each = [(i, np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in rows]
-    for i, ids in sorted(each, key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(stored(x[1])), stored(x[1]))):
+    order = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), (r[1] or "").encode())
+    for i, text in sorted(rows, key=order):
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         out.append((i, start, len(ids), zlib.crc32(ids.tobytes()), ids))
         start += len(ids)
     return out
