@@ -152,7 +152,8 @@ def whole_images(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "documents").select("doc_id", kind.alias("asked"), images.wrapped(data, kind).alias("file"))
     size = F.octet_length("file")
     cut = F.substring(F.col("file"), F.lit(1), (size - 1 - i % 10).cast("int"))
-    changed = F.concat(F.substring(F.col("file"), F.lit(1), size - 14), F.unhex(F.lit("00")), F.substring(F.col("file"), size - 12, F.lit(13)))
+    other = F.when(F.hex(F.substring(F.col("file"), size - 13, F.lit(1))) == "00", F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))  # never the byte that is there
+    changed = F.concat(F.substring(F.col("file"), F.lit(1), size - 14), other, F.substring(F.col("file"), size - 12, F.lit(13)))
     bytes_ = F.when(i % 5 == 0, cut).when((i % 5 == 1) & (F.col("asked") == "png"), changed).otherwise(F.col("file"))
     return files.select("doc_id", size.cast("long").alias("n_bytes"), images.image_kind(bytes_).alias("kind"))
 
