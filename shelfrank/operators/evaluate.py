@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import small
 from .ranking import first_of
 
+#: Bytes of a query's text in a broadcast, about.
+TEXT_BYTES = 256
+
 
 def test_set(examples: DataFrame, strict: tuple[str, ...] = ("E",), lenient: tuple[str, ...] = ("E", "S"), order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """``queries(query_id, query)``, the first row of each id, and ``truth(relevance, query, product_id)``, keyed by the query's text.
@@ -25,6 +29,12 @@ def truth_by_id(queries: DataFrame, truth: DataFrame) -> DataFrame:
     return queries.join(truth, "query").select("relevance", "query_id", F.col("product_id").alias("doc_id"))
 
 
+def answer_counts(queries: DataFrame, truth: DataFrame) -> DataFrame:
+    """``relevance, query_id, answers``: counted once for each text, then looked up; no list of each id's answers is made."""
+    per_text = truth.groupBy("relevance", "query").agg(F.count("*").alias("answers"))
+    return queries.select("query_id", "query").join(small(per_text, TEXT_BYTES), "query").select("relevance", "query_id", "answers")
+
+
 def judged_metrics(stages: DataFrame, judgements: DataFrame, ks: tuple[int, ...] = (1, 5, 10), mrr_k: int = 10) -> DataFrame:
     """Hits@k and MRR per ``stage`` and ``relevance``; a judged query without results counts 0.
 

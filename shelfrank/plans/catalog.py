@@ -269,7 +269,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
     """How many right answers each query has at both levels; queries of one text share them."""
-    return evaluate.truth_by_id(*evaluate.test_set(_judged(spark, d))).groupBy("relevance", "query_id").agg(F.count("*").alias("answers"))
+    return evaluate.answer_counts(*evaluate.test_set(_judged(spark, d)))
 
 
 def gallery_queries(spark: SparkSession, d: str) -> DataFrame:

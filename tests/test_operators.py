@@ -353,3 +353,15 @@ def test_short_passages_are_found(spark):
     want = sorted((q, i) for q, p in said for i, t in ((1, "one two three four five six seven"), (2, "xone two threex four")) if p in t)
     assert sorted(map(tuple, lexical.holding(docs, passages).collect())) == want
     assert lexical.holding(docs, passages.where("false")).count() == 0
+
+
+def test_answers_are_counted_for_each_text_once(spark):
+    """Through the query: 50,000 ids of one text with 50,000 right answers, 2,500,000,000 pairs that nothing may make."""
+    from shelfrank.plans import catalog as plans
+
+    n = 50_000
+    rows = spark.range(n).select(F.col("id").alias("query_id"), F.lit("lamp").alias("query"), F.col("id").cast("string").alias("product_id"), F.lit("E").alias("esci_label"), F.col("id").alias("seq"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(plans, "_judged", lambda *_: rows)
+        counted = plans.truth(spark, "")
+        assert {tuple(r) for r in counted.groupBy("relevance", "answers").count().collect()} == {("strict", n, n), ("lenient", n, n)}
