@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .dense import DIGITS, _doubles
 from .fusion import BLEND
-from .kernel import Best, Block, Shape, by_blocks, facets, item_blocks, kept, shape
+from .kernel import Best, Block, Shape, by_blocks, facets, item_blocks, masked, shape
 from .ranking import best_first, top_k
 
 SIDES = ("photo", "title")
@@ -104,6 +104,7 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
     known = shape(queries, items, OWN)
     asked = _with_moments(_doubles(queries.select("query_id", *ASKING, *extra, most.cast("long").alias("most")), *ASKING), items, known)
     rows = _doubles(items.select("item_id", *OWN, *facets(queries)), *OWN)
+    filtered = bool({"color", "category"} & set(extra))
 
     def run(block: Block, batch: Block) -> dict[str, np.ndarray]:
         best = Best(block["most"])
@@ -114,10 +115,9 @@ def search(queries: DataFrame, items: DataFrame, k: int = 20, w: float = BLEND)
                 for side in SIDES:
                     alone = block["mode"] == side
                     scores[alone] = raw[side][alone]
-            near = scores >= best.least[:, None]
-            for i in np.flatnonzero(near.any(axis=1)):
-                at = np.flatnonzero(near[i] & kept(block, i, part))
-                best.offer(i, ids[at], scores[i][at])
+            if filtered:
+                masked(scores, block, part)
+            best.offer(ids, scores)
         return best.rows(block["query_id"], most=block["most"])
 
     found = by_blocks(asked, rows, MEET, run, "query_id long, item_id long, score double, most long", known)
@@ -129,7 +129,8 @@ def weight_ranks(queries: DataFrame, items: DataFrame, weights: list[float]) ->
 
     Item minus target is linear in the weight, so an item beats the target on one run of the ordered weights: it adds 1
     where its run begins and takes 1 away behind it, and running sums give the counts of all weights at once. Items that
-    come as near to the target as rounding, at some weight, are compared weight by weight.
+    come as near to the target as rounding, at some weight, are compared weight by weight; those below it at both ends of
+    the weights are below it at all.
     """
     grid = np.array(sorted(set(weights)), float)
     known, m = shape(queries, items, OWN), len(grid)
@@ -138,23 +139,26 @@ def weight_ranks(queries: DataFrame, items: DataFrame, weights: list[float]) ->
         own, q = _own(block), len(block["query_id"])
         least = np.round(grid * own["photo"] + (1 - grid) * own["title"], DIGITS)
         turns, exact = np.zeros((q, m + 1)), np.zeros((q, m), np.int64)
-        first = np.arange(q)[:, None] * (m + 1)
         for part in item_blocks(batch):
             raw, other = _raw(block, part), _others(block, part)
             photo, title = (_standard(block, s, raw[s]) for s in SIDES)
-            at_0 = title - own["title"]
-            slope = photo - own["photo"] - at_0
+            up_photo, up_title = photo - own["photo"], title - own["title"]
+            ends = [w * up_photo + (1 - w) * up_title for w in (grid[0], grid[-1])]
+            i, j = np.nonzero((np.maximum(*ends) > -2 * NEAR) & other)  # a line is nowhere higher than at one of its ends
+            at_0 = up_title[i, j]
+            slope = up_photo[i, j] - at_0
             with np.errstate(divide="ignore", invalid="ignore"):
                 cut = np.where(slope != 0, -at_0 / slope, np.where(at_0 >= 0, -np.inf, np.inf))
             k = np.searchsorted(grid, cut)
             near = np.zeros(k.shape, bool)
             for beside in (np.minimum(k, m - 1), np.maximum(k - 1, 0)):
                 near |= np.abs(at_0 + grid[beside] * slope) < NEAR
-            sure, rising = other & ~near, slope >= 0
+            sure, rising = ~near, slope >= 0
+            first = i * (m + 1)
             turns += np.bincount((first + k)[sure & rising], minlength=turns.size).reshape(turns.shape)
             turns -= np.bincount((first + k)[sure & ~rising], minlength=turns.size).reshape(turns.shape)
-            turns[:, 0] += (sure & ~rising).sum(axis=1)
-            i, j = np.nonzero(near & other)
+            turns[:, 0] += np.bincount(i[sure & ~rising], minlength=q)
+            i, j = i[near], j[near]
             if len(i):
                 scores = np.round(grid * photo[i, j][:, None] + (1 - grid) * title[i, j][:, None], DIGITS)
                 np.add.at(exact, i, scores >= least[i])
@@ -176,16 +180,22 @@ def boost_ranks(queries: DataFrame, items: DataFrame, boosts: list[float], w: fl
         base = np.round(w * own["photo"] + (1 - w) * own["title"], DIGITS)
         wanted = [set(a) if a is not None else set() for a in block["asked"]]
         hit = np.array([c in a for c, a in zip(block["target_color"], wanted, strict=True)])[:, None]
+        bar = np.array([(base if np.isinf(b) else np.round(base + b * hit, DIGITS))[:, 0] for b in boosts])
         n = np.zeros((len(boosts), len(ids)), np.int64)
         for part in item_blocks(batch):
             scores, other = _blended(block, _raw(block, part), w), _others(block, part)
             code, names = pd.factorize(part["color"])
             match = np.array([[*(c in a for c in names), False] for a in wanted])[:, code]  # a null colour has code -1
+            scores[~other] = -np.inf
+            i, at = np.nonzero(scores >= bar.min(axis=0)[:, None])  # all that can count without a boost
+            plain = ~match[i, at]
+            i_match, at_match = np.nonzero(match)
+            boosted = scores[i_match, at_match]
             for j, b in enumerate(boosts):
-                if np.isinf(b):
-                    n[j] += (match & other & (scores >= base)).sum(axis=1)
-                else:
-                    n[j] += ((np.round(scores + b * match, DIGITS) >= np.round(base + b * hit, DIGITS)) & other).sum(axis=1)
+                if not np.isinf(b):
+                    n[j] += np.bincount(i[plain & (scores[i, at] >= bar[j][i])], minlength=len(ids))
+                gain = boosted if np.isinf(b) else np.round(boosted + b, DIGITS)
+                n[j] += np.bincount(i_match[gain >= bar[j][i_match]], minlength=len(ids))
         for j, b in enumerate(boosts):
             if np.isinf(b):
                 n[j][~hit[:, 0]] = -1

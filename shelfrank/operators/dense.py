@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Best, Block, by_blocks, facets, item_blocks, kept
-from .ranking import best_first, top_k, union_by
+from .kernel import Best, Block, Types, by_blocks, by_types, facets, item_blocks, masked
+from .ranking import best_first, top_k
 
 DIGITS = 6
 
@@ -38,28 +38,32 @@ def search(queries: DataFrame, items: DataFrame, k: int = 50, *, exclude_self: b
             scores = np.round(block["vector"] @ part["item_vector"].T, digits)
             if exclude_self:
                 scores[ids[:, None] == own[None, :]] = -np.inf
-            near = (scores >= best.least[:, None]) & (scores > -np.inf)
-            for i in np.flatnonzero(near.any(axis=1)):
-                at = np.flatnonzero(near[i] & kept(block, i, part)) if filters else np.flatnonzero(near[i])
-                best.offer(i, own[at], scores[i][at])
+            if filters:
+                masked(scores, block, part)
+            best.offer(own, scores)
         return best.rows(ids)
 
     found = by_blocks(asked, rows, {"item_vector": ("vector",)}, run, "query_id long, item_id long, score double")
     return top_k(found, k, ["query_id"], best_first(item="item_id"))
 
 
-def search_types(queries: DataFrame, items: DataFrame, types: dict[str, tuple[str, str, str]], k: int = 48) -> DataFrame:
+def search_types(queries: DataFrame, items: DataFrame, types: Types, k: int | dict[str, int] = 48) -> DataFrame:
     """``type, query_id, item_id, score, rank`` for every search type: (model, modality of the query, modality of the target).
 
     ``queries(model_id, modality, query_id, vector)``, ``items(model_id, modality, item_id, item_vector)``; vectors of
-    different models never meet.
+    different models never meet. All types are searched in one pass, each for its own ``k`` if a dict is given.
     """
-    found = []
-    for name, (model, asking, target) in types.items():
-        q = queries.where((F.col("model_id") == model) & (F.col("modality") == asking)).drop("model_id", "modality")
-        i = items.where((F.col("model_id") == model) & (F.col("modality") == target)).drop("model_id", "modality")
-        found.append(search(q, i, k).withColumn("type", F.lit(name)))
-    return union_by(["query_id"], *found)
+    most = k if isinstance(k, dict) else dict.fromkeys(types, k)
+
+    def run(name: str, block: Block, batch: Block) -> dict[str, np.ndarray]:
+        best = Best(np.full(len(block["query_id"]), most[name]))
+        for part in item_blocks(batch):
+            best.offer(part["item_id"], np.round(block["vector"] @ part["item_vector"].T, DIGITS))
+        return best.rows(block["query_id"])
+
+    found = by_types(queries, items, types, run, "query_id long, item_id long, score double")
+    wanted = F.coalesce(*[F.when(F.col("type") == name, n) for name, n in most.items()])
+    return top_k(found, wanted, ["type", "query_id"], best_first(item="item_id"))
 
 
 def target_ranks(scores: DataFrame, targets: DataFrame) -> DataFrame:
@@ -69,19 +73,34 @@ def target_ranks(scores: DataFrame, targets: DataFrame) -> DataFrame:
     return own.select("query_id").join(better.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("rank"))
 
 
+def _above(block: Block, batch: Block) -> np.ndarray:
+    """How many other items score at least as much as each query's target."""
+    own = np.round((block["vector"] * block["target_vector"]).sum(axis=1), DIGITS)
+    n = np.zeros(len(own), np.int64)
+    for part in item_blocks(batch):
+        scores = np.round(block["vector"] @ part["item_vector"].T, DIGITS)
+        n += np.count_nonzero((scores >= own[:, None]) & (part["item_id"][None, :] != block["target_id"][:, None]), axis=1)
+    return n
+
+
 def target_ranks_at_scale(queries: DataFrame, items: DataFrame, targets: DataFrame) -> DataFrame:
     """As ``target_ranks``, without a row for each query and item: tasks emit counts only."""
     known = targets.join(items, F.col("target_id") == F.col("item_id")).select("query_id", "target_id", F.col("item_vector").alias("target_vector"))
     asked = _doubles(queries.join(known, "query_id").select("query_id", "target_id", "vector", "target_vector"), "vector", "target_vector")
 
     def count(block: Block, batch: Block) -> dict[str, np.ndarray]:
-        own = np.round((block["vector"] * block["target_vector"]).sum(axis=1), DIGITS)
-        n = np.zeros(len(own), np.int64)
-        for part in item_blocks(batch):
-            scores = np.round(block["vector"] @ part["item_vector"].T, DIGITS)
-            n += ((scores >= own[:, None]) & (part["item_id"][None, :] != block["target_id"][:, None])).sum(axis=1)
-        return {"query_id": block["query_id"], "n": n}
+        return {"query_id": block["query_id"], "n": _above(block, batch)}
 
     rows = _doubles(items.select("item_id", "item_vector"), "item_vector")
     counted = by_blocks(asked, rows, {"item_vector": ("vector", "target_vector")}, count, "query_id long, n long")
     return counted.groupBy("query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))
+
+
+def target_ranks_of_types(queries: DataFrame, items: DataFrame, types: Types, targets: DataFrame) -> DataFrame:
+    """``type, query_id, rank``: ``target_ranks_at_scale`` of every search type, as ``search_types`` names them, in one pass."""
+
+    def count(_: str, block: Block, batch: Block) -> dict[str, np.ndarray]:
+        return {"query_id": block["query_id"], "n": _above(block, batch)}
+
+    counted = by_types(queries, items, types, count, "query_id long, n long", targets)
+    return counted.groupBy("type", "query_id").agg((F.sum("n") + 1).cast("long").alias("rank"))

@@ -365,3 +365,40 @@ def test_answers_are_counted_for_each_text_once(spark):
         patch.setattr(plans, "_judged", lambda *_: rows)
         counted = plans.truth(spark, "")
         assert {tuple(r) for r in counted.groupBy("relevance", "answers").count().collect()} == {("strict", n, n), ("lenient", n, n)}
+
+
+def test_rows_go_to_no_more_tasks_in_larger_tables(spark):
+    """Blocks grow with the tables up to their bound in bytes; a kernel gets a bounded number of queries at once."""
+    import numpy as np
+
+    copies = lambda n, bytes_: kernel.deal(n // 10, n, bytes_, bytes_)
+    for n in (100_000, 300_000, 600_000):
+        chunks, blocks = copies(n, 512)
+        assert 100 <= chunks * blocks <= 2 * kernel.TASKS and blocks <= 64
+    assert copies(10_000_000, 512)[1] >= 10_000_000 // kernel.MOST_ITEMS and kernel.deal(40, 100, 512, 512) == (1, 1)
+    q, i = (spark.range(n).select(F.col("id").alias(f"{x}_id"), F.array(F.col("id").cast("double")).alias("v")) for n, x in ((1300, "query"), (3, "item")))
+    seen = kernel.by_blocks(q.select("query_id", F.col("v").alias("vector")), i, {"v": ("vector",)}, lambda a, b: {"n": np.array([len(a["query_id"])]), "m": np.array([len(b["item_id"])])}, "n long, m long")
+    assert seen.agg(F.max("n")).first()[0] <= kernel.QUERIES_AT_ONCE and seen.agg(F.sum(F.col("n") * F.col("m"))).first()[0] == 3900
+
+
+def test_types_in_one_pass_equal_type_by_type(spark):
+    """Two models of different lengths, vectors that take no part, ties, and another number of results for each type."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vector = lambda n: rng.integers(-2, 3, n).astype(float).tolist()
+    i = [(m, x, k, vector(n)) for m, n in (("a", 4), ("b", 2)) for x in ("photo", "title") for k in range(60)] + [("a", "photo", 90, [float("nan")] * 4), ("b", "title", 91, None), ("c", "photo", 92, [1.0])]
+    q = [(m, x, k, vector(n)) for m, n in (("a", 4), ("b", 2)) for x in ("text", "image") for k in range(9)] + [("a", "text", 20, [1.0]), ("b", "image", 21, None)]
+    items = spark.createDataFrame(i, "model_id string, modality string, item_id long, item_vector array<double>")
+    queries = spark.createDataFrame(q, "model_id string, modality string, query_id long, vector array<double>")
+    types = {"t2p": ("a", "text", "photo"), "t2t": ("a", "text", "title"), "i2t": ("b", "image", "title")}
+    targets = spark.createDataFrame([(k, 2 * k + 1) for k in range(8)], "query_id long, target_id long")
+    got = {name: [] for name in types}
+    for r in dense.search_types(queries, items, types, {"t2p": 5, "t2t": 7, "i2t": 60}).collect():
+        got[r.type].append((r.query_id, r.item_id, r.score, r["rank"]))
+    ranks = {(r.type, r.query_id): r["rank"] for r in dense.target_ranks_of_types(queries, items, types, targets).collect()}
+    for (name, (m, a, o)), k in zip(types.items(), (5, 7, 60), strict=True):
+        own, of = queries.where(f"model_id = '{m}' and modality = '{a}'"), items.where(f"model_id = '{m}' and modality = '{o}'")
+        assert sorted(got[name]) == sorted(tuple(r) for r in dense.search(own, of, k).select("query_id", "item_id", "score", "rank").collect())
+        alone = dense.target_ranks_at_scale(own, of, targets).collect()
+        assert {(name, r.query_id): r["rank"] for r in alone} == {x: n for x, n in ranks.items() if x[0] == name} and len(alone) == 8
