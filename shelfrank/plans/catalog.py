@@ -347,10 +347,16 @@ def method_disagreements(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- written and read again
 
 
+#: Bytes of text in a CSV file, about.
+CSV_BYTES = 32 << 20
+
+
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts with quotes and line ends as several CSV files, read by a glob with a schema."""
     path = scratch_path(spark, "csv")
-    texts = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), "n_chars").repartition(3, "doc_id")
+    texts = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.repartition(max(3, -(-size // CSV_BYTES)), "doc_id")  # a file with line ends in its fields is read by one task
     texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     back = tables.read_csv(spark, f"{path}/*.csv", "doc_id long, text string, n_chars long")
     return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"), "n_chars")

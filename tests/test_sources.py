@@ -122,3 +122,16 @@ def test_lenient_metrics_need_no_list_of_answers(spark):
     want = evaluate.judged_metrics(stages, own.unionByName(more).distinct())
     got = evaluate.source_metrics(stages, strict, docs)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_csv_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A file that may hold line ends in its fields is read by one task, so there are more files of larger tables."""
+    from shelfrank.plans import catalog as plans
+
+    rows = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit('a "b"\nc'), 100).alias("text"), F.lit(700).cast("long").alias("n_chars"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(plans, "CSV_BYTES", 4000, raising=False)
+    monkeypatch.setattr(plans, "scratch_path", lambda *_: f"{tmp_path}/csv")
+    back = plans.csv_round_trip(spark, str(tmp_path)).select("doc_id", "text").distinct()
+    assert back.count() == 64 and back.select("text").distinct().count() == 1
+    assert max(x.stat().st_size for x in (tmp_path / "csv").glob("*.csv")) < 20_000
