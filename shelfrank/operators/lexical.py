@@ -71,11 +71,18 @@ def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Tabl
             tf.extend(counts.values())
             distinct.append(len(counts))
             dl.append(counts.total())
-        row = np.repeat(np.arange(table.num_rows), distinct)
-        code, tf = np.frombuffer(code, np.int32), np.frombuffer(tf, np.int32).astype(float)
-        weights = tf / (tf + k1 * (1 - b + b * np.array(dl)[row] / avgdl)) if len(tf) else tf
-        order = np.lexsort((-weights, code))
-        weights, sizes = weights[order], np.bincount(code, minlength=len(codes))
+        # a range has millions of postings: small types, few arrays of them at once
+        row = np.repeat(np.arange(table.num_rows, dtype=np.int32), distinct)
+        code, tf = np.frombuffer(code, np.int32), np.frombuffer(tf, np.int32)
+        weights = (k1 * (1 - b + b * np.array(dl, float) / avgdl))[row]
+        weights += tf
+        np.divide(tf, weights, out=weights)
+        np.negative(weights, out=weights)
+        order = np.lexsort((weights, code))
+        sizes = np.bincount(code, minlength=len(codes))
+        del code, tf
+        weights, row = np.negative(weights[order]), row[order]
+        del order
         ends = np.concatenate([[0], np.cumsum(sizes)])
         # the marks of a block of n: places 0, 1, 3, ... in it, and the last one
         n_marks = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int) + 1
@@ -83,7 +90,7 @@ def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Tabl
         nth = np.arange(mark_ends[-1]) - np.repeat(mark_ends[:-1], n_marks)
         marks = weights[np.minimum((1 << nth) - 1, np.repeat(sizes, n_marks) - 1) + np.repeat(ends[:-1], n_marks)] if len(codes) else weights
         docs = table["doc_id"].combine_chunks()
-        posting = pa.StructArray.from_arrays([(pa.concat_arrays(docs.chunks) if isinstance(docs, pa.ChunkedArray) else docs).take(pa.array(row[order])), pa.array(weights)], ["doc", "weight"])
+        posting = pa.StructArray.from_arrays([(pa.concat_arrays(docs.chunks) if isinstance(docs, pa.ChunkedArray) else docs).take(pa.array(row)), pa.array(weights)], ["doc", "weight"])
         at = lambda x: pa.array(x.astype(np.int32))
         return pa.table({
             "term": pa.array(list(codes), pa.string()), "range": pa.array([table["range"][0].as_py()] * len(codes), pa.int32()), "n": pa.array(sizes, pa.int64()),
