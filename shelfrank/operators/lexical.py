@@ -5,19 +5,23 @@ weights; a frequent term is in one block of every range, so no task gets it whol
 hash of their term, so a search reads the buckets of its terms only. Before postings are unpacked, a query's ranges are
 judged by the blocks' weights alone: where their sum cannot reach what k documents of one block have for certain,
 the blocks of the range are passed over for that query.
+
+Where there is no index, and the queries' terms are few, none is made for them: the texts are read once for these terms
+alone (``write_matches``) and scored from that (``scan``).
 """
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections import Counter
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +40,11 @@ BUCKET_POSTINGS, MOST_BUCKETS = 1 << 22, 1 << 12
 ANCHOR = 4
 #: Bytes of a query's term, of an anchor, and of a query and a range in a broadcast, about.
 TERM_BYTES, ANCHOR_BYTES, PAIR_BYTES = 128, 64, 32
-TOKEN = re.compile("[a-z0-9]+")
+#: Makes a blank of every byte of a lower-case text that is in no token.
+BLANKS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+STOPS = tuple(word.encode() for word in STOP_WORDS)
+#: Tokens that are counted at once, about.
+TOKENS_AT_ONCE = 1 << 20
 #: Changes with the tables of an index: one of another layout is not read.
 LAYOUT = 3
 
@@ -57,24 +65,74 @@ def _blocks(kind: str) -> str:
     return f"term string, range int, n long, marks array<double>, posting array<struct<doc:{kind},weight:double>>"
 
 
+def _words(text: bytes | None) -> list[bytes]:
+    """All tokens of a lower-case text, stop words too: as ``tokenize`` finds them, at a fraction of its cost."""
+    return (text or b"").translate(BLANKS).split()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of lower-case texts: their number, their tokens without stop words, and their bytes."""
+    for batch in batches:
+        total = size = 0
+        for value in batch.column("text").cast(pa.binary()):
+            words = _words(text := value.as_py())
+            total += len(words) - sum(map(words.count, STOPS))
+            size += len(text or b"")
+        yield pa.record_batch({"n": [batch.num_rows], "total": [total], "size": [size]})
+
+
+def _postings(texts: pa.Array | pa.ChunkedArray, codes: dict[bytes, int], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Places of texts, codes of their terms and how often they are there, by place and code; and the texts' lengths.
+
+    ``codes`` gets all terms if ``every`` is set; otherwise others than its own are only counted. Stop words, which have
+    the first codes, are left out.
+    """
+    parts, lengths, code, rows = [], [], array("i"), []
+
+    def flush() -> None:
+        """The texts since the last time, which are whole, to one posting a term."""
+        of, row = np.array(code, np.int32), np.repeat(np.arange(len(lengths) - len(rows), len(lengths)), np.array(rows, np.int64))
+        keep = of >= len(STOPS)
+        each, tf = np.unique(row[keep] * len(codes) + of[keep], return_counts=True)
+        parts.append(tuple(x.astype(np.int32) for x in (each // len(codes), each % len(codes), tf)))
+        del code[:], rows[:]
+
+    for value in texts.cast(pa.binary()):
+        words = _words(value.as_py())
+        code.extend(map(codes.__getitem__, words) if every else map(codes.get, words, repeat(-1)))
+        rows.append(len(words))
+        lengths.append(len(words) - sum(map(words.count, STOPS)))
+        if len(code) >= TOKENS_AT_ONCE:
+            flush()
+    flush()
+    return *map(np.concatenate, zip(*parts, strict=True)), lengths
+
+
+def _matched(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From lower-case texts to their lengths and their postings of ``terms``, which have the codes behind stop words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = {word: n for n, word in enumerate((*STOPS, *(term.encode() for term in terms)))}
+        for batch in batches:
+            row, code, tf, lengths = _postings(batch.column("text"), codes, False)
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            posting = pa.StructArray.from_arrays([pa.array(code), pa.array(tf)], ["code", "tf"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(lengths, pa.int64()), size, pa.ListArray.from_arrays(ends, posting)], names=["doc_id", "total", "size", "posting"])
+
+    return run
+
+
 def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Table]:
     """From the lower-case texts of the documents of a range to its blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes: dict[str, int] = {}
-        code, tf, distinct, dl = array("i"), array("i"), [], []
-        for value in table["text"]:
-            counts = Counter(TOKEN.findall(value.as_py() or ""))
-            for word in STOP_WORDS:
-                counts.pop(word, None)
-            code.extend([codes.setdefault(word, len(codes)) for word in counts])
-            tf.extend(counts.values())
-            distinct.append(len(counts))
-            dl.append(counts.total())
+        codes: dict[bytes, int] = defaultdict(count().__next__)
+        for word in STOPS:
+            codes[word]
+        row, code, tf, lengths = _postings(table["text"], codes, True)
         # a range has millions of postings: small types, few arrays of them at once
-        row = np.repeat(np.arange(table.num_rows, dtype=np.int32), distinct)
-        code, tf = np.frombuffer(code, np.int32), np.frombuffer(tf, np.int32)
-        weights = (k1 * (1 - b + b * np.array(dl, float) / avgdl))[row]
+        weights = (k1 * (1 - b + b * np.array(lengths, float) / avgdl))[row]
         weights += tf
         np.divide(tf, weights, out=weights)
         np.negative(weights, out=weights)
@@ -83,17 +141,19 @@ def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Tabl
         del code, tf
         weights, row = np.negative(weights[order]), row[order]
         del order
+        terms = [word.decode() for word, n in zip(codes, sizes, strict=True) if n]
+        sizes = sizes[sizes > 0]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         # the marks of a block of n: places 0, 1, 3, ... in it, and the last one
         n_marks = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int) + 1
         mark_ends = np.concatenate([[0], np.cumsum(n_marks)])
         nth = np.arange(mark_ends[-1]) - np.repeat(mark_ends[:-1], n_marks)
-        marks = weights[np.minimum((1 << nth) - 1, np.repeat(sizes, n_marks) - 1) + np.repeat(ends[:-1], n_marks)] if len(codes) else weights
+        marks = weights[np.minimum((1 << nth) - 1, np.repeat(sizes, n_marks) - 1) + np.repeat(ends[:-1], n_marks)] if len(terms) else weights
         docs = table["doc_id"].combine_chunks()
         posting = pa.StructArray.from_arrays([(pa.concat_arrays(docs.chunks) if isinstance(docs, pa.ChunkedArray) else docs).take(pa.array(row)), pa.array(weights)], ["doc", "weight"])
         at = lambda x: pa.array(x.astype(np.int32))
         return pa.table({
-            "term": pa.array(list(codes), pa.string()), "range": pa.array([table["range"][0].as_py()] * len(codes), pa.int32()), "n": pa.array(sizes, pa.int64()),
+            "term": pa.array(terms, pa.string()), "range": pa.array([table["range"][0].as_py()] * len(terms), pa.int32()), "n": pa.array(sizes, pa.int64()),
             "marks": pa.ListArray.from_arrays(at(mark_ends), pa.array(marks)), "posting": pa.ListArray.from_arrays(at(ends), posting),
         })
 
@@ -107,18 +167,32 @@ def write_index(corpus: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """
     spark = corpus.sparkSession
     texts = corpus.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
-    n, total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.size(tokenize(F.col("text")))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    ranges = max(1, -(-n // min(MOST_DOCS, max(LEAST_DOCS, n // RANGES))), -(-size // RANGE_BYTES))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    counts = texts.select("text").mapInArrow(_counted, "n long, total long, size long")
+    n, total, size = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in counts.columns]).first()
+    ranges = ranges_of(n, size)
     buckets = min(MOST_BUCKETS, max(1, total // BUCKET_POSTINGS))
-    dealt = by_range(texts.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")), ranges)
-    blocks = dealt.groupBy("slot", "range").applyInArrow(_inverted(max(total, 1) / max(n, 1), k1, b), _blocks(texts.schema["doc_id"].dataType.simpleString()))
+    dealt = by_range(texts.withColumn("range", range_of(F.col("doc_id"), ranges)), ranges)
+    blocks = dealt.groupBy("slot", "range").applyInArrow(_inverted(max(total, 1) / max(n, 1), k1, b), _blocks(kind))
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), F.lit(buckets)))
     if buckets > 1:  # a bucket's files are few, and sorted, so that a reader can skip parts of them
         blocks = blocks.repartition(F.col("bucket"), F.col("range") % 8).sortWithinPartitions("bucket", "term")
     blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    read_blocks(spark, path, texts.schema["doc_id"].dataType.simpleString()).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", idf).write.parquet(f"{path}/terms")
-    spark.createDataFrame([(n, total / n if n else None, ranges, buckets, texts.schema["doc_id"].dataType.simpleString())], "n long, avgdl double, ranges int, buckets int, doc_kind string").coalesce(1).write.parquet(f"{path}/stats")
+    read_blocks(spark, path, kind).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", idf_of(n)).write.parquet(f"{path}/terms")
+    spark.createDataFrame([(n, total / n if n else None, ranges, buckets, kind)], "n long, avgdl double, ranges int, buckets int, doc_kind string").coalesce(1).write.parquet(f"{path}/stats")
+
+
+def idf_of(n: int) -> Column:
+    return F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def ranges_of(n: int, size: int) -> int:
+    """How many ranges ``n`` documents of ``size`` bytes are dealt to."""
+    return max(1, -(-n // min(MOST_DOCS, max(LEAST_DOCS, n // RANGES))), -(-size // RANGE_BYTES))
+
+
+def range_of(doc_id: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(ranges)).cast("int")
 
 
 def by_range(rows: DataFrame, ranges: int) -> DataFrame:
@@ -178,14 +252,49 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     bucket = bucket_of(F.col("term"), F.lit(stats["buckets"])).alias("bucket")
     asked = near(materialize(index.terms.join(near(terms), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), bucket), "query-weights"))
     on = ["bucket", "term"]
+    blocks = index.blocks.select(*on, "range", "posting")
+    if near is not far:  # only blocks of the queries' terms are shuffled
+        blocks = blocks.join(near(asked.select(*on)), on, "left_semi")
     # compact rows are shuffled by range, so scores are summed up where they arise and only top rows travel
-    met = by_range(index.blocks.select(*on, "range", "posting"), stats["ranges"]).join(asked, on)
+    met = by_range(blocks, stats["ranges"]).join(asked, on)
     if stats["ranges"] > 1:
         over = hopeless(index.blocks.select(*on, "range", "n", "marks").join(asked, on), k)
         fits = n * stats["ranges"] * PAIR_BYTES <= BROADCAST_BYTES  # a query has a term, and passes over a range, once
         met = met.join((F.broadcast if fits else far)(over), ["query_id", "range"], "left_anti")
-    hits = met.select("slot", "query_id", "w", F.explode("posting").alias("p"))
-    scored = hits.groupBy("slot", "query_id", F.col("p.doc").alias("doc_id")).agg(F.round(F.sum(F.col("w") * F.col("p.weight")), 6).alias("score"))
+    hits = met.select("slot", "query_id", "w", F.inline("posting").alias("doc_id", "weight"))
+    scored = hits.groupBy("slot", "query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
+    return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
+
+
+def few_terms(queries: DataFrame) -> list[str] | None:
+    """The different terms of ``queries`` if those of all queries are within the bound of a broadcast, else None."""
+    most = BROADCAST_BYTES // TERM_BYTES
+    terms = query_terms(queries).select("term").limit(most + 1).collect()
+    return sorted({r["term"] for r in terms}) if len(terms) <= most else None
+
+
+def write_matches(corpus: DataFrame, path: str, terms: list[str], doc_id: str = "doc_id", text: str = "text") -> None:
+    """Write ``doc_id, total, size, posting`` of every document: its length, its bytes, and its ``terms``, by one reading."""
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    texts.mapInArrow(_matched(terms), f"doc_id {kind}, total long, size long, posting array<struct<code:int,tf:int>>").write.parquet(path)
+
+
+def scan(matches: DataFrame, terms: list[str], queries: DataFrame, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
+    """As ``search``, without an index: for queries of ``few_terms``, over what ``write_matches`` found of them.
+
+    Documents are dealt to ranges, and a document's postings come together, so sums stay small and near.
+    """
+    n, total, size = matches.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = ranges_of(n, size)
+    df = matches.select(F.inline("posting")).groupBy("code").agg(F.count("*").alias("df"))
+    named = matches.sparkSession.createDataFrame([(code, term) for code, term in enumerate(terms, len(STOPS))], "code int, term string")
+    known = F.broadcast(named).join(F.broadcast(df), "code").select("code", "term", idf_of(n).alias("idf"))  # no more rows than terms
+    asked = F.broadcast(materialize(query_terms(queries).join(F.broadcast(known), "term").select("query_id", "code", (F.col("qtf") * F.col("idf")).alias("w")), "query-weights"))
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("total") / F.lit(max(total, 1) / max(n, 1)))
+    dealt = by_range(matches.select("doc_id", "total", "posting", range_of(F.col("doc_id"), ranges).alias("range")), ranges)
+    hits = dealt.select("slot", "doc_id", norm.alias("norm"), F.inline("posting")).select("slot", "doc_id", "code", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("weight"))
+    scored = hits.join(asked, "code").groupBy("slot", "doc_id", "query_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
 
 

@@ -76,6 +76,29 @@ def test_bm25_in_ranges_and_buckets(spark, monkeypatch):
     assert lexical.hopeless(met, 1).where("query_id = 1").count() > 10 and len(want[2]) == 6
 
 
+def test_queries_of_few_terms_make_no_index(spark, tmp_path, monkeypatch):
+    """The texts are read once for the queries' terms alone; rows are those of a search over the index of all terms."""
+    from shelfrank.plans import retrieval
+
+    rng, odd = random.Random(8), [None, "", "the a an", "Größe-LAMP\u00a0lamp", "\u0130Red's 1/2in lamp", "THE lamp the"]
+    texts = odd + [" ".join(rng.choice(("red", "lamp", "the", f"w{rng.randrange(60)}")) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i // 2 if i < 6 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "Lamp lamp red"), (2, "the W3 w3 w4 gr"), (3, "nothing here"), (4, None), (5, "the"), (6, "1 2in s i")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries, index = retrieval.text_queries(spark, str(tmp_path)), lexical.build_index(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = {k: rows(lexical.search(index, queries, k)) for k in (3, 50)}
+    made, write = [], lexical.write_index
+    monkeypatch.setattr(lexical, "write_index", lambda *a, **b: made.append(a) or write(*a, **b))
+    assert {k: rows(retrieval.bm25(spark, str(tmp_path), k)) for k in want} == want and not made
+    with monkeypatch.context() as patch:  # more terms than a broadcast holds
+        patch.setattr(lexical, "BROADCAST_BYTES", 0)
+        assert rows(retrieval.bm25(spark, str(tmp_path))) == want[50] and len(made) == 1
+    assert rows(retrieval.bm25(spark, str(tmp_path))) == want[50] and len(made) == 1  # by the index that is there now
+    assert lexical.scan(spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "0L AS total", "0L AS size", "CAST(array() AS array<struct<code:int,tf:int>>) AS posting").limit(0), [], queries).count() == 0
+
+
 def test_bm25_plan_has_no_python_and_limits_early(spark, data):
     from shelfrank.plans import retrieval
 
