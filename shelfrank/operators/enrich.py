@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,19 +16,20 @@ from .annotate import annotate, may_pass
 
 __all__ = ["annotate", "may_pass"]
 
-BLANKS = re.compile(r"\s+", re.ASCII)
+#: Words whose hashes a Python worker keeps; some 50 MB.
+KEPT_WORDS = 1 << 18
 
 
-@lru_cache(1 << 16)
-def _code(word: str) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+@lru_cache(KEPT_WORDS)
+def _code(word: bytes) -> int:
+    return int.from_bytes(hashlib.md5(word).digest()[:4], "big")
 
 
 def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     """Deterministic text vectors: signed token hashes, of length 1."""
     out = np.zeros((len(texts), size), np.float32)
     for i, text in enumerate(texts):
-        codes = np.array([_code(word) for word in BLANKS.split(text.lower()) if word], np.int64)
+        codes = np.fromiter(map(_code, text.lower().encode().split()), np.int64)  # bytes are split at ASCII blanks only
         out[i] = np.bincount(codes % size, weights=np.where(codes >> 31, 1, -1), minlength=size)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

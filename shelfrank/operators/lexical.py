@@ -288,7 +288,7 @@ def scan(matches: DataFrame, terms: list[str], queries: DataFrame, k: int = 50,
     n, total, size = matches.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = ranges_of(n, size)
     df = matches.select(F.inline("posting")).groupBy("code").agg(F.count("*").alias("df"))
-    named = matches.sparkSession.createDataFrame([(code, term) for code, term in enumerate(terms, len(STOPS))], "code int, term string")
+    named = matches.sparkSession.createDataFrame(pa.table({"code": pa.array(range(len(STOPS), len(STOPS) + len(terms)), pa.int32()), "term": pa.array(terms, pa.string())}))
     known = F.broadcast(named).join(F.broadcast(df), "code").select("code", "term", idf_of(n).alias("idf"))  # no more rows than terms
     asked = F.broadcast(materialize(query_terms(queries).join(F.broadcast(known), "term").select("query_id", "code", (F.col("qtf") * F.col("idf")).alias("w")), "query-weights"))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("total") / F.lit(max(total, 1) / max(n, 1)))

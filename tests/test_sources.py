@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -135,3 +136,18 @@ def test_csv_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     back = plans.csv_round_trip(spark, str(tmp_path)).select("doc_id", "text").distinct()
     assert back.count() == 64 and back.select("text").distinct().count() == 1
     assert max(x.stat().st_size for x in (tmp_path / "csv").glob("*.csv")) < 20_000
+
+
+def test_words_are_hashed_once_for_many_texts(monkeypatch):
+    """More different words than were once kept, in two calls; blanks are those of ASCII."""
+    made, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda word: made.append(word) or md5(word))
+    many = " ".join(f"once{i}" for i in range(100_000))
+    first = enrich.hashed_encoder([many])
+    assert (enrich.hashed_encoder([many]) == first).all() and len(made) == 100_000
+    odd = "A\x0bb\x0cc\x1cd\x85e\u00a0f g\rh\ni  \u0130 "
+    words = ["a", "b", "c\x1cd\x85e\u00a0f", "g", "h", "i", "i\u0307"]
+    want = [0] * 64
+    for code in (int(md5(word.encode()).hexdigest()[:8], 16) for word in words):
+        want[code % 64] += 1 if code >> 31 else -1
+    assert np.allclose(enrich.hashed_encoder([odd, ""]), [np.array(want) / np.linalg.norm(want), [0] * 64])
