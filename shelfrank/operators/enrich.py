@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +19,29 @@ __all__ = ["annotate", "may_pass"]
 
 #: Words whose hashes a Python worker keeps; some 50 MB.
 KEPT_WORDS = 1 << 18
+_CODES: dict[bytes, int] = {}
 
 
-@lru_cache(KEPT_WORDS)
-def _code(word: bytes) -> int:
-    return int.from_bytes(hashlib.md5(word).digest()[:4], "big")
+def _codes(words: list[bytes]) -> np.ndarray:
+    """The first 32 bits of the words' MD5, -1 for an empty word."""
+    if len(_CODES) > KEPT_WORDS:
+        _CODES.clear()
+    codes = list(map(_CODES.get, words))
+    for i in [i for i, code in enumerate(codes) if code is None]:
+        word = words[i]
+        codes[i] = _CODES[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big") if word else -1
+    return np.array(codes, np.int64)
 
 
 def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
-    """Deterministic text vectors: signed token hashes, of length 1."""
-    out = np.zeros((len(texts), size), np.float32)
-    for i, text in enumerate(texts):
-        codes = np.fromiter(map(_code, text.lower().encode().split()), np.int64)  # bytes are split at ASCII blanks only
-        out[i] = np.bincount(codes % size, weights=np.where(codes >> 31, 1, -1), minlength=size)
+    """Deterministic text vectors: signed token hashes, of length 1. A word that is in many of the texts is looked up once."""
+    words = pc.ascii_split_whitespace(pa.array([text.lower() for text in texts], pa.large_string()))  # at ASCII blanks only
+    each = words.flatten().dictionary_encode()
+    codes = _codes(each.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+    place = np.where(codes < 0, 2 * size, codes % size * 2 + (codes >> 31))  # minus and plus of each dimension, and a place for empty words
+    row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    n = np.bincount(row * (2 * size + 1) + place[each.indices.to_numpy()], minlength=len(texts) * (2 * size + 1)).reshape(len(texts), 2 * size + 1)
+    out = (n[:, 1:-1:2] - n[:, :-1:2]).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -16,7 +16,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import count, repeat
+from itertools import count, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -45,6 +45,8 @@ BLANKS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for
 STOPS = tuple(word.encode() for word in STOP_WORDS)
 #: Tokens that are counted at once, about.
 TOKENS_AT_ONCE = 1 << 20
+#: Bytes of text that are split at once, about.
+PIECE_BYTES = 4 << 20
 #: Changes with the tables of an index: one of another layout is not read.
 LAYOUT = 3
 
@@ -81,11 +83,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"n": [batch.num_rows], "total": [total], "size": [size]})
 
 
-def _postings(texts: pa.Array | pa.ChunkedArray, codes: dict[bytes, int], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def _postings(texts: pa.Array | pa.ChunkedArray, codes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Places of texts, codes of their terms and how often they are there, by place and code; and the texts' lengths.
 
-    ``codes`` gets all terms if ``every`` is set; otherwise others than its own are only counted. Stop words, which have
-    the first codes, are left out.
+    ``codes`` gets all terms. Stop words, which have the first codes, are left out.
     """
     parts, lengths, code, rows = [], [], array("i"), []
 
@@ -99,7 +100,7 @@ def _postings(texts: pa.Array | pa.ChunkedArray, codes: dict[bytes, int], every:
 
     for value in texts.cast(pa.binary()):
         words = _words(value.as_py())
-        code.extend(map(codes.__getitem__, words) if every else map(codes.get, words, repeat(-1)))
+        code.extend(map(codes.__getitem__, words))
         rows.append(len(words))
         lengths.append(len(words) - sum(map(words.count, STOPS)))
         if len(code) >= TOKENS_AT_ONCE:
@@ -108,13 +109,46 @@ def _postings(texts: pa.Array | pa.ChunkedArray, codes: dict[bytes, int], every:
     return *map(np.concatenate, zip(*parts, strict=True)), lengths
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, of about PIECE_BYTES of text at once."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        for begin, end in pairwise([0, *np.flatnonzero(np.diff(upto // PIECE_BYTES)) + 1, batch.num_rows]):
+            yield batch.slice(begin, end - begin)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What is between ASCII blanks of texts, also what is empty at their ends, and the place of the text of each."""
+    words = pc.ascii_split_whitespace(texts)
+    return words.flatten(), np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+
+
+def _coded(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word in ``known``, or -1."""
+    return pc.fill_null(pc.index_in(words, known), -1).to_numpy()
+
+
+def _blanked(texts: pa.Array) -> pa.Array:
+    """Lower-case texts with a blank for every byte that is in no token: all at once, as they lie in memory; null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    blanked = data.slice(ends[0], ends[-1] - ends[0]).to_pybytes().translate(BLANKS) if data else b""
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(blanked)])
+
+
 def _matched(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From lower-case texts to their lengths and their postings of ``terms``, which have the codes behind stop words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = {word: n for n, word in enumerate((*STOPS, *(term.encode() for term in terms)))}
-        for batch in batches:
-            row, code, tf, lengths = _postings(batch.column("text"), codes, False)
+        known = pa.array([*STOP_WORDS, *terms, ""], pa.large_string())
+        for batch in _pieces(batches):
+            words, at = _split(_blanked(batch.column("text")))
+            of = _coded(words, known)
+            keep = (of >= len(STOPS)) & (of < len(known) - 1)
+            lengths = np.bincount(at[keep | (of < 0)], minlength=batch.num_rows)
+            each, tf = np.unique(at[keep] * len(known) + of[keep], return_counts=True)
+            row, code, tf = (x.astype(np.int32) for x in (each // len(known), each % len(known), tf))
             ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             posting = pa.StructArray.from_arrays([pa.array(code), pa.array(tf)], ["code", "tf"])
@@ -130,7 +164,7 @@ def _inverted(avgdl: float, k1: float, b: float) -> Callable[[pa.Table], pa.Tabl
         codes: dict[bytes, int] = defaultdict(count().__next__)
         for word in STOPS:
             codes[word]
-        row, code, tf, lengths = _postings(table["text"], codes, True)
+        row, code, tf, lengths = _postings(table["text"], codes)
         # a range has millions of postings: small types, few arrays of them at once
         weights = (k1 * (1 - b + b * np.array(lengths, float) / avgdl))[row]
         weights += tf
@@ -298,22 +332,67 @@ def scan(matches: DataFrame, terms: list[str], queries: DataFrame, k: int = 50,
     return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
 
 
+def _held(said: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From documents to those that contain a passage. ``said(query_id, passage, run)``: ``run`` are the words that are looked for.
+
+    A run's words are followed one by one from all places of a text at once, so only places where its first ones are go on.
+    """
+    runs = [tuple(run) for run in said["run"].to_pylist()]
+    words = sorted({word for run in runs for word in run})
+    place, nodes, ends = {word: n for n, word in enumerate(words)}, {(): 0}, defaultdict(list)
+    for n, run in enumerate(runs):
+        for k in range(len(run)):
+            nodes.setdefault(run[: k + 1], len(nodes))
+        ends[nodes[run]].append(n)
+    steps = sorted((nodes[run[:-1]] * len(words) + place[run[-1]], node) for run, node in nodes.items() if run)
+    keys, then = np.array(steps, np.int64).reshape(-1, 2).T
+    last = np.isin(np.arange(len(nodes)), list(ends))
+    passages, ids = [passage.encode() for passage in said["passage"].to_pylist()], said["query_id"].combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.large_string())
+        for batch in _pieces(batches):
+            each, at = _split(batch.column("text").cast(pa.large_string()))
+            code, texts, found = _coded(each, known), batch.column("text").cast(pa.large_binary()), []
+            begin = np.flatnonzero(code >= 0)
+            node = np.zeros(len(begin), np.int64)
+            for k in range(ANCHOR):
+                here = np.minimum(begin + k, len(code) - 1)
+                key = np.where((at[here] == at[begin]) & (code[here] >= 0) & (here == begin + k), node * len(words) + code[here], -1)
+                step = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                on = keys[step] == key
+                begin, node = begin[on], then[step[on]]
+                found.append(np.stack([at[begin], node], 1)[last[node]])
+            pairs = [(row, n) for row, node in np.unique(np.concatenate(found), axis=0).tolist() for n in ends[node]]
+            right = np.array([(row, n) for row, n in pairs if passages[n] in texts[row].as_py()], np.int64).reshape(-1, 2)
+            yield pa.record_batch([ids.take(pa.array(right[:, 1])), batch.column("doc_id").take(pa.array(right[:, 0]))], names=["query_id", "doc_id"])
+
+    return run
+
+
 def holding(corpus: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``query_id, doc_id`` of every document that contains a passage literally. ``passages(query_id, passage)``.
 
-    The words inside a passage, without its first and last, are whole words of each text that contains it. So equal
-    hashes of runs of up to ANCHOR such words give the candidates, and only candidates are compared as text. Passages
-    of one or two words have no word inside: their texts are found among all (there is nothing to look up).
+    The words inside a passage, without its first and last, are whole words of each text that contains it. So runs of
+    up to ANCHOR such words give the candidates, and only candidates are compared as text. Passages within the bound of a
+    broadcast go to the texts, which are read once and not shuffled; more of them meet the texts by equal hashes of the
+    runs. Passages of one or two words have no word inside: their texts are found among all (there is nothing to look up).
     """
     parts = F.split("passage", r"\s+")
     run = lambda words, at, n: F.xxhash64(F.lit(n), *[F.get(words, at + k) for k in range(n)])
-    marked = passages.select("query_id", "passage", F.least(F.size(parts) - 2, F.lit(ANCHOR)).alias("inner"), parts.alias("words"))
-    lengths = sorted(r["inner"] for r in marked.where("inner >= 1").select("inner").distinct().collect())  # at most ANCHOR
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")  # as the join below wants them
+    marked = passages.where("passage IS NOT NULL").select("query_id", "passage", F.least(F.size(parts) - 2, F.lit(ANCHOR)).alias("inner"), parts.alias("words"))
+    size_of = lambda rows: rows.agg(F.coalesce(F.sum(F.octet_length("passage") + ANCHOR_BYTES), F.lit(0))).first()[0]
+    long, short = marked.where("inner >= 1"), marked.where("inner < 1").select("query_id", "passage")
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kinds = f"query_id {passages.schema['query_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}"
     found = []
-    if lengths:
+    if not long.isEmpty() and size_of(long) <= BROADCAST_BYTES:
+        said = long.select("query_id", "passage", F.slice("words", F.lit(2), F.col("inner")).alias("run")).toArrow()
+        found.append(texts.where(F.col("text").isNotNull()).mapInArrow(_held(said), kinds))
+    elif lengths := sorted(r["inner"] for r in long.select("inner").distinct().collect()):  # at most ANCHOR
+        texts = texts.repartition("doc_id")  # as the join below wants them
         anchor = F.coalesce(*[F.when(F.col("inner") == n, run(F.col("words"), F.lit(1), n)) for n in lengths])
-        anchors = marked.where("inner >= 1").select("query_id", anchor.alias("anchor"))
+        anchors = long.select("query_id", anchor.alias("anchor"))
         each = texts.select("doc_id", F.split("text", r"\s+").alias("words"))
 
         def runs(n: int) -> Column:
@@ -323,9 +402,7 @@ def holding(corpus: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text
         pairs = each.select("doc_id", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("anchor")).join(small(anchors, ANCHOR_BYTES, passages), "anchor").select("doc_id", "query_id").distinct()
         # candidates are few: their passages come to them by key, whatever the number of passages
         found.append(texts.join(pairs, "doc_id").join(passages.select("query_id", "passage"), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id"))
-    short = marked.where("inner < 1").select("query_id", "passage")
     if not short.isEmpty():
-        size = short.agg(F.sum(F.octet_length("passage") + 16)).first()[0]
-        few = F.broadcast(short) if size <= BROADCAST_BYTES else short
+        few = F.broadcast(short) if size_of(short) <= BROADCAST_BYTES else short
         found.append(texts.join(few, F.contains("text", "passage")).select("query_id", "doc_id"))
     return reduce(DataFrame.unionByName, found) if found else texts.where("false").join(passages, F.lit(True)).select("query_id", "doc_id")

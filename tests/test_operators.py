@@ -378,6 +378,25 @@ def test_short_passages_are_found(spark):
     assert lexical.holding(docs, passages.where("false")).count() == 0
 
 
+def test_texts_are_not_shuffled_for_few_passages(spark, monkeypatch):
+    """Passages of a broadcast go to the texts; rows are those of the join of more passages, and of the texts as substrings."""
+    rng = random.Random(3)
+    blank, word = lambda: rng.choice((" ", " ", "  ", "\n", "\t", "\u00a0", "\x1c")), lambda: rng.choice(("a", "b", "c", "ñ", ".", "dd"))
+    texts = ["", None, " ", *("".join(word() + blank() for _ in range(rng.randrange(1, 60))) for _ in range(400))]
+    cut = lambda t, n: t[(at := rng.randrange(len(t))) : at + n]
+    said = [(i % 90, cut(rng.choice(texts[3:]), rng.randrange(1, 30))) for i in range(120)] + [(90, None), (91, ""), (92, " a b c "), (93, "a b c d e f g")]
+    docs, passages = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(said, "query_id int, passage string")
+    want = {(q, i) for q, p in said for i, t in enumerate(texts) if p is not None and t is not None and p in t}
+    long = passages.where(r"size(split(passage, '\\s+')) > 2")
+    found = lexical.holding(docs, long)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 100
+    for pieces in (lexical.PIECE_BYTES, 50):
+        monkeypatch.setattr(lexical, "PIECE_BYTES", pieces)
+        assert set(map(tuple, lexical.holding(docs, passages).collect())) == want
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)
+    assert set(map(tuple, lexical.holding(docs, passages).collect())) == want
+
+
 def test_answers_are_counted_for_each_text_once(spark):
     """Through the query: 50,000 ids of one text with 50,000 right answers, 2,500,000,000 pairs that nothing may make."""
     from shelfrank.plans import catalog as plans
