@@ -32,6 +32,8 @@ from .ranking import best_first, top_k
 K1, B = 1.2, 0.75
 #: Documents in a range: at least, and at most; between them so many that there are about RANGES.
 LEAST_DOCS, MOST_DOCS, RANGES = 512, 1 << 15, 64
+#: Ranges of which one is searched first, for a bar to the scores of all.
+BAR_PART = 16
 #: Bytes of text in a range, about.
 RANGE_BYTES = 32 << 20
 #: Postings that a bucket of terms holds, about, and the most buckets.
@@ -317,7 +319,8 @@ def write_matches(corpus: DataFrame, path: str, terms: list[str], doc_id: str =
 def scan(matches: DataFrame, terms: list[str], queries: DataFrame, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
     """As ``search``, without an index: for queries of ``few_terms``, over what ``write_matches`` found of them.
 
-    Documents are dealt to ranges, and a document's postings come together, so sums stay small and near.
+    Documents are dealt to ranges, and a document's postings come together, so sums stay small and near. The best ``k`` of
+    one part of the ranges give each query a score that the best ``k`` of all have at least.
     """
     n, total, size = matches.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = ranges_of(n, size)
@@ -326,10 +329,19 @@ def scan(matches: DataFrame, terms: list[str], queries: DataFrame, k: int = 50,
     known = F.broadcast(named).join(F.broadcast(df), "code").select("code", "term", idf_of(n).alias("idf"))  # no more rows than terms
     asked = F.broadcast(materialize(query_terms(queries).join(F.broadcast(known), "term").select("query_id", "code", (F.col("qtf") * F.col("idf")).alias("w")), "query-weights"))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("total") / F.lit(max(total, 1) / max(n, 1)))
-    dealt = by_range(matches.select("doc_id", "total", "posting", range_of(F.col("doc_id"), ranges).alias("range")), ranges)
-    hits = dealt.select("slot", "doc_id", norm.alias("norm"), F.inline("posting")).select("slot", "doc_id", "code", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("weight"))
-    scored = hits.join(asked, "code").groupBy("slot", "doc_id", "query_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
-    return top_k(scored, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
+    dealt = matches.select("doc_id", "total", "posting", range_of(F.col("doc_id"), ranges).alias("range"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """A range is a task: its sums are as many for larger tables."""
+        each = rows.repartitionById(ranges, F.col("range")).select("range", "doc_id", norm.alias("norm"), F.inline("posting"))
+        hits = each.select("range", "doc_id", "code", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("weight")).join(asked, "code")
+        return hits.groupBy("range", "doc_id", "query_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
+
+    found = scored(dealt)
+    if some := ranges // BAR_PART:  # what scores less than the last of the best k of some ranges needs no sorting
+        bar = top_k(scored(dealt.where(F.col("range") < some)), k, ["query_id"], best_first()).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+        found = found.join(F.broadcast(materialize(bar, "query-bars")), "query_id", "left").where("bar IS NULL OR score >= bar")
+    return top_k(found, k, ["query_id"], best_first()).select("query_id", "doc_id", "score", "rank")
 
 
 def _held(said: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

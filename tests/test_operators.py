@@ -99,6 +99,23 @@ def test_queries_of_few_terms_make_no_index(spark, tmp_path, monkeypatch):
     assert lexical.scan(spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "0L AS total", "0L AS size", "CAST(array() AS array<struct<code:int,tf:int>>) AS posting").limit(0), [], queries).count() == 0
 
 
+def test_scan_ranks_only_scores_above_a_bar(spark, tmp_path, monkeypatch):
+    """Each range is a task of its own; rows are those without a bar, also where scores tie at it or where few texts match."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("red", "lamp", f"w{rng.randrange(9)}")) for _ in range(rng.randrange(1, 6))) for _ in range(600)] + ["rare lamp"]
+    docs, terms = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["lamp", "rare", "red", "w3", "w4"]
+    queries = spark.createDataFrame([(1, "Lamp red"), (2, "w3 w3 w4"), (3, "rare"), (4, "other")], "query_id long, query string")
+    monkeypatch.setattr(lexical, "LEAST_DOCS", 16)
+    lexical.write_matches(docs, f"{tmp_path}/m", terms)
+    scan = lambda k: lexical.scan(spark.read.parquet(f"{tmp_path}/m"), terms, queries, k)
+    rows = {k: sorted(map(tuple, scan(k).collect())) for k in (1, 3, 50)}
+    plan = scan(3)._jdf.queryExecution().executedPlan().toString()
+    assert "bar#" in plan and "38), REPARTITION_BY_NUM" in plan  # 601 documents, ranges of 16 at least
+    monkeypatch.setattr(lexical, "BAR_PART", 1 << 20)
+    assert {k: sorted(map(tuple, scan(k).collect())) for k in rows} == rows
+    assert rows[50] == sorted(map(tuple, lexical.search(lexical.build_index(docs), queries, 50).collect()))
+
+
 def test_bm25_plan_has_no_python_and_limits_early(spark, data):
     from shelfrank.plans import retrieval
 
